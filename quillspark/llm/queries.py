@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import fingerprint, quality_rules, secret_scan
 from .common import documents
 
 
@@ -13,5 +13,20 @@ def op7_quality_rules(spark, sf_dir):
     return got.drop("text")
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+def op1_fingerprints(spark, sf_dir):
+    return fingerprint.edited_with_next(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_quality_rules": op7_quality_rules,
+}
 ORACLE: dict[str, str] = {}
