@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, quality_rules, secret_scan
+from . import fingerprint, mixing, quality_rules, secret_scan, sharding
 from .common import documents
 
 
@@ -24,9 +24,30 @@ def op5_secret_scan(spark, sf_dir):
     return found.select("doc_id", *(count(k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 
 
+def op6_source_mixing(spark, sf_dir):
+    return mixing.takes(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
+def op10_sharding(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    put = sharding.shard(docs, "doc_id", 16)
+    text = F.coalesce("text", F.lit(""))
+    return put.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        sharding.shard_of(F.col("doc_id"), 17).alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op6_source_mixing": op6_source_mixing,
+    "op10_sharding": op10_sharding,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE: dict[str, str] = {}
