@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, quality_rules, secret_scan, sharding
+from . import fingerprint, mixing, quality_rules, secret_scan, sharding, token_files
 from .common import documents
 
 
@@ -17,6 +17,12 @@ def op1_fingerprints(spark, sf_dir):
     return fingerprint.edited_with_next(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.round_trip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_secret_scan(spark, sf_dir):
     found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
@@ -45,6 +51,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_token_files": op4_token_files,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op10_sharding": op10_sharding,
