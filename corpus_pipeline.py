@@ -1,11 +1,59 @@
 """Corpus pipeline: stages over documents, each written and read again by the next."""
 
+from __future__ import annotations
+
+import uuid
+
+from quillspark.llm import mixing, ngram_join, packing, quality_rules, secret_scan
+from quillspark.llm.common import shared_dir
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that pass the quality rules."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document, that of the least id, of each group of near duplicates; documents without an id stay."""
+    found = ngram_join.join(docs)
+    rest = found.where("component_id < doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(rest, "doc_id", "left_anti")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def secrets(spark, docs, sf_dir):
+    """Every document, its secrets masked."""
+    return secret_scan.mask(docs)
+
+
+def mix(spark, docs, sf_dir):
+    """The words that the mix takes: a row for each round that takes some of a document."""
+    return mixing.mixed(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """Every piece of every document with its bin."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+#: SQL can't express the stages' choices; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.mode("overwrite").parquet(f"{place}/{i}")
+            docs = spark.read.parquet(f"{place}/{i}")
     return docs

@@ -34,18 +34,28 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an array, in blocks, so that long arrays take n * block steps."""
+def _before(values: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], block: int) -> Column:
+    """fold of what stands before each element, in blocks, so that long arrays take n * block steps."""
     b = F.lit(block)
 
     def by_block(v: Column) -> Column:
-        sums = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / b).cast("int")), lambda i: total(F.slice(v, i * b + 1, b)))).otherwise(F.array().cast("array<bigint>"))
-        starts = let(sums, lambda s: F.transform(s, lambda _, i: total(F.slice(s, F.lit(1), i))))
-        return let(starts, lambda s: F.transform(v, lambda _, i: F.get(s, (i / b).cast("int")) + total(F.slice(v, i - i % b + 1, i % b))))
+        folds = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / b).cast("int")), lambda i: fold(F.slice(v, i * b + 1, b)))).otherwise(F.array().cast("array<bigint>"))
+        starts = let(folds, lambda s: F.transform(s, lambda _, i: fold(F.slice(s, F.lit(1), i))))
+        return let(starts, lambda s: F.transform(v, lambda _, i: join(F.get(s, (i / b).cast("int")), fold(F.slice(v, i - i % b + 1, i % b)))))
 
     return let(values, by_block)
 
 
+def prefix_sums(values: Column, block: int = 256) -> Column:
+    """Exclusive running sums of an array."""
+    return _before(values, total, lambda a, x: a + x, block)
+
+
+def prefix_most(values: Column, block: int = 256) -> Column:
+    """Exclusive running maxima of an array of numbers from 0; 0 at the start."""
+    return _before(values, lambda v: F.coalesce(F.array_max(v).cast("long"), F.lit(0).cast("long")), F.greatest, block)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, shared_dir
+from .common import let, n_words, shared_dir, words
 
 #: Words in a block; the most times that a document is used.
 BLOCK, REPEATS = 64, 3
@@ -71,9 +71,9 @@ def targets(sized: DataFrame) -> DataFrame:
     return per.withColumn("level", level).select(SRC, "source_size", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def schedule(shares: DataFrame, words: int, block: int) -> DataFrame:
+def schedule(shares: DataFrame, n_words: int, block: int) -> DataFrame:
     """slot, source, k: a slot takes its source's k-th block; slots follow golden-ratio points through the cumulative targets."""
-    slots = max(1, round(words / block))
+    slots = max(1, round(n_words / block))
     every = Window.partitionBy()
     upto, whole, last = F.sum("target").over(every.orderBy(SRC)), F.sum("target").over(every), F.max(SRC).over(every)
     ranges = shares.where("target > 0").select(SRC, ((upto - F.col("target")) / whole).alias("lo"), F.when(F.col(SRC) == last, 2.0).otherwise(upto / whole).alias("hi"))
@@ -137,14 +137,10 @@ def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """The rows of the mix with df's columns: a row for each round that takes some of a document, its text cut to the words taken then."""
     pieces, _, _ = mix(df, key, source, text, block, seed)
     part = pieces.groupBy(F.col(key).alias("__key"), "__tie", "__copy", "epoch").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
-    uses = part.groupBy("__key", "__tie").agg(F.collect_list(F.struct("epoch", "__copy", "__from", "__to")).alias("__uses"))
-    rows = df.withColumn("__tie", F.xxhash64(*df.columns))
-    rows = rows.withColumn("__size", n_words(F.col(text)))
-    # equal rows share their uses: each of them is joined once, as the uses carry the number among equal rows
-    one = rows.dropDuplicates(["__tie", key])
-    got = one.join(uses, one[key].eqNullSafe(uses["__key"]) & (one["__tie"] == uses["__tie"])).drop(uses["__tie"]).withColumn("__u", F.explode("__uses"))
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    whole = (F.col("__u.__from") == 0) & (F.col("__u.__to") == F.col("__size"))
-    new = F.when(whole, F.col(text)).otherwise(F.array_join(F.slice(words, (F.col("__u.__from") + 1).cast("int"), (F.col("__u.__to") - F.col("__u.__from")).cast("int")), " "))
-    out = got.withColumn("__new", new)
-    return out.select(*(F.col("__new").alias(c) if c == text else F.length("__new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in df.columns))
+    # equal rows differ in no column, so that one of them stands for all and is repeated by their uses
+    rows = df.withColumn("__tie", F.xxhash64(*df.columns)).dropDuplicates([key, "__tie"])
+    got = rows.join(part, rows[key].eqNullSafe(part["__key"]) & (rows["__tie"] == part["__tie"])).drop(part["__tie"])
+    n = F.col("__to") - F.col("__from")
+    cut = lambda w: F.when((F.col("__from") == 0) & (n == F.size(w)), F.col(text)).otherwise(F.array_join(F.slice(w, (F.col("__from") + 1).cast("int"), n.cast("int")), " "))
+    got = got.withColumn("__new", let(words(F.col(text)), cut))
+    return got.select(*(F.col("__new").alias(c) if c == text else F.length("__new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in df.columns))

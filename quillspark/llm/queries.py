@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, ngram_join, quality_rules, secret_scan, sharding, token_files
+from . import fingerprint, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_files
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_fingerprints(spark, sf_dir):
     return fingerprint.edited_with_next(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -55,6 +59,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_token_files": op4_token_files,
     "op5_secret_scan": op5_secret_scan,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, prefix_sums
+from .common import let, prefix_most, prefix_sums
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -150,14 +150,16 @@ def listed(spans: Column) -> Column:
 
 
 def mask(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with each secret in the text replaced by a mark; overlapping spans become one mark."""
+    """df with each secret in the text replaced by a mark; overlapping spans become one mark, and n_chars follows."""
     found = scan(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__text", "__spans")
 
     def cut(s: Column) -> Column:
-        reach = F.transform(s, lambda x, i: F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda y: y["end"])))
-        pieces = F.zip_with(s, reach, lambda x, r: F.when(r.isNull() | (x["start"] >= r), F.concat(F.substring(F.col("__text"), (F.coalesce(r, F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(r, F.lit(0))).cast("int")), F.lit(mark))).otherwise(F.lit("")))
+        reach = prefix_most(F.transform(s, lambda x: x["end"]))
+        between = lambda a, b: F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int"))
+        pieces = F.zip_with(s, reach, lambda x, r: F.when(x["start"] >= r, F.concat(between(r, x["start"]), F.lit(mark))).otherwise(F.lit("")))
         last = F.array_max(F.transform(s, lambda x: x["end"]))
-        return F.concat(F.array_join(pieces, ""), F.substring(F.col("__text"), (last + 1).cast("int"), F.length("__text")))
+        return F.concat(F.array_join(pieces, ""), between(last, F.length("__text")))
 
     new = F.when(F.size("__spans") > 0, let(F.col("__spans"), cut)).otherwise(F.col(text))
-    return found.select(*(new.alias(text) if c == text else F.col(c) for c in df.columns))
+    got = found.withColumn("__new", new)
+    return got.select(*(F.col("__new").alias(c) if c == text else F.when(F.size("__spans") > 0, F.length("__new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in df.columns))
