@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 from .components import components
+from .word_hash import mixed, word_hashes
 
 #: Words in a shingle; likeness of a link, as a share of SCALE.
 WORDS, SHARE, SCALE = 5, 75, 100
@@ -27,39 +28,15 @@ CHUNK_BYTES, CHUNK_DOCS, MEMBERS = 4 << 20, 4096, 256
 #: Bytes of text to a bucket of tokens, about, and the bits of a token below its bucket.
 BUCKET_BYTES, TAIL = 4 << 20, 40
 
-_random = np.random.default_rng(20240229)
-_BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
-_PLACE = _random.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads each bit of 64-bit numbers over all."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+_PLACE = np.random.default_rng(20240301).integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document index, shingle hash), distinct, by document then hash; words by ASCII white space, A-Z lowered."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    blank = _BLANK[data]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    if not len(starts):
-        return none
-    inside = np.flatnonzero(~blank)
-    firsts = np.flatnonzero(np.diff(inside, prepend=-2) > 1)
-    lengths = np.diff(np.append(firsts, len(inside)))
-    place = np.arange(len(inside)) - np.repeat(firsts, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-    word = _mixed(np.add.reduceat(_BYTE[data[inside]] * powers[place], firsts) + lengths.astype(np.uint64))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.searchsorted(ends, starts, side="right")
+    doc, word = word_hashes(texts)
+    if not len(doc):
+        return doc, word
     n = np.bincount(doc, minlength=len(texts))
     at = np.flatnonzero(doc[: len(doc) - WORDS + 1] == doc[WORDS - 1 :]) if len(doc) >= WORDS else np.zeros(0, np.int64)
     total = np.zeros(len(at), np.uint64)
@@ -71,7 +48,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(WORDS - 1):
         has = n[short] > k
         whole[has] += word[first_word[short[has]] + k] * _PLACE[k]
-    docs, hashes = np.concatenate([doc[at], short]), _mixed(np.concatenate([total, whole]))
+    docs, hashes = np.concatenate([doc[at], short]), mixed(np.concatenate([total, whole]))
     by = np.argsort(hashes)
     by = by[np.argsort(docs[by].astype(np.uint16), kind="stable")] if len(texts) <= 1 << 16 else np.lexsort((hashes, docs))
     docs, hashes = docs[by], hashes[by]
@@ -112,7 +89,7 @@ def _deal(bits: int):
             keys = np.zeros((len(texts), 2), np.uint64)
             if some.any():
                 keys[some, 0] = np.add.reduceat(hashes, edge[some])
-                keys[some, 1] = np.add.reduceat(_mixed(hashes ^ _BASE), edge[some])
+                keys[some, 1] = np.add.reduceat(mixed(hashes ^ _SALT), edge[some])
             bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             tail = (hashes >> np.uint64(64 - bits - TAIL)) & np.uint64((1 << TAIL) - 1)
             by = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
@@ -205,7 +182,7 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
     for d in np.flatnonzero(good):
         own = tokens[ends[d] : ends[d + 1]]
         blobs[d] = own.astype("<u8").tobytes()
-        least[d] = int(_mixed(own).min().astype(np.int64))
+        least[d] = int(mixed(own).min().astype(np.int64))
         first[d] = int(len(own) - need[d] + 1)
     return pa.table([pa.array(ids, pa.int64(), mask=null), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(blobs, pa.binary()), pa.array(least, pa.int64()), pa.array(first, pa.int32())], names=["doc_id", "n", "key_a", "key_b", "tokens", "least", "n_first"])
 
