@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_files
+from . import fingerprint, html_text, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, token_files
 from .common import documents
 
 
@@ -42,6 +42,12 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.takes(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    found = substring_dedup.repeats(documents(spark, sf_dir, "doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_html_extraction(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -69,6 +75,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
     "op7_quality_rules": op7_quality_rules,
