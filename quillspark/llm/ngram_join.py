@@ -234,13 +234,15 @@ def _open(key: tuple, table: pa.Table) -> pa.Table:
     """Links of a block of a group (side 0) with itself and a block of visitors or the group's hub (side 1).
 
     The block's token union bounds a visitor's overlap first. Returned are a
-    spanning forest, as stars around least documents of the block, and for a
-    hub's task which of the block's documents its main class does not reach.
+    spanning forest, as stars around least documents of the block, and, for the
+    tasks with the hub of a group of more than one block (`mode` 2), which of
+    the block's documents the hub's main class does not reach.
     """
     rows = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
     side, ids, n = rows["side"].to_numpy(), rows["doc_id"].to_numpy(), rows["n"].to_numpy()
     sets = [np.frombuffer(x.as_py(), "<u8") for x in rows["tokens"]]
-    hub = bool(rows["hub"][0].as_py())
+    mode = rows["mode"][0].as_py()
+    hub = mode > 0
     own = np.flatnonzero(side == 0)
     other = np.flatnonzero(side == 1)
     if len(other) and len(own) and not hub:
@@ -268,8 +270,9 @@ def _open(key: tuple, table: pa.Table) -> pa.Table:
     root = _roots(len(order), pairs)
     mine = np.ones(len(order), bool)
     outside: list[int] = []
-    if hub and len(other):
-        main = np.bincount(_roots(len(other), pairs[(pairs < len(other)).all(1)])).argmax()
+    if mode == 2:
+        n_hub = len(other) or n_own
+        main = np.bincount(_roots(n_hub, pairs[(pairs < n_hub).all(1)])).argmax()
         reached = root == root[main]
         mine[: len(other)] = False
         outside = ids[len(other) :][~reached[len(other) :]].tolist()
@@ -322,14 +325,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     n_blocks = F.ceil(F.col("m") / MEMBERS)
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks)).withColumn("blocks", n_blocks).checkpoint()
 
-    def row(frame: DataFrame, group, block, visit, side: int, hub: bool) -> DataFrame:
-        return frame.select(group.alias("g"), block.cast("long").alias("i"), visit.cast("long").alias("j"), F.lit(side).alias("side"), "doc_id", "n", "tokens", F.lit(hub).alias("hub"))
+    def row(frame: DataFrame, group, block, visit, side: int, mode) -> DataFrame:
+        return frame.select(group.alias("g"), block.cast("long").alias("i"), visit.cast("long").alias("j"), F.lit(side).alias("side"), "doc_id", "n", "tokens", mode.alias("mode"))
 
     # first each block with the hub, block 0 of its group
     g, none = F.col("least"), F.lit(-1)
-    first = row(members.where("m > 1"), g, F.col("block"), none, 0, True)
+    first = row(members.where("m > 1"), g, F.col("block"), none, 0, F.when(F.col("blocks") > 1, 2).otherwise(1))
     hubs = members.where("blocks > 1 and block = 0").withColumn("to", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
-    first = first.unionByName(row(hubs, g, F.col("to"), none, 1, True))
+    first = first.unionByName(row(hubs, g, F.col("to"), none, 1, F.lit(2)))
     opened = first.groupBy("g", "i", "j").applyInArrow(_open, _LINKS).checkpoint()
     late = opened.where("outside").select(F.col("a").alias("doc_id"))
 
@@ -343,7 +346,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     guests = visitors.groupBy("g", "g_blocks").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     seated = visitors.join(guests.drop("g_blocks"), "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g_blocks") - 1)))
     hosts = members.join(guests.select(F.col("g").alias("least"), "parts"), "least").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    second = row(hosts, g, F.col("block"), F.col("part"), 0, False).unionByName(row(seated, F.col("g"), F.col("to"), F.col("part"), 1, False))
+    second = row(hosts, g, F.col("block"), F.col("part"), 0, F.lit(0)).unionByName(row(seated, F.col("g"), F.col("to"), F.col("part"), 1, F.lit(0)))
     met = second.groupBy("g", "i", "j").applyInArrow(_open, _LINKS)
 
     links = opened.where("not outside").select("a", "b").unionByName(met.select("a", "b"))
