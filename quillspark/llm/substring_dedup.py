@@ -153,7 +153,9 @@ def _rows(chunk: int, hashes: np.ndarray, ids: np.ndarray, bits: int) -> list[tu
     for b in np.flatnonzero(np.diff(ends)):
         own = slice(ends[b], ends[b + 1])
         i = ids[own]
-        out.append((int(b), chunk, tails[own].tobytes(), zlib.compress((i - i.min()).astype("<u8").tobytes() if i.max() - i.min() >= 1 << 32 else (i - i.min()).astype("<u4").tobytes(), 1), int(i.min()), len(i)))
+        base = int(i.min())
+        wide = "<u8" if int(i.max()) - base >= 1 << 32 else "<u4"
+        out.append((int(b), chunk, tails[own].tobytes(), zlib.compress((i - base).astype(wide).tobytes(), 1), base, len(i)))
     return out
 
 
