@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 from .fingerprint import RANGES, _range_of
+from .word_hash import _BASE, _BYTE, mixed
 
 #: Longest code, tokens to a block, id that ends a document.
 LONGEST, BLOCK, END = 20, 256, 2
@@ -80,8 +81,10 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
-    """(id << 5 | length for every string of `top` bits, top)."""
+@functools.lru_cache(4)
+def decode_table(raw: bytes) -> tuple[np.ndarray, int]:
+    """(id << 5 | length for every string of `top` bits, top) of the code lengths of all ids."""
+    lengths = np.frombuffer(raw, np.uint8)
     top = max(1, int(lengths.max(initial=0)))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
@@ -107,7 +110,7 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray) -> np.
     """The ids, all blocks decoded side by side."""
     out = np.zeros((len(offsets), BLOCK), np.uint32)
     if n:
-        table, top = decode_table(lengths)
+        table, top = decode_table(lengths.tobytes())
         raw = np.frombuffer(bits + b"\0" * (-len(bits) % 4 + 8), ">u4").astype(np.uint64)
         wide = raw[:-1] << np.uint64(32) | raw[1:]
         at, last = offsets.astype(np.int64), len(wide) - 1
@@ -141,60 +144,167 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # -------------------------------------------------------------- tokenizing
 
-class WordTokenizer:
-    """Ids of texts by way of their distinct white-space-separated words.
-
-    Right for tokenizers that drop white space and treat words alike wherever
-    they stand; each distinct word goes to the library once per worker.
+#: Classes of bytes: white space, letter, digit, other ASCII, and what the library has to see in its whole word.
+_BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_CLASS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = _LETTER
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[ord("'")] = _ODD
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+class PieceTokenizer:
+    """Ids of texts by way of their distinct pieces: runs of letters, digits, runs of other characters.
+
+    Right for tokenizers that lower case, drop white space, split these pieces
+    and mark the last token of each: word_bpe_49k is one. The library encodes
+    each distinct piece once while there is room to keep it; words with
+    characters other than ASCII and Latin-1 letters, with an apostrophe or the
+    mark of a special token it sees whole. Pieces are kept by a 64-bit hash.
     """
 
-    KEEP = 1_000_000
+    SLOTS = 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used, self.starts = np.zeros(1 << 16, np.uint32), 0, [0]
-
-    def learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 4000):
-            got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new[i : i + 4000]], add_special_tokens=False)]
-            flat = np.array([x for ids in got for x in ids], np.uint32)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            base = len(self.starts) - 1
-            self.known.update((w, base + k) for k, w in enumerate(new[i : i + 4000]))
-            self.starts.extend((self.used + np.cumsum([len(ids) for ids in got])).tolist())
-            self.used += len(flat)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > self.KEEP:
-            self.forget()
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
-            self.learn(new)
-            known = self.known
-        starts = np.array(self.starts, np.int64)
-        code = np.fromiter((known[w] for ws in split for w in ws), np.int64)
-        lo, n = starts[code], starts[code + 1] - starts[code]
-        ends = np.cumsum(n)
-        flat = self.flat[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(ws) for ws in split])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        vocab = self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.keys, self.codes, self.held = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), 0
+        self.flat, self.starts, self.n, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.int64), 0, 0
+
+    def _look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each hash, -1 if it isn't kept."""
+        at = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            key = self.keys[at[left]]
+            hit = key == hashes[left]
+            out[left[hit]] = self.codes[at[left[hit]]]
+            left = left[~hit & (key != 0)]
+            at[left] = (at[left] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _keep(self, hashes: np.ndarray, first: int) -> None:
+        """Codes from `first` on for distinct new hashes."""
+        at = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = self.keys[at[left]] == 0
+            _, one = np.unique(at[left[free]], return_index=True)
+            put = left[free][one]
+            self.keys[at[put]], self.codes[at[put]] = hashes[put], first + put
+            done = np.zeros(len(hashes), bool)
+            done[put] = True
+            left = left[~done[left]]
+            at[left] = (at[left] + 1) & (self.SLOTS - 1)
+        self.held += len(hashes)
+
+    def _encode(self, plain: list[bytes], odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of plain pieces, then odd words."""
+        one_by_one = lambda ps: [e.ids for e in self.library.encode_batch_fast([p.decode() for p in ps], add_special_tokens=False)]
+        ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if plain:
+            ids = np.array(self.library.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            n = np.diff(ends, prepend=0)
+            if len(ends) != len(plain) or ends[-1] != len(ids):  # not the kind of tokenizer that joining is right for
+                got = one_by_one(plain)
+                ids, n = np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got])
+        if odd:
+            got = one_by_one(odd)
+            ids, n = np.concatenate([ids, np.array([i for g in got for i in g], np.uint32)]), np.concatenate([n, [len(g) for g in got]])
+        return ids, n
+
+    def _grow(self, ids: int, codes: int) -> None:
+        if self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(ids, len(self.flat)), np.uint32)])
+        if self.n + codes + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(codes + 1, len(self.starts)), np.int64)])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text's ids)."""
+        joined = b" ".join(texts) + b" "
+        raw = np.frombuffer(joined, np.uint8)
+        kind = _CLASS[raw]
+        low = _LOWER[raw]
+        # two-byte Latin-1 letters
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        after = raw[lead + 1]
+        good = (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        lead, after = lead[good], after[good]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead + 1] = np.where(after <= 0x9E, after | 0x20, after)
+        special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+        kind[special] = _ODD
+        before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+        inside = kind != _BLANK
+        word_start = np.flatnonzero(inside & (before == _BLANK))
+        start = inside & ((kind != before) | (kind == _DIGIT))
+        odd = np.flatnonzero(kind == _ODD)
+        odd_piece = np.zeros(len(raw), bool)
+        if len(odd):
+            words = np.unique(np.searchsorted(word_start, odd, side="right") - 1)
+            blank = np.flatnonzero(~inside)
+            lo = word_start[words]
+            hi = blank[np.searchsorted(blank, lo)]
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[lo] += 1
+            step[hi] -= 1
+            whole = np.cumsum(step[:-1]).astype(bool)
+            start[whole] = False
+            start[lo] = True
+            low[whole] = raw[whole]
+            odd_piece[lo] = True
+        starts = np.flatnonzero(start)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        at = np.flatnonzero(inside)
+        first = np.searchsorted(at, starts)
+        lengths = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at), dtype=np.int64) - np.repeat(first, lengths)
+        powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
+        hashes = mixed(np.add.reduceat(_BYTE[low[at]] * powers[place], first) + lengths.astype(np.uint64) + np.where(odd_piece[starts], np.uint64(7), np.uint64(0)))
+        hashes[hashes == 0] = np.uint64(1)
+        code = self._look_up(hashes)
+        missing = np.flatnonzero(code < 0)
+        n, used = self.n, self.used
+        if len(missing):
+            new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            rep = missing[where]
+            is_odd = odd_piece[starts[rep]]
+            order = np.argsort(is_odd, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            text = low.tobytes()
+            cut = [text[a:b] for a, b in zip(starts[rep[order]].tolist(), (starts[rep[order]] + lengths[rep[order]]).tolist(), strict=True)]
+            n_plain = int((~is_odd).sum())
+            ids, count = self._encode(cut[:n_plain], cut[n_plain:])
+            self._grow(len(ids), len(count))
+            self.flat[used : used + len(ids)] = ids
+            self.starts[n + 1 : n + 1 + len(count)] = used + np.cumsum(count)
+            code[missing] = n + rank[back]
+            if self.held + len(new) < self.SLOTS // 2:
+                self._keep(new[order], n)
+                self.n, self.used = n + len(count), used + len(ids)
+        lo, size = self.starts[code], self.starts[code + 1] - self.starts[code]
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(lo - (ends - size), size) + np.arange(ends[-1])]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        return out, np.concatenate([[0], ends])[np.searchsorted(starts, text_ends)]
 
 
 @functools.cache
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that its words outlast a task."""
-    return WordTokenizer(path)
+def _tokenizer(path: str) -> PieceTokenizer:
+    """One for each worker process, so that its pieces outlast a task."""
+    return PieceTokenizer(path)
 
 
 def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) -> DataFrame:
@@ -211,8 +321,12 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) ->
                 while to < len(texts) and (size == 0 or size < 4 << 20):
                     size += len(texts[to] or b"")
                     to += 1
-                got = [np.append(ids, np.uint32(end)) for ids in tokenizer.encode([t or b"" for t in texts[at:to]])]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array([len(g) for g in got], pa.int64()), pa.array([g.astype(wide).tobytes() for g in got], pa.binary())], names=["key", "n", "ids"])
+                ids, ends = tokenizer.encode([t or b"" for t in texts[at:to]])
+                ids = np.insert(ids, ends, end).astype(wide).tobytes()
+                n = np.diff(ends, prepend=0) + 1
+                size, edges = int(wide[2]), np.cumsum(n)
+                blobs = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(np.concatenate([[0], edges * size]).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array(n, pa.int64()), blobs], names=["key", "n", "ids"])
                 at = to
 
     return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, ids binary")
@@ -242,11 +356,10 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for b in batch.column(0):
-                got = np.bincount(np.frombuffer(b.as_py(), wide), minlength=len(seen))
-                if len(got) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(got) - len(seen), np.int64)])
-                seen += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), wide), minlength=len(seen))
+            if len(got) > len(seen):
+                seen = np.concatenate([seen, np.zeros(len(got) - len(seen), np.int64)])
+            seen += got
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["id", "n"])
 
