@@ -28,7 +28,7 @@ from .word_hash import mixed
 LENGTH, K = 100, 36
 REACH = LENGTH - K + 1
 #: Bytes and documents to a chunk; bytes of text to a bucket of hashes.
-CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 4 << 20, 4096, 4 << 20
+CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 2 << 20, 4096, 4 << 20
 TAIL = 5
 
 _random = np.random.default_rng(8)
@@ -37,37 +37,49 @@ _SPAN = _random.integers(0, 1 << 64, 4, dtype=np.uint64) | np.uint64(1)
 NULL_KEY = -(2**63)
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+_POWER = {n: np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4, 8, 16, 32, 64)}
+#: Places to a block of the scan: its arrays stay in a core's cache.
+BLOCK = 1 << 16
 
 
-class Hashes:
-    """Rolling hashes of a chunk's bytes, by doubling."""
-
-    def __init__(self, data: np.ndarray):
-        self.n = len(data)
-        self.by = {1: _BYTE[data]}
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Orders rolling hashes at random, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
 
-    def power_of_two(self, size: int) -> np.ndarray:
-        if size not in self.by:
-            h = self.power_of_two(size // 2)
-            half = size // 2
-            self.by[size] = h[: len(h) - half] * _power(half) + h[half:] if len(h) > half else h[:0]
-        return self.by[size]
 
-    def of(self, size: int) -> np.ndarray:
-        """The hash of the `size` bytes at each place."""
-        out, done = None, 0
+def _rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """The hash of the `size` bytes at each place, by doubling, for each of the sizes."""
+    by = {1: _BYTE[data]}
+    top = 1 << (max(sizes).bit_length() - 1)
+    n = 1
+    while n < top:
+        h = by[n]
+        by[2 * n] = h[: max(0, len(h) - n)] * _POWER[n] + h[n:] if len(h) > n else h[:0]
+        n *= 2
+    out = []
+    for size in sizes:
+        got, done = None, 0
         for bit in (1 << i for i in range(size.bit_length() - 1, -1, -1)):
             if size & bit:
-                h = self.power_of_two(bit)[done:]
-                if out is None:
-                    out = h
+                h = by[bit][done:]
+                if got is None:
+                    got = h
                 else:
-                    n = min(len(out), len(h))
-                    out = out[:n] * _power(bit) + h[:n]
+                    m = min(len(got), len(h))
+                    got = got[:m] * _POWER[bit] + h[:m]
                 done += bit
-        return mixed(out)
+        out.append(got)
+    return out
+
+
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """The unmixed hash of every LENGTH bytes."""
+    out = np.zeros(max(0, len(data) - LENGTH + 1), np.uint64)
+    for a in range(0, len(out), BLOCK):
+        out[a : a + BLOCK] = _rolling(data[a : a + BLOCK + LENGTH - 1], LENGTH)[0]
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -89,32 +101,49 @@ class Chunk:
         self.ends = np.cumsum(self.lengths)
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.size = len(data)
-        self.hash = Hashes(data)
         self.anchors = np.zeros(0, np.int64)
         self.spans = np.zeros((0, 2), np.int64)
         self.span_hash = self.anchor_hash = np.zeros(0, np.uint64)
         self.windows = max(0, self.size - LENGTH + 1)
         if not self.windows:
             return
-        short = self.hash.of(K)
-        end_of = np.repeat(self.ends, self.lengths)
-        self.valid = np.arange(self.windows) + LENGTH <= end_of[: self.windows]
-        least = _sliding(short, REACH, np.minimum)
-        least = np.where(self.valid, least[: self.windows], np.uint64(0))
-        self.least = least
-        most = _sliding(np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)]), REACH, np.maximum)
-        n = min(len(short), len(most))
-        self.anchors = p = np.flatnonzero((most[:n] == short[:n]) & (most[:n] > 0))
-        self.anchor_hash = short[p]
-        self.whole = self.hash.of(LENGTH)
+        # windows that run over a document's end are none
+        self.valid = valid = np.ones(self.windows, bool)
+        for e in self.ends.tolist():
+            valid[max(0, e - LENGTH + 1) : e] = False
+        self.least, self.whole = np.zeros(self.windows, np.uint64), np.zeros(self.windows, np.uint64)
+        places, hashes = [], []
+        for a in range(0, self.size, BLOCK):
+            lo, hi = max(0, a - REACH + 1), min(self.size, a + BLOCK + LENGTH)
+            if hi - lo < LENGTH:
+                break
+            short, whole = _rolling(data[lo:hi], K, LENGTH)
+            short = _spread(short)
+            least = _sliding(short, REACH, np.minimum)
+            on = valid[lo : lo + len(least)]
+            least = np.where(on, least[: len(on)], np.uint64(0))
+            own = slice(a - lo, a - lo + BLOCK)
+            self.least[a : a + BLOCK] = least[own]
+            self.whole[a : a + BLOCK] = whole[own]
+            # an anchor is the least of some window that starts up to REACH - 1 before it
+            padded = np.concatenate([np.zeros(REACH - 1 - (a - lo), np.uint64), least, np.zeros(REACH - 1, np.uint64)])
+            most = _sliding(padded, REACH, np.maximum)
+            here = short[own]
+            n = min(len(here), len(most))
+            p = np.flatnonzero((most[:n] == here[:n]) & (most[:n] > 0))
+            places.append(p + a)
+            hashes.append(here[p])
+        self.anchors = p = np.concatenate(places) if places else self.anchors
+        self.anchor_hash = mixed(np.concatenate(hashes)) if hashes else self.anchor_hash
+        self.anchor_raw = np.concatenate(hashes) if hashes else self.anchor_hash
         if len(p) < 2:
             return
         # from an anchor to the end of an anchor that takes in every window starting before the next one
         j = np.searchsorted(p, p[1:] + (LENGTH - K - 1))
         i = np.flatnonzero(j < len(p))
         start, end = p[i], p[j[i]] + K
-        long_enough = np.maximum(start + LENGTH, end)
-        good = (long_enough == end) & (end <= end_of[start]) & (end - start <= 3 * LENGTH)
+        end_of = self.ends[np.searchsorted(self.ends, start, side="right")]
+        good = (end >= start + LENGTH) & (end <= end_of) & (end - start <= 3 * LENGTH)
         start, end = start[good], end[good]
         self.spans = np.stack([start, end], 1)
         self.span_hash = mixed(self.whole[start] * _SPAN[0] + self.whole[np.minimum(start + LENGTH, end - LENGTH)] * _SPAN[1] + self.whole[end - LENGTH] * _SPAN[2] + (end - start).astype(np.uint64) * _SPAN[3])
@@ -132,7 +161,7 @@ class Chunk:
         """Starts of the windows whose anchor is repeated, but for those inside a span that occurs earlier."""
         if not self.windows or not repeated.any():
             return np.zeros(0, np.int64)
-        known, at = np.unique(self.anchor_hash, return_index=True)
+        known, at = np.unique(self.anchor_raw, return_index=True)
         edge = np.flatnonzero(np.diff(self.least, prepend=self.least[0] ^ np.uint64(1)))
         value = self.least[edge]
         found = np.minimum(np.searchsorted(known, value), len(known) - 1)
@@ -145,17 +174,34 @@ class Chunk:
         return np.flatnonzero(mask & self.valid & (np.cumsum(step[:-1]) == 0))
 
 
+def _order(hashes: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
+    """By bucket, then place in the chunk: ids then ascend in a bucket and take little room."""
+    by = np.argsort(places, kind="stable")
+    return by[np.argsort((hashes[by] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64), kind="stable")]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All low bytes, then all next bytes, and so on: small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T)
+    return x.view("<u2" if x.shape[1] == 2 else "<i8").ravel().astype(np.int64)
+
+
 def _rows(chunk: int, hashes: np.ndarray, ids: np.ndarray, bits: int) -> list[tuple]:
-    """A row for each bucket of ascending hashes."""
+    """A row for each bucket of hashes in the order of _order()."""
     ends = np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
     tails = np.ascontiguousarray(((hashes >> np.uint64(64 - bits - 8 * TAIL)) & np.uint64((1 << 8 * TAIL) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAIL])
     out = []
     for b in np.flatnonzero(np.diff(ends)):
         own = slice(ends[b], ends[b + 1])
+        # the first id is the least; the rest as steps
         i = ids[own]
-        base = int(i.min())
-        wide = "<u8" if int(i.max()) - base >= 1 << 32 else "<u4"
-        out.append((int(b), chunk, tails[own].tobytes(), zlib.compress((i - base).astype(wide).tobytes(), 1), base, len(i)))
+        steps = np.diff(i, prepend=i[0])
+        wide = "<u2" if steps.max() < 1 << 16 and steps.min() >= 0 else "<i8"
+        out.append((int(b), chunk, tails[own].tobytes(), zlib.compress(_planes(steps.astype(wide)), 1), int(i[0]), len(i)))
     return out
 
 
@@ -197,14 +243,15 @@ def _deal(bits: int):
             c = Chunk(ids, texts)
             hashes, first, _, _ = c.first_round()
             if len(hashes):
-                yield from _batch(_rows(number, hashes, c.ids_at(first), bits)).to_batches()
+                by = _order(hashes, first, bits)
+                yield from _batch(_rows(number, hashes[by], c.ids_at(first[by]), bits)).to_batches()
 
     return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's documents in one compressed row."""
-    codec = pa.Codec("zstd", 1)
+    codec = pa.Codec("zstd", 3)
     for number, ids, texts in _chunks(batches):
         raw = pickle.dumps((ids, texts))
         yield from _batch([(-1, number, codec.compress(raw, asbytes=True), b"", 0, len(raw))]).to_batches()
@@ -222,7 +269,7 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
         t[:, :TAIL] = np.frombuffer(r["tails"], np.uint8).reshape(-1, TAIL)
         tails.append(t.view("<u8").ravel())
         raw = zlib.decompress(r["ids"])
-        ids.append(np.frombuffer(raw, "<u4" if len(raw) == 4 * r["n"] else "<u8").astype(np.int64) + r["base"])
+        ids.append(np.cumsum(_from_planes(raw, r["n"])) + r["base"])
         chunks.append(np.full(r["n"], r["chunk"], np.int64))
     sizes = [len(t) for t in tails]
     tail = np.concatenate(tails)
@@ -243,13 +290,19 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     return _batch(out)
 
 
-def _replies(rows: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits for a chunk's ascending hashes."""
+def _replies(rows: list[dict], by: np.ndarray) -> list[np.ndarray]:
+    """The bits for a chunk's hashes, which were sent in the order `by`."""
+    n = len(by)
     found = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
     if sum(r["n"] for r in found) != n:
         raise RuntimeError("the table was read in another order the second time; write it to files first")
     bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in found]).astype(bool) if found else np.zeros(0, bool)
-    return bits("tails"), bits("ids")
+    out = []
+    for c in ("tails", "ids"):
+        back = np.zeros(n, bool)
+        back[by] = bits(c)
+        out.append(back)
+    return out
 
 
 def _result(c_ids, c_texts, spans_of) -> list[tuple]:
@@ -270,11 +323,11 @@ def _second(bits: int):
         """The windows to look up, and the chunk's state: results of documents without any, the texts of the others."""
         rows = table.to_pylist()
         state = next(r for r in rows if r["bucket"] == -1)
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 3)
         ids, texts = pickle.loads(codec.decompress(state["tails"], state["n"], asbytes=True))
         c = Chunk(ids, texts)
-        hashes, _, back, counts = c.first_round()
-        elsewhere, before = _replies(rows, len(hashes))
+        hashes, place, back, counts = c.first_round()
+        elsewhere, before = _replies(rows, _order(hashes, place, bits))
         n = len(c.anchors)
         again = np.ones(len(back), bool)  # not the first of its hash in the chunk
         again[np.unique(back, return_index=True)[1]] = False
@@ -289,17 +342,17 @@ def _second(bits: int):
         done = _result(ids[~pending], [texts[k] for k in np.flatnonzero(~pending)], lambda k: [])
         out: list[tuple] = []
         if pending.any():
-            h = np.zeros(0, np.uint64)
             if len(windows):
-                h, first = np.unique(c.whole[windows], return_index=True)
-                out = _rows(key[0].as_py(), h, c.ids_at(windows[first]), bits)
+                h, first = np.unique(mixed(c.whole[windows]), return_index=True)
+                by = _order(h, first, bits)
+                out = _rows(key[0].as_py(), h[by], c.ids_at(windows[first[by]]), bits)
             # places in the run of the pending texts alone
             shift = np.cumsum(np.where(pending, 0, c.lengths))
             moved = windows - shift[owner] if len(windows) else windows
             ready_moved = ready - shift[np.searchsorted(c.ends, ready[:, 0], side="right")][:, None]
             edge = np.flatnonzero(np.diff(moved, prepend=-5) != 1) if len(moved) else np.zeros(0, np.int64)
             runs = np.stack([moved[edge], np.diff(np.append(edge, len(moved)))], 1) if len(moved) else np.zeros((0, 2), np.int64)
-            left = (ids[pending], [texts[k] for k in np.flatnonzero(pending)], runs.astype("<i4"), ready_moved.astype("<i4"), len(h))
+            left = (ids[pending], [texts[k] for k in np.flatnonzero(pending)], runs.astype("<i4"), ready_moved.astype("<i4"), bits)
         else:
             left = None
         raw = pickle.dumps((done, left))
@@ -317,17 +370,17 @@ def _last(key: tuple, table: pa.Table) -> pa.Table:
     state = next(r for r in rows if r["bucket"] < 0)
     done, left = pickle.loads(pa.Codec("zstd", 1).decompress(state["tails"], state["n"], asbytes=True))
     if left:
-        ids, texts, runs, ready, n = left
+        ids, texts, runs, ready, bits = left
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(texts), np.uint8)
         step = np.zeros(len(data) + 1, np.int32)
         np.add.at(step, ready[:, 0], 1)
         np.add.at(step, ready[:, 1], -1)
-        if n:
+        if len(runs):
             windows = np.repeat(runs[:, 0].astype(np.int64) - (np.cumsum(runs[:, 1]) - runs[:, 1]), runs[:, 1]) + np.arange(runs[:, 1].sum())
-            _, first, back = np.unique(Hashes(data).of(LENGTH)[windows], return_index=True, return_inverse=True)
-            _, before = _replies(rows, n)
+            h, first, back = np.unique(mixed(window_hashes(data)[windows]), return_index=True, return_inverse=True)
+            _, before = _replies(rows, _order(h, first, bits))
             again = np.ones(len(windows), bool)
             again[first] = False
             hit = windows[before[back] | again]
