@@ -156,9 +156,9 @@ def normalize_tuples(raw: DataFrame) -> DataFrame:
 
 
 def project(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors, routes, folding and collapse in one."""
-    macro = anchors(nodes, edges)
-    return collapse(*fold_auxiliary(macro, route(nodes, edges)))
+    """Anchors, routes, folding and collapse in one; each step's small tables are written once to the shared folder."""
+    macro, ways = fold_auxiliary(anchors(nodes, edges).checkpoint(), route(nodes, edges).checkpoint())
+    return collapse(macro.checkpoint(), ways.checkpoint())
 
 
 def write_tuples(found: DataFrame, path: str) -> None:

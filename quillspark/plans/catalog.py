@@ -24,6 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _checkpoints(df) -> None:
+    from ..operators.shared import checkpoints
+
+    checkpoints(df.sparkSession)
+
+
 def on_graph(name: str, make, sql: str | None = None) -> None:
     """A query of make(nodes, edges)."""
     f = lambda spark, sf_dir: make(*B.graph(spark, sf_dir))
@@ -207,7 +213,7 @@ on_graph(
     f"{_MACRO} select nb_id, '<D, D>' as tuple_type, src as subject_id, dst as object_id from me where ta = 2 and tb = 2 union select nb_id, '<M, D>', dst, src from me where ta = 2 and tb = 4 union select nb_id, '<M, D>', src, dst from me where ta = 4 and tb = 2 union select nb_id, '<D, Empty>', node_id, 'Empty' from m where t = 2 and not exists (select 1 from me where me.nb_id = m.nb_id and me.src = m.node_id)",
 )
 on_graph("lineage_routes", lambda n, e: lineage.route(n.withColumn("node_type", F.coalesce("domain_type", "struct_type")), e).select("nb_id", "src", "dst", F.array_join("operations", "|").alias("operations"), "predicted_label"))
-on_graph("lineage_project", lambda n, e: lineage.project(n.withColumn("node_type", F.coalesce("domain_type", "struct_type")), e)[0].select("nb_id", "node_id", "node_type", F.size("transform_history").alias("n_steps"), F.size("occurrences").alias("n_occurrences")))
+on_graph("lineage_project", lambda n, e: _checkpoints(n) or lineage.project(n.withColumn("node_type", F.coalesce("domain_type", "struct_type")), e)[0].select("nb_id", "node_id", "node_type", F.size("transform_history").alias("n_steps"), F.size("occurrences").alias("n_occurrences")))
 on_graph("lineage_gold_tuples", lambda n, e: lineage.gold_tuples(n, e.withColumn("label", F.col("predicted_label"))))
 
 
@@ -359,3 +365,41 @@ def mining_top_missing(spark, sf_dir):
     part = B.table(spark, sf_dir, "part")
     calls = B.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"))
     return mining.top_missing(calls, part.where("p_size < 40").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api")))
+
+# ------------------------------------------------------------ seeded programs
+
+
+@query()
+def ir_seeded_leakage(spark, sf_dir):
+    """Detected classes of the seeded programs, parsed anew: (nb_id, leakage_class)."""
+    from ..ir import build, programs
+    from ..operators.shared import checkpoints
+
+    checkpoints(spark)
+    corpus = spark.createDataFrame(programs.corpus(2), "nb_id string, cell_id string, document_index int, source string, defect string")
+    records = build.parse(corpus).checkpoint()
+    nodes = build.nodes(records).withColumn("node_type", F.col("struct_type"))
+    return leakage.findings(nodes, build.edges(records)).select("nb_id", "leakage_class").distinct()
+
+
+@query()
+def ir_nodes(spark, sf_dir):
+    from ..ir import build, programs
+
+    corpus = spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string")
+    return build.nodes(build.parse(corpus)).groupBy("nb_id", "struct_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def ir_symbols(spark, sf_dir):
+    from ..ir import build, programs
+
+    corpus = spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string")
+    return build.symbols(corpus)[0]
+
+
+@query()
+def ir_complexity(spark, sf_dir):
+    from ..ir import programs
+
+    return mining.complexity(spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string"))
