@@ -80,4 +80,37 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op7_quality_rules": op7_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Exact components of the links, by the pairs that share a shingle; for tables of some thousand documents.
+_OP3 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.b as component_id from documents d left join n using (doc_id) join (select a, min(b) as b from r group by 1) m on m.a = d.doc_id"""
+
+
+def _op7() -> str:
+    least = {
+        "words": "n_words", "repeat_word_ratio": "n_repeat_words / n_words", "mean_word_length": "word_chars / n_words", "symbol_word_ratio": "n_symbols / n_words", "stop_words": "stops",
+        "dup_line_ratio": "n_dup_lines / n_lines", "upper_ratio": "upper / word_chars", "bang_word_ratio": "bangs / n_words", "run_word_ratio": "runs / n_words",
+    }
+    rules = [f"coalesce({least[name]}, 0) {op} {bound}" for name, low, high in quality_rules.THRESHOLDS for op, bound in ((">=", low), ("<=", high)) if bound is not None]
+    stops = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+g as (select doc_id, i, count(*) over (partition by doc_id, g) as c from (select doc_id, i, array_to_string(w[i : i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) > 8))),
+v as (select doc_id, sum(least(8, coalesce(nx - i, 8))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nx from g where c > 1) group by 1),
+m as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, cast(coalesce(v.n, 0) as bigint) as n_repeat_words, len(l) as n_lines,
+  len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [{stops}])) as stops, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) as upper, len(list_filter(w, lambda x: x like '%!!')) as bangs, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as runs
+  from d left join v using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(rules)} as kept from b"""
+
+
+#: The other operators rest on hashes, codes, models or byte runs that SQL can't follow; tests/llm has their plain versions.
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op7_quality_rules": _op7()}
