@@ -76,11 +76,22 @@ def _map(cells: DataFrame, fields: str, of):
     return cells.select("nb_id", "cell_id", sanitize(F.col("source")).alias("source")).mapInArrow(run, f"nb_id {kind}, cell_id string, {fields}")
 
 
-def symbols(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(defs, uses, (nb_id, cell_id, parse_error))."""
-    defs = _map(cells, "name string, kind string, lineno int", lambda s: [(n, k, line) for n, (k, line) in Symbols(s).defs.items()])
-    uses = _map(cells, "name string, lineno int, deferred boolean, via string", lambda s: [(n, *u) for n, u in Symbols(s).uses.items()])
-    return defs, uses, _map(cells, "parse_error boolean", lambda s: [(Symbols(s).parse_error,)])
+def symbols(cells: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(defs, uses, (nb_id, cell_id, parse_error)) from one pass over the cells; `keep` writes it once to the shared folder."""
+
+    def of(source: str):
+        s = Symbols(source)
+        rows = [("cell", None, "bad" if s.parse_error else "good", None, None, None)]
+        rows += [("def", n, k, line, None, None) for n, (k, line) in s.defs.items()]
+        return rows + [("use", n, None, *u) for n, u in s.uses.items()]
+
+    got = _map(cells, "rec string, name string, kind string, lineno int, deferred boolean, via string", of)
+    got = got.checkpoint() if keep else got
+    return (
+        got.where("rec = 'def'").select("nb_id", "cell_id", "name", "kind", "lineno"),
+        got.where("rec = 'use'").select("nb_id", "cell_id", "name", "lineno", "deferred", "via"),
+        got.where("rec = 'cell'").select("nb_id", "cell_id", (F.col("kind") == "bad").alias("parse_error")),
+    )
 
 
 def file_io(cells: DataFrame) -> DataFrame:

@@ -71,15 +71,17 @@ def cell_graph(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     c = cells.where(F.trim(F.regexp_replace("source", r"\s", "")) != "").withColumn("document_index", F.row_number().over(Window.partitionBy("nb_id").orderBy("document_index")) - 1)
-    defs, uses, bad = build.symbols(c)
-    c = C.attributes(c, defs, uses).join(bad, ["nb_id", "cell_id"])
-    return c, C.cell_edges(c, defs, uses, build.file_io(c)), C.undefined(c, defs, uses)
+    checkpoints(cells.sparkSession)
+    defs, uses, bad = build.symbols(c, keep=True)
+    c = C.attributes(c, defs, uses).join(bad, ["nb_id", "cell_id"]).checkpoint()
+    return c, C.cell_edges(c, defs, uses, build.file_io(c)).checkpoint(), C.undefined(c, defs, uses).checkpoint()
 
 
 def execution_state(cells: DataFrame) -> DataFrame:
     """(nb_id, cell_id, rank, confidence, status, hidden_state_risk, unsafe_reorder)."""
     c, edges, undefined = cell_graph(cells)
     kept, dropped = C.break_cycles(c, edges)
+    kept, dropped = kept.checkpoint(), dropped.checkpoint()
     unknown = dropped.select("nb_id", F.explode(F.array("src_cell", "dst_cell")).alias("cell_id"))
     return C.predict_order(c, kept).join(C.cell_states(c, kept, undefined, unknown), ["nb_id", "cell_id"])
 

@@ -45,7 +45,7 @@ def test_elements(spark, tmp_path):
     assert N.load_graph(spark, str(tmp_path / "g"))[0].count() == 4
     g = spark.createDataFrame([("n", json.dumps({"elements": [{"group": "nodes", "data": {"id": "a"}}, {"group": "nodes", "data": {"id": "b"}}, {"group": "edges", "data": {"source": "a", "target": "b"}}]}))], "nb_id string, payload string")
     gn, ge = N.grouped_elements(g)
-    assert {(r.node_id, r.index) for r in gn.collect()} == {("a", 0), ("b", 1)} and ge.count() == 1
+    assert {(r["node_id"], r["index"]) for r in gn.collect()} == {("a", 0), ("b", 1)} and ge.count() == 1
 
 
 def test_corpora(spark):
