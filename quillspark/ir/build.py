@@ -121,3 +121,38 @@ def parses(cells: DataFrame) -> DataFrame:
     """Cells whose source parses."""
     good = symbols(cells)[2].where("not parse_error").select("nb_id", "cell_id")
     return cells.join(good, ["nb_id", "cell_id"], "left_semi")
+
+
+def leaf_paths(cells: DataFrame, most: int = 5) -> DataFrame:
+    """(nb_id, cell_id, a int, b int, path string): ways between leaves of a cell's syntax tree of `most` edges at most, as types joined by '/'."""
+
+    def of(source: str):
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError):
+            return []
+        kinds, links, leaves = [], [], []
+        todo = [(tree, -1)]
+        while todo:
+            node, parent = todo.pop()
+            me = len(kinds)
+            kinds.append(type(node).__name__)
+            links.append([parent] if parent >= 0 else [])
+            if parent >= 0:
+                links[parent].append(me)
+            below = list(ast.iter_child_nodes(node))
+            if not below:
+                leaves.append(me)
+            todo.extend((c, me) for c in reversed(below))
+        out, ends = [], set(leaves)
+        for a in leaves:
+            ways = [[a]]
+            while ways:
+                way = ways.pop()
+                if len(way) > 1 and way[-1] in ends and way[-1] > a:
+                    out.append((a, way[-1], "/".join(kinds[i] for i in way)))
+                if len(way) <= most:
+                    ways += [[*way, n] for n in links[way[-1]] if n not in way]
+        return out
+
+    return _map(cells, "a int, b int, path string", of)

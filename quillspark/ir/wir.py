@@ -340,3 +340,13 @@ def node_types(notes: DataFrame) -> DataFrame:
     has = lambda *w: F.arrays_overlap(F.col("a"), F.array(*map(F.lit, w)))
     kind = F.when(has("model", "trained model", "trained_model"), 4).when(has("data", "features", "labels", "target", "validation features", "validation labels"), 2).otherwise(1)
     return notes.groupBy("nb_id", F.col("name").alias("node_id")).agg(a.alias("a")).select("nb_id", "node_id", kind.alias("domain_type"))
+
+
+def tuples(prs: DataFrame, types: DataFrame) -> DataFrame:
+    """(nb_id, tuple_type, subject_id, object_id) of annotated variables: datasets and models that relations lead from one to the other."""
+    from ..operators import graphs, lineage
+
+    reach = graphs.closure(edges(prs))
+    anchors = types.where("domain_type in (2, 4)").select("nb_id", "node_id", F.col("domain_type").alias("node_type"))
+    ways = graphs.with_ends(reach.where("src <> dst"), anchors, "node_type").select("nb_id", "src", "dst")
+    return lineage.tuples(anchors, ways)

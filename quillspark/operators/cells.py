@@ -246,3 +246,13 @@ def report(order: DataFrame, states: DataFrame) -> DataFrame:
     """(nb_id, report): cells in predicted order with their states, as JSON."""
     both = order.join(states, ["nb_id", "cell_id"], "left")
     return both.groupBy("nb_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cell_id", "status", "confidence"))), lambda x: F.struct(x["cell_id"].alias("cell_id"), x["status"].alias("status"), x["confidence"].alias("confidence"))).alias("cells"))).alias("report"))
+
+
+def rebind(edges: DataFrame, priority: DataFrame) -> DataFrame:
+    """edges with each ambiguous use bound to the last candidate before its cell in a learned order (nb_id, cell_id, rank)."""
+    r = priority.select("nb_id", "cell_id", "rank")
+    picks = edges.where("ambiguous").select("nb_id", "dst_cell", "name", F.explode("candidate_def_cells").alias("cell_id")).join(r, ["nb_id", "cell_id"])
+    picks = picks.join(r.withColumnsRenamed({"cell_id": "dst_cell", "rank": "at"}), ["nb_id", "dst_cell"]).where("rank < at")
+    best = picks.groupBy("nb_id", "dst_cell", "name").agg(F.max_by("cell_id", "rank").alias("__src"))
+    out = edges.join(best, ["nb_id", "dst_cell", "name"], "left")
+    return out.withColumn("src_cell", F.coalesce("__src", "src_cell")).select(edges.columns)

@@ -261,3 +261,21 @@ def context(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     )
     out = e.where("src_struct_type = 9").groupBy("nb_id", F.col("src").alias("node_id")).agg(pick(F.struct(F.col("ord").alias("o"), F.col("dst_label").alias("n"))).alias("outputs"))
     return nodes.where("struct_type = 9").select("nb_id", "node_id").join(into, ["nb_id", "node_id"], "left").join(out, ["nb_id", "node_id"], "left")
+
+
+def filter_relevant(nodes: DataFrame, edges: DataFrame, lineage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without import-only ends; for lineage also without components that import no data and with EDA targets bridged, dataset types spread.
+
+    Labels are read from edges here (predicted_label), which callers set from
+    nodes or edges as their labeler writes them.
+    """
+    left = drop_import_ends(nodes, edges)
+    ways = edges
+    if lineage:
+        left = left.join(labelled_components(nodes, edges, F.col("predicted_label") == 1).select("nb_id", "node_id"), ["nb_id", "node_id"], "left_semi")
+        eda = edges.where("predicted_label = 3").select("nb_id", F.col("dst").alias("node_id")).distinct()
+        new = rewire(edges, eda).select(*(F.col(c) if c in ("nb_id", "src", "dst") else F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in edges.columns))
+        left, ways = spread_types(left.join(eda, ["nb_id", "node_id"], "left_anti"), edges), edges.unionByName(new)
+    ids = left.select("nb_id", "node_id")
+    ways = ways.join(ids.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").join(ids.withColumnRenamed("node_id", "dst"), ["nb_id", "dst"], "left_semi")
+    return left, ways.select(edges.columns)

@@ -141,3 +141,10 @@ def score(found: DataFrame, truth: DataFrame) -> DataFrame:
     from .metrics import with_prf
 
     return with_prf(counts)
+
+
+def overlay(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """found with gold classes (nb_id, node, leakage_class) in place of detected ones where a node has one."""
+    g = gold.select("nb_id", "node", F.col("leakage_class").alias("__g"))
+    out = found.join(g, ["nb_id", "node"], "left").withColumn("from_gold", F.col("__g").isNotNull())
+    return out.withColumn("leakage_class", F.coalesce("__g", "leakage_class")).drop("__g")

@@ -31,3 +31,9 @@ def test_tables(spark):
     types = {wir.bare(r.node_id): r.domain_type for r in wir.node_types(wir.annotations(prs, KB)).collect()}
     assert types["frame"] == 2 and types["model"] == 4 and types["cb"] == 1
     prs.unpersist()
+
+
+def test_tuples(spark):
+    prs = wir.process_relations(spark.createDataFrame([("n", SOURCE)], "nb_id string, source string"))
+    found = {(r.tuple_type, wir.bare(r.subject_id), wir.bare(r.object_id)) for r in wir.tuples(prs, wir.node_types(wir.annotations(prs, KB))).collect()}
+    assert any(t == "<D, D>" and s == "frame" for t, s, _ in found)
