@@ -30,14 +30,14 @@ def pieces(text: Column) -> Column:
 def vector(text: Column) -> Column:
     """The fingerprint as an array of longs: the count of pieces, EQUAL wide lanes, then packed bit lanes."""
 
-    def packed(h: Column) -> list[Column]:
-        add = lambda s: lambda a, x: (a + F.shiftright(x, s).bitwiseAND(F.lit(LANES))).bitwiseAND(F.lit(M60))
-        return [F.aggregate(h, F.lit(0).cast("long"), add(s)) for s in range(20)]
+    def packed(h: Column) -> Column:
+        lane = lambda x, s: F.call_function("shiftright", x, s).bitwiseAND(F.lit(LANES))
+        return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda s: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a + lane(x, s)).bitwiseAND(F.lit(M60))))
 
     def summed(p: Column) -> Column:
         hashed = lambda k: F.transform(p, lambda x: F.xxhash64(F.lit(k), x))
         wide = [F.aggregate(hashed(100 + k), F.lit(0).cast("long"), lambda a, x: (a + x.bitwiseAND(F.lit(M62))).bitwiseAND(F.lit(M62))) for k in range(EQUAL)]
-        lanes = [let(hashed(k), lambda h: F.array(*packed(h))) for k in range(SEEDS)]
+        lanes = [let(hashed(k), packed) for k in range(SEEDS)]
         return F.concat(F.array(F.size(p).cast("long"), *wide), *lanes)
 
     return let(pieces(text), summed)
@@ -119,7 +119,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str) -> DataFrame:
     first; rows of one key follow each other by the carried columns.
     """
     rows = df.select(F.col(key).alias("k"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 20000).alias("q")).first()["q"] or []))
+    cuts = quantiles(rows, "k", RANGES)
     place = _range_of(F.col(key), cuts)
     firsts = {r["p"]: r["k"] for r in rows.groupBy(_range_of(F.col("k"), cuts).alias("p")).agg(F.expr("min_by(k, coalesce(k, -9223372036854775808L))").alias("k")).collect()}
     order = sorted(firsts)
@@ -128,8 +128,8 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str) -> DataFrame:
         return df.withColumn(out, F.struct(*carry))
     low = -(2**63)
     ranges = range(order[-1] + 1)
-    before = F.get(F.array(*(F.lit(back.get(p, 0)) for p in ranges)), F.col("__p"))
-    known = F.get(F.array(*(F.lit(low if firsts.get(p) is None else firsts[p]) for p in ranges)).cast("array<bigint>"), F.col("__p"))
+    before = F.get(_longs([back.get(p, 0) for p in ranges]), F.col("__p")).cast("int")
+    known = F.get(_longs([low if firsts.get(p) is None else firsts[p] for p in ranges]), F.col("__p"))
     level = F.coalesce(F.col(key).cast("long"), F.lit(low))
     dealt = df.withColumn("__p", place).withColumn("__first", level == known)
     own = F.struct(F.col("__p").alias("p"), F.lit(0).alias("late"))
@@ -139,15 +139,24 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str) -> DataFrame:
     return spread.withColumn(out, F.lead(F.struct(*carry)).over(w)).where("__at.late = 0").drop("__at", "__p", "__first")
 
 
-def _range_of(key: Column, cuts: list[int]) -> Column:
+def quantiles(df: DataFrame, key: str, n: int) -> list[int]:
+    """At most n - 1 cuts that part the keys about evenly, ascending; one aggregate, null keys apart."""
+    at = ", ".join(str(i / n) for i in range(1, n))
+    return sorted(set(df.agg(F.expr(f"percentile_approx(cast(`{key}` as bigint), array({at}), 20000)").alias("q")).first()["q"] or [])) if n > 1 else []
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array: one literal that the optimizer folds, not an expression for each entry."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(key: Column, cuts: list[int], step: int = 45) -> Column:
     """The number of cuts at or below the key, found in two steps."""
-    step = 45
-    coarse = F.array(*map(F.lit, cuts[::step])).cast("array<bigint>")
-    fine = F.array(*(F.array(*map(F.lit, cuts[i : i + step])).cast("array<bigint>") for i in range(0, len(cuts), step)))
     if not cuts:
         return F.lit(0)
-    near = F.size(F.filter(coarse, lambda c: c <= key))
-    return F.when(key.isNull() | (near <= 0), F.lit(0)).otherwise(let(near, lambda m: (m - 1) * step + F.size(F.filter(F.get(fine, m - 1), lambda c: c <= key))))
+    flat = _longs(cuts)
+    near = F.size(F.filter(_longs(cuts[::step]), lambda c: c <= key))
+    return F.when(key.isNull() | (near <= 0), F.lit(0)).otherwise(let(near, lambda m: (m - 1) * step + F.size(F.filter(F.slice(flat, (m - 1) * step + 1, F.lit(step)), lambda c: c <= key))))
 
 
 def edited_with_next(docs: DataFrame) -> DataFrame:
