@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .fingerprint import RANGES, _range_of
+from .fingerprint import RANGES, _range_of, quantiles
 from .word_hash import _BASE, _BYTE, mixed
 
 #: Longest code, tokens to a block, id that ends a document.
@@ -318,7 +318,7 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) ->
             at = 0
             while at < len(texts):  # long texts: a few MB at a time
                 to, size = at, 0
-                while to < len(texts) and (size == 0 or size < 4 << 20):
+                while to < len(texts) and (size == 0 or size < 2 << 20):
                     size += len(texts[to] or b"")
                     to += 1
                 ids, ends = tokenizer.encode([t or b"" for t in texts[at:to]])
@@ -345,7 +345,7 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
     wide = _wide(path)
     weight = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b")).first()["b"] or 0
     n = max(2, min(RANGES, weight // RANGE_BYTES))
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], 20000).alias("q")).first()["q"] or []))
+    cuts = quantiles(df, key, n)
     ids = tokenized(df, key, text, path, end)
     ids = ids.withColumn("range", _range_of(F.col("key"), cuts))
     kept = f"{out}-ids"
