@@ -272,11 +272,12 @@ def _open(key: tuple, table: pa.Table) -> pa.Table:
     outside: list[int] = []
     if mode == 2:
         n_hub = len(other) or n_own
-        main = np.bincount(_roots(n_hub, pairs[(pairs < n_hub).all(1)])).argmax()
+        alone = _roots(n_hub, pairs[(pairs < n_hub).all(1)])
+        main = np.bincount(alone).argmax()
         reached = root == root[main]
         mine[: len(other)] = False
         outside = ids[len(other) :][~reached[len(other) :]].tolist()
-    # stars around the block's own least document of a class, and one link from there to the rest of the class
+    # stars around the block's own least document of a class, and a link from there to each class that the hub's documents form alone
     a, b = [], []
     star = np.full(len(order), len(order))
     np.minimum.at(star, root[mine], np.flatnonzero(mine))
@@ -285,9 +286,9 @@ def _open(key: tuple, table: pa.Table) -> pa.Table:
             a.append(ids[i])
             b.append(ids[star[root[i]]])
     if hub and len(other):
-        for r in np.unique(root[mine]):
-            if r < len(other):
-                a.append(ids[star[r]])
+        for r in np.unique(alone):
+            if star[root[r]] < len(order):
+                a.append(ids[star[root[r]]])
                 b.append(ids[r])
     a, b = [*a, *outside], [*b, *outside]
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * (len(a) - len(outside)) + [True] * len(outside), pa.bool_())], names=["a", "b", "outside"])

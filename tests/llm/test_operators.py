@@ -132,6 +132,24 @@ def test_ngram_join_large_groups(spark):
     assert got == brute.components(rows)
 
 
+def test_ngram_join_bridge_outside_hub():
+    """A block's document that joins the hub's main class to a smaller one has links to both."""
+    import pyarrow as pa
+
+    def opened(*rows):
+        names = ["side", "doc_id", "n", "tokens", "mode"]
+        sets = [(side, i, len(t), np.array(t, "<u8").tobytes(), 2) for side, i, t in rows]
+        return ngram_join._open((), pa.table([pa.array(c) for c in zip(*sets, strict=True)], names=names)).to_pylist()
+
+    low, high, bridge = range(0, 20), range(4, 24), range(2, 22)
+    hub = [(1, low), (2, high), (3, high)]
+    # ids 2 and 3 are the hub's main class, 1 is like neither, 10 is like all
+    got = opened(*((0, i, t) for i, t in hub)) + opened(*((1, i, t) for i, t in hub), (0, 10, bridge))
+    assert [r["a"] for r in got if r["outside"]] == [1]
+    links = {frozenset((r["a"], r["b"])) for r in got if not r["outside"]}
+    assert links == {frozenset(p) for p in ((2, 3), (10, 1), (10, 2))}
+
+
 def test_substring_dedup(stored):
     rows = [(r.doc_id, r.text) for r in stored.select("doc_id", "text").collect()]
     expected = Counter((rows[k][0], *v) for k, v in brute.repeats(rows).items())
