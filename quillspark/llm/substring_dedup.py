@@ -29,7 +29,8 @@ LENGTH, K = 100, 36
 REACH = LENGTH - K + 1
 #: Bytes and documents to a chunk; bytes of text to a bucket of hashes.
 CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 2 << 20, 4096, 4 << 20
-TAIL = 5
+#: Bytes that are compared: those of a hash below its first, which the bucket holds, and one of another hash.
+TAIL, LEAST_BITS = 8, 8
 
 _random = np.random.default_rng(8)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -103,7 +104,7 @@ class Chunk:
         self.size = len(data)
         self.anchors = np.zeros(0, np.int64)
         self.spans = np.zeros((0, 2), np.int64)
-        self.span_hash = self.anchor_hash = np.zeros(0, np.uint64)
+        self.span_hash = self.anchor_hash = self.span_more = np.zeros(0, np.uint64)
         self.windows = max(0, self.size - LENGTH + 1)
         if not self.windows:
             return
@@ -145,17 +146,19 @@ class Chunk:
         end_of = self.ends[np.searchsorted(self.ends, start, side="right")]
         good = (end >= start + LENGTH) & (end <= end_of) & (end - start <= 3 * LENGTH)
         start, end = start[good], end[good]
+        self.span_more = mixed(self.anchor_hash[i[good]] * _SPAN[0] + self.anchor_hash[j[i[good]]] * _SPAN[1])
         self.spans = np.stack([start, end], 1)
         self.span_hash = mixed(self.whole[start] * _SPAN[0] + self.whole[np.minimum(start + LENGTH, end - LENGTH)] * _SPAN[1] + self.whole[end - LENGTH] * _SPAN[2] + (end - start).astype(np.uint64) * _SPAN[3])
 
     def ids_at(self, places: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.ends, places, side="right")]
 
-    def first_round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, ascending and distinct; place of the first; index of each anchor and span in them; counts)."""
+    def first_round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, ascending and distinct; place of the first; index of each anchor and span in them; counts; other hashes)."""
         both = np.concatenate([self.anchor_hash, self.span_hash])
         hashes, first, back, counts = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-        return hashes, np.concatenate([self.anchors, self.spans[:, 0]])[first], back, counts
+        more = np.concatenate([np.zeros(len(self.anchor_hash), np.uint64), self.span_more])[first]
+        return hashes, np.concatenate([self.anchors, self.spans[:, 0]])[first], back, counts, more
 
     def open_windows(self, repeated: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         """Starts of the windows whose anchor is repeated, but for those inside a span that occurs earlier."""
@@ -190,10 +193,11 @@ def _from_planes(raw: bytes, n: int) -> np.ndarray:
     return x.view("<u2" if x.shape[1] == 2 else "<i8").ravel().astype(np.int64)
 
 
-def _rows(chunk: int, hashes: np.ndarray, ids: np.ndarray, bits: int) -> list[tuple]:
-    """A row for each bucket of hashes in the order of _order()."""
+def _rows(chunk: int, hashes: np.ndarray, more: np.ndarray, ids: np.ndarray, bits: int) -> list[tuple]:
+    """A row for each bucket of hashes in the order of _order(), with a byte of other hashes of the same strings."""
     ends = np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    tails = np.ascontiguousarray(((hashes >> np.uint64(64 - bits - 8 * TAIL)) & np.uint64((1 << 8 * TAIL) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAIL])
+    tails = hashes.astype("<u8").view(np.uint8).reshape(-1, 8).copy()
+    tails[:, 7] = more >> np.uint64(56)
     out = []
     for b in np.flatnonzero(np.diff(ends)):
         own = slice(ends[b], ends[b + 1])
@@ -241,10 +245,10 @@ def _deal(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, texts in _chunks(batches):
             c = Chunk(ids, texts)
-            hashes, first, _, _ = c.first_round()
+            hashes, first, _, _, more = c.first_round()
             if len(hashes):
                 by = _order(hashes, first, bits)
-                yield from _batch(_rows(number, hashes[by], c.ids_at(first[by]), bits)).to_batches()
+                yield from _batch(_rows(number, hashes[by], more[by], c.ids_at(first[by]), bits)).to_batches()
 
     return run
 
@@ -265,9 +269,7 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     tails, ids, chunks = [], [], []
     for r in rows:
-        t = np.zeros((r["n"], 8), np.uint8)
-        t[:, :TAIL] = np.frombuffer(r["tails"], np.uint8).reshape(-1, TAIL)
-        tails.append(t.view("<u8").ravel())
+        tails.append(np.frombuffer(r["tails"], "<u8"))
         raw = zlib.decompress(r["ids"])
         ids.append(np.cumsum(_from_planes(raw, r["n"])) + r["base"])
         chunks.append(np.full(r["n"], r["chunk"], np.int64))
@@ -290,12 +292,22 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     return _batch(out)
 
 
+_CHANGED = "the table was read in another order the next time; write it to files first"
+
+
+def _stamp(ids: np.ndarray, texts: list[bytes]) -> bytes:
+    """Tells whether a chunk was read as before."""
+    found = hashlib.blake2b(ids.tobytes() + np.array([len(t) for t in texts], np.int64).tobytes(), digest_size=16)
+    found.update(b"".join(texts))
+    return found.digest()
+
+
 def _replies(rows: list[dict], by: np.ndarray) -> list[np.ndarray]:
     """The bits for a chunk's hashes, which were sent in the order `by`."""
     n = len(by)
     found = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
     if sum(r["n"] for r in found) != n:
-        raise RuntimeError("the table was read in another order the second time; write it to files first")
+        raise RuntimeError(_CHANGED)
     bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in found]).astype(bool) if found else np.zeros(0, bool)
     out = []
     for c in ("tails", "ids"):
@@ -320,13 +332,13 @@ def _result(c_ids, c_texts, spans_of) -> list[tuple]:
 
 def _second(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """The windows to look up, and the chunk's state: results of documents without any, the texts of the others."""
+        """The windows to look up, and the chunk's state: their places, and the spans that occur earlier."""
         rows = table.to_pylist()
         state = next(r for r in rows if r["bucket"] == -1)
         codec = pa.Codec("zstd", 3)
         ids, texts = pickle.loads(codec.decompress(state["tails"], state["n"], asbytes=True))
         c = Chunk(ids, texts)
-        hashes, place, back, counts = c.first_round()
+        hashes, place, back, counts, _ = c.first_round()
         elsewhere, before = _replies(rows, _order(hashes, place, bits))
         n = len(c.anchors)
         again = np.ones(len(back), bool)  # not the first of its hash in the chunk
@@ -335,28 +347,16 @@ def _second(bits: int):
         earlier = (before[back] | again)[n:]
         windows = c.open_windows(repeated, earlier)
         ready = c.spans[earlier]
-        owner = np.searchsorted(c.ends, windows, side="right")
-        pending = np.zeros(len(ids), bool)
-        pending[owner] = True
-        pending[np.searchsorted(c.ends, ready[:, 0], side="right")] = True
-        done = _result(ids[~pending], [texts[k] for k in np.flatnonzero(~pending)], lambda k: [])
         out: list[tuple] = []
-        if pending.any():
-            if len(windows):
-                h, first = np.unique(mixed(c.whole[windows]), return_index=True)
-                by = _order(h, first, bits)
-                out = _rows(key[0].as_py(), h[by], c.ids_at(windows[first[by]]), bits)
-            # places in the run of the pending texts alone
-            shift = np.cumsum(np.where(pending, 0, c.lengths))
-            moved = windows - shift[owner] if len(windows) else windows
-            ready_moved = ready - shift[np.searchsorted(c.ends, ready[:, 0], side="right")][:, None]
-            edge = np.flatnonzero(np.diff(moved, prepend=-5) != 1) if len(moved) else np.zeros(0, np.int64)
-            runs = np.stack([moved[edge], np.diff(np.append(edge, len(moved)))], 1) if len(moved) else np.zeros((0, 2), np.int64)
-            left = (ids[pending], [texts[k] for k in np.flatnonzero(pending)], runs.astype("<i4"), ready_moved.astype("<i4"), bits)
-        else:
-            left = None
-        raw = pickle.dumps((done, left))
-        out.append((-1 - key[0].as_py(), key[0].as_py(), codec.compress(raw, asbytes=True), b"", 0, len(raw)))
+        if len(windows):
+            h, first = np.unique(mixed(c.whole[windows]), return_index=True)
+            by = _order(h, first, bits)
+            at = windows[first[by]]
+            out = _rows(key[0].as_py(), h[by], mixed(c.least[at]), c.ids_at(at), bits)
+        edge = np.flatnonzero(np.diff(windows, prepend=-5) != 1)
+        runs = np.stack([windows[edge], np.diff(np.append(edge, len(windows)))], 1)
+        raw = pickle.dumps((_stamp(ids, texts), runs.astype("<i4"), ready.astype("<i4"), bits))
+        out.append((-2 - key[0].as_py(), key[0].as_py(), codec.compress(raw, asbytes=True), b"", 0, len(raw)))
         return _batch(out)
 
     return run
@@ -367,37 +367,41 @@ _FOUND = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>,
 
 def _last(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    state = next(r for r in rows if r["bucket"] < 0)
-    done, left = pickle.loads(pa.Codec("zstd", 1).decompress(state["tails"], state["n"], asbytes=True))
-    if left:
-        ids, texts, runs, ready, bits = left
-        lengths = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(lengths)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        step = np.zeros(len(data) + 1, np.int32)
-        np.add.at(step, ready[:, 0], 1)
-        np.add.at(step, ready[:, 1], -1)
-        if len(runs):
-            windows = np.repeat(runs[:, 0].astype(np.int64) - (np.cumsum(runs[:, 1]) - runs[:, 1]), runs[:, 1]) + np.arange(runs[:, 1].sum())
-            h, first, back = np.unique(mixed(window_hashes(data)[windows]), return_index=True, return_inverse=True)
-            _, before = _replies(rows, _order(h, first, bits))
-            again = np.ones(len(windows), bool)
-            again[first] = False
-            hit = windows[before[back] | again]
-            np.add.at(step, hit, 1)
-            np.add.at(step, hit + LENGTH, -1)
-        covered = np.cumsum(step[:-1]) > 0
-        change = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):  # a run of bytes may go on over documents' ends
-            k = int(np.searchsorted(ends, a, side="right"))
-            while a < b:
-                start = int(ends[k] - lengths[k])
-                to = min(b, int(ends[k]))
-                if to > a:
-                    spans[k].append((a - start, to - start))
-                a, k = to, k + 1
-        done = done + _result(ids, texts, lambda k: spans[k])
+    text, state = next((r for r in rows if r["bucket"] == -1), None), next((r for r in rows if r["bucket"] < -1), None)
+    if text is None or state is None:
+        raise RuntimeError(_CHANGED)
+    codec = pa.Codec("zstd", 3)
+    ids, texts = pickle.loads(codec.decompress(text["tails"], text["n"], asbytes=True))
+    stamp, runs, ready, bits = pickle.loads(codec.decompress(state["tails"], state["n"], asbytes=True))
+    if stamp != _stamp(ids, texts):
+        raise RuntimeError(_CHANGED)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    step = np.zeros(len(data) + 1, np.int32)
+    np.add.at(step, ready[:, 0], 1)
+    np.add.at(step, ready[:, 1], -1)
+    if len(runs):
+        windows = np.repeat(runs[:, 0].astype(np.int64) - (np.cumsum(runs[:, 1]) - runs[:, 1]), runs[:, 1]) + np.arange(runs[:, 1].sum())
+        h, first, back = np.unique(mixed(window_hashes(data)[windows]), return_index=True, return_inverse=True)
+        _, before = _replies(rows, _order(h, first, bits))
+        again = np.ones(len(windows), bool)
+        again[first] = False
+        hit = windows[before[back] | again]
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + LENGTH, -1)
+    covered = np.cumsum(step[:-1]) > 0
+    change = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):  # a run of bytes may go on over documents' ends
+        k = int(np.searchsorted(ends, a, side="right"))
+        while a < b:
+            start = int(ends[k] - lengths[k])
+            to = min(b, int(ends[k]))
+            if to > a:
+                spans[k].append((a - start, to - start))
+            a, k = to, k + 1
+    done = _result(ids, texts, lambda k: spans[k])
     columns = list(zip(*done, strict=True)) if done else [[], [], [], []]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], kind), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "removed", "kept_sha256"])
@@ -409,17 +413,18 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     removed: the maximal runs of bytes that a string of LENGTH bytes covers
     which also starts earlier, in a row of smaller key or before in the same
     row. Null keys come first, rows of one key follow each other by their
-    text; null and empty texts have no bytes. df is read twice and has to give
-    the same rows in the same order, as files do; else an error is raised.
-    Hashes of 64 bits, of which 40 and those of the bucket are compared.
+    text; null and empty texts have no bytes. df is read three times and has to
+    give the same rows in the same order, as files do; else an error is raised.
+    Strings are told apart by all 64 bits of a hash and 8 of another one.
     """
     # the partition as the scan counts it, which a union does not change
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     weight = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    bits = max(6, min(20, int(weight // BUCKET_BYTES).bit_length()))
+    bits = max(LEAST_BITS, min(20, int(weight // BUCKET_BYTES).bit_length()))
     found = docs.mapInArrow(_deal(bits), _DEALT).groupBy("bucket").applyInArrow(_look_up, _DEALT)
     again = found.unionByName(docs.mapInArrow(_texts, _DEALT)).groupBy("chunk").applyInArrow(_second(bits), _DEALT)
-    return again.groupBy("bucket").applyInArrow(_look_up, _DEALT).groupBy("chunk").applyInArrow(_last, _FOUND)
+    # texts are dealt again, as the way by the buckets would write them twice
+    return again.groupBy("bucket").applyInArrow(_look_up, _DEALT).unionByName(docs.mapInArrow(_texts, _DEALT)).groupBy("chunk").applyInArrow(_last, _FOUND)
 
 
 def cut(df: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept") -> DataFrame:

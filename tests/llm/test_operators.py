@@ -161,6 +161,21 @@ def test_substring_dedup(stored):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == found[r["doc_id"]]["kept_sha256"]
 
 
+def test_substring_dedup_hashes():
+    """Strings of two chunks are the same where all 64 bits of their hashes agree, and the byte of the other hash."""
+    import pyarrow as pa
+
+    def earlier(one, two, more=(0, 0)):
+        rows = [r for k, h in enumerate((one, two)) for r in substring_dedup._rows(k, np.array([h], np.uint64), np.array([more[k] << 56], np.uint64), np.array([k]), 8)]
+        found = substring_dedup._look_up((pa.scalar(rows[0][0]),), substring_dedup._batch(rows)).to_pylist()
+        return [any(r["ids"]) for r in found]
+
+    h = 0x0123456789ABCDEF
+    assert earlier(h, h) == [False, True]
+    assert earlier(h, h ^ 1) == earlier(h, h ^ (1 << 15)) == [False, False]
+    assert earlier(h, h, (3, 4)) == [False, False]
+
+
 def test_mixing(stored):
     got = plain(mixing.takes(stored, block=4))
     texts = plain(stored.select("doc_id", "source", "text"))
