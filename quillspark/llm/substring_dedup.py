@@ -1,46 +1,68 @@
 """Removal of byte strings that occur earlier in the corpus, exact for a given length.
 
-Suffixes that share their first LENGTH bytes are what a suffix array would sort
-together. Here they are found in two rounds over content-chosen places, as a
-suffix for each byte, with the bytes to compare it by, is a hundred times the
-input (see the README). Round one: of every window of LENGTH bytes the least
-K-byte string is an anchor, so that equal windows have an equal anchor;
-anchors, and spans between anchors, are looked up in the whole corpus. A span
-that occurs earlier needs no more work. Round two: windows around repeated
-anchors that lie in no such span are looked up.
+Suffixes are range-partitioned by their leading bytes with sampled splitters,
+and each bucket sorts its own by multikey quicksort and finds the strings of
+LENGTH bytes that more than one suffix has; suffixes with one lead that lie on
+both sides of a splitter are compared across it.
+
+Not every place needs a suffix: of each window of LENGTH bytes the least K-byte
+string, by hash, is its lead, so that equal windows have equal leads at the same
+distance. A suffix stands for the run of windows that it leads and carries the
+bytes of them all. A lead that occurs once in the corpus leads no repeated
+window; a count of hashes leaves those out first, where a chance match only
+keeps a suffix that the comparison of bytes then finds to be alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
 from .word_hash import mixed
 
-#: Bytes of a string that counts as repeated, bytes of an anchor, windows that one anchor may serve.
+#: Bytes of a string that counts as repeated, bytes of a lead, windows that one lead may serve.
 LENGTH, K = 100, 36
 REACH = LENGTH - K + 1
 #: Bytes and documents to a chunk; bytes of text to a bucket of hashes.
 CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 2 << 20, 4096, 4 << 20
-#: Bytes that are compared: those of a hash below its first, which the bucket holds, and one of another hash.
-TAIL, LEAST_BITS = 8, 8
+#: Bits of a hash that are counted beside those of its bucket, and bits of the bucket at least and most.
+TAIL_BITS, LEAST_BITS, MOST_BITS = 40, 6, 20
+#: Suffixes to a range, sampled suffixes to a splitter, splitters at most (about 14 MB).
+RANGE_ROWS, PER_SPLITTER, SPLITTERS = 40_000, 4, 1 << 18
+#: Suffixes that are cut out of a chunk at once.
+SLICE = 1 << 17
 
 _random = np.random.default_rng(8)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
-_SPAN = _random.integers(0, 1 << 64, 4, dtype=np.uint64) | np.uint64(1)
 NULL_KEY = -(2**63)
 
-
 _POWER = {n: np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4, 8, 16, 32, 64)}
-#: Places to a block of the scan: its arrays stay in a core's cache.
-BLOCK = 1 << 16
+#: Places to a block of the scan, whose arrays stay in a core's cache, and the bits of a place in it.
+BLOCK, PLACE = 1 << 16, np.uint64((1 << 18) - 1)
+
+
+def _rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` bytes at each place, by doubling."""
+    by, n = {1: _BYTE[data]}, 1
+    while 2 * n <= size:
+        h = by[n]
+        by[2 * n] = h[: len(h) - n] * _POWER[n] + h[n:]
+        n *= 2
+    got, done = by[n], n
+    while done < size:
+        n = 1 << ((size - done).bit_length() - 1)
+        tail = by[n][done:]
+        got = got[: len(tail)] * _POWER[n] + tail
+        done += n
+    return got
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -50,381 +72,398 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
-    """The hash of the `size` bytes at each place, by doubling, for each of the sizes."""
-    by = {1: _BYTE[data]}
-    top = 1 << (max(sizes).bit_length() - 1)
-    n = 1
-    while n < top:
-        h = by[n]
-        by[2 * n] = h[: max(0, len(h) - n)] * _POWER[n] + h[n:] if len(h) > n else h[:0]
-        n *= 2
-    out = []
-    for size in sizes:
-        got, done = None, 0
-        for bit in (1 << i for i in range(size.bit_length() - 1, -1, -1)):
-            if size & bit:
-                h = by[bit][done:]
-                if got is None:
-                    got = h
-                else:
-                    m = min(len(got), len(h))
-                    got = got[:m] * _POWER[bit] + h[:m]
-                done += bit
-        out.append(got)
-    return out
-
-
-def window_hashes(data: np.ndarray) -> np.ndarray:
-    """The unmixed hash of every LENGTH bytes."""
-    out = np.zeros(max(0, len(data) - LENGTH + 1), np.uint64)
-    for a in range(0, len(out), BLOCK):
-        out[a : a + BLOCK] = _rolling(data[a : a + BLOCK + LENGTH - 1], LENGTH)[0]
-    return out
-
-
-def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick over every `width` neighbours, from each place on."""
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours, from each place on."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        x = pick(x[: len(x) - step], x[step:])
+        x = np.minimum(x[: len(x) - step], x[step:])
         done += step
     return x
 
 
-class Chunk:
-    """Documents in the order of their ids, as one run of bytes, with anchors and spans."""
-
-    def __init__(self, ids: np.ndarray, texts: list[bytes]):
-        self.ids, self.texts = ids, texts
-        self.lengths = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.size = len(data)
-        self.anchors = np.zeros(0, np.int64)
-        self.spans = np.zeros((0, 2), np.int64)
-        self.span_hash = self.anchor_hash = self.span_more = np.zeros(0, np.uint64)
-        self.windows = max(0, self.size - LENGTH + 1)
-        if not self.windows:
-            return
-        # windows that run over a document's end are none
-        self.valid = valid = np.ones(self.windows, bool)
-        for e in self.ends.tolist():
-            valid[max(0, e - LENGTH + 1) : e] = False
-        self.least, self.whole = np.zeros(self.windows, np.uint64), np.zeros(self.windows, np.uint64)
-        places, hashes = [], []
-        for a in range(0, self.size, BLOCK):
-            lo, hi = max(0, a - REACH + 1), min(self.size, a + BLOCK + LENGTH)
-            if hi - lo < LENGTH:
-                break
-            short, whole = _rolling(data[lo:hi], K, LENGTH)
-            short = _spread(short)
-            least = _sliding(short, REACH, np.minimum)
-            on = valid[lo : lo + len(least)]
-            least = np.where(on, least[: len(on)], np.uint64(0))
-            own = slice(a - lo, a - lo + BLOCK)
-            self.least[a : a + BLOCK] = least[own]
-            self.whole[a : a + BLOCK] = whole[own]
-            # an anchor is the least of some window that starts up to REACH - 1 before it
-            padded = np.concatenate([np.zeros(REACH - 1 - (a - lo), np.uint64), least, np.zeros(REACH - 1, np.uint64)])
-            most = _sliding(padded, REACH, np.maximum)
-            here = short[own]
-            n = min(len(here), len(most))
-            p = np.flatnonzero((most[:n] == here[:n]) & (most[:n] > 0))
-            places.append(p + a)
-            hashes.append(here[p])
-        self.anchors = p = np.concatenate(places) if places else self.anchors
-        self.anchor_hash = mixed(np.concatenate(hashes)) if hashes else self.anchor_hash
-        self.anchor_raw = np.concatenate(hashes) if hashes else self.anchor_hash
-        if len(p) < 2:
-            return
-        # from an anchor to the end of an anchor that takes in every window starting before the next one
-        j = np.searchsorted(p, p[1:] + (LENGTH - K - 1))
-        i = np.flatnonzero(j < len(p))
-        start, end = p[i], p[j[i]] + K
-        end_of = self.ends[np.searchsorted(self.ends, start, side="right")]
-        good = (end >= start + LENGTH) & (end <= end_of) & (end - start <= 3 * LENGTH)
-        start, end = start[good], end[good]
-        self.span_more = mixed(self.anchor_hash[i[good]] * _SPAN[0] + self.anchor_hash[j[i[good]]] * _SPAN[1])
-        self.spans = np.stack([start, end], 1)
-        self.span_hash = mixed(self.whole[start] * _SPAN[0] + self.whole[np.minimum(start + LENGTH, end - LENGTH)] * _SPAN[1] + self.whole[end - LENGTH] * _SPAN[2] + (end - start).astype(np.uint64) * _SPAN[3])
-
-    def ids_at(self, places: np.ndarray) -> np.ndarray:
-        return self.ids[np.searchsorted(self.ends, places, side="right")]
-
-    def first_round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, ascending and distinct; place of the first; index of each anchor and span in them; counts; other hashes)."""
-        both = np.concatenate([self.anchor_hash, self.span_hash])
-        hashes, first, back, counts = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-        more = np.concatenate([np.zeros(len(self.anchor_hash), np.uint64), self.span_more])[first]
-        return hashes, np.concatenate([self.anchors, self.spans[:, 0]])[first], back, counts, more
-
-    def open_windows(self, repeated: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose anchor is repeated, but for those inside a span that occurs earlier."""
-        if not self.windows or not repeated.any():
-            return np.zeros(0, np.int64)
-        known, at = np.unique(self.anchor_raw, return_index=True)
-        edge = np.flatnonzero(np.diff(self.least, prepend=self.least[0] ^ np.uint64(1)))
-        value = self.least[edge]
-        found = np.minimum(np.searchsorted(known, value), len(known) - 1)
-        on = repeated[at[found]] & (known[found] == value) & (value > 0)
-        mask = np.repeat(on, np.diff(np.append(edge, self.windows)))
-        done = self.spans[earlier]
-        step = np.zeros(self.windows + 1, np.int32)
-        np.add.at(step, done[:, 0], 1)
-        np.add.at(step, done[:, 1] - LENGTH + 1, -1)
-        return np.flatnonzero(mask & self.valid & (np.cumsum(step[:-1]) == 0))
-
-
-def _order(hashes: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
-    """By bucket, then place in the chunk: ids then ascend in a bucket and take little room."""
-    by = np.argsort(places, kind="stable")
-    return by[np.argsort((hashes[by] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64), kind="stable")]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """All low bytes, then all next bytes, and so on: small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _from_planes(raw: bytes, n: int) -> np.ndarray:
-    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T)
-    return x.view("<u2" if x.shape[1] == 2 else "<i8").ravel().astype(np.int64)
-
-
-def _rows(chunk: int, hashes: np.ndarray, more: np.ndarray, ids: np.ndarray, bits: int) -> list[tuple]:
-    """A row for each bucket of hashes in the order of _order(), with a byte of other hashes of the same strings."""
-    ends = np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    tails = hashes.astype("<u8").view(np.uint8).reshape(-1, 8).copy()
-    tails[:, 7] = more >> np.uint64(56)
-    out = []
-    for b in np.flatnonzero(np.diff(ends)):
-        own = slice(ends[b], ends[b + 1])
-        # the first id is the least; the rest as steps
-        i = ids[own]
-        steps = np.diff(i, prepend=i[0])
-        wide = "<u2" if steps.max() < 1 << 16 and steps.min() >= 0 else "<i8"
-        out.append((int(b), chunk, tails[own].tobytes(), zlib.compress(_planes(steps.astype(wide)), 1), int(i[0]), len(i)))
-    return out
-
-
-_DEALT = "bucket long, chunk long, tails binary, ids binary, base long, n long"
-_DEALT_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-_DEALT_NAMES = ["bucket", "chunk", "tails", "ids", "base", "n"]
-
-
-def _batch(rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(_DEALT_TYPES)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, _DEALT_TYPES, strict=True)], names=_DEALT_NAMES)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """(number, ids, texts) of the chunks of a task's rows, by id within; the same rows give the same chunks."""
-    chunk, ids, texts, size = -1, [], [], 0
-
-    def made():
+def leads(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window, hash) of every lead of a run of documents that stop at `ends`, ascending.
+
+    A window's lead is the leftmost of its K-byte strings with the least hash,
+    which only the window's own bytes decide; a lead's windows are one run.
+    """
+    windows = len(data) - LENGTH + 1
+    none = np.zeros(0, np.int64)
+    if windows <= 0:
+        return none, none, none, none.astype(np.uint64)
+    valid = np.ones(windows, bool)
+    for e in ends.tolist():  # windows that run over a document's end are none
+        valid[max(0, e - LENGTH + 1) : e] = False
+    parts = []
+    for b in range(0, windows, BLOCK):
+        n = min(BLOCK, windows - b)
+        short = _spread(_rolling(data[b : b + n + LENGTH - 1], K))
+        least = _sliding_least((short & ~PLACE) | np.arange(len(short), dtype=np.uint64), REACH)
+        p = np.flatnonzero(valid[b : b + n])
+        at = (least[p] & PLACE).astype(np.int64)
+        first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+        last = np.append(first[1:], len(p))[: len(first)] - 1
+        parts.append((at[first] + b, p[first] + b, p[last] + b, mixed(short[at[first]])))
+    place, lo, hi, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.diff(place, prepend=-1) != 0  # else a run that goes on over a block's end
+    return place[new], lo[new], hi[np.append(np.flatnonzero(new)[1:], len(place))[: new.sum()] - 1], h[new]
+
+
+# ------------------------------------------------------------------- texts
+
+_TEXTS = "bucket long, chunk long, n long, blob binary"
+
+
+def _table(rows: list[tuple], names: tuple[str, ...] = ("bucket", "chunk", "n", "blob"), kinds=(pa.int64(), pa.int64(), pa.int64(), pa.binary())) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as compressed chunks, by id within; then by text."""
+    from pyspark import TaskContext
+
+    chunk, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    codec = pa.Codec("zstd", 3)
+
+    def made() -> list[pa.RecordBatch]:
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        return chunk, np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
+        raw = pickle.dumps((np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]))
+        return _table([(-1, chunk, len(raw), codec.compress(raw, asbytes=True))]).to_batches()
 
     for batch in batches:
-        if chunk < 0 and batch.num_rows:
-            chunk = batch.column(2)[0].as_py() << 32
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(NULL_KEY if i is None else i)
             texts.append(t or b"")
             size += len(texts[-1])
             if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
-                yield made()
+                yield from made()
                 chunk, ids, texts, size = chunk + 1, [], [], 0
     if ids:
-        yield made()
+        yield from made()
 
 
-def _deal(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, texts in _chunks(batches):
-            c = Chunk(ids, texts)
-            hashes, first, _, _, more = c.first_round()
-            if len(hashes):
-                by = _order(hashes, first, bits)
-                yield from _batch(_rows(number, hashes[by], more[by], c.ids_at(first[by]), bits)).to_batches()
+def _opened(n: int, blob: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(ids, texts, their ends, all bytes) of a chunk."""
+    ids, texts = pickle.loads(pa.Codec("zstd", 3).decompress(blob, n, asbytes=True))
+    return ids, texts, np.cumsum([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), np.uint8)
 
-    return run
 
+# -------------------------------------------------------- leads that repeat
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's documents in one compressed row."""
-    codec = pa.Codec("zstd", 3)
-    for number, ids, texts in _chunks(batches):
-        raw = pickle.dumps((ids, texts))
-        yield from _batch([(-1, number, codec.compress(raw, asbytes=True), b"", 0, len(raw))]).to_batches()
+def _deal(bits: int, tail_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's distinct hashes, ascending, as a row for each bucket of them."""
+        for batch in batches:
+            for chunk, n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                _, _, ends, data = _opened(n, blob.as_py())
+                h = np.unique(leads(data, ends)[3])
+                cut = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                tail = (h >> np.uint64(64 - bits - tail_bits)) & np.uint64((1 << tail_bits) - 1)
+                raw = np.ascontiguousarray(tail.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                yield from _table([(int(b), chunk, int(cut[b + 1] - cut[b]), raw[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut))]).to_batches()
 
+    return run
 
-def _look_up(key: tuple, table: pa.Table) -> pa.Table:
-    """For each chunk's hashes of a bucket, two rows of bits: it occurs in another chunk; it occurs earlier there."""
-    bucket = key[0].as_py()
-    if bucket < 0:
-        return table
-    rows = table.to_pylist()
-    tails, ids, chunks = [], [], []
-    for r in rows:
-        tails.append(np.frombuffer(r["tails"], "<u8"))
-        raw = zlib.decompress(r["ids"])
-        ids.append(np.cumsum(_from_planes(raw, r["n"])) + r["base"])
-        chunks.append(np.full(r["n"], r["chunk"], np.int64))
-    sizes = [len(t) for t in tails]
-    tail = np.concatenate(tails)
+
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """For each chunk's hashes of a bucket a row of bits: more than one chunk has it."""
+    n = table["n"].to_numpy()
+    raw = np.zeros((int(n.sum()), 8), np.uint8)
+    raw[:, :5] = np.frombuffer(b"".join(table["blob"].to_pylist()), np.uint8).reshape(-1, 5)
+    tail = raw.view("<u8").ravel()
     by = np.argsort(tail, kind="stable")
-    edge = np.flatnonzero(np.diff(tail[by], prepend=tail[by[0]] ^ np.uint64(1)))
-    many = np.diff(np.append(edge, len(tail)))
-    repeated = np.zeros(len(tail), bool)
+    many = np.diff(np.append(np.flatnonzero(np.diff(tail[by], prepend=tail[by[0]] ^ np.uint64(1))), len(tail)))
+    repeated = np.empty(len(tail), bool)
     repeated[by] = np.repeat(many > 1, many)
-    some = np.flatnonzero(repeated)
-    earlier = np.zeros(len(tail), bool)
-    if len(some):
-        some = some[np.lexsort((np.concatenate(chunks)[some], np.concatenate(ids)[some], tail[some]))]
-        earlier[some[1:]] = tail[some[1:]] == tail[some[:-1]]
-    out, at = [], 0
-    for r, n in zip(rows, sizes, strict=True):
-        out.append((bucket, r["chunk"], np.packbits(repeated[at : at + n]).tobytes(), np.packbits(earlier[at : at + n]).tobytes(), 0, n))
-        at += n
-    return _batch(out)
+    ends = np.cumsum(n)
+    return _table([(key[0].as_py(), c, int(k), np.packbits(repeated[e - k : e]).tobytes()) for c, k, e in zip(table["chunk"].to_pylist(), n, ends, strict=True)])
+
 
+# ----------------------------------------------------------------- suffixes
 
-_CHANGED = "the table was read in another order the next time; write it to files first"
+def _ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The strings data[start : start + length] as one Arrow array."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at].tobytes())])
 
 
-def _stamp(ids: np.ndarray, texts: list[bytes]) -> bytes:
-    """Tells whether a chunk was read as before."""
-    found = hashlib.blake2b(ids.tobytes() + np.array([len(t) for t in texts], np.int64).tobytes(), digest_size=16)
-    found.update(b"".join(texts))
-    return found.digest()
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of strings without nulls."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], pa.binary())
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(a.buffers()[1], "<i4")[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _replies(rows: list[dict], by: np.ndarray) -> list[np.ndarray]:
-    """The bits for a chunk's hashes, which were sent in the order `by`."""
-    n = len(by)
+#: A suffix: its chunk, the id of its document, its place; its lead, the bytes before it and behind it that its windows take in.
+#: Or, where `lead` is null, runs of windows of the chunk that occur earlier, in `after`.
+_SUFFIX = "chunk long, id long, place long, lead binary, before binary, after binary"
+_SUFFIX_NAMES = ["chunk", "id", "place", "lead", "before", "after"]
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> bytes:
+    return np.stack([starts, counts], 1).astype("<i4").tobytes()
+
+
+def _suffixes(key: tuple, table: pa.Table) -> pa.Table:
+    """The suffixes of a chunk whose lead repeats; equal ones of a slice once, the rest being covered."""
+    rows = table.to_pylist()
+    text = next(r for r in rows if r["bucket"] < 0)
     found = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
-    if sum(r["n"] for r in found) != n:
-        raise RuntimeError(_CHANGED)
-    bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in found]).astype(bool) if found else np.zeros(0, bool)
-    out = []
-    for c in ("tails", "ids"):
-        back = np.zeros(n, bool)
-        back[by] = bits(c)
-        out.append(back)
-    return out
-
-
-def _result(c_ids, c_texts, spans_of) -> list[tuple]:
-    out = []
-    for k, (i, t) in enumerate(zip(c_ids, c_texts, strict=True)):
-        spans = spans_of(k)
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(t[at:a])
-            at = b
-        kept.append(t[at:])
-        out.append((None if i == NULL_KEY else int(i), len(t), [{"start": int(a), "end": int(b)} for a, b in spans], hashlib.sha256(b"".join(kept)).hexdigest()))
-    return out
+    ids, _, ends, data = _opened(text["n"], text["blob"])
+    place, lo, hi, h = leads(data, ends)
+    _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+    bits = [np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=r["n"]) for r in found]
+    repeated = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    mine = np.flatnonzero((repeated | (counts > 1))[back]) if len(h) else np.zeros(0, np.int64)
+    schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
+    out = [schema.empty_table()]
+    for s in range(0, len(mine), SLICE):
+        p, a, b = (x[mine[s : s + SLICE]] for x in (place, lo, hi))
+        same = _ragged(data, a, b - a + LENGTH).dictionary_encode().indices.to_numpy()
+        first = np.zeros(len(p), bool)
+        first[np.unique(same, return_index=True)[1]] = True
+        if not first.all():
+            covered = pa.array([_runs(a[~first], (b - a + 1)[~first])], pa.binary())
+            out.append(pa.table([pa.array([text["chunk"]]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), covered], schema=schema))
+        p, a, b = p[first], a[first], b[first]
+        parts = _ragged(data, p, np.full(len(p), K)), _ragged(data, a, p - a), _ragged(data, p + K, b + LENGTH - p - K)
+        out.append(pa.table([pa.array(np.full(len(p), text["chunk"])), pa.array(ids[np.searchsorted(ends, p, side="right")]), pa.array(p), *parts], schema=schema))
+    return pa.concat_tables(out)
+
+
+# ------------------------------------------------------------------- ranges
+
+def _keys(lead: pa.ChunkedArray | pa.Array, ids: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """The strings by which suffixes are dealt to ranges: lead, then id and chunk in an order of bytes."""
+    out = np.zeros((len(ids), K + 16), np.uint8)
+    out[:, :K] = _flat(lead)[0].reshape(-1, K)
+    out[:, K : K + 8] = (ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, K + 8 :] = chunks.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(out).view(f"S{K + 16}").ravel()
+
+
+def splitters(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending splitters, leads that lie on both sides of one) from sampled keys.
+
+    A splitter stands before all suffixes of its lead, unless the sample gives
+    the lead to more than one splitter: those part it by id.
+    """
+    if ranges < 2 or not len(keys):
+        return keys[:0], keys[:0].astype(f"S{K}")
+    at = np.sort(keys)[np.arange(1, ranges) * len(keys) // ranges]
+    raw = np.ascontiguousarray(np.unique(at)).view(np.uint8).reshape(-1, K + 16).copy()
+    lead = np.ascontiguousarray(raw[:, :K]).view(f"S{K}").ravel()
+    first = np.ones(len(lead), bool)
+    first[1:] = lead[1:] != lead[:-1]
+    raw[first, K:] = 0
+    cuts = np.unique(np.ascontiguousarray(raw).view(f"S{K + 16}").ravel())
+    return cuts, np.unique(lead[~first])
+
+
+def _to_range(cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys(batch.column(3), batch.column(1).to_numpy(), batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(cuts, keys, side="right").astype(np.int64))], names=[*_SUFFIX_NAMES, "range"])
+
+    return run
 
 
-def _second(bits: int):
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """The order of the rows of a matrix of words, by multikey quicksort: groups that agree so far are sorted by the next word."""
+    order = np.argsort(words[:, 0], kind="stable")
+    new = np.arange(len(order)) == 0
+    for w in range(1, words.shape[1] + 1):
+        last = words[order, w - 1]
+        new[1:] |= last[1:] != last[:-1]
+        alone = new & np.append(new[1:], True)
+        left = np.flatnonzero(~alone)
+        if w == words.shape[1] or not len(left):
+            break
+        group = np.cumsum(new)[left]
+        rows = order[left]
+        order[left] = rows[np.lexsort((words[rows, w], group))]
+    return order
+
+
+def _sorted(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each row of bytes, bytes that each row shares with the one before it in that order)."""
+    n, width = strings.shape
+    order = suffix_order(strings.view(">u8").astype(np.uint64))
+    shared = np.zeros(n, np.int64)
+    for s in range(1, n, SLICE):
+        a, b = strings[order[s : s + SLICE]], strings[order[s - 1 : s - 1 + len(order[s : s + SLICE])]]
+        differ = a != b
+        shared[s : s + SLICE] = np.where(differ.any(1), differ.argmax(1), width)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    return rank, shared
+
+
+_FOUND_NAMES = ["chunk", "id", "start", "window", "runs"]
+_FOUND_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+_FOUND = "chunk long, id long, start long, window binary, runs binary"
+
+
+def _by_chunk(chunks: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row of runs for each chunk."""
+    by = np.argsort(chunks, kind="stable")
+    edge = np.flatnonzero(np.diff(chunks[by], prepend=-1))
+    if not len(edge):
+        return _table([], tuple(_FOUND_NAMES), _FOUND_KINDS)
+    rows = [(int(chunks[by[a]]), None, None, None, _runs(starts[by[a:b]], counts[by[a:b]])) for a, b in zip(edge, np.append(edge[1:], len(by)), strict=True)]
+    return _table(rows, tuple(_FOUND_NAMES), _FOUND_KINDS)
+
+
+def _compare(both_sides: np.ndarray):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """The windows to look up, and the chunk's state: their places, and the spans that occur earlier."""
-        rows = table.to_pylist()
-        state = next(r for r in rows if r["bucket"] == -1)
-        codec = pa.Codec("zstd", 3)
-        ids, texts = pickle.loads(codec.decompress(state["tails"], state["n"], asbytes=True))
-        c = Chunk(ids, texts)
-        hashes, place, back, counts, _ = c.first_round()
-        elsewhere, before = _replies(rows, _order(hashes, place, bits))
-        n = len(c.anchors)
-        again = np.ones(len(back), bool)  # not the first of its hash in the chunk
-        again[np.unique(back, return_index=True)[1]] = False
-        repeated = (elsewhere | (counts > 1))[back[:n]]
-        earlier = (before[back] | again)[n:]
-        windows = c.open_windows(repeated, earlier)
-        ready = c.spans[earlier]
-        out: list[tuple] = []
-        if len(windows):
-            h, first = np.unique(mixed(c.whole[windows]), return_index=True)
-            by = _order(h, first, bits)
-            at = windows[first[by]]
-            out = _rows(key[0].as_py(), h[by], mixed(c.least[at]), c.ids_at(at), bits)
-        edge = np.flatnonzero(np.diff(windows, prepend=-5) != 1)
-        runs = np.stack([windows[edge], np.diff(np.append(edge, len(windows)))], 1)
-        raw = pickle.dumps((_stamp(ids, texts), runs.astype("<i4"), ready.astype("<i4"), bits))
-        out.append((-2 - key[0].as_py(), key[0].as_py(), codec.compress(raw, asbytes=True), b"", 0, len(raw)))
-        return _batch(out)
+        """The windows of a range's suffixes that occur earlier in it, and the others of the leads `both_sides`, one by one.
+
+        Two windows are one string if their leads stand at the same distance d,
+        and the suffixes share LENGTH - d bytes from the lead on, and d bytes
+        before it. Sorted, and sorted backwards, suffixes that share as much
+        are neighbours.
+        """
+        ids, chunks, place = (table[c].to_numpy() for c in ("id", "chunk", "place"))
+        by = np.lexsort((place, chunks, ids))
+        n, ids, chunks, place = len(by), ids[by], chunks[by], place[by]
+        right, left = np.zeros((n, 104), np.uint8), np.zeros((n, 64), np.uint8)
+        right[:, :K] = _flat(table["lead"])[0].reshape(-1, K)[by]
+        sizes = []
+        for name, into, backwards in (("before", left, True), ("after", right, False)):
+            flat, offsets = _flat(table[name])
+            size = np.diff(offsets)[by]
+            for s in range(0, n, SLICE):
+                own = size[s : s + SLICE]
+                before = np.cumsum(own) - own
+                column = np.arange(own.sum()) - np.repeat(before, own)
+                value = flat[np.repeat(offsets[by[s : s + SLICE]], own) + column]
+                row = np.repeat(np.arange(s, s + len(own)), own)
+                into[row, np.repeat(own, own) - 1 - column if backwards else K + column] = value
+            sizes.append(size)
+        most, least = sizes[0], LENGTH - K - sizes[1]
+        rank_r, shared_r = _sorted(right)
+        rank_l, shared_l = _sorted(left)
+        covered = np.zeros((n, REACH), bool)  # by start, so that d falls
+        for d in range(REACH):
+            some = np.flatnonzero((least <= d) & (d <= most))
+            if len(some) < 2:
+                continue
+            string = np.cumsum(shared_r < LENGTH - d)[rank_r[some]] * (n + 1) + np.cumsum(shared_l < d)[rank_l[some]]
+            later = np.ones(len(some), bool)
+            later[np.unique(string, return_index=True)[1]] = False
+            covered[some[later], REACH - 1 - d] = True
+        change = np.diff(covered.astype(np.int8), axis=1, prepend=0, append=0)
+        row, start = np.nonzero(change == 1)
+        stop = np.nonzero(change == -1)[1]
+        out = [_by_chunk(chunks[row], place[row] - REACH + 1 + start, stop - start)]
+        if len(both_sides):
+            lead = np.ascontiguousarray(right[:, :K]).view(f"S{K}").ravel()
+            some = np.flatnonzero(np.isin(lead, both_sides))
+            whole = np.concatenate([left[some][:, ::-1], right[some]], 1)
+            for d in range(REACH):
+                on = np.flatnonzero((least[some] <= d) & (d <= most[some]) & ~covered[some, REACH - 1 - d])
+                if len(on):
+                    cut = np.ascontiguousarray(whole[on, 64 - d : 64 - d + LENGTH])
+                    window = _ragged(cut.ravel(), np.arange(len(on)) * LENGTH, np.full(len(on), LENGTH))
+                    at = some[on]
+                    out.append(pa.table([pa.array(chunks[at]), pa.array(ids[at]), pa.array(place[at] - d), window, pa.nulls(len(on), pa.binary())], names=_FOUND_NAMES))
+        return pa.concat_tables(out)
 
     return run
 
 
-_FOUND = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from _by_chunk(batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.ones(batch.num_rows, np.int64)).to_batches()
+
+
+# ------------------------------------------------------------------ results
+
+_REMOVED = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
 
 
 def _last(key: tuple, table: pa.Table) -> pa.Table:
+    """A chunk's documents with what its runs of windows cover."""
     rows = table.to_pylist()
-    text, state = next((r for r in rows if r["bucket"] == -1), None), next((r for r in rows if r["bucket"] < -1), None)
-    if text is None or state is None:
-        raise RuntimeError(_CHANGED)
-    codec = pa.Codec("zstd", 3)
-    ids, texts = pickle.loads(codec.decompress(text["tails"], text["n"], asbytes=True))
-    stamp, runs, ready, bits = pickle.loads(codec.decompress(state["tails"], state["n"], asbytes=True))
-    if stamp != _stamp(ids, texts):
-        raise RuntimeError(_CHANGED)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(lengths)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    text = next(r for r in rows if r["bucket"] < 0)
+    ids, texts, ends, data = _opened(text["n"], text["blob"])
+    runs = np.frombuffer(b"".join(r["blob"] for r in rows if r["bucket"] >= 0), "<i4").reshape(-1, 2).astype(np.int64)
     step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, ready[:, 0], 1)
-    np.add.at(step, ready[:, 1], -1)
-    if len(runs):
-        windows = np.repeat(runs[:, 0].astype(np.int64) - (np.cumsum(runs[:, 1]) - runs[:, 1]), runs[:, 1]) + np.arange(runs[:, 1].sum())
-        h, first, back = np.unique(mixed(window_hashes(data)[windows]), return_index=True, return_inverse=True)
-        _, before = _replies(rows, _order(h, first, bits))
-        again = np.ones(len(windows), bool)
-        again[first] = False
-        hit = windows[before[back] | again]
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + LENGTH, -1)
+    np.add.at(step, runs[:, 0], 1)
+    np.add.at(step, runs.sum(1) - 1 + LENGTH, -1)
     covered = np.cumsum(step[:-1]) > 0
     change = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):  # a run of bytes may go on over documents' ends
         k = int(np.searchsorted(ends, a, side="right"))
         while a < b:
-            start = int(ends[k] - lengths[k])
-            to = min(b, int(ends[k]))
+            start, to = int(ends[k]) - len(texts[k]), min(b, int(ends[k]))
             if to > a:
                 spans[k].append((a - start, to - start))
             a, k = to, k + 1
-    done = _result(ids, texts, lambda k: spans[k])
-    columns = list(zip(*done, strict=True)) if done else [[], [], [], []]
+    digests = []
+    for t, own in zip(texts, spans, strict=True):
+        digest, at = hashlib.sha256(), 0
+        for a, b in own:
+            digest.update(t[at:a])
+            at = b
+        digest.update(t[at:])
+        digests.append(digest.hexdigest())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], kind), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "removed", "kept_sha256"])
+    removed = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind)
+    return pa.table([pa.array(ids, mask=ids == NULL_KEY), pa.array([len(t) for t in texts], pa.int64()), removed, pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "removed", "kept_sha256"])
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS, tail_bits: int = TAIL_BITS) -> DataFrame:
     """(doc_id, n_bytes, removed, kept_sha256) for every row of df, other columns left behind.
 
     removed: the maximal runs of bytes that a string of LENGTH bytes covers
     which also starts earlier, in a row of smaller key or before in the same
-    row. Null keys come first, rows of one key follow each other by their
-    text; null and empty texts have no bytes. df is read three times and has to
-    give the same rows in the same order, as files do; else an error is raised.
-    Strings are told apart by all 64 bits of a hash and 8 of another one.
+    row. Strings are compared by their bytes. Null keys come first (and -2^63
+    counts as null); rows of one key follow each other by their chunk, in it by
+    their text; null and empty texts have no bytes. An empty table gives an
+    empty one. df is read once, to a table in the shared folder.
     """
-    # the partition as the scan counts it, which a union does not change
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/substrings-{uuid.uuid4().hex}"
+
+    def kept(made: DataFrame, name: str, codec: str) -> DataFrame:
+        made.write.option("compression", codec).mode("overwrite").parquet(f"{place}/{name}")
+        return spark.read.parquet(f"{place}/{name}")
+
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weight = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    bits = max(LEAST_BITS, min(20, int(weight // BUCKET_BYTES).bit_length()))
-    found = docs.mapInArrow(_deal(bits), _DEALT).groupBy("bucket").applyInArrow(_look_up, _DEALT)
-    again = found.unionByName(docs.mapInArrow(_texts, _DEALT)).groupBy("chunk").applyInArrow(_second(bits), _DEALT)
-    # texts are dealt again, as the way by the buckets would write them twice
-    return again.groupBy("bucket").applyInArrow(_look_up, _DEALT).unionByName(docs.mapInArrow(_texts, _DEALT)).groupBy("chunk").applyInArrow(_last, _FOUND)
+    bits = max(LEAST_BITS, min(MOST_BITS, int(weight // BUCKET_BYTES).bit_length()))
+    texts = kept(docs.mapInArrow(_chunked, _TEXTS), "texts", "none")
+    counted = texts.mapInArrow(_deal(bits, tail_bits), _TEXTS).groupBy("bucket").applyInArrow(_count, _TEXTS)
+    suffixes = kept(counted.unionByName(texts).groupBy("chunk").applyInArrow(_suffixes, _SUFFIX), "suffixes", "zstd")
+    own = suffixes.where("lead is not null")
+    n = own.count()
+    ranges = max(1, min(SPLITTERS, n // range_rows))
+    rate = max(1, n // (ranges * PER_SPLITTER))
+    sample = own.where(F.pmod(F.xxhash64("chunk", "place"), F.lit(rate)) == 0).select("lead", "id", "chunk").toArrow() if ranges > 1 else None
+    cuts, both_sides = splitters(_keys(sample["lead"], sample["id"].to_numpy(), sample["chunk"].to_numpy()), ranges) if sample else splitters(np.zeros(0, f"S{K + 16}"), 1)
+    found = kept(own.mapInArrow(_to_range(cuts), f"{_SUFFIX}, range long").groupBy("range").applyInArrow(_compare(both_sides), _FOUND), "found", "zstd")
+    covers = [suffixes.where("lead is null").select("chunk", F.col("after").alias("runs")), found.where("window is null").select("chunk", "runs")]
+    if len(both_sides):
+        # at most one of each string a range: few enough for one task
+        order = Window.partitionBy("window").orderBy("id", "chunk", "start")
+        late = found.where("window is not null").withColumn("i", F.row_number().over(order)).where("i > 1")
+        covers.append(late.select("chunk", "start").mapInArrow(_late, _FOUND).select("chunk", "runs"))
+    rows = texts
+    for c in covers:
+        rows = rows.unionByName(c.select(F.lit(0).cast("long").alias("bucket"), "chunk", F.lit(0).cast("long").alias("n"), F.col("runs").alias("blob")))
+    return rows.groupBy("chunk").applyInArrow(_last, _REMOVED)
 
 
 def cut(df: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept") -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,19 +162,52 @@ def test_substring_dedup(stored):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == found[r["doc_id"]]["kept_sha256"]
 
 
-def test_substring_dedup_hashes():
-    """Strings of two chunks are the same where all 64 bits of their hashes agree, and the byte of the other hash."""
-    import pyarrow as pa
-
-    def earlier(one, two, more=(0, 0)):
-        rows = [r for k, h in enumerate((one, two)) for r in substring_dedup._rows(k, np.array([h], np.uint64), np.array([more[k] << 56], np.uint64), np.array([k]), 8)]
-        found = substring_dedup._look_up((pa.scalar(rows[0][0]),), substring_dedup._batch(rows)).to_pylist()
-        return [any(r["ids"]) for r in found]
+def test_substring_dedup_across_splitters(spark):
+    """A passage that a third of the documents have, in ranges that split its leads, with hashes that agree by chance: the bytes decide."""
+    import random
 
-    h = 0x0123456789ABCDEF
-    assert earlier(h, h) == [False, True]
-    assert earlier(h, h ^ 1) == earlier(h, h ^ (1 << 15)) == [False, False]
-    assert earlier(h, h, (3, 4)) == [False, False]
+    r = random.Random(5)
+    rows = []
+    for i in range(240):
+        kind = r.random()
+        if kind < 0.4:
+            rows.append((i, prose(i, 15) + " " + prose(7, 18) + " " + prose(i + 5000, 15)))
+        elif kind < 0.5:
+            rows.append((i, "ab" * r.randrange(300) + "x" * r.randrange(300)))
+        else:
+            rows.append((i, "\n".join(prose(r.randrange(20), 12) for _ in range(6)) if kind < 0.6 else prose(i, 30)))
+    expected = Counter((rows[k][0], *v) for k, v in brute.repeats(rows).items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({"range_rows": 20}, {"tail_bits": 1}):
+        got = plain(substring_dedup.repeats(df, **options))
+        assert Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), r["kept_sha256"]) for r in got) == expected
+
+
+def test_substring_dedup_text_without_repeats(spark):
+    """Nothing of random text goes, though almost every hash that is counted is also that of another string."""
+    rng = np.random.default_rng(1)
+    rows = [(i, bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)).decode()) for i in range(50)]
+    got = plain(substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), tail_bits=2))
+    assert len(got) == 50 and not any(r["removed"] for r in got)
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(2)
+    strings = rng.integers(97, 99, (500, 24), dtype=np.uint8)
+    strings[200:400] = strings[:200]
+    order = substring_dedup.suffix_order(strings.view(">u8").astype(np.uint64))
+    assert [bytes(strings[i]) for i in order] == sorted(bytes(x) for x in strings)
+
+
+def test_splitters():
+    """Splitters stand before a lead; only a lead with more than one is parted by ids."""
+    leads = np.array([bytes([65 + i % 3]) * 36 if i < 60 else b"M" * 36 for i in range(100)])
+    keys = substring_dedup._keys(pa.array(leads.tolist(), pa.binary()), np.arange(100), np.zeros(100, np.int64))
+    cuts, both = substring_dedup.splitters(keys, 20)
+    assert b"M" * 36 in both.tolist() and len(cuts) > 8
+    place = np.searchsorted(cuts, keys, side="right")
+    for lead in np.unique(leads):
+        assert len(set(place[leads == lead])) == 1 or lead in both
 
 
 def test_mixing(stored):
