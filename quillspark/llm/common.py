@@ -69,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
             return found.get()
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         place = tempfile.mkdtemp(prefix="quillspark-")

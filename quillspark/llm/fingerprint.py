@@ -2,7 +2,7 @@
 
 A paragraph's pieces hash to wide vectors, and a text's fingerprint is their
 sum: lanes modulo 2^62 that tell multisets apart, and lanes of one bit, kept
-modulo 2^20 three to a number, whose centred counts make likeness a cosine.
+modulo 2^32 two to a number, whose centred counts make likeness a cosine.
 Sums do not depend on order, and adding or taking away a paragraph adds or
 takes away its vector.
 """
@@ -19,8 +19,8 @@ from .common import let
 PIECE = r"(?<=\n|[.!?]\x20)"
 EQUAL = 2
 SEEDS = 3
-LANES = 1 << 40 | 1 << 20 | 1
-M62, M60, M20 = (1 << 62) - 1, (1 << 60) - 1, (1 << 20) - 1
+LANES = 1 << 32 | 1
+M62, M32 = (1 << 62) - 1, (1 << 32) - 1
 
 
 def pieces(text: Column) -> Column:
@@ -32,7 +32,8 @@ def vector(text: Column) -> Column:
 
     def packed(h: Column) -> Column:
         lane = lambda x, s: F.call_function("shiftright", x, s).bitwiseAND(F.lit(LANES))
-        return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda s: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a + lane(x, s)).bitwiseAND(F.lit(M60))))
+        # a text has fewer than 2^31 pieces, so that no lane runs over into the next
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda s: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + lane(x, s)))
 
     def summed(p: Column) -> Column:
         hashed = lambda k: F.transform(p, lambda x: F.xxhash64(F.lit(k), x))
@@ -59,11 +60,11 @@ def removed(a: Column, b: Column) -> Column:
 
 
 def _lanes(x: Column) -> list[Column]:
-    return [F.shiftright(x, 20 * j).bitwiseAND(F.lit(M20)) for j in range(3)]
+    return [F.shiftright(x, 32 * j).bitwiseAND(F.lit(M32)) for j in range(2)]
 
 
 def _joined(parts: list[Column]) -> Column:
-    return sum((F.shiftleft(p.bitwiseAND(F.lit(M20)), 20 * j) for j, p in enumerate(parts)), F.lit(0).cast("long"))
+    return sum((F.shiftleft(p.bitwiseAND(F.lit(M32)), 32 * j) for j, p in enumerate(parts)), F.lit(0).cast("long"))
 
 
 def _plus(x: Column, y: Column, i: Column) -> Column:
@@ -77,9 +78,9 @@ def _minus(x: Column, y: Column, i: Column) -> Column:
 
 
 def centred(v: Column) -> Column:
-    """The bit lanes as counts of ones less zeros."""
+    """The bit lanes as counts of ones less zeros; right up to 2^32 pieces in a multiset."""
     n = F.get(v, F.lit(0))
-    lanes = F.flatten(F.transform(F.slice(v, EQUAL + 2, 20 * SEEDS), lambda x: F.array(*_lanes(x))))
+    lanes = F.flatten(F.transform(F.slice(v, EQUAL + 2, 32 * SEEDS), lambda x: F.array(*_lanes(x))))
     return let(n, lambda m: F.transform(lanes, lambda c: (2 * c - m).cast("double")))
 
 
@@ -114,35 +115,36 @@ RANGES = 2048
 def with_next(df: DataFrame, key: str, carry: list[str], out: str) -> DataFrame:
     """df with a struct `out` of the columns `carry` of the next row by key, ascending; after the last row, of the first.
 
-    Rows are dealt to at most RANGES ranges of the key, so that rows move once; the
+    Rows are dealt to about RANGES ranges of the key, so that rows move once; the
     first row of each range also goes to the range before. Null keys come
-    first; rows of one key follow each other by the carried columns.
+    first; rows of one key follow each other by a hash of the carried columns,
+    which also parts a key with more rows than a range holds.
     """
-    rows = df.select(F.col(key).alias("k"))
-    cuts = quantiles(rows, "k", RANGES)
-    place = _range_of(F.col(key), cuts)
-    firsts = {r["p"]: r["k"] for r in rows.groupBy(_range_of(F.col("k"), cuts).alias("p")).agg(F.expr("min_by(k, coalesce(k, -9223372036854775808L))").alias("k")).collect()}
+    low = -(2**63)
+    level = F.coalesce(F.col(key).cast("long"), F.lit(low))
+    dealt = df.withColumn("__level", level).withColumn("__u", F.shiftrightunsigned(F.xxhash64(*carry), 33))
+    cuts = quantiles(df, key, RANGES)
+    dealt = dealt.withColumn("__p", range_of(F.col("__level"), F.col("__u"), cuts))
+    firsts = {r["p"]: r["f"] for r in dealt.groupBy(F.col("__p").alias("p")).agg(F.min(F.struct("__level", "__u")).alias("f")).collect()}
     order = sorted(firsts)
-    back = {p: order[i - 1] for i, p in enumerate(order)}
     if not order:
         return df.withColumn(out, F.struct(*carry))
-    low = -(2**63)
+    back = {p: order[i - 1] for i, p in enumerate(order)}
     ranges = range(order[-1] + 1)
-    before = F.get(_longs([back.get(p, 0) for p in ranges]), F.col("__p")).cast("int")
-    known = F.get(_longs([low if firsts.get(p) is None else firsts[p] for p in ranges]), F.col("__p"))
-    level = F.coalesce(F.col(key).cast("long"), F.lit(low))
-    dealt = df.withColumn("__p", place).withColumn("__first", level == known)
+    known = lambda of: F.get(_longs([of(p) if p in firsts else 0 for p in ranges]), F.col("__p"))
+    before = known(lambda p: back[p]).cast("int")
+    first = (F.col("__level") == known(lambda p: firsts[p]["__level"])) & (F.col("__u") == known(lambda p: firsts[p]["__u"]))
     own = F.struct(F.col("__p").alias("p"), F.lit(0).alias("late"))
-    copies = F.when(F.col("__first"), F.array(own, F.struct(before.alias("p"), F.lit(1).alias("late")))).otherwise(F.array(own))
-    w = Window.partitionBy("__at.p").orderBy("__at.late", level, *carry)
+    copies = F.when(first, F.array(own, F.struct(before.alias("p"), F.lit(1).alias("late")))).otherwise(F.array(own))
+    w = Window.partitionBy("__at.p").orderBy("__at.late", "__level", "__u", *carry)
     spread = dealt.withColumn("__at", F.explode(copies))
-    return spread.withColumn(out, F.lead(F.struct(*carry)).over(w)).where("__at.late = 0").drop("__at", "__p", "__first")
+    return spread.withColumn(out, F.lead(F.struct(*carry)).over(w)).where("__at.late = 0").drop("__at", "__p", "__level", "__u")
 
 
 def quantiles(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 cuts that part the keys about evenly, ascending; one aggregate, null keys apart."""
+    """At most n - 1 cuts that part the keys about evenly, ascending; a key of many rows is several cuts; null keys count as -2^63."""
     at = ", ".join(str(i / n) for i in range(1, n))
-    return sorted(set(df.agg(F.expr(f"percentile_approx(cast(`{key}` as bigint), array({at}), 20000)").alias("q")).first()["q"] or [])) if n > 1 else []
+    return sorted(df.agg(F.expr(f"percentile_approx(coalesce(cast(`{key}` as bigint), -9223372036854775808L), array({at}), 20000)").alias("q")).first()["q"] or []) if n > 1 else []
 
 
 def _longs(values: list[int]) -> Column:
@@ -150,13 +152,27 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _range_of(key: Column, cuts: list[int], step: int = 45) -> Column:
-    """The number of cuts at or below the key, found in two steps."""
+def range_of(level: Column, u: Column, cuts: list[int], step: int = 45) -> Column:
+    """The range of a row by its key (null as -2^63) and, where one key is several cuts, by u, a number below 2^31: in their order."""
     if not cuts:
         return F.lit(0)
-    flat = _longs(cuts)
-    near = F.size(F.filter(_longs(cuts[::step]), lambda c: c <= key))
-    return F.when(key.isNull() | (near <= 0), F.lit(0)).otherwise(let(near, lambda m: (m - 1) * step + F.size(F.filter(F.slice(flat, (m - 1) * step + 1, F.lit(step)), lambda c: c <= key))))
+    flat = sorted(set(cuts))
+    times = [cuts.count(c) if len(flat) < len(cuts) else 1 for c in flat]
+    first = [0]
+    for t in times:
+        first.append(first[-1] + t)
+    # the number of cuts at or below the key, found in two steps
+    near = F.size(F.filter(_longs(flat[::step]), lambda c: c <= level))
+    place = F.when(near <= 0, F.lit(0)).otherwise(let(near, lambda m: (m - 1) * step + F.size(F.filter(F.slice(_longs(flat), (m - 1) * step + 1, F.lit(step)), lambda c: c <= level))))
+    if len(flat) == len(cuts):
+        return place.cast("int")
+
+    def parted(i: Column) -> Column:
+        n = F.get(_longs([1, *times]), i)
+        inside = F.when(F.get(_longs([0, *flat]), i) == level, F.floor(u * n / F.lit(1 << 31))).otherwise(n - 1)
+        return (F.get(_longs([0, *(f + 1 for f in first[:-1])]), i) + inside).cast("int")
+
+    return let(place, parted)
 
 
 def edited_with_next(docs: DataFrame) -> DataFrame:
