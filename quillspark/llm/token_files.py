@@ -8,6 +8,7 @@ bit offset of each, so that a table decodes all blocks side by side.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .fingerprint import RANGES, _range_of, quantiles
+from .fingerprint import RANGES, quantiles, range_of
 from .word_hash import _BASE, _BYTE, mixed
 
 #: Longest code, tokens to a block, id that ends a document.
@@ -335,10 +336,11 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) ->
 # ------------------------------------------------------------------- files
 
 def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: int = END) -> DataFrame:
-    """Encode df's texts to token files at `out` and return the table of file images (file, first_key, tokens, image), in ascending key order.
+    """Encode df's texts to token files at `out` and return the table of file images (range, file, first_key, tokens, image), in ascending key order.
 
     Null keys come first, null texts count as empty, rows of one key follow
-    each other by their ids, and columns other than the two are not read. The
+    each other by a hash of their ids, and columns other than the two are not
+    read; repeated rows are each written, and an empty table gives no file. The
     ids go once to the shared folder, beside the counts that the codes need.
     """
     spark = df.sparkSession
@@ -347,10 +349,11 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
     n = max(2, min(RANGES, weight // RANGE_BYTES))
     cuts = quantiles(df, key, n)
     ids = tokenized(df, key, text, path, end)
-    ids = ids.withColumn("range", _range_of(F.col("key"), cuts))
+    ids = ids.withColumn("u", F.shiftrightunsigned(F.xxhash64("ids"), 33))
+    ids = ids.withColumn("range", range_of(F.coalesce("key", F.lit(NULL_KEY)), F.col("u"), cuts))
     kept = f"{out}-ids"
     parts = max(1, min(len(cuts) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
-    ids.repartition(parts, "range").sortWithinPartitions("range", "key", "ids").write.option("compression", "zstd").mode("overwrite").parquet(kept)
+    ids.repartition(parts, "range").sortWithinPartitions("range", "key", "u", "ids").drop("u").write.option("compression", "zstd").mode("overwrite").parquet(kept)
     ids = spark.read.parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,13 +374,16 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
     codes = canonical(lengths)
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list = []
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, ns, blobs = zip(*held, strict=True)
             flat = np.frombuffer(b"".join(blobs), wide)
             image = file_image(np.array([NULL_KEY if k is None else k for k in keys], np.int64), np.array(ns), flat, lengths, codes)
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([keys[0]], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([image], pa.binary())], names=["range", "first_key", "tokens", "image"])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([next(numbers)], pa.int64()), pa.array([keys[0]], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([image], pa.binary())], names=["range", "file", "first_key", "tokens", "image"])
             held.clear()
 
         place, size = None, 0
@@ -392,7 +398,7 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
         if held:
             yield from flush()
 
-    made = ids.select("range", "key", "n", "ids").mapInArrow(images, "range int, first_key long, tokens long, image binary")
+    made = ids.select("range", "key", "n", "ids").mapInArrow(images, "range int, file long, first_key long, tokens long, image binary")
     made.write.option("compression", "none").mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
@@ -419,11 +425,11 @@ def read_files(files: DataFrame, measure: bool = False) -> DataFrame:
 
     # a row for each range, and within a range a row for each file: never a row for each document
     within = Window.partitionBy("range").orderBy(F.col("first_key").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    info = files.select("range", "first_key", "tokens", F.xxhash64("image").alias("file"))
+    info = files.select("range", "first_key", "tokens", "file")
     sums = info.groupBy("range").agg(F.sum("tokens").alias("t")).select("range", F.coalesce(F.sum("t").over(Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     starts = info.select("range", "file", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("inside")).join(F.broadcast(sums), "range")
     starts = starts.select("file", (F.col("before") + F.col("inside")).alias("base"))
-    placed = files.withColumn("file", F.xxhash64("image")).join(starts, "file").select("base", "image")
+    placed = files.join(starts, "file").select("base", "image")
     kind = "long" if measure else "binary"
     return placed.mapInArrow(read, f"doc_id long, start long, n_tokens long, last {kind}").withColumnRenamed("last", "ids_crc32" if measure else "ids")
 
