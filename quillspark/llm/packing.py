@@ -69,12 +69,13 @@ def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     t = F.col(text)
     rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(t).alias("size"), F.xxhash64(F.lower(F.array_join(words(t), " "))).alias("cluster"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))
     groups = max(1, -(-df.count() // group))
-    # equal rows have one hash: a random number by place spreads them
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    # equal rows have one hash: their number among themselves spreads them, and neither depends on the files
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("h", "copy"), F.lit(groups)).cast("int"))
     kind = df.schema[key].dataType.simpleString()
 
     def place(got: pa.Table) -> pa.Table:
-        got = got.sort_by([("size", "descending"), ("key", "ascending"), ("h", "ascending")])
+        got = got.sort_by([("size", "descending"), ("key", "ascending"), ("h", "ascending"), ("copy", "ascending")])
         sizes = got["size"].to_pylist()
         put = best_fit(sizes, got["source"].to_pylist(), got["cluster"].to_pylist(), capacity, per_source)
         i = pa.array([p[0] for p in put], pa.int64())

@@ -78,6 +78,43 @@ def test_next(spark, n):
     assert got == {i * 7 - 50: (i + 1) % n for i in range(n)}
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_next_of_a_hot_key(spark, hot, monkeypatch):
+    """A key that most rows have, or null, is parted over ranges, and every row has the next one still."""
+    monkeypatch.setattr(fingerprint, "RANGES", 16)
+    rows = [(hot, f"t{i}") for i in range(300)] + [(i, f"u{i}") for i in range(5, 60)]
+    d = spark.createDataFrame(rows, "k long, v string").repartition(3)
+    got = [((r.k is not None, r.k or 0, r.v), (r.next.v)) for r in fingerprint.with_next(d.withColumn("next", F.lit(1)).drop("next"), "k", ["v"], "next").collect()]
+    assert Counter(n for _, n in got) == Counter(v for _, v in rows) == Counter(k[2] for k, _ in got)
+    key = {v: (k is not None, k or 0) for k, v in rows}
+    back = sum(key[n] < k[:2] for k, n in got)
+    assert back == 1  # from the last row to the first
+    cuts = fingerprint.quantiles(d, "k", 16)
+    assert len(set(cuts)) < len(cuts)
+    place = d.select(fingerprint.range_of(F.coalesce("k", F.lit(-(2**63))), F.shiftrightunsigned(F.xxhash64("v"), 33), cuts).alias("p"), "k")
+    assert len({r.p for r in place.where(F.col("k").eqNullSafe(F.lit(hot))).distinct().collect()}) > 6
+
+
+def test_fingerprint_of_many_pieces(spark):
+    """Counts of more than 2^20 pieces don't wrap: a paragraph said a million times is as like itself as one said twice."""
+    d = spark.createDataFrame([("ab.\n" * (2**20 + 5), "ab.\n" * 1000)], "x string, y string")
+    got = d.select(fingerprint.likeness(fingerprint.vector(F.col("x")), fingerprint.vector(F.col("y")))).first()[0]
+    assert got > 0.99
+
+
+def test_token_files_of_equal_rows(spark, tmp_path, monkeypatch):
+    """Files with equal images are told apart, and one key's rows lie in more than one range."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(None, "")] * 6 + [(3, "one two three")] * 60, "doc_id long, text string").repartition(1)
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 3)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 100)
+    files = token_files.write_files(d, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "f"))
+    assert files.count() > files.select("image").distinct().count()
+    back = sorted(plain(token_files.read_files(files)), key=lambda r: r["start"])
+    assert Counter(r["doc_id"] for r in back) == {None: 6, 3: 60} and [r["doc_id"] for r in back] == [None] * 6 + [3] * 60
+    assert [r["start"] for r in back] == np.cumsum([0] + [r["n_tokens"] for r in back])[:-1].tolist()
+
+
 def test_token_files(spark, stored, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -249,6 +286,51 @@ def test_packing(stored):
     assert sum(r["words"] for r in got) == sum(len(brute.WORD.findall(r["text"] or "")) for r in rows)
 
 
+def test_packing_is_stable(spark):
+    """Bins don't depend on how rows lie in files, equal rows too, and keep to the bounds on clusters and sources."""
+    rows = [(i % 700, prose(i % 90, 5 + i % 40), f"s{i % 7}") for i in range(1400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (plain(packing.pack(d.repartition(n), capacity=64, group=200)) for n in (3, 5))
+    key = lambda r: tuple(r[c] for c in ("doc_id", "cluster", "piece", "bin_group", "bin", "start", "words"))
+    assert Counter(map(key, one)) == Counter(map(key, two))
+    source = {i: s for i, _, s in rows}
+    bins: dict = {}
+    for r in one:
+        bins.setdefault((r["bin_group"], r["bin"]), []).append(r)
+    for b in bins.values():
+        assert sum(r["words"] for r in b) <= 64 and len({r["cluster"] for r in b}) == len(b)
+        assert max(Counter(source[r["doc_id"]] for r in b).values()) <= packing.PER_SOURCE
+
+
+def plain_best_fit(sizes, sources, clusters, capacity, per_source):
+    """Every bin is tried; the one with the least room that holds the piece gets it, the first of equals."""
+    bins, out = [], []
+    for row, size in enumerate(sizes):
+        piece = 0
+        while size > capacity:
+            bins.append({"room": -1, "rows": [row]})
+            out.append((row, piece, len(bins) - 1))
+            size, piece = size - capacity, piece + 1
+        fit = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and all(clusters[r] != clusters[row] for r in b["rows"]) and sum(sources[r] == sources[row] for r in b["rows"]) < per_source]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"room": capacity, "rows": []})
+        bins[k]["room"] -= size
+        bins[k]["rows"].append(row)
+        out.append((row, piece, k))
+    return out
+
+
+def test_best_fit_against_every_bin():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = 60
+        sizes = sorted(rng.integers(0, 30, n).tolist(), reverse=True)
+        sources, clusters = rng.integers(0, 5, n).tolist(), rng.integers(0, 40, n).tolist()
+        put = packing.best_fit(sizes, sources, clusters, 20, 2)
+        assert [(r, p, b) for r, p, b, _ in put] == plain_best_fit(sizes, sources, clusters, 20, 2)
+
+
 def test_best_fit():
     put = packing.best_fit([6, 5, 4, 4, 3], list("abcde"), [1, 2, 3, 4, 4], 10)
     assert [(r, b) for r, _, b, _ in put] == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 2)]  # the last conflicts with the bin that it fits
