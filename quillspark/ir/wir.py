@@ -1,14 +1,19 @@
 """Process relations of a script: (input, caller, operation, output), their graph, annotation and column provenance.
 
-Ids count up over one notebook's syntax tree, and annotation is a worklist
-whose visits depend on each other; both run per notebook. Tables of relations
-and annotations go on in SQL.
+A table says which parts of a syntax node are its operation, its inputs, its
+caller and its outputs; a relation stands for each combination of them. Ids
+count up over one notebook's tree, and annotation is a worklist whose visits
+depend on each other; both run per notebook. Tables of relations and
+annotations go on in SQL.
 """
 
 from __future__ import annotations
 
 import ast
+from collections import defaultdict, deque
 from collections.abc import Callable
+from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,153 +21,144 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
 
-PR = tuple[str | None, str | None, str | None, str | None]
-_OPERATORS = (ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod, ast.BitAnd, ast.Eq, ast.Lt, ast.Gt, ast.GtE, ast.LtE)
 
+class Relation(NamedTuple):
+    input: str | None
+    caller: str | None
+    op: str | None
+    output: str | None
+
+
+#: The operation, inputs, caller and outputs of each kind of syntax node, as fields of it. `@` is a new
+#: name after the node's kind (or what follows), `#` a new name after a field; a kind without an operation only passes names on.
+PARTS = {
+    "Assign": ("@", "value", "", "targets"),
+    "For": ("@", "iter", "", "target"),
+    "comprehension": ("@", "iter", "", "target"),
+    "Call": ("func", "args keywords", "", "#func.id"),
+    "Attribute": ("attr", "", "value", "#attr"),
+    "Subscript": ("@", "slice", "value", ""),
+    "Slice": ("@", "lower upper step", "", ""),
+    "List": ("@", "elts", "", ""),
+    "Dict": ("@", "keys values", "", ""),
+    "ListComp": ("@", "generators elt", "", ""),
+    "IfExp": ("@", "test body orelse", "", ""),
+    "Compare": ("ops", "left comparators", "", ""),
+    "BinOp": ("op", "left right", "", ""),
+    "UnaryOp": ("@", "operand", "", ""),
+    "keyword": ("@", "value", "", "#arg"),
+    "Lambda": ("@", "", "", ""),
+    "Import": ("", "", "", "names"),
+    "ImportFrom": ("@", "module", "", "names"),
+    "alias": ("@ImportAs", "name", "", "asname"),
+    "Name": ("", "", "", "id"),
+    "Constant": ("", "", "", "#value"),
+    "Tuple": ("", "", "", "elts"),
+    "Expr": ("", "", "", "value"),
+} | dict.fromkeys("Add Sub Mult Div Mod BitAnd Eq Lt Gt GtE LtE".split(), ("@", "", "", ""))
 
 
 def bare(name: str | None) -> str:
     return "" if name is None else name.split(":")[0]
 
 
-class Relations:
-    """The relations of one tree. A part of a node is a node, a list of parts, a name or None."""
+class Names:
+    """New names: what they are after, and a number that counts up."""
 
     def __init__(self) -> None:
         self.count = 0
-        self.found: list[PR] = []
 
-    def fresh(self, name: object = "") -> str:
+    def __call__(self, after: object = "") -> str:
         self.count += 1
-        return f"{name}:id{self.count}"
-
-    def parts(self, n: ast.AST) -> tuple:
-        """What of a node is its operation, input, caller and output, each made when asked for, in that order."""
-        own = lambda: self.fresh(type(n).__name__)
-        match n:
-            case ast.Assign():
-                return own, lambda: n.value, None, lambda: n.targets
-            case ast.Call():
-                return lambda: n.func, lambda: [*n.args, *n.keywords], None, (lambda: self.fresh(n.func.id)) if isinstance(n.func, ast.Name) else None
-            case ast.Attribute():
-                return lambda: n.attr, None, lambda: n.value, lambda: self.fresh(n.attr)
-            case ast.Name():
-                return None, None, None, lambda: n.id
-            case ast.Constant():
-                return None, None, None, lambda: self.fresh(n.value)
-            case ast.Import():
-                return None, None, None, lambda: n.names
-            case ast.alias():
-                return lambda: self.fresh("ImportAs"), lambda: n.name if n.asname else self.fresh(n.name), None, lambda: n.asname or n.name
-            case ast.ImportFrom():
-                return own, lambda: n.module, None, lambda: [a if a.asname else a.name for a in n.names]
-            case ast.Subscript():
-                return own, lambda: n.slice, lambda: n.value, None
-            case ast.Tuple():
-                return None, None, None, lambda: n.elts
-            case ast.Slice():
-                return own, lambda: [self.fresh() if v is None else v for v in (n.lower, n.upper, n.step)], None, None
-            case ast.List():
-                return own, lambda: n.elts, None, None
-            case ast.Expr():
-                return None, None, None, lambda: n.value
-            case ast.For():
-                return own, lambda: n.iter, None, lambda: n.target
-            case ast.Compare():
-                return lambda: n.ops, lambda: [n.left, *n.comparators], None, None
-            case ast.BinOp():
-                return lambda: n.op, lambda: [n.left, n.right], None, None
-            case ast.keyword():
-                return own, lambda: n.value, None, (lambda: self.fresh(n.arg)) if n.arg is not None else None
-            case ast.ListComp():
-                return own, lambda: [*n.generators, n.elt], None, None
-            case ast.UnaryOp():
-                return own, lambda: n.operand, None, None
-            case ast.comprehension():
-                return own, lambda: n.iter, None, lambda: n.target
-            case ast.IfExp():
-                return own, lambda: [n.test, n.test, n.orelse], None, None
-            case ast.Dict():
-                return own, lambda: [ast.Tuple([k, v]) for k, v in zip(n.keys, n.values, strict=True) if k is not None], None, None
-            case ast.Lambda():
-                return own, None, None, None
-            case _ if isinstance(n, _OPERATORS):
-                return own, None, None, None
-        return None, None, None, None
-
-    def walk(self, part: object, method: bool = False) -> list[str] | str | None:
-        """The names that stand for a part's value; its relations are added on the way."""
-        if part is None:
-            return None
-        if isinstance(part, list):
-            flat: list[str] = []
-            for p in part:
-                got = self.walk(p)
-                flat += got if isinstance(got, list) else [got]
-            return flat
-        if isinstance(part, str):
-            name = part.replace("\n", "")
-            return f"{name}:meth" if method else name
-        if not isinstance(part, ast.AST):
-            return str(part)
-        operation, given, owner, result = (self.walk(make(), k == 0 and isinstance(part, (ast.Call, ast.Attribute))) if make else None for k, make in enumerate(self.parts(part)))
-        if result is None:
-            if owner is None and (given is None or (isinstance(given, list) and all(g is None for g in given))):
-                return operation
-            result = [self.fresh(o) for o in operation] if isinstance(operation, list) else self.fresh(operation)
-        many = lambda x: x if isinstance(x, list) else [x]
-        self.found += [(i, c, o, r) for i in many(given) for c in many(owner) for o in many(operation) for r in many(result)]
-        return result
-
-
-def merge_destructured(prs: list[PR]) -> list[PR]:
-    """A method's name and its call as one operation with the method's owner."""
-    operations = {o for _, _, o, _ in prs}
-    owner: dict = {}
-    for _, c, o, r in prs:
-        if c is not None and o in operations and r in operations and bare(o) == bare(r):
-            owner.setdefault(r, c)
-    return [(i, owner[o] if o in owner and c is None else c, o, r) for i, c, o, r in prs if not (r in owner and c is not None)]
-
-
-def repair_imports(prs: list[PR], fresh: Callable[[], str]) -> list[PR]:
+        return f"{after}:id{self.count}".replace("\n", "")
+
+
+def _values(node: ast.AST, spec: str, new: Names, found: list[Relation]) -> list[str | None]:
+    """The names that a part of a node stands for."""
+    if spec[:1] == "@":
+        return [new(spec[1:] or type(node).__name__)]
+    if spec[:1] == "#":
+        value = node
+        for f in spec[1:].split("."):
+            if not hasattr(value, f):
+                return []
+            value = getattr(value, f)
+        return [] if value is None and not isinstance(node, ast.Constant) else [new(value)]
+    out: list[str | None] = []
+    for f in spec.split():
+        value = getattr(node, f)
+        for v in value if isinstance(value, list) else [value]:
+            if isinstance(v, ast.alias) and isinstance(node, ast.ImportFrom) and not v.asname:
+                out.append(v.name)
+            elif isinstance(v, ast.AST):
+                out += relate(v, new, found)
+            elif v is not None:
+                out.append(f"{v}:meth" if f == "attr" else str(v))
+            elif isinstance(node, ast.Slice):
+                out.append(new())
+    return out
+
+
+def relate(node: ast.AST, new: Names, found: list[Relation]) -> list[str | None]:
+    """The names that stand for a node's value; its relations go to `found`, those of its parts first."""
+    parts = PARTS.get(type(node).__name__)
+    if parts is None:
+        return [None]
+    if isinstance(node, ast.alias) and not node.asname:  # the name itself is bound
+        ops, inputs, outputs = [new("ImportAs")], [new(node.name)], [node.name]
+        callers: list[str | None] = []
+    else:
+        ops, inputs, callers, outputs = (_values(node, spec, new, found) for spec in parts)
+    if not outputs:
+        if not callers and not any(inputs):
+            return ops or [None]
+        outputs = [new(o) for o in ops]
+    found += [Relation(*r) for r in product(inputs or [None], callers or [None], ops, outputs) if r[2] is not None]
+    return outputs
+
+
+def merge_destructured(prs: list[Relation]) -> list[Relation]:
+    """The look-up of a method and the call of what it gives as one relation, with the method's owner as caller."""
+    called = {pr.op for pr in prs}
+    looked_up = {pr.output: pr.caller for pr in prs if pr.caller and {pr.op, pr.output} <= called and bare(pr.op) == bare(pr.output)}
+    rest = [pr for pr in prs if not (pr.caller and pr.output in looked_up)]
+    return [pr if pr.caller else pr._replace(caller=looked_up.get(pr.op)) for pr in rest]
+
+
+def repair_imports(prs: list[Relation], new: Callable[[], str]) -> list[Relation]:
     """Names that from-imports bind get a node of their own, so that the graph stays bipartite."""
-    out: list[PR] = []
-    bound: dict = {}
-    for i, c, o, r in prs:
-        if bare(o) == "ImportFrom":
-            bound[r] = f"{r}{fresh()}"
-            out += [(i, c, o, bound[r]), (None, bound[r], r, None)]
+    node = {pr.output: f"{pr.output}{new()}" for pr in prs if bare(pr.op) == "ImportFrom"}
+    out: list[Relation] = []
+    for pr in prs:
+        if bare(pr.op) == "ImportFrom":
+            out += [pr._replace(output=node[pr.output]), Relation(None, node[pr.output], pr.output, None)]
         else:
-            out.append((i, bound.get(c, c), o, r))
+            out.append(pr._replace(caller=node.get(pr.caller, pr.caller)))
     return out
 
 
-def drop_assignments(prs: list[PR]) -> list[PR]:
-    """Assignments taken out: what made the value now makes the variable."""
-    gone: set[int] = set()
-    added: list[PR] = []
-    for k, (value, c, o, _) in enumerate(prs):
-        if o is None or bare(o) != "Assign" or c is not None:
-            continue
-        makers: list[int] = []
-        for j, pr in enumerate(prs):
-            if pr[3] == value:
-                makers.append(j)
-                gone.add(j)
-            if pr[0] == value:
-                added += [(*prs[m][:3], pr[3]) for m in makers]
-        gone.add(k)
-    return [pr for k, pr in enumerate(prs) if k not in gone] + added
-
-
-def relations(source: str) -> list[PR]:
+def drop_assignments(prs: list[Relation]) -> list[Relation]:
+    """Assignments taken out: what made the value makes the variable, too; values without a name of their own go."""
+    assigned = [pr for pr in prs if bare(pr.op) == "Assign" and not pr.caller]
+    rest = [pr for pr in prs if bare(pr.op) != "Assign" or pr.caller]
+    makers: dict = defaultdict(list)
+    for pr in rest:
+        makers[pr.output].append(pr)
+    moved: list[Relation] = []
+    for a in assigned:
+        given = [m._replace(output=a.output) for m in makers[a.input]]
+        moved += given
+        makers[a.output] += given
+    nameless = {a.input for a in assigned if a.input and ":" in a.input}
+    return list(dict.fromkeys([pr for pr in rest if pr.output not in nameless] + moved))
+
+
+def relations(source: str) -> list[Relation]:
     """The relations of a script, filtered."""
-    r = Relations()
-    for child in ast.parse(source).body:
-        r.walk(child)
-    prs = [pr for pr in dict.fromkeys(r.found) if pr[2] is not None]
-    return drop_assignments(repair_imports(merge_destructured(prs), r.fresh))
+    new, found = Names(), []
+    for statement in ast.parse(source).body:
+        relate(statement, new, found)
+    return drop_assignments(repair_imports(merge_destructured(list(dict.fromkeys(found))), new))
 
 
 _PRS = "nb_id {kind}, pr_id long, input string, caller string, op string, output string"
@@ -203,111 +199,91 @@ def shared_names(prs: DataFrame) -> DataFrame:
 FOLLOWED = {"drop": (True, "makers"), "iloc": (False, "users"), "Subscript": (False, "makers"), "Slice": (False, "makers"), "List": (False, "makers"), "keyword": (False, "labels")}
 
 
-def track(prs: list[PR], annotated: set[str]) -> tuple[set[str], set[str]]:
-    """(columns taken, columns left out) by relations around the annotated variables."""
-    makers: dict = {}
-    users: dict = {}
-    for pr in prs:
-        makers.setdefault(pr[3], []).append(pr)
-        users.setdefault(pr[1], []).append(pr)
-    taken: set[str] = set()
-    left: set[str] = set()
-    seen: set[PR] = set()
-
-    def follow(pr: PR, exclude: bool | None) -> None:
-        name = bare(pr[2])
-        if (pr in seen and exclude is None) or name not in FOLLOWED:
-            return
-        first = exclude is None
-        if not first and (pr, exclude) in walked:
-            return
-        seen.add(pr)
-        exclude = FOLLOWED[name][0] if first else exclude
-        walked.add((pr, exclude))
-        label = "label" in (pr[3] or "")
-        constant = pr[0] is not None and pr[0] not in makers and not (name == "keyword" and not label)
-        if constant:
-            (left if exclude else taken).add(pr[0])
-            if exclude:
-                taken.discard(pr[0])
-            return
-        how = FOLLOWED[name][1]
-        nexts = users.get(pr[3], []) if how == "users" else [] if how == "labels" and not label else makers.get(pr[0], [])
-        for n in nexts:
-            follow(n, exclude)
-
-    walked: set = set()
-    for pr in prs:
-        if pr[0] in annotated or pr[3] in annotated:
-            follow(pr, None)
-    return taken, left
+def track(prs: list[tuple], annotated: set[str]) -> tuple[set[str], set[str]]:
+    """(columns taken, columns left out) by relations around the annotated variables; a column that is left out anywhere is not taken."""
+    relations = [Relation(*pr) for pr in prs]
+    made, used = defaultdict(list), defaultdict(list)
+    for pr in relations:
+        made[pr.output].append(pr)
+        used[pr.input].append(pr)
+    columns: dict[bool, set[str]] = {False: set(), True: set()}
+    agenda: list[tuple[Relation, bool | None]] = [(pr, None) for pr in relations if annotated & {pr.input, pr.output}]
+    walked = set()
+    while agenda:
+        pr, exclude = agenda.pop()
+        name = bare(pr.op)
+        if name not in FOLLOWED:
+            continue
+        by_default, onwards = FOLLOWED[name]
+        step = pr, by_default if exclude is None else exclude
+        if step in walked:
+            continue
+        walked.add(step)
+        labels = onwards != "labels" or "label" in (pr.output or "")
+        if pr.input is not None and pr.input not in made and labels:  # a constant
+            columns[step[1]].add(pr.input)
+        elif labels:
+            agenda += [(n, step[1]) for n in (used[pr.output] if onwards == "users" else made[pr.input])]
+    return columns[False] - columns[True], columns[True]
 
 
-def annotate(prs: list[PR], look_up: Callable, back_query: Callable) -> dict[str, list[str]]:
+class Operation(NamedTuple):
+    inputs: dict[str, None]
+    callers: dict[str, None]
+    outputs: dict[str, None]
+
+
+def annotate(prs: list[tuple], look_up: Callable, back_query: Callable) -> dict[str, list[str]]:
     """Annotations of variables: forward from imports, backward from each annotated input.
 
     look_up(library, module, caller, api) -> (inputs, outputs); back_query(outputs, api) -> inputs.
     """
-    by_op: dict = {}
-    makes: dict = {}
-    takes: dict = {}
-    for i, c, o, r in prs:
-        e = by_op.setdefault(o, {"inputs": [], "caller": c, "outputs": []})
-        e["caller"] = e["caller"] or c
-        for k, v in (("inputs", i), ("outputs", r)):
-            if v is not None and v not in e[k]:
-                e[k].append(v)
-        for v, d in ((r, makes), (i, takes), (c, takes)):
-            if v is not None and o not in d.setdefault(v, []):
-                d[v].append(o)
-    notes: dict[str, list[str]] = {}
-
-    def note(v: str, a: str | None) -> None:
-        if a and a not in notes.setdefault(v, []):
-            notes[v].append(a)
-
-    done: set = set()
-    home: dict = {}
-    for seed in [o for o in by_op if bare(o) in ("ImportAs", "ImportFrom")]:
-        path = bare(by_op[seed]["inputs"][0] if by_op[seed]["inputs"] else "")
-        library, _, module = path.partition(".")
-        for v in by_op[seed]["outputs"]:
-            note(v, library)
-            home[v] = library, module or None
-        todo = [seed]
-        for op in todo:
-            if op in done:
+    ops: dict[str, Operation] = {}
+    makers, takers = defaultdict(dict), defaultdict(dict)  # variable -> operations, in their order
+    for pr in prs:
+        pr = Relation(*pr)
+        op = ops.setdefault(pr.op, Operation({}, {}, {}))
+        for kept, v, index in zip(op, (pr.input, pr.caller, pr.output), (takers, takers, makers), strict=True):
+            if v is not None:
+                kept[v] = index[v][pr.op] = None
+    notes: dict[str, dict[str, None]] = defaultdict(dict)
+    home: dict[str, tuple] = {}
+    done: set[str] = set()
+
+    def note(variables, annotations) -> list[str]:
+        pairs = list(zip(variables, annotations, strict=False))
+        for v, a in pairs:
+            if a:
+                notes[v][a] = None
+        return [v for v, _ in pairs]
+
+    for seed in (o for o in ops if bare(o) in ("ImportAs", "ImportFrom")):
+        library, _, module = bare(next(iter(ops[seed].inputs), None)).partition(".")
+        root = library, module or None
+        note(ops[seed].outputs, [library] * len(ops[seed].outputs))
+        home |= dict.fromkeys(ops[seed].outputs, root)
+        agenda = deque([(seed, True)])  # makers of annotated inputs come before what is taken further
+        while agenda:
+            name, forward = agenda.popleft()
+            if name in done:
                 continue
-            done.add(op)
-            e = by_op[op]
-            lib, mod = home.get(e["caller"], (library, module or None))
-            for v in e["outputs"]:
-                home.setdefault(v, (lib, mod))
-            ins: list = []
-            outs: list = []
-            if op != seed:
-                for context in notes.get(e["caller"], [None]):
-                    ins, outs = look_up(lib, mod, context, bare(op))
-                    if ins or outs:
-                        break
-            for v, a in zip(e["outputs"], outs, strict=False):
-                note(v, a)
-            back = []
-            for v, a in zip(e["inputs"], ins, strict=False):
-                note(v, a)
-                back.append(v)
-            while back:
-                for maker in makes.get(back.pop(), []):
-                    if maker in done:
-                        continue
-                    done.add(maker)
-                    m = by_op[maker]
-                    given = back_query([notes.get(v, [None])[0] for v in m["outputs"]], bare(maker))
-                    for v, a in zip(m["inputs"], given, strict=False):
-                        note(v, a)
-                        back.append(v)
-            todo += [n for v in e["outputs"] for n in takes.get(v, []) if n not in done]
-    return notes
+            done.add(name)
+            op, given, results = ops[name], [], []
+            owner = next(iter(op.callers), None)
+            if not forward:
+                given = back_query([next(iter(notes[v]), None) for v in op.outputs], bare(name))
+            else:
+                place = home.get(owner, root)
+                for v in op.outputs:
+                    home.setdefault(v, place)
+                if name != seed:
+                    tries = (look_up(*place, context, bare(name)) for context in (notes[owner] or [None]))
+                    given, results = next((t for t in tries if any(t)), ([], []))
+                note(op.outputs, results)
+                agenda.extend((n, True) for v in op.outputs for n in takers[v])
+            for v in note(op.inputs, given):
+                agenda.extendleft((m, False) for m in makers[v])
+    return {v: list(a) for v, a in notes.items() if a}
 
 
 def annotations(prs: DataFrame, kb: list[tuple]) -> DataFrame:
