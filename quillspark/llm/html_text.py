@@ -23,22 +23,30 @@ from pyspark.sql import functions as F
 from .word_hash import word_hashes
 
 #: Fixed values of HTML: elements whose text is no text, elements without an end tag, elements inside a line.
-SKIPPED = frozenset("script style template noscript svg math head title iframe object textarea select option".split())
+SKIPPED = frozenset("script style template noscript svg head title iframe textarea select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
 #: Open elements that a start tag ends.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Elements that an unclosed element inside does not outlive.
 SCOPES = frozenset("article aside section nav header footer main div body td th table form ul ol figure blockquote details".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: By the rules of HTML: comments, with their short and faulty forms; declarations; faulty end tags; tags, in which a quote opens a value
+#: only behind the equals sign of a named attribute. Nothing is looked at twice, so that a cut tag costs no more than its length.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|</(?:[^a-zA-Z>][^>]*)?(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|$)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"[\s\x00]+")
 WORD = re.compile(r"\w+")
 #: Dimensions of the hashed path, words and shape; units each way.
 PATH, TEXT, SHAPE, UNITS = 48, 24, 12, 16
 DIM = PATH + TEXT + SHAPE
+#: Blocks of a page that are read at once; longer pages go by windows of so many.
+WINDOW = 4096
 
 
 class Block:
@@ -94,13 +102,12 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in SKIPPED:
-            if name in ("head", "object", "noscript", "svg", "math", "template", "select") and not found[3].endswith("/"):
-                if name == "head":  # its elements that hold text are skipped one by one
-                    continue
+            if name == "head":  # its elements that hold text are skipped one by one
+                continue
             if found[3].endswith("/"):
                 continue
             end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
-            if end is None and name in ("option", "select", "object", "iframe", "svg", "math", "template", "noscript"):
+            if end is None and name in ("option", "select", "iframe", "svg", "template", "noscript"):
                 continue
             at = end.end() if end else size
             if name not in INLINE:
@@ -157,8 +164,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v / max(1.0, float(np.sqrt(len(words))))
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block: its path, the mean of its words' hashed vectors, its shape."""
+def vectors(page: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """A row for each block: its path, the mean of its words' hashed vectors, its shape; `first` and `of` place the blocks in their page."""
+    of = len(page) if of is None else of
     out = np.zeros((len(page), DIM), np.float32)
     at, word = word_hashes([b.text.encode() for b in page])
     sign = np.where(word >> np.uint64(63), 1.0, -1.0)
@@ -171,7 +179,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         raw = sum(map(len, b.raw)) or 1
         out[i, PATH + TEXT :] = (
             np.log1p(n) / 8, min(1.0, b.linked / raw), b.text.count(".") / (n / 40 + 1), float(b.text[-1] in ".!?:;"), n < 25, n > 200,
-            leaf == "p", leaf[:1] == "h" and leaf[1:].isdigit(), leaf == "li", leaf in ("div", "span", "td"), i / max(1, len(page) - 1), min(1.0, len(page) / 100),
+            leaf == "p", leaf[:1] == "h" and leaf[1:].isdigit(), leaf == "li", leaf in ("div", "span", "td"), (first + i) / max(1, of - 1), min(1.0, of / 100),
         )
     return out
 
@@ -193,11 +201,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _one_way(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias: np.ndarray, mask: np.ndarray, keep: bool):
-    """Hidden states of a padded batch (batch, steps, DIM), in step order; with `keep` what training needs."""
+def _one_way(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias: np.ndarray, mask: np.ndarray, keep: bool, state: list | None = None):
+    """Hidden states of a padded batch (batch, steps, DIM), in step order; with `keep` what training needs; `state` is where to go on from."""
     n, steps, _ = x.shape
     given = x @ wx + bias
-    h = c = np.zeros((n, UNITS), np.float32)
+    h, c = state or [np.zeros((n, UNITS), np.float32)] * 2
     out, tape = np.zeros((n, steps, UNITS), np.float32), []
     for t in range(steps):
         z = given[:, t] + h @ wh
@@ -211,6 +219,8 @@ def _one_way(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias: np.ndarray, ma
             tape.append((h, c, i, f, o, g, tc, m))
         h, c = h_new, c_new
         out[:, t] = h
+    if state is not None:
+        state[:] = h, c
     return out, tape
 
 
@@ -236,6 +246,22 @@ def scores(w: dict[str, np.ndarray], pages: list[np.ndarray], keep: bool = False
     return (logit, mask, (x, xb, both, tf, tb, lengths)) if keep else [logit[i, :n] for i, n in enumerate(lengths)]
 
 
+def long_scores(w: dict[str, np.ndarray], page: list[Block], window: int = WINDOW) -> np.ndarray:
+    """The logits of one page as scores() gives them, a window of blocks at a time: each way's state goes on from window to window."""
+    logit = np.zeros(len(page), np.float32)
+    starts = range(0, len(page), window)
+    for way, order, cut in (("f", starts, slice(0, UNITS)), ("b", reversed(starts), slice(UNITS, 2 * UNITS))):
+        state = [np.zeros((1, UNITS), np.float32)] * 2
+        for a in order:
+            x = vectors(page[a : a + window], a, len(page))[None]
+            step = 1 if way == "f" else -1
+            h, _ = _one_way(x[:, ::step], w["x" + way], w["h" + way], w["o" + way], np.ones(x.shape[:2], np.float32), False, state)
+            logit[a : a + window] += h[0, ::step] @ w["v"][cut]
+            if way == "f":
+                logit[a : a + window] += x[0] @ w["v"][2 * UNITS :] + w["c"]
+    return logit
+
+
 def gradient(w: dict[str, np.ndarray], pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
     logit, mask, (x, xb, both, tf, tb, lengths) = scores(w, pages, keep=True)
     y = np.zeros_like(logit)
@@ -299,16 +325,20 @@ def weights() -> dict[str, np.ndarray]:
 def extract_pages(pages: list[str], w: dict[str, np.ndarray]) -> list[str]:
     """The main text of each page; pages of like length share a batch."""
     laid = [blocks(p) for p in pages]
-    made = [vectors(b) for b in laid]
     out = [""] * len(pages)
-    order = sorted((i for i in range(len(pages)) if laid[i]), key=lambda i: len(laid[i]))
+    joined = lambda page, logits: "\n".join(b.text for b, v in zip(page, logits, strict=True) if v > 0)
+    for i, page in enumerate(laid):
+        if len(page) > WINDOW:
+            out[i] = joined(page, long_scores(w, page))
+    made = [vectors(b) if len(b) <= WINDOW else None for b in laid]
+    order = sorted((i for i in range(len(pages)) if 0 < len(laid[i]) <= WINDOW), key=lambda i: len(laid[i]))
     at = 0
     while at < len(order):
         to = at + 1
         while to < len(order) and to - at < 128 and (to - at + 1) * len(laid[order[to]]) <= 1 << 15:
             to += 1
         for i, s in zip(order[at:to], scores(w, [made[i] for i in order[at:to]]), strict=True):
-            out[i] = "\n".join(b.text for b, v in zip(laid[i], s, strict=True) if v > 0)
+            out[i] = joined(laid[i], s)
         at = to
     return out
 
