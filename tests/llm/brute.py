@@ -1,7 +1,10 @@
 """Plain versions of the operators, for small fixtures."""
 
 import hashlib
+import html.parser
+import math
 import re
+import string
 
 import numpy as np
 
@@ -28,6 +31,43 @@ def base_spans(text):
     return ",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+def battery(token):
+    """The three tests' statistic of a token and its length, padding apart."""
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    encodings = [("[0-9A-F]+", digits + "ABCDEF"), ("[0-9a-f]+", digits + "abcdef"), ("[A-Z2-7]+", upper + "234567"), ("[A-Z0-9]+", digits + upper), ("[a-z0-9]+", digits + lower), ("[A-Za-z0-9]+", upper + lower + digits), (".+", upper + lower + digits + "+/")]
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
+    kind = lambda c: 0 if c in upper else 1 if c in lower else 2 if c in digits else 3
+    t = token.rstrip("=")
+    alphabet = next(a for p, a in encodings if re.fullmatch(p, t))
+    if len(alphabet) == 64:
+        t = t.replace("-", "+").replace("_", "/").replace("=", "/")
+    n, size = len(t), len(alphabet)
+    x = np.array([alphabet.index(c) for c in t])
+    bins = max(2, min(size, n // 5))
+    expected = n * np.bincount(np.arange(size) * bins // size, minlength=bins) / size
+    chi, free = ((np.bincount(x * bins // size, minlength=bins) - expected) ** 2 / expected).sum(), bins - 1
+    z_chi = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    kinds = [kind(c) for c in t]
+    same = sum((sum(kind(c) == k for c in alphabet) / size) ** 2 for k in range(4))
+    z_runs = (sum(a != b for a, b in zip(kinds, kinds[1:])) - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same))
+    d = x - x.mean()
+    z_serial = ((d[:-1] * d[1:]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() else 99
+    tests = tail(z_chi), min(1, 2 * tail(abs(z_runs))), min(1, 2 * tail(abs(z_serial)))
+    return -2 * sum(math.log(max(p, 1e-12)) for p in tests), n
+
+
+def random_tokens(tokens, fdr=0.01, alpha=1e-3, mean=1.3, deviation=0.36):
+    """Those of a text's tokens that are found random, by Benjamini-Hochberg."""
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
+    scored = []
+    for t in tokens:
+        y, n = battery(t)
+        scored.append((tail((mean * n - y) / (deviation * n)), math.exp(-y / 2) * (1 + y / 2 + y * y / 8), t))
+    ps = sorted(p for p, _, _ in scored)
+    bar = max((p for i, p in enumerate(ps) if p <= fdr * (i + 1) / len(ps)), default=-1)
+    return [t for p, q, t in scored if p <= bar and q >= alpha]
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -84,3 +124,38 @@ def targets(sizes):
         if not over:
             return got
         full |= set(over)
+
+
+class _Article(html.parser.HTMLParser):
+    """The text of a page's article by its tags, a line for each block."""
+
+    BREAKS = set("article div p h1 h2 h3 ul ol li table tr td blockquote section figure figcaption pre".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.lines = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag in self.BREAKS:
+            self.lines.append("")
+        elif tag == "br":
+            self.lines[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag in self.BREAKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.lines[-1] += data
+
+
+def article(page):
+    p = _Article()
+    p.feed(page)
+    p.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in p.lines) if x)

@@ -41,6 +41,38 @@ def test_secrets(stored):
     assert masked[0]["text"] == prose(1, 120) and masked[5]["text"] is None
 
 
+def labelled_tokens(n):
+    """(token, random or not): keys of each encoding, and names and paths of words with a number."""
+    import random
+
+    r = random.Random(11)
+    words = "config handler update test value index model frame label score batch train image token parser client server result manager".split()
+    out = []
+    for i in range(n):
+        alphabet = secret_scan.ENCODINGS[i % 7][1]
+        out.append(("".join(r.choices(alphabet, k=r.choice([24, 32, 40, 64]))), True))
+        made = r.choice(["_", "/", "-", ""]).join(r.choice([str, str.title])(w) for w in r.choices(words, k=r.choice([4, 5, 6]))) + str(r.randrange(1000))
+        out.append((made, False))
+    return [(t, y) for t, y in out if len(t) >= 20 and any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+
+
+def test_random_tokens(spark):
+    """The battery and its false-discovery step give what a plain version gives, and few names are taken for keys."""
+    tokens = labelled_tokens(280)
+    known = dict(tokens)
+    texts = [" ".join(t for t, _ in tokens[i : i + k]) for k in (1, 3, 20) for i in range(0, len(tokens), k)]
+    got = plain(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found, names, keys = 0, 0, 0
+    for r in got:
+        text, spans = r["text"], r["secrets"]
+        base = [s for s in spans if s["kind"] < 3]
+        tried = [t for t in text.split(" ") if not any(s["start"] < text.index(t) + len(t) and text.index(t) < s["end"] for s in base)]
+        mine = [text[s["start"] : s["end"]] for s in spans if s["kind"] == 3]
+        assert sorted(mine) == sorted(brute.random_tokens(tried)), text
+        found, names, keys = found + len(mine), names + sum(not known[t] for t in mine), keys + sum(known[t] for t in tried)
+    assert names <= 0.02 * found and found - names >= 0.9 * keys
+
+
 def test_many_secrets(spark):
     text = " ".join(f"{i:016x}" for i in range(3000))
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -348,6 +380,35 @@ def test_sharding(stored):
     assert len({r["bucket"] for r in got}) > 1
 
 
+def test_sharding_equal_rows(spark):
+    """Rows that are all alike fill the buckets of their shard evenly, whatever the files."""
+    d = spark.createDataFrame([(1, "the same text")] * 4000 + [(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    one, two = (plain(sharding.shard(d.repartition(n), "doc_id", 4, bucket_bytes=700)) for n in (1, 3))
+    key = lambda r: (r["doc_id"], r["shard"], r["bucket"], r["slot"])
+    assert Counter(map(key, one)) == Counter(map(key, two)) and len(one) == 4400
+    home = next(r["shard"] for r in one if r["doc_id"] == 1)
+    per = Counter(r["bucket"] for r in one if r["shard"] == home)
+    assert len(per) > 15 and max(per.values()) < 1.6 * sum(per.values()) / len(per)
+
+
+def test_shards_are_shuffled(spark, tmp_path):
+    """Slots of a shard are a permutation that no column orders; files hold each shard's rows."""
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    sharding.write_shards(d, "doc_id", str(tmp_path / "shards"), 4, bucket_bytes=4000)
+    got = plain(spark.read.parquet(str(tmp_path / "shards")))
+    assert sorted(r["doc_id"] for r in got) == list(range(4000)) and {r["shard"] for r in got} == {0, 1, 2, 3}
+    for k in range(4):
+        own = sorted((r["slot"], r["bucket"], r["doc_id"]) for r in got if r["shard"] == k)
+        assert [s for s, _, _ in own] == list(range(len(own)))
+        by_bucket: dict = {}
+        for _, b, i in own:
+            by_bucket.setdefault(b, []).append(i)
+        assert [b for b in dict.fromkeys(b for _, b, _ in own)] == sorted(by_bucket)
+        for ids in by_bucket.values():
+            up = np.mean(np.diff(ids) > 0)
+            assert len(ids) < 30 or 0.3 < up < 0.7
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>The  title &amp; more</h1><p>First <b>bold</b>\n part. And then some more words here.<p>Second&nbsp;part of the text, unclosed, with <a href=x>a link</a> inside.<script>var x='</p>';</script></article><footer>&copy; someone 2024</footer></body></html>"
     d = spark.createDataFrame([(1, "u", page, "clash"), (2, "v", None, "c"), (3, None, "", "c"), (None, "w", "<", "c"), (4, "x", "<p", "c"), (1, "u", page, "clash")], "page_id long, url string, html string, text string")
@@ -357,6 +418,38 @@ def test_html(spark):
     assert [x[1] for x in got if x[0] in (2, 3, 4)] == ["", "", ""]
 
 
+def test_html_tags():
+    """A quote opens a value behind a named attribute's equals sign and nowhere else; comments and cut tags end as in HTML."""
+    texts = lambda p: [b.text for b in html_text.blocks(p)]
+    stray = '<article><p class=x">Hello there.</p><p>Middle text.</p><p class=y">Third one.</p></article>'
+    assert texts(stray) == ["Hello there.", "Middle text.", "Third one."]
+    assert texts('<p class=x">Hello ...</p>') == ["Hello ..."]
+    assert texts("<p title='a > b'>one</p><p =\"x>two</p><p a==\"q>three</p><p href=a?b=\"c>d</p><p a = 'x > y' b>five</p><p a= >six</p>") == ["one", "two", "three", "d", "five", "six"]
+    assert texts("<p>a</ x>b<!-->c<!--->d<!-- x --!>e<![CDATA[ y ]]>f<?php z ?>g</>h</p>") == ["abcdefgh"]
+    assert texts('<p>kept</p><p a="cut off> lost') == ["kept"]
+    assert texts("<p>x &lt; y &amp;&nbsp;z <math><mi>a</mi><mo>=</mo><mn>1</mn></math></p>") == ["x < y & z a=1"]
+
+
+def test_html_long_page(spark):
+    """A page of more blocks than a window is read window by window, with the states going on."""
+    page = html_text.blocks("".join(f"<div class=c{i % 7}><p>Some text {i} here. And more of it.</p></div><nav><a href=x>go {i}</a></nav>" for i in range(700)))
+    w = html_text.weights()
+    whole, parts = html_text.scores(w, [html_text.vectors(page)])[0], html_text.long_scores(w, page, 100)
+    assert np.abs(whole - parts).max() < 1e-3
+
+
+def test_html_on_pages():
+    """On the driver's pages, which the network was not trained on: every block of the article, and nothing else."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    import os
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no pages here")
+    pages = [p or "" for p in pq.read_table(path, columns=["html"])["html"].to_pylist()]
+    assert html_text.extract_pages(pages, html_text.weights()) == [brute.article(p) for p in pages]
+
+
 def test_html_accuracy():
     from quillspark.llm import train_html_text as t
 
