@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -25,6 +25,8 @@ from .word_hash import mixed, word_hashes
 WORDS, SHARE, SCALE = 5, 75, 100
 #: Tokens and bytes to a chunk of documents, documents at most; members to a block of a group.
 CHUNK_BYTES, CHUNK_DOCS, MEMBERS = 4 << 20, 4096, 256
+#: Places that the rows of one group are counted in.
+SALTS = 64
 #: Bytes of text to a bucket of tokens, about, and the bits of a token below its bucket.
 BUCKET_BYTES, TAIL = 4 << 20, 40
 
@@ -294,13 +296,22 @@ def _open(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * (len(a) - len(outside)) + [True] * len(outside), pa.bool_())], names=["a", "b", "outside"])
 
 
+def _counted(df: DataFrame, key: str, out: str) -> DataFrame:
+    """df with the number of rows of each key; rows of one key meet in SALTS places, so that no task holds a large group."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(key), "doc_id"), F.lit(SALTS)))
+    counts = salted.groupBy(key, "__salt").agg(F.count("*").alias("__c"))
+    counts = counts.select(key, "__salt", F.sum("__c").over(Window.partitionBy(key)).alias(out))
+    return salted.join(counts, [key, "__salt"]).drop("__salt")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of df.
 
     Two documents link when SCALE * common >= SHARE * union; component_id is
     the least id that a document reaches. A text without words has no
     shingles and links with nothing; so does a row with a null id, whose
-    component is null. Rows with one id count as one document. An empty table
+    component is null. Rows with one id are one document, which has the links
+    of all its texts; each row keeps its own n_shingles. An empty table
     gives an empty one. Tokens are 40 bits beside the bits of their bucket;
     within one pair of documents two tokens agree by chance about once in 1e9.
     """
@@ -315,16 +326,16 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     tried = known.where("tokens is not null")
 
     # equal sets are one class, which its least id stands for
-    classes = tried.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = tried.select("doc_id", "key_a", "key_b", "n").join(classes.where("copies > 1").select("key_a", "key_b", "n", "rep"), ["key_a", "key_b", "n"]).select("doc_id", "rep")
-    copies = copies.checkpoint()
-    alone = tried.join(copies.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "least", "n_first")
+    same = ["key_a", "key_b", "n"]
+    classes = tried.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = tried.select("doc_id", *same).join(classes.where("copies > 1").drop("copies"), same).distinct().checkpoint()
+    alone = tried.join(copies.where("doc_id <> rep").select("doc_id", *same), ["doc_id", *same], "left_anti").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "tokens", "least", "n_first")
 
     # groups by least token, in blocks of about MEMBERS
-    sizes = alone.groupBy("least").agg(F.count("*").alias("m"))
-    members = alone.join(sizes, "least")
-    n_blocks = F.ceil(F.col("m") / MEMBERS)
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks)).withColumn("blocks", n_blocks).checkpoint()
+    members = _counted(alone, "least", "m")
+    blocks = lambda m: F.ceil(m / MEMBERS)
+    members = members.withColumn("blocks", blocks(F.col("m"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).checkpoint()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
     def row(frame: DataFrame, group, block, visit, side: int, mode) -> DataFrame:
         return frame.select(group.alias("g"), block.cast("long").alias("i"), visit.cast("long").alias("j"), F.lit(side).alias("side"), "doc_id", "n", "tokens", mode.alias("mode"))
@@ -335,24 +346,29 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hubs = members.where("blocks > 1 and block = 0").withColumn("to", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
     first = first.unionByName(row(hubs, g, F.col("to"), none, 1, F.lit(2)))
     opened = first.groupBy("g", "i", "j").applyInArrow(_open, _LINKS).checkpoint()
-    late = opened.where("outside").select(F.col("a").alias("doc_id"))
+    late = opened.where("outside").select(F.col("a").alias("doc_id")).distinct()
 
     # then visitors: documents that their group's main class doesn't reach, and groups that share a rare token
     fronts = members.select("least", "m", F.explode(F.expr("transform(sequence(0, n_first - 1), i -> substring(tokens, 8 * i + 1, 8))")).alias("t")).distinct()
     left, right = fronts.alias("x"), fronts.alias("y")
     smaller = F.struct(F.col("x.m"), F.col("x.least")) < F.struct(F.col("y.m"), F.col("y.least"))
-    meets = left.join(right, (F.col("x.t") == F.col("y.t")) & smaller).select(F.col("x.least").alias("least"), F.col("y.least").alias("g"), F.ceil(F.col("y.m") / MEMBERS).alias("g_blocks")).distinct()
-    visitors = members.join(meets, "least").select("g", "g_blocks", "doc_id", "n", "tokens")
+    meets = left.join(right, (F.col("x.t") == F.col("y.t")) & smaller).select(F.col("x.least").alias("least"), F.col("x.m").alias("x_m"), F.col("y.least").alias("g"), blocks(F.col("y.m")).alias("g_blocks")).distinct()
+    # a group's blocks are looked up one by one
+    meets = meets.withColumn("block", upto(blocks(F.col("x_m")))).drop("x_m")
+    visitors = members.join(meets, ["least", "block"]).select("g", "g_blocks", "doc_id", "n", "tokens")
     visitors = visitors.unionByName(members.join(late, "doc_id").select(F.col("least").alias("g"), F.col("blocks").alias("g_blocks"), "doc_id", "n", "tokens")).checkpoint()
     guests = visitors.groupBy("g", "g_blocks").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    seated = visitors.join(guests.drop("g_blocks"), "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g_blocks") - 1)))
-    hosts = members.join(guests.select(F.col("g").alias("least"), "parts"), "least").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    seated = _counted(visitors, "g", "v").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("v") / MEMBERS))).withColumn("to", upto(F.col("g_blocks")))
+    hosts = members.join(guests.select(F.col("g").alias("least"), "parts", upto(F.col("g_blocks")).alias("block")), ["least", "block"]).withColumn("part", upto(F.col("parts")))
     second = row(hosts, g, F.col("block"), F.col("part"), 0, F.lit(0)).unionByName(row(seated, F.col("g"), F.col("to"), F.col("part"), 1, F.lit(0)))
     met = second.groupBy("g", "i", "j").applyInArrow(_open, _LINKS)
 
-    links = opened.where("not outside").select("a", "b").unionByName(met.select("a", "b"))
+    reps = known.select("doc_id", *same).join(copies, ["doc_id", *same], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    # the texts of one id are linked by it
+    texts = reps.where("doc_id is not null").select("doc_id", "rep").distinct()
+    several = texts.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    by_id = texts.join(several, "doc_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    links = opened.where("not outside").select("a", "b").unionByName(met.select("a", "b")).unionByName(by_id)
     found = components(links)
-    named = copies.select("doc_id", "rep").distinct()
-    reps = known.select("doc_id", "n").join(named, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = reps.join(found, reps["rep"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
