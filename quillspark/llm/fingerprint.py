@@ -112,17 +112,17 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 RANGES = 2048
 
 
-def with_next(df: DataFrame, key: str, carry: list[str], out: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, carry: list[str], out: str, tie: list[str] | None = None) -> DataFrame:
     """df with a struct `out` of the columns `carry` of the next row by key, ascending; after the last row, of the first.
 
     Rows are dealt to about RANGES ranges of the key, so that rows move once; the
     first row of each range also goes to the range before. Null keys come
-    first; rows of one key follow each other by a hash of the carried columns,
-    which also parts a key with more rows than a range holds.
+    first; rows of one key follow each other by a hash of the columns `tie` (the
+    carried ones), which also parts a key with more rows than a range holds.
     """
     low = -(2**63)
     level = F.coalesce(F.col(key).cast("long"), F.lit(low))
-    dealt = df.withColumn("__level", level).withColumn("__u", F.shiftrightunsigned(F.xxhash64(*carry), 33))
+    dealt = df.withColumn("__level", level).withColumn("__u", F.shiftrightunsigned(F.xxhash64(*(tie or carry)), 33))
     cuts = quantiles(df, key, RANGES)
     dealt = dealt.withColumn("__p", range_of(F.col("__level"), F.col("__u"), cuts))
     firsts = {r["p"]: r["f"] for r in dealt.groupBy(F.col("__p").alias("p")).agg(F.min(F.struct("__level", "__u")).alias("f")).collect()}
@@ -179,7 +179,7 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of a table (doc_id, text)."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = fingerprints(t)
-    near = with_next(t, "doc_id", ["text", "fingerprint"], "next")
+    near = with_next(t, "doc_id", ["text", "fingerprint"], "next", tie=["text"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
     near = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fingerprint").alias("own_fp"), F.col("next.fingerprint").alias("next_fp"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), vector(e).alias("fp"))).alias("edited"))
