@@ -29,17 +29,25 @@ def callee(code: Column) -> Column:
     return F.when(F.size(parts) > 0, F.trim(F.element_at(parts, -1))).otherwise("")
 
 
-def leaf_callee(code: Column, levels: int = 12) -> Column:
-    """The last name before a bracket that opens outside all others.
+def leaf_callee(code: Column) -> Column:
+    """The last name before a bracket that opens outside all others, however deep they nest.
 
-    Matched pairs are folded to a mark, deepest first, up to `levels` deep; of
-    brackets left open, only the first is outside all others.
+    A fold over the pieces between brackets keeps the depth and the name before
+    the last bracket that opened at depth 0; a bracket that closes nothing is text.
     """
-    out = F.coalesce(code, F.lit(""))
-    for _ in range(levels):
-        out = F.regexp_replace(out, r"\([^()]*\)", "\x01")
-    outer = F.regexp_extract(out, r"(?s)^[^(]*\(?", 0)
-    return F.regexp_extract(outer, "(?s)^(?:.*[^\\p{L}\\p{N}_])?([\\p{L}\\p{N}_]+)\\s*[\x01(]", 1)
+    text = F.coalesce(code, F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("name"))
+
+    def step(s: Column, p: Column) -> Column:
+        named = F.regexp_extract(s["before"], r"(?s)([\p{L}\p{N}_]+)\s*$", 1)
+        opens, closes = p == "(", p == ")"
+        depth = F.when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        before = F.when(opens | closes, F.lit("")).when(s["depth"] == 0, p).otherwise(s["before"])
+        name = F.when(opens & (s["depth"] == 0) & (named != ""), named).otherwise(s["name"])
+        return F.struct(depth.alias("depth"), before.alias("before"), name.alias("name"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["name"])
 
 
 def tokens(name: Column) -> Column:

@@ -88,9 +88,8 @@ def semantic_reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     calls = nodes.where("struct_type = 9").select("nb_id", "node_id", api.alias("api"))
     load = calls.where(F.col("api").rlike("^(read_|scan_|fetch_|load_)") | F.col("api").isin("loadtxt", "genfromtxt", "imread", "load")).select("nb_id", "node_id")
     model = calls.where(F.col("api").isin(*MODEL_APIS)).select("nb_id", "node_id")
-    r = graphs.closure(edges)
-    down = r.join(load.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")).unionByName(load).distinct().withColumn("a", F.lit(True))
-    up = r.join(model.withColumnRenamed("node_id", "dst"), ["nb_id", "dst"], "left_semi").select("nb_id", F.col("src").alias("node_id")).unionByName(model).distinct().withColumn("b", F.lit(True))
+    down = graphs.reached(edges, load).unionByName(load).distinct().withColumn("a", F.lit(True))
+    up = graphs.reached(edges, model, backwards=True).unionByName(model).distinct().withColumn("b", F.lit(True))
     return nodes.select("nb_id", "node_id").join(down, ["nb_id", "node_id"], "left").join(up, ["nb_id", "node_id"], "left").select("nb_id", "node_id", F.coalesce("a", F.lit(False)).alias("from_load"), F.coalesce("b", F.lit(False)).alias("to_model"))
 
 

@@ -8,34 +8,110 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _reach(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(names, matrix of whether a reaches b by one edge or more)."""
-    names, code = np.unique(np.concatenate([table["src"].to_numpy(zero_copy_only=False), table["dst"].to_numpy(zero_copy_only=False)]).astype(object), return_inverse=True)
-    m = table.num_rows
-    r = np.zeros((len(names), len(names)), bool)
-    r[code[:m], code[m:]] = True
-    while True:
-        new = r | ((r.astype(np.float32) @ r.astype(np.float32)) > 0)
-        if (new == r).all():
-            return names, r
-        r = new
+class _Graph:
+    """One notebook's edges (src, dst) and marked nodes (src, null) as numbers, each node with its successors."""
+
+    def __init__(self, table: pa.Table, backwards: bool = False):
+        real = table.filter(pc.is_valid(table["dst"]))
+        seeds = table.filter(pc.is_null(table["dst"]))["src"]
+        every = pa.concat_arrays([c.cast(pa.string()) for x in (real["src"], real["dst"], seeds) for c in x.chunks] or [pa.array([], pa.string())]).dictionary_encode()
+        self.names, code = every.dictionary, every.indices.to_numpy()
+        m = real.num_rows
+        a, b = (code[m : 2 * m], code[:m]) if backwards else (code[:m], code[m : 2 * m])
+        self.n, self.seeds = len(self.names), np.unique(code[2 * m :])
+        by = np.argsort(a, kind="stable")
+        ends = np.searchsorted(a[by], np.arange(self.n + 1))
+        self.next = [np.unique(b[by[i:j]]).tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def walk(self, starts) -> list[int]:
+        """The nodes that one edge or more leads to from any start, nearest first."""
+        seen: set[int] = set()
+        todo = list(starts)
+        for v in todo:
+            fresh = [w for w in self.next[v] if w not in seen]
+            seen.update(fresh)
+            todo += fresh
+        return todo[len(starts) :]
+
+    def ends_first(self) -> list[int]:
+        """The nodes so that, cycles apart, each comes behind all that it leads to."""
+        out, state = [], bytearray(self.n)
+        for root in range(self.n):
+            if state[root]:
+                continue
+            state[root] = 1
+            todo = [(root, iter(self.next[root]))]
+            while todo:
+                v, rest = todo[-1]
+                w = next((w for w in rest if not state[w]), None)
+                if w is None:
+                    out.append(v)
+                    todo.pop()
+                else:
+                    state[w] = 1
+                    todo.append((w, iter(self.next[w])))
+        return out
+
+
+def _per_notebook(edges: DataFrame, seeds: DataFrame | None, fn, schema: str, backwards: bool = False) -> DataFrame:
+    """fn(graph) -> columns of `schema`, node numbers for strings, for each notebook after one shuffle on its id."""
+    kind = edges.schema["nb_id"].dataType.simpleString()
+    rows = edges.where("src is not null and dst is not null").select("nb_id", "src", "dst")
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")))
+    names = ["nb_id", *(c.strip().split(" ")[0] for c in schema.split(","))]
+
+    def per(table: pa.Table) -> pa.Table:
+        g = _Graph(table, backwards)
+        columns = [g.names.take(pa.array(c, pa.int64())) for c in fn(g)]
+        nb = pa.array([table["nb_id"][0].as_py()] * len(columns[0]), table.schema.field("nb_id").type)
+        return pa.table([nb, *columns], names=names)
+
+    return rows.groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, {schema}")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(nb_id, src, dst): dst can be reached from src."""
-    kind = edges.schema["nb_id"].dataType.simpleString()
+    """(nb_id, src, dst): dst can be reached from src.
 
-    def per(table: pa.Table) -> pa.Table:
-        names, r = _reach(table)
-        a, b = np.nonzero(r)
-        nb = pa.array([table["nb_id"][0].as_py()] * len(a), table.schema.field("nb_id").type)
-        return pa.table([nb, pa.array(names[a], pa.string()), pa.array(names[b], pa.string())], names=["nb_id", "src", "dst"])
+    All pairs; a notebook of n nodes takes n * n / 8 bytes for its sets. Where
+    only what some nodes reach is asked for, take reached() or walks().
+    """
+
+    def pairs(g: _Graph):
+        sets = [0] * g.n
+        order, moved = g.ends_first(), True
+        while moved:  # once, and again only for cycles
+            moved = False
+            for v in order:
+                new = sets[v]
+                for w in g.next[v]:
+                    new |= sets[w] | 1 << w
+                moved |= new != sets[v]
+                sets[v] = new
+        ends = [np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(g.n // 8 + 1, "little"), np.uint8), bitorder="little")) for x in sets]
+        return np.repeat(np.arange(g.n), [len(e) for e in ends]), np.concatenate(ends) if ends else np.zeros(0, np.int64)
 
-    return edges.select("nb_id", "src", "dst").groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, src string, dst string")
+    return _per_notebook(edges, None, pairs, "src string, dst string")
+
+
+def reached(edges: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFrame:
+    """(nb_id, node_id): what one edge or more leads to from any of the seeds (nb_id, node_id), or, backwards, what leads to any of them."""
+    return _per_notebook(edges, seeds, lambda g: [g.walk(g.seeds.tolist())], "node_id string", backwards)
+
+
+def walks(edges: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFrame:
+    """(nb_id, seed, node_id): what one edge or more leads to from each seed, or, backwards, what leads to it."""
+
+    def each(g: _Graph):
+        found = [g.walk([s]) for s in g.seeds.tolist()]
+        return np.repeat(g.seeds, [len(x) for x in found]), [v for x in found for v in x]
+
+    return _per_notebook(edges, seeds, each, "seed string, node_id string", backwards)
 
 
 def closure_frontier(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -63,7 +139,7 @@ def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     def per(table: pa.Table) -> pa.Table:
         start = [s for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True) if d is None]
-        real = table.filter(pa.compute.is_valid(table["dst"]))
+        real = table.filter(pc.is_valid(table["dst"]))
         depth = dict.fromkeys(start, 0)
         out: dict = {}
         for a, b in zip(real["src"].to_pylist(), real["dst"].to_pylist(), strict=True):
@@ -182,7 +258,7 @@ def rewire(edges: DataFrame, gone: DataFrame) -> DataFrame:
 def spread_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with struct_type DATASET for targets of DATA_IMPORT edges not so typed, and what DATA_TRANSFORM edges reach from there."""
     seeds = edges.where("predicted_label = 1").select("nb_id", F.col("dst").alias("node_id")).distinct().join(nodes.where("struct_type <> 2").select("nb_id", "node_id"), ["nb_id", "node_id"])
-    along = closure(edges.where("predicted_label = 2")).join(seeds.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id"))
+    along = reached(edges.where("predicted_label = 2"), seeds)
     typed = seeds.unionByName(along).distinct().withColumn("__d", F.lit(True))
     return nodes.join(typed, ["nb_id", "node_id"], "left").withColumn("struct_type", F.when(F.col("__d"), 2).otherwise(F.col("struct_type"))).drop("__d")
 
@@ -192,12 +268,25 @@ def prune(nodes: DataFrame, edges: DataFrame, protected: tuple[int, ...]) -> Dat
 
     A node stays if it reaches a protected one, or lies on or before a cycle.
     """
-    r = closure(edges)
     keep = nodes.where(F.col("struct_type").isin(*protected)).select("nb_id", "node_id")
-    circles = r.where("src = dst").select("nb_id", F.col("src").alias("node_id"))
-    goal = keep.unionByName(circles).distinct()
-    before = r.join(goal.withColumnRenamed("node_id", "dst"), ["nb_id", "dst"], "left_semi").select("nb_id", F.col("src").alias("node_id"))
-    stay = goal.unionByName(before).distinct()
+
+    def staying(g: _Graph):
+        before: list[list[int]] = [[] for _ in range(g.n)]
+        for v, ends in enumerate(g.next):
+            for w in ends:
+                before[w].append(v)
+        open_ends, kept = [len(e) for e in g.next], set(g.seeds.tolist())
+        todo = [v for v in range(g.n) if not open_ends[v] and v not in kept]
+        taken = set(todo)
+        for v in todo:
+            for p in before[v]:
+                open_ends[p] -= 1
+                if not open_ends[p] and p not in kept and p not in taken:
+                    taken.add(p)
+                    todo.append(p)
+        return [[v for v in range(g.n) if v not in taken]]
+
+    stay = _per_notebook(edges, keep, staying, "node_id string")
     left = edges.join(stay.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").join(stay.withColumnRenamed("node_id", "dst"), ["nb_id", "dst"], "left_semi")
     return drop_isolated(nodes.join(stay, ["nb_id", "node_id"], "left_semi"), left)
 
@@ -214,11 +303,8 @@ def ego(edges: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
 
 def around_variable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(nb_id, seed, node_id): the seed, what it reaches and what reaches it."""
-    r = closure(edges)
-    s = seeds.select("nb_id", F.col("node_id").alias("seed"))
-    down = r.join(s.withColumnRenamed("seed", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("src").alias("seed"), F.col("dst").alias("node_id"))
-    up = r.join(s.withColumnRenamed("seed", "dst"), ["nb_id", "dst"], "left_semi").select("nb_id", F.col("dst").alias("seed"), F.col("src").alias("node_id"))
-    return down.unionByName(up).unionByName(s.withColumn("node_id", F.col("seed"))).distinct()
+    own = seeds.select("nb_id", F.col("node_id").alias("seed"), "node_id")
+    return walks(edges, seeds).unionByName(walks(edges, seeds, backwards=True)).unionByName(own).distinct()
 
 
 def to_simple(edges: DataFrame) -> DataFrame:
@@ -231,20 +317,16 @@ def to_simple(edges: DataFrame) -> DataFrame:
     return e.select(*((a if c == "src" else b if c == "dst" else F.col(c)).alias(c) for c in edges.columns))
 
 
-def provenance(nodes: DataFrame, edges: DataFrame, rounds: int = 15) -> DataFrame:
-    """nodes with base_inputs (library names, sorted, joined) and n_steps (distinct transform steps) inherited from all that reach them.
-
-    Flows longer than `rounds` edges are cut as sweeps in order would not be:
-    inheritance here is the whole closure.
-    """
-    r = closure(edges)
+def provenance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with base_inputs (library names, sorted, joined) and n_steps (distinct transform steps) inherited from all that reach them, however far."""
     named = with_ends(edges, nodes, "struct_type", "label", "code")
     libs = named.where("src_struct_type = 1").select("nb_id", F.col("dst").alias("node_id"), F.col("src_label").alias("lib"))
     steps = named.where("src_struct_type in (3, 6, 9) and dst_struct_type not in (3, 6, 9)").select("nb_id", F.col("dst").alias("node_id"), F.struct(F.col("src_label").alias("operation"), F.col("dst_label").alias("target_node"), F.col("src_code").alias("transform_code")).alias("step"))
 
     def spread(facts: DataFrame, name: str) -> DataFrame:
-        own = facts.withColumnRenamed("node_id", "src")
-        return own.join(r, ["nb_id", "src"]).select("nb_id", F.col("dst").alias("node_id"), name).unionByName(facts).distinct()
+        ways = walks(edges, facts.select("nb_id", "node_id").distinct())
+        own = facts.withColumnRenamed("node_id", "seed")
+        return own.join(ways, ["nb_id", "seed"]).select("nb_id", "node_id", name).unionByName(facts).distinct()
 
     b = spread(libs, "lib").groupBy("nb_id", "node_id").agg(F.array_join(F.sort_array(F.collect_set("lib")), ", ").alias("base_inputs"))
     s = spread(steps, "step").groupBy("nb_id", "node_id").agg(F.count("*").alias("n_steps"))

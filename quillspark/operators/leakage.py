@@ -63,27 +63,31 @@ def _inputs(edges: DataFrame, of: DataFrame) -> DataFrame:
     return e.select("nb_id", F.col("dst").alias("hub"), F.col("src").alias("node_id"), F.row_number().over(Window.partitionBy("nb_id", "dst").orderBy("ord")).alias("i"))
 
 
-def _down(r: DataFrame, seeds: DataFrame) -> DataFrame:
+def _down(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seeds and what they reach, (nb_id, node_id)."""
     s = seeds.select("nb_id", "node_id").distinct()
-    return r.join(s.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")).unionByName(s).distinct()
+    return graphs.reached(edges, s).unionByName(s).distinct()
+
+
+def _ways(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(nb_id, src, dst): each seed with itself and what it reaches."""
+    s = seeds.select("nb_id", "node_id").distinct()
+    return graphs.walks(edges, s).unionByName(s.select("nb_id", F.col("node_id").alias("seed"), "node_id")).distinct().select("nb_id", F.col("seed").alias("src"), F.col("node_id").alias("dst"))
 
 
 def findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nb_id, leakage_class, node, code, source_node), one row per class and node.
 
     nodes need node_type, ord, code, label; edges edge_type and ord. The
-    closure and the hubs are written once to the shared folder, as all five
-    detectors read them.
+    hubs are written once to the shared folder, as all five detectors read
+    them; each walks from its own seeds.
     """
     h = hubs(nodes, edges).checkpoint()
-    r = graphs.closure(edges).checkpoint()
     splits, fits, models, metrics = (h.where(c) for c in ("is_split", "is_fit", "is_train", "is_metric"))
     roles = split_outputs(nodes, edges, splits).checkpoint()
     used = h.where("is_split or is_fit or is_train or is_metric")
     ins = _inputs(edges, used).join(used.select("nb_id", F.col("node_id").alias("hub"), "is_split", "is_fit", "is_train", "is_metric"), ["nb_id", "hub"]).checkpoint()
     at = {"split": ins.where("is_split"), "fit": ins.where("is_fit"), "model": ins.where("is_train"), "metric": ins.where("is_metric")}
-    reach = r.unionByName(nodes.select("nb_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))).distinct()
 
     def out(df: DataFrame, name: str) -> DataFrame:
         return df.select("nb_id", F.lit(name).alias("leakage_class"), "node", "code", "source_node")
@@ -91,30 +95,31 @@ def findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # preprocessing before a split that its input reaches; the first such split
     pairs = fits.select("nb_id", F.col("node_id").alias("node"), "code", F.col("ord").alias("o")).join(splits.select("nb_id", F.col("node_id").alias("dst"), F.col("ord").alias("so")), "nb_id").where("o < so")
     near = at["fit"].select("nb_id", F.col("hub").alias("node"), F.col("node_id").alias("src"))
-    d1 = pairs.join(near, ["nb_id", "node"]).join(reach, ["nb_id", "src", "dst"], "left_semi").groupBy("nb_id", "node").agg(F.first("code").alias("code"), F.min_by("dst", "so").alias("source_node"))
+    ways = _ways(edges, near.select("nb_id", F.col("src").alias("node_id")))
+    d1 = pairs.join(near, ["nb_id", "node"]).join(ways, ["nb_id", "src", "dst"], "left_semi").groupBy("nb_id", "node").agg(F.first("code").alias("code"), F.min_by("dst", "so").alias("source_node"))
 
     # the target, without the split, reaches what a model's first input comes from
     targets = ins.where("i = 2 and (is_split or is_train)").select("nb_id", "node_id").distinct()
     no_split = splits.select("nb_id", F.col("node_id").alias("x"))
     sub = edges.join(no_split.withColumnRenamed("x", "src"), ["nb_id", "src"], "left_anti").join(no_split.withColumnRenamed("x", "dst"), ["nb_id", "dst"], "left_anti")
-    below = graphs.closure(sub).join(targets.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("src")).distinct().join(h.select("nb_id", F.col("node_id").alias("src")), ["nb_id", "src"], "left_semi")
+    below = graphs.reached(sub, targets).select("nb_id", F.col("node_id").alias("src")).join(h.select("nb_id", F.col("node_id").alias("src")), ["nb_id", "src"], "left_semi")
     made = edges.where("edge_type = 2")
     derived = made.join(below, ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")).distinct()
     derived = derived.join(targets, ["nb_id", "node_id"], "left_anti")
     derived = derived.join(made.join(splits.select("nb_id", F.col("node_id").alias("src")), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")), ["nb_id", "node_id"], "left_anti")
     feature = at["model"].where("i = 1").select("nb_id", F.col("hub").alias("node"), F.col("node_id").alias("dst"))
-    d2 = feature.join(reach, ["nb_id", "dst"]).join(derived.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").groupBy("nb_id", "node").agg(F.min("src").alias("source_node")).join(models.select("nb_id", F.col("node_id").alias("node"), "code"), ["nb_id", "node"])
+    d2 = feature.join(_ways(edges, derived), ["nb_id", "dst"]).groupBy("nb_id", "node").agg(F.min("src").alias("source_node")).join(models.select("nb_id", F.col("node_id").alias("node"), "code"), ["nb_id", "node"])
 
     # test data reaches a model's input
     test = roles.where("role = 'test'").select("nb_id", "node_id")
     named = nodes.where(~F.col("node_type").isin(*COMPUTE_HUBS) & has_token(F.col("node_id"), TEST_WORDS_WIDE)).select("nb_id", "node_id").join(test.select("nb_id").distinct(), "nb_id", "left_anti")
-    d3 = at["model"].join(_down(r, test.unionByName(named)), ["nb_id", "node_id"], "left_semi").groupBy("nb_id", F.col("hub").alias("node")).agg(F.min_by("node_id", "i").alias("source_node")).join(models.select("nb_id", F.col("node_id").alias("node"), "code"), ["nb_id", "node"])
+    d3 = at["model"].join(_down(edges, test.unionByName(named)), ["nb_id", "node_id"], "left_semi").groupBy("nb_id", F.col("hub").alias("node")).agg(F.min_by("node_id", "i").alias("source_node")).join(models.select("nb_id", F.col("node_id").alias("node"), "code"), ["nb_id", "node"])
 
     # a metric of train data alone
     train = roles.where("role = 'train'").select("nb_id", "node_id").unionByName(at["model"].select("nb_id", "node_id"))
     seen = at["metric"]
-    on_train = seen.join(_down(r, train), ["nb_id", "node_id"], "left_semi").select("nb_id", "hub").distinct()
-    on_test = seen.join(_down(r, test), ["nb_id", "node_id"], "left_semi").select("nb_id", "hub")
+    on_train = seen.join(_down(edges, train), ["nb_id", "node_id"], "left_semi").select("nb_id", "hub").distinct()
+    on_test = seen.join(_down(edges, test), ["nb_id", "node_id"], "left_semi").select("nb_id", "hub")
     d4 = on_train.join(on_test, ["nb_id", "hub"], "left_anti").withColumnRenamed("hub", "node").join(metrics.select("nb_id", F.col("node_id").alias("node"), "code"), ["nb_id", "node"]).withColumn("source_node", F.lit(None).cast("string"))
 
     # models and no split: the first

@@ -87,15 +87,15 @@ def _runner_up(state: DataFrame, mark: Column, otherwise: str) -> DataFrame:
 
 def relevance(state: DataFrame, edges: DataFrame) -> DataFrame:
     """NOT_RELEVANT calls behind an import call take their runner-up."""
-    anchors = state.where(_compute() & (F.col("predicted_label") == 1)).select("nb_id", F.col("node_id").alias("src"))
-    behind = graphs.closure(edges).join(anchors, ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id"))
+    anchors = state.where(_compute() & (F.col("predicted_label") == 1)).select("nb_id", "node_id")
+    behind = graphs.reached(edges, anchors)
     return _runner_up(_marks(state, behind, "__b"), F.col("__b"), "DATA_TRANSFORM").drop("__b")
 
 
 def backward_source(state: DataFrame, edges: DataFrame) -> DataFrame:
     """NOT_RELEVANT calls before a confident transform, none of whose inputs a call made, take their runner-up. A missing confidence counts as 0 here."""
-    anchors = state.where(_compute() & (F.col("predicted_label") == 2) & (F.coalesce("confidence", F.lit(0.0)) >= CONFIDENT)).select("nb_id", F.col("node_id").alias("dst"))
-    before = graphs.closure(edges).join(anchors, ["nb_id", "dst"], "left_semi").select("nb_id", F.col("src").alias("node_id"))
+    anchors = state.where(_compute() & (F.col("predicted_label") == 2) & (F.coalesce("confidence", F.lit(0.0)) >= CONFIDENT)).select("nb_id", "node_id")
+    before = graphs.reached(edges, anchors, backwards=True)
     calls = state.where(_compute()).select("nb_id", F.col("node_id").alias("src"))
     made = edges.join(calls, ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("src"))
     fed = edges.join(made.distinct(), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id"))
@@ -134,7 +134,7 @@ def taint(state: DataFrame, edges: DataFrame) -> DataFrame:
     # a walk leaves a node only into hubs; from a hub any next node goes on, a hub so met too
     steps = e.where(hub).select("nb_id", F.col("src").alias("a"), F.col("dst").alias("h")).distinct()
     two = steps.join(edges.select("nb_id", F.col("src").alias("h"), F.col("dst").alias("b")).distinct(), ["nb_id", "h"]).select("nb_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    reach = graphs.closure(two).join(seeds.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")).distinct()
+    reach = graphs.reached(two, seeds)
     on = reach.unionByName(seeds).distinct()
     hubs = steps.join(on.withColumnRenamed("node_id", "a"), ["nb_id", "a"], "left_semi").select("nb_id", F.col("h").alias("node_id"))
     new = reach.join(seeds, ["nb_id", "node_id"], "left_anti")
@@ -178,7 +178,7 @@ def exclusion(state: DataFrame, edges: DataFrame) -> DataFrame:
 def simple_leakage(state: DataFrame, edges: DataFrame) -> DataFrame:
     """Model operations that a dataset of a test-like name reaches."""
     test = state.where(F.col("dataset") & has_token(F.col("node_id"), TEST_WORDS)).select("nb_id", "node_id")
-    reach = graphs.closure(edges).join(test.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi").select("nb_id", F.col("dst").alias("node_id")).unionByName(test)
+    reach = graphs.reached(edges, test).unionByName(test)
     out = _marks(state, reach, "__r")
     return _set(out, "leak", F.col("__r") & (F.col("new_label") == "MODEL_OPERATION"), True).drop("__r")
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 _EV = """select event_id, user_id, event_type, props, value, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from {events}"""
 
-#: A notebook is twelve consecutive events of a user; an event is a node.
+#: A notebook is a user; an event is a node.
 NODES = f"""
-select user_id * 1000 + cast(floor(seq / 12.0) as bigint) as nb_id, 'n' || cast(event_id as string) as node_id, cast(seq as bigint) as ord, event_id, event_type,
+select user_id as nb_id, 'n' || cast(event_id as string) as node_id, cast(seq as bigint) as ord, event_id, event_type,
   case event_type when 'view' then 0 when 'click' then 9 when 'purchase' then 4 when 'signup' then 1 else 8 end as struct_type,
   case when event_id % 11 = 0 then 2 when event_id % 13 = 0 then 4 end as domain_type, event_id % 5 = 0 as domain_node,
   case event_id % 8 when 0 then 'pd.read_csv("a.csv")' when 1 then 'model.fit(x, y)' when 2 then 'model.predict(x)' when 3 then 'df.to_csv("o.csv")' when 4 then 'train_test_split(x)' when 5 then 'StandardScaler().fit_transform(x)' when 6 then 'plt.plot(x)' else 'df.merge(b)' end as code,
@@ -32,7 +32,7 @@ TRACE = f"""
 select user_id as nb_id, 's' as session_id, cast(seq as bigint) as seq, event_type as cell_id, cast(case event_type when 'signup' then 0 when 'view' then 1 when 'click' then 2 when 'purchase' then 3 else 4 end as int) as document_index, md5(props) as source_hash from ({_EV}) e"""
 LINKS = """select nb_id, s as src_cell, d as dst_cell, n as name from (select distinct user_id as nb_id from {events}) u cross join (select 'signup' as s, 'view' as d, 'acct' as n union all select 'view', 'click', 'page' union all select 'click', 'purchase', 'item' union all select 'error', 'view', 'log') l"""
 
-#: A conversation as a notebook, a turn as a cell; its first word is defined, the next twelve are used.
+#: A conversation as a notebook, a turn as a cell; its first word is defined, all others are used.
 CELLS = """select conv_id as nb_id, 't' || cast(turn as string) as cell_id, cast(turn as int) as document_index, text as source, cast(case when turn % 4 = 3 then null else (turn * 7) % 5 end as int) as execution_count, turn % 3 = 1 as is_dirty, false as parse_error from {conversations}"""
 
 
@@ -73,7 +73,7 @@ def cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     words = F.filter(F.split(F.lower("source"), "[^a-z]+"), lambda w: w != "")
     w = c.select("nb_id", "cell_id", words.alias("w"))
     defs = w.where("size(w) > 0").select("nb_id", "cell_id", F.get("w", F.lit(0)).alias("name"), F.lit("assign").alias("kind"), F.lit(1).alias("lineno"))
-    uses = w.select("nb_id", "cell_id", F.explode(F.array_distinct(F.slice("w", 2, 12))).alias("name")).select("*", F.lit(2).alias("lineno"), F.lit(False).alias("deferred"), F.lit(None).cast("string").alias("via"))
+    uses = w.select("nb_id", "cell_id", F.explode(F.array_distinct(F.slice("w", 2, F.size("w")))).alias("name")).select("*", F.lit(2).alias("lineno"), F.lit(False).alias("deferred"), F.lit(None).cast("string").alias("via"))
     # a cell doesn't use what it defines
     uses = uses.join(defs.select("nb_id", "cell_id", "name"), ["nb_id", "cell_id", "name"], "left_anti")
     return c, defs, uses
@@ -81,6 +81,6 @@ def cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 D_SYMBOLS = f"""with cells as ({D_CELLS}), w as (select nb_id, cell_id, document_index, list_filter(regexp_split_to_array(lower(source), '[^a-z]+'), lambda x: x <> '') as w from cells),
 defs as (select nb_id, cell_id, document_index, w[1] as name from w where len(w) > 0),
-uses as (select distinct u.nb_id, u.cell_id, u.document_index, u.name from (select nb_id, cell_id, document_index, unnest(w[2:13]) as name from w) u anti join defs d on u.nb_id = d.nb_id and u.cell_id = d.cell_id and u.name = d.name),
+uses as (select distinct u.nb_id, u.cell_id, u.document_index, u.name from (select nb_id, cell_id, document_index, unnest(w[2:]) as name from w) u anti join defs d on u.nb_id = d.nb_id and u.cell_id = d.cell_id and u.name = d.name),
 p as (select u.nb_id, u.cell_id as dst_cell, u.name, d.cell_id as src_cell, d.document_index as si, u.document_index as di from uses u join defs d on u.nb_id = d.nb_id and u.name = d.name and u.cell_id <> d.cell_id),
 symbol as (select nb_id, src_cell, dst_cell, name, n > 1 as ambiguous, si >= di as out_of_order, 1.0::double / n as confidence from (select *, count(*) over (partition by nb_id, dst_cell, name) as n, row_number() over (partition by nb_id, dst_cell, name order by (si < di) desc, case when si < di then -si else si end) as rn from p) where rn = 1)"""

@@ -9,20 +9,10 @@ from ..operators import cells as C
 from ..operators import features, graphs, knowledge, leakage, lineage, metrics, mining, refine
 from ..operators import trace as T
 from . import bindings as B
+from . import notebooks  # noqa: F401, registers its queries
+from .registry import ORACLE, QUERIES, query
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
 def _checkpoints(df) -> None:
     from ..operators.shared import checkpoints
@@ -101,11 +91,6 @@ def trace_sessions(spark, sf_dir):
     return T.sessionize(ev).select("nb_id", "event_id", "session_no")
 
 
-@query()
-def source_hashes(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").select("event_id", text.djb2(F.col("props")).alias("hash"))
-
-
 # ------------------------------------------------------------------- graphs
 
 on_graph("graph_closure", lambda n, e: graphs.closure(e), "select nb_id, src, dst from r")
@@ -132,7 +117,7 @@ on_graph(
     ", k as (select nb_id, node_id from nodes where struct_type = 9 union select r.nb_id, r.src from r join nodes n on n.nb_id = r.nb_id and n.node_id = r.dst and n.struct_type = 9) select distinct k.nb_id, k.node_id from k join edges e on e.nb_id = k.nb_id and k.node_id in (e.src, e.dst) join k o on o.nb_id = e.nb_id and o.node_id = case when e.src = k.node_id then e.dst else e.src end",
 )
 on_graph("graph_ego", lambda n, e: graphs.ego(e, n.where("event_id % 20 = 0"), 2), f"{_WEAK.split(', w as')[0]}, c as (select nb_id, node_id from nodes where event_id % 20 = 0) select nb_id, node_id as centre, node_id from c union select c.nb_id, c.node_id, b.z from c join b on b.nb_id = c.nb_id and b.a = c.node_id union select c.nb_id, c.node_id, y.z from c join b x on x.nb_id = c.nb_id and x.a = c.node_id join b y on y.nb_id = c.nb_id and y.a = x.z")
-on_graph("graph_around_variable", lambda n, e: graphs.around_variable(e, n.where("struct_type = 0 and event_id % 10 = 0")), ", s as (select nb_id, node_id from nodes where struct_type = 0 and event_id % 10 = 0) select nb_id, node_id as seed, node_id from s union select r.nb_id, r.src, r.dst from r join s on s.nb_id = r.nb_id and s.node_id = r.src union select r.nb_id, r.dst, r.src from r join s on s.nb_id = r.nb_id and s.node_id = r.dst")
+on_graph("graph_around_variable", lambda n, e: graphs.around_variable(e, n.where("struct_type = 0")), ", s as (select nb_id, node_id from nodes where struct_type = 0) select nb_id, node_id as seed, node_id from s union select r.nb_id, r.src, r.dst from r join s on s.nb_id = r.nb_id and s.node_id = r.src union select r.nb_id, r.dst, r.src from r join s on s.nb_id = r.nb_id and s.node_id = r.dst")
 on_graph("graph_to_simple", lambda n, e: graphs.to_simple(e).select("nb_id", "src", "dst", "ord"), "select nb_id, case when i > 1 then dst || '_intermediate_' || (i - 1) else src end as src, case when i < c then dst || '_intermediate_' || i else dst end as dst, ord from (select *, row_number() over (partition by nb_id, src, dst order by ord) as i, count(*) over (partition by nb_id, src, dst) as c from edges)")
 on_graph("graph_provenance", lambda n, e: graphs.provenance(n, e).select("nb_id", "node_id", "base_inputs", "n_steps"), ", q as (select nb_id, src, dst from r union select nb_id, node_id, node_id from nodes), lib as (select e.nb_id, e.dst, p.label as l from edges e join nodes p on p.nb_id = e.nb_id and p.node_id = e.src and p.struct_type = 1), st as (select e.nb_id, e.dst, p.label as a, d.label as b, p.code as c from edges e join nodes p on p.nb_id = e.nb_id and p.node_id = e.src and p.struct_type in (3, 6, 9) join nodes d on d.nb_id = e.nb_id and d.node_id = e.dst and d.struct_type not in (3, 6, 9)) select n.nb_id, n.node_id, (select string_agg(l, ', ' order by l) from (select distinct l from lib join q on q.nb_id = lib.nb_id and q.src = lib.dst where q.nb_id = n.nb_id and q.dst = n.node_id)) as base_inputs, (select count(*) from (select distinct a, b, c from st join q on q.nb_id = st.nb_id and q.src = st.dst where q.nb_id = n.nb_id and q.dst = n.node_id)) as n_steps from nodes n")
 on_graph("graph_context", lambda n, e: graphs.context(n, e).select("nb_id", "node_id", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("inputs", "libraries", "outputs"))))
@@ -329,12 +314,12 @@ def kb_look_up(spark, sf_dir):
     return knowledge.look_up(asked, kb).select("ask_id", F.array_join("outputs", ",").alias("outputs"))
 
 
-_S = "(select distinct l_orderkey as nb_id, l_quantity * 100 as s, l_quantity * 100 + 1 + l_extendedprice % 400 as e from lineitem where l_linenumber = 1)"
+_S = "(select distinct l_orderkey as nb_id, l_quantity * 100 as s, l_quantity * 100 + 1 + l_extendedprice % 400 as e from lineitem)"
 
 
 @query(f"with a as (select row_number() over (order by nb_id, s, e) as ask_id, * from {_S}), g as (select o_orderkey as nb_id, o_orderkey * 10 + i as gold_id, 1000.0 * i as gs, 1000.0 * i + 700 as ge, i as ord from orders, range(5) t(i)), b as (select a.ask_id, g.gold_id, (least(a.e, ge) - greatest(a.s, gs)) / least(a.e - a.s, ge - gs) as overlap, ord from a join g on a.nb_id = g.nb_id and gs < a.e and a.s < ge), c as (select *, row_number() over (partition by ask_id order by overlap desc, ord) as rn from b) select a.nb_id, a.s, c.gold_id, round(c.overlap, 6) as overlap from c join a using (ask_id) where rn = 1 and overlap >= 0.5")
 def kb_match_spans(spark, sf_dir):
-    a = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("nb_id"), (F.col("l_quantity") * 100).alias("s"), (F.col("l_quantity") * 100 + 1 + F.col("l_extendedprice") % 400).alias("e")).distinct()
+    a = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("nb_id"), (F.col("l_quantity") * 100).alias("s"), (F.col("l_quantity") * 100 + 1 + F.col("l_extendedprice") % 400).alias("e")).distinct()
     a = a.withColumn("ask_id", F.concat_ws("|", "nb_id", "s", "e"))
     g = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("nb_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
     g = g.select("nb_id", (F.col("nb_id") * 10 + F.col("ord")).alias("gold_id"), (F.col("ord") * 1000.0).alias("s"), (F.col("ord") * 1000.0 + 700).alias("e"), "ord")
@@ -342,9 +327,9 @@ def kb_match_spans(spark, sf_dir):
     return got.join(a, "ask_id").select("nb_id", "s", "gold_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("select vec_id, cast(case when i1 = 6 then 4 else i1 end as int) as predicted_label, round(p1, 6) as confidence from (select vec_id, list_position(v, list_max(v)) - 1 as i1, list_max(v)::double as p1 from (select vec_id, embedding[1:7] as v from embeddings))")
+@query("select vec_id, cast(case when i1 = 6 then 4 else i1 end as int) as predicted_label, round(p1, 6) as confidence from (select vec_id, list_position(v, list_max(v)) - 1 as i1, list_max(v)::double as p1 from (select vec_id, embedding as v from embeddings))")
 def label_top_two(spark, sf_dir):
-    e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double")).alias("v"))
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return metrics.top_two(e, "v").select("vec_id", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 
@@ -365,41 +350,3 @@ def mining_top_missing(spark, sf_dir):
     part = B.table(spark, sf_dir, "part")
     calls = B.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"))
     return mining.top_missing(calls, part.where("p_size < 40").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api")))
-
-# ------------------------------------------------------------ seeded programs
-
-
-@query()
-def ir_seeded_leakage(spark, sf_dir):
-    """Detected classes of the seeded programs, parsed anew: (nb_id, leakage_class)."""
-    from ..ir import build, programs
-    from ..operators.shared import checkpoints
-
-    checkpoints(spark)
-    corpus = spark.createDataFrame(programs.corpus(2), "nb_id string, cell_id string, document_index int, source string, defect string")
-    records = build.parse(corpus).checkpoint()
-    nodes = build.nodes(records).withColumn("node_type", F.col("struct_type"))
-    return leakage.findings(nodes, build.edges(records)).select("nb_id", "leakage_class").distinct()
-
-
-@query()
-def ir_nodes(spark, sf_dir):
-    from ..ir import build, programs
-
-    corpus = spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string")
-    return build.nodes(build.parse(corpus)).groupBy("nb_id", "struct_type").agg(F.count("*").alias("n"))
-
-
-@query()
-def ir_symbols(spark, sf_dir):
-    from ..ir import build, programs
-
-    corpus = spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string")
-    return build.symbols(corpus)[0]
-
-
-@query()
-def ir_complexity(spark, sf_dir):
-    from ..ir import programs
-
-    return mining.complexity(spark.createDataFrame(programs.corpus(1), "nb_id string, cell_id string, document_index int, source string, defect string"))
