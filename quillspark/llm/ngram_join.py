@@ -327,8 +327,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # equal sets are one class, which its least id stands for
     same = ["key_a", "key_b", "n"]
-    classes = tried.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = tried.select("doc_id", *same).join(classes.where("copies > 1").drop("copies"), same).distinct().checkpoint()
+    salted = tried.select("doc_id", *same).withColumn("salt", F.pmod(F.xxhash64(F.lit("same"), "doc_id"), F.lit(SALTS)))
+    each, whole = salted.groupBy(*same, "salt").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), Window.partitionBy(*same)
+    classes = each.select(*same, "salt", F.min("rep").over(whole).alias("rep"), F.sum("copies").over(whole).alias("copies")).where("copies > 1")
+    copies = salted.join(classes, [*same, "salt"]).select("doc_id", *same, "rep").distinct().checkpoint()
     alone = tried.join(copies.where("doc_id <> rep").select("doc_id", *same), ["doc_id", *same], "left_anti").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "tokens", "least", "n_first")
 
     # groups by least token, in blocks of about MEMBERS
