@@ -44,10 +44,22 @@ class _Labelled(ast.NodeTransformer):
 
 
 class _Tasks(ast.NodeTransformer):
-    """`a >> [b, c]` is b = a.set_downstream(b), c = a.set_downstream(c); `<<` the other way round."""
+    """`a >> [b, c]` is b = a.set_downstream(b), c = a.set_downstream(c); `<<` the other way round.
+
+    A chain with an operand that is not a name or a list of names stays as it is.
+    """
+
+    @staticmethod
+    def operand(e: ast.AST) -> bool:
+        if isinstance(e, ast.BinOp):
+            return isinstance(e.op, (ast.RShift, ast.LShift)) and _Tasks.operand(e.left) and _Tasks.operand(e.right)
+        names = e.elts if isinstance(e, ast.List) else [e]
+        return bool(names) and all(isinstance(n, ast.Name) for n in names)
 
     def visit_Expr(self, node: ast.Expr) -> ast.AST | list[ast.AST]:
         made: list[ast.AST] = []
+        if not (isinstance(node.value, ast.BinOp) and self.operand(node.value)):
+            return node
 
         def ends(e: ast.AST) -> list[ast.AST]:
             if isinstance(e, ast.BinOp) and isinstance(e.op, (ast.RShift, ast.LShift)):
@@ -55,11 +67,10 @@ class _Tasks(ast.NodeTransformer):
                 for a in left:
                     for b in right:
                         up, down = (a, b) if isinstance(e.op, ast.RShift) else (b, a)
-                        if isinstance(up, ast.Name) and isinstance(down, ast.Name):
-                            call = ast.Call(ast.Attribute(ast.Name(up.id, ast.Load()), "set_downstream", ast.Load()), [ast.Name(down.id, ast.Load())], [])
-                            made.append(ast.Assign([ast.Name(down.id, ast.Store())], call))
+                        call = ast.Call(ast.Attribute(ast.Name(up.id, ast.Load()), "set_downstream", ast.Load()), [ast.Name(down.id, ast.Load())], [])
+                        made.append(ast.Assign([ast.Name(down.id, ast.Store())], call))
                 return right
-            return list(e.elts) if isinstance(e, (ast.List, ast.Tuple)) else [e]
+            return list(e.elts) if isinstance(e, ast.List) else [e]
 
         ends(node.value)
         return [ast.fix_missing_locations(ast.copy_location(m, node)) for m in made] or node

@@ -13,6 +13,10 @@ RUN, REDIRECT = r"(?m)^[ \t]*%run\s+(\S+)", r"(?m)^[ \t]*!.*?>>?\s*(\S+)"
 _EDGE = ["nb_id", "src_cell", "dst_cell", "kind", "name", "def_lineno", "use_lineno", "ambiguous", "candidate_def_cells", "out_of_order", "confidence"]
 
 
+#: The cell, line and column that end a node's id.
+VERSION = r"_[^_]+_\d+(?:_\d+)?$"
+
+
 def attributes(cells: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
     """cells with sorted defined_names and free_uses, has_opaque_effects, source_hash, source_preview, n_lines."""
     d = defs.groupBy("nb_id", "cell_id").agg(F.array_sort(F.collect_set("name")).alias("defined_names"))
@@ -70,6 +74,20 @@ def deferred_edges(cells: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFr
     return bound.unionByName(_bind(_pairs(cells, defs, rest), 0.7, False))
 
 
+def cross_cell_index(nodes: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """(nb_id, src_cell, dst_cell, name, def_node, use_node, def_lineno, use_lineno, edge_type, src_node_type): where in the dataflow graph one cell's node is used by another, the first edge of each name.
+
+    A name is the source's label, else its id without its version; a line is the number at the end of the id, -1 without one.
+    """
+    end = lambda n: n.select("nb_id", "node_id", "cell_id", "label", "struct_type").join(cells.select("nb_id", "cell_id"), ["nb_id", "cell_id"], "left_semi")
+    s = end(nodes).select("nb_id", F.col("node_id").alias("src"), F.col("cell_id").alias("src_cell"), F.coalesce(F.nullif("label", F.lit("")), F.regexp_replace("node_id", VERSION, "")).alias("name"), F.col("struct_type").alias("src_node_type"))
+    d = end(nodes).select("nb_id", F.col("node_id").alias("dst"), F.col("cell_id").alias("dst_cell"))
+    e = edges.select("nb_id", "src", "dst", "ord", "edge_type", "lineno").join(s, ["nb_id", "src"]).join(d, ["nb_id", "dst"]).where("src_cell <> dst_cell")
+    line = F.coalesce(F.nullif(F.regexp_extract("src", r"_(\d+)(?:_\d+)?$", 1), F.lit("")).cast("int"), F.lit(-1))
+    first = F.struct(F.col("src").alias("def_node"), F.col("dst").alias("use_node"), line.alias("def_lineno"), F.coalesce("lineno", F.lit(-1)).alias("use_lineno"), "edge_type", "src_node_type")
+    return e.groupBy("nb_id", "src_cell", "dst_cell", "name").agg(F.min_by(first, "ord").alias("f")).select("nb_id", "src_cell", "dst_cell", "name", "f.*")
+
+
 def file_edges(io: DataFrame) -> DataFrame:
     """Write-to-read edges of io(nb_id, cell_id, path, mode, lineno): every writer of a path to every other reader, 0.6 / writers."""
     w = io.where("mode = 'write'").select("nb_id", "path", F.col("cell_id").alias("src_cell"), F.col("lineno").alias("def_lineno"))

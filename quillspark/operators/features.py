@@ -257,5 +257,16 @@ def line_graph(edges: DataFrame) -> DataFrame:
     return x.join(y, ["nb_id", "at"]).select("nb_id", "a", "b").where("a <> b")
 
 
+def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 0, tries: int = 4) -> DataFrame:
+    """(nb_id, ord, src, dst): for each edge a pair of the notebook's nodes without an edge, by a seeded hash, if one of `tries` draws finds one."""
+    placed = nodes.select("nb_id", "node_id", (F.row_number().over(Window.partitionBy("nb_id").orderBy("ord", "node_id")) - 1).alias("i"))
+    size = placed.groupBy("nb_id").agg(F.count("*").alias("n"))
+    pick = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "nb_id", "ord", "try"), F.col("n"))
+    drawn = edges.select("nb_id", "ord", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try")).join(size, "nb_id").select("nb_id", "ord", "try", pick("src").alias("a"), pick("dst").alias("b")).where("a <> b")
+    named = drawn.join(placed.select("nb_id", F.col("i").alias("a"), F.col("node_id").alias("src")), ["nb_id", "a"]).join(placed.select("nb_id", F.col("i").alias("b"), F.col("node_id").alias("dst")), ["nb_id", "b"])
+    free = named.join(edges.select("nb_id", "src", "dst"), ["nb_id", "src", "dst"], "left_anti")
+    return free.groupBy("nb_id", "ord").agg(F.min_by(F.struct("src", "dst"), "try").alias("p")).select("nb_id", "ord", "p.src", "p.dst")
+
+
 def two_way(edges: DataFrame) -> DataFrame:
     return edges.select("nb_id", "src", "dst").unionByName(edges.select("nb_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -125,6 +125,18 @@ def match_spans(asked: DataFrame, gold: DataFrame, least: float = 0.5, cell: flo
     return both.withColumn("overlap", share).withColumn("__r", F.row_number().over(w)).where((F.col("__r") == 1) & (F.col("overlap") >= least)).select("ask_id", "gold_id", "overlap")
 
 
+def match_nodes(asked: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
+    """(ask_id, gold_id): the gold node whose span overlaps most, else the first whose code is the asked id's name.
+
+    asked(ask_id, nb_id, s, e) may have null spans; gold also has `code`.
+    """
+    asked = asked.select("ask_id", "nb_id", "s", "e")
+    spans = match_spans(asked.where("s is not null and e > s"), gold.where("s is not null and e > s"), least).select("ask_id", "gold_id")
+    rest = asked.join(spans, "ask_id", "left_anti").select("ask_id", "nb_id", F.substring_index("ask_id", ":", 1).alias("code"))
+    named = rest.join(gold.select("nb_id", F.trim("code").alias("code"), "gold_id", "ord").where("code <> ''"), ["nb_id", "code"])
+    return spans.unionByName(named.groupBy("ask_id").agg(F.min_by("gold_id", "ord").alias("gold_id")))
+
+
 def project_edges(edges: DataFrame, matches: DataFrame) -> DataFrame:
     """Edges among asked ids as distinct edges among their gold ids."""
     m = matches.select(F.col("ask_id"), F.col("gold_id"))

@@ -90,7 +90,7 @@ def softmax(df: DataFrame, logits: str) -> DataFrame:
 
 def group_importances(attributions: DataFrame, spans: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(share of each feature group per node, the k largest dimensions of each group) of (node_id, dim, value) and spans(group, start, end)."""
-    a = attributions.withColumn("value", F.abs("value")).join(F.broadcast(spans), (F.col("dim") >= F.col("start")) & (F.col("dim") < F.col("end")))
+    a = attributions.withColumn("value", F.abs("value")).join(spans, (F.col("dim") >= F.col("start")) & (F.col("dim") < F.col("end")))
     per = a.groupBy("node_id", "group").agg(F.sum("value").alias("v"))
     total = F.sum("v").over(Window.partitionBy("node_id"))
     shares = per.select("node_id", "group", F.when(total > 0, F.col("v") / total).otherwise(0.0).alias("share"))

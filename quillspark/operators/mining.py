@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoints, hash_ranked
+
 from ..functions.text import md5_mod
 
 KINDS = ["DATA", "IMPORT", "FUNCTION_DEF", "CLASS_DEF", "FILE_ARTIFACT", "OPAQUE"]
@@ -115,8 +117,7 @@ def linear_extensions(cells: DataFrame, edges: DataFrame, n: int = 1, seed: int
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each class as the rarest has, by a seeded hash of the key."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"))
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("__r", r).crossJoin(F.broadcast(least)).where("__r <= __least").drop("__r", "__least")
+    return hash_ranked(df, F.col(label), key, seed, "__r").crossJoin(F.broadcast(least)).where("__r < __least").drop("__r", "__least")
 
 
 def class_weights(df: DataFrame, label: str, classes: int, most: float = 5.0, root: bool = False) -> DataFrame:
@@ -131,11 +132,54 @@ def class_weights(df: DataFrame, label: str, classes: int, most: float = 5.0, ro
 
 def folds(items: DataFrame, key: str, stratum: str, k: int = 5, seed: int = 42) -> DataFrame:
     """items with fold: dealt in turn within each stratum in a seeded order; over all items alike if some stratum has fewer than k."""
-    small = items.groupBy(stratum).agg(F.count("*").alias("n")).agg((F.min("n") < k).alias("__plain"))
-    h = F.xxhash64(F.lit(seed), key)
-    r = F.row_number().over(Window.partitionBy("__s").orderBy(h, key)) - 1
-    out = items.crossJoin(F.broadcast(small)).withColumn("__s", F.when(F.col("__plain"), F.lit(None)).otherwise(F.col(stratum).cast("string")))
-    return out.withColumn("fold", (r % k).cast("int")).drop("__s", "__plain")
+    small = items.groupBy(stratum).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"]
+    group = F.lit("") if small is None or small < k else F.col(stratum).cast("string")
+    return hash_ranked(items, group, key, seed, "__r").withColumn("fold", (F.col("__r") % k).cast("int")).drop("__r")
+
+
+#: What of a notebook's source shows that it trains or applies models.
+ML_SOURCE = r"\b(sklearn|torch|tensorflow|keras|xgboost|lightgbm|catboost|tensor|polars|pyspark)\b|\.fit\(|\.predict\(|\.evaluate\(|\.backward\(|\.transpose\(|\.reshape\("
+
+
+def validate(cells: DataFrame, targets: list[str] | None = None) -> DataFrame:
+    """(nb_id, success, error_type, edge_count, node_count, lines_of_code, contains_ml_semantics, matched_libraries) of cells(nb_id, cell_id, document_index, source).
+
+    Blank cells don't count; a notebook of blank cells is an EmptyNotebook, and
+    one with a cell that doesn't parse fails with the error's name. Libraries
+    are the imported roots among `targets`, in lower case, sorted.
+    """
+    from ..ir import build
+
+    code = cells.where(F.col("source").rlike(r"\S"))
+    lines = F.size(F.split(F.regexp_replace("source", r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n"))
+    read = code.groupBy("nb_id").agg(F.sum(lines).cast("long").alias("lines_of_code"), F.bool_or(F.col("source").rlike(ML_SOURCE)).alias("contains_ml_semantics"))
+    records = build.parse(code)
+    made = records.groupBy("nb_id").agg(F.count_if(F.col("rec") == "edge").alias("edge_count"), F.count_if(F.col("rec") == "node").alias("node_count"), F.max(F.when(F.col("rec") == "error", F.substring_index("error", ":", 1))).alias("error_type"))
+    wanted = [t.lower() for t in targets or []]
+    roots = imports(code).select("nb_id", F.lower("root").alias("root")).where(F.col("root").isin(*wanted)) if wanted else imports(code).select("nb_id", "root").limit(0)
+    matched = roots.groupBy("nb_id").agg(F.array_sort(F.collect_set("root")).alias("matched_libraries"))
+    out = cells.select("nb_id").distinct()
+    for more in (read, made, matched):
+        out = out.join(more, "nb_id", "left")
+    error = F.when(F.col("lines_of_code").isNull(), "EmptyNotebook").otherwise(F.col("error_type"))
+    count = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(c)
+    return out.select(
+        "nb_id", error.isNull().alias("success"), error.alias("error_type"), count("edge_count"), count("node_count"),
+        F.coalesce("lines_of_code", F.lit(0)).cast("long").alias("lines_of_code"), F.coalesce("contains_ml_semantics", F.lit(False)).alias("contains_ml_semantics"),
+        F.coalesce("matched_libraries", F.array().cast("array<string>")).alias("matched_libraries"),
+    )
+
+
+#: What a notebook can be flagged as.
+FLAGS = ("bug_in_dataflow", "needs_review", "not_relevant")
+
+
+def flag(registry: DataFrame, updates: DataFrame) -> DataFrame:
+    """registry(notebook, flag) after updates(notebook, flag, ord): the last update of a notebook wins, a null flag takes it out; unknown flags raise."""
+    known = F.col("flag").isNull() | F.col("flag").isin(*FLAGS)
+    checked = updates.withColumn("flag", F.when(known, F.col("flag")).otherwise(F.raise_error(F.concat(F.lit("no such flag: "), "flag"))))
+    last = checked.groupBy("notebook").agg(F.max_by(F.struct("flag"), "ord").alias("f")).select("notebook", F.col("f.flag").alias("flag"))
+    return registry.select("notebook", "flag").join(last, "notebook", "left_anti").unionByName(last.where("flag is not null"))
 
 
 def top_missing(calls: DataFrame, known: DataFrame, k: int = 20) -> DataFrame:
@@ -159,17 +203,29 @@ def evolve(known: DataFrame, proposed: DataFrame, calls: DataFrame) -> DataFrame
 
 def relabel(nodes: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with labels corrected by rules(api, label), counts of old and new labels)."""
-    out = nodes.join(F.broadcast(rules.withColumnRenamed("label", "__l")), "api", "left").withColumn("new_label", F.coalesce("__l", "label")).drop("__l")
+    out = nodes.join(rules.withColumnRenamed("label", "__l"), "api", "left").withColumn("new_label", F.coalesce("__l", "label")).drop("__l")
     return out, out.groupBy(F.col("label").alias("old_label"), "new_label").agg(F.count("*").alias("n"))
 
 
 def next_item(items: DataFrame, gone: DataFrame, current: DataFrame) -> DataFrame:
-    """(item, next_item) for current items: the next in name order among those left, round to the first."""
+    """(item, next_item) for current items: the next in name order among those left, round to the first.
+
+    Names are dealt to ranges, and each range looks into itself; only a range's
+    first name goes by way of the driver, one for each shuffle partition.
+    """
+    spark = items.sparkSession
+    checkpoints(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = items.select("item").distinct().join(gone.select("item"), "item", "left_anti")
-    w = Window.partitionBy().orderBy("item")
-    ring = left.select("item", F.coalesce(F.lead("item").over(w), F.first("item").over(w)).alias("next_item"))
-    first = left.agg(F.min("item").alias("__f"))
-    return current.select("item").join(ring, "item", "left").crossJoin(F.broadcast(first)).select("item", F.coalesce("next_item", "__f").alias("next_item"))
+    dealt = left.repartitionByRange(parts, "item").select("item", F.spark_partition_id().alias("__p")).checkpoint()
+    firsts = {r["__p"]: r["f"] for r in dealt.groupBy("__p").agg(F.min("item").alias("f")).collect()}
+    order = sorted(firsts)
+    follow = [(p, firsts[order[(i + 1) % len(order)]]) for i, p in enumerate(order)]
+    edge = spark.createDataFrame(follow, "__p int, __f string")
+    w = Window.partitionBy("__p").orderBy("item")
+    ring = dealt.withColumn("__l", F.lead("item").over(w)).join(F.broadcast(edge), "__p").select("item", F.coalesce("__l", "__f").alias("next_item"))
+    first = F.lit(firsts[order[0]] if order else None)
+    return current.select("item").join(ring, "item", "left").select("item", F.coalesce("next_item", first).alias("next_item"))
 
 
 def month_ranges(start: str, end: str, spark) -> DataFrame:

@@ -1,17 +1,40 @@
-"""The folder that a cluster's driver and executors share."""
+"""The folder that a cluster's driver and executors share, and ranks within groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session names none, as in tests."""
+    """Sets a checkpoint folder where the session names none, as in tests; a cluster has to name one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        place = sc.getConf().get("spark.checkpoint.dir", None)
+        place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not place:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             place = tempfile.mkdtemp(prefix="quillspark-")
         sc.setCheckpointDir(place)
+
+
+def hash_ranked(df: DataFrame, group: Column, key: str, seed: int, out: str) -> DataFrame:
+    """df with each row's rank, from 0, within its group by a seeded hash of the key.
+
+    Rows are ranked in as many stretches of the hash as the root of the table,
+    then the stretches' counts are summed up: no window holds a group.
+    """
+    n = max(1, math.isqrt(df.count()))
+    h = F.xxhash64(F.lit(seed), key)
+    # the hash in ascending order, unsigned, so that stretches follow each other
+    marked = df.withColumn("__g", group).withColumn("__h", F.shiftrightunsigned(h, 1)).withColumn("__c", F.floor(F.shiftrightunsigned(h, 33) * n / F.lit(1 << 31)))
+    counts = marked.groupBy("__g", "__c").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("__g").alias("__g2"), F.col("__c").alias("__c2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = marked.withColumn("__i", F.row_number().over(Window.partitionBy("__g", "__c").orderBy("__h", key)) - 1)
+    got = inside.join(starts, inside["__g"].eqNullSafe(starts["__g2"]) & (inside["__c"] == starts["__c2"]))
+    return got.withColumn(out, F.col("__start") + F.col("__i")).drop("__g", "__h", "__c", "__g2", "__c2", "__start", "__i")

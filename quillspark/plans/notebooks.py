@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..ir import build, programs, wir
 from ..operators import cells as C
-from ..operators import graphs, leakage, mining
+from ..operators import features, graphs, knowledge, leakage, mining
 from ..operators.shared import checkpoints
 from . import bindings as B
 from .registry import query
@@ -161,6 +161,22 @@ def flow_literals(spark, sf_dir):
     return build.nodes(_records(spark, sf_dir)).where("struct_type = 8").select("nb_id", "cell_id", F.col("code").alias("literal"))
 
 
+_OWN = "select *, lag(cell_id) over w as before, lag(k) over w as bk from code window w as (partition by nb_id order by document_index)"
+
+
+# a statement that calls a method of d0 leaves a version of it, which the second cell (it also names d0) takes up
+@query(f"{_WITH}, t as ({_OWN}) select nb_id, before as src_cell, cell_id as dst_cell, 'd' || p || ' ' || before || ' 1' as name from t where k in (1, 2, 3, 8) and (bk in (0, 1, 5) or (document_index = 1 and bk = 3))")
+def flow_cross_cells(spark, sf_dir):
+    r, c = _records(spark, sf_dir), code(spark, sf_dir)
+    return C.cross_cell_index(build.nodes(r), build.edges(r), c).where("name rlike '^d[0-9]+ ' and edge_type in (0, 1)").select("nb_id", "src_cell", "dst_cell", "name")
+
+
+@query(f"{_WITH}, n as (select nb_id, not bool_or(k = 10) as success, cast(sum(case when k in (4, 6, 8, 9) then 2 else 1 end) as bigint) as lines_of_code, coalesce(array_to_string(list_sort(list(distinct 'lib' || f) filter (where k = 7 and f <> '1')), ','), '') as libraries from code group by 1) select nb_id, success, case when not success then 'SyntaxError' end as error_type, lines_of_code, false as contains_ml_semantics, libraries from n")
+def mining_validate(spark, sf_dir):
+    got = mining.validate(code(spark, sf_dir), ["LIB0", "lib2", "numpy"])
+    return got.select("nb_id", "success", "error_type", "lines_of_code", "contains_ml_semantics", F.array_join("matched_libraries", ",").alias("libraries"))
+
+
 #: A user's notebook is one of the seeded programs.
 _SEEDED = "select distinct user_id as nb_id, cast(user_id % 24 as int) as kind from {events}"
 
@@ -201,6 +217,39 @@ def process_edges(spark, sf_dir):
     return wir.edges(_relations(spark, sf_dir))
 
 
+# ------------------------------------------------------ spans, flags, draws
+
+_SPANS = "select l_orderkey as nb_id, 'p' || cast(l_partkey as string) || ':' || cast(l_linenumber as string) || ':' || cast(l_orderkey as string) as ask_id, case when l_linenumber % 2 = 0 then l_linenumber * 1000.0 end as s, case when l_linenumber % 2 = 0 then l_linenumber * 1000.0 + 500 end as e, 'p' || cast(l_partkey as string) as code, l_linenumber as ord from {lineitem}"
+_D_SPANS = _SPANS.format(lineitem="lineitem")
+
+
+@query(f"with a as ({_D_SPANS}), g as (select nb_id, 'g' || ask_id as gold_id, s + 300 as s, e + 300 as e, code, ord from a where ord in (1, 2, 3)), o as (select a.ask_id, g.gold_id, g.ord, case when g.s < a.e and a.s < g.e and 5 * (least(a.e, g.e) - greatest(a.s, g.s)) >= 2.5 * 500 then 1 when g.code = a.code then 2 end as way from a join g on g.nb_id = a.nb_id) select ask_id, gold_id from (select *, row_number() over (partition by ask_id order by way, ord) as rn from o where way is not null) where rn = 1")
+def kb_match_nodes(spark, sf_dir):
+    """Spans of gold nodes lie 300 of 500 places off, so that names decide."""
+    a = spark.sql(_SPANS, lineitem=B.table(spark, sf_dir, "lineitem")).dropDuplicates(["ask_id"])
+    gold = a.where("ord in (1, 2, 3)").select("nb_id", F.concat(F.lit("g"), "ask_id").alias("gold_id"), (F.col("s") + 300).alias("s"), (F.col("e") + 300).alias("e"), "code", "ord")
+    return knowledge.match_nodes(a, gold)
+
+
+@query("select case when o_orderkey % 3 = 0 then 'needs_review' else 'not_relevant' end as flag, count(*) as n from orders where o_orderkey % 7 <> 1 and (o_orderkey % 3 = 0 or o_orderkey % 2 = 0) group by 1")
+def mining_flags(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("notebook"))
+    old = o.where("notebook % 2 = 0").withColumn("flag", F.lit("not_relevant"))
+    new = o.where("notebook % 3 = 0").select("notebook", F.lit("needs_review").alias("flag"), F.lit(1).alias("ord"))
+    gone = o.where("notebook % 7 = 1").select("notebook", F.lit(None).cast("string").alias("flag"), F.lit(2).alias("ord"))
+    return mining.flag(old, new.unionByName(gone)).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query(f"{B.D_GRAPH} select 0::bigint as real, 0::bigint as loops, true as enough")
+def feature_negative_edges(spark, sf_dir):
+    """Of the drawn pairs: how many are edges, how many are loops, whether nine edges in ten have one."""
+    n, e = B.graph(spark, sf_dir)
+    drawn = features.negative_edges(n, e)
+    real = drawn.join(e.select("nb_id", "src", "dst").distinct().withColumn("r", F.lit(1)), ["nb_id", "src", "dst"], "left")
+    got = real.agg(F.count("r").alias("real"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count("*").alias("n"))
+    return got.crossJoin(e.agg(F.count("*").alias("m"))).select("real", "loops", (F.col("n") >= 0.9 * F.col("m")).alias("enough"))
+
+
 # -------------------------------------------------------------- large graphs
 
 @query(f"{B.D_GRAPH}, f as (select nb_id, node_id as seed, node_id as node, 0 as depth from nodes where struct_type = 1 union select f.nb_id, f.seed, e.dst, f.depth + 1 from f join edges e on e.nb_id = f.nb_id and e.src = f.node) select nb_id, seed, node, min(depth) as depth from f group by 1, 2, 3")

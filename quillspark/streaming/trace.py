@@ -51,28 +51,57 @@ def windowed(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes
     return e.groupBy(F.window("ts", size), "cell_id").agg(F.count("*").alias("runs"))
 
 
+#: Folders that the session store is dealt to, by a hash of the notebook; a batch rewrites those that it touches.
+PLACES = 64
+
+
 def upsert(spark: SparkSession, path: str):
-    """A batch writer that keeps one row per (nb_id, session_id): the incoming one wins. Use with foreachBatch."""
+    """A batch writer that keeps one row per (nb_id, session_id): the incoming one wins. Use with foreachBatch.
+
+    The store is one folder for each of PLACES hashes of the notebook, with a
+    folder for each batch that changed it; what a batch does not touch is not
+    read. A mark tells that a batch was written to its end: it is skipped when it
+    comes again, and one that broke off is written again. Folders but the last
+    two of a place are deleted.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         from ..operators.trace import merge_sessions, sanitize_sessions
 
-        new = sanitize_sessions(batch)
-        versions = [int(p.rsplit("=", 1)[1]) for p in _versions(spark, path)]
-        if epoch in versions:
+        if epoch in _entries(spark, f"{path}/done", "e="):
             return
-        old = spark.read.parquet(f"{path}/v={max(versions)}") if versions else new.limit(0)
-        merge_sessions(old, new).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        new = sanitize_sessions(batch).withColumn("place", F.pmod(F.xxhash64("nb_id"), F.lit(PLACES)).cast("int"))
+        for r in new.select("place").distinct().orderBy("place").collect():  # at most PLACES
+            own, home = new.where(F.col("place") == r["place"]).drop("place"), f"{path}/place={r['place']}"
+            before = [v for v in _versions(spark, home) if v < epoch]
+            old = spark.read.parquet(f"{home}/v={before[-1]}") if before else own.limit(0)
+            merge_sessions(old, own).write.mode("overwrite").parquet(f"{home}/v={epoch}")
+            for v in before[:-1]:
+                _fs(spark, home)[0].delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/v={v}"), True)
+        fs, mark = _fs(spark, f"{path}/done/e={epoch}")
+        fs.mkdirs(mark)
 
     return write
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [str(s.getPath()) for s in fs.listStatus(p) if "v=" in str(s.getPath())] if fs.exists(p) else []
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _entries(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+
+def _versions(spark: SparkSession, home: str) -> list[int]:
+    """A place's batches that were written to their end, ascending."""
+    fs, p = _fs(spark, home)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [v for v in _entries(spark, home, "v=") if fs.exists(path(f"{home}/v={v}/_SUCCESS"))]
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(max(_versions(spark, path), key=lambda p: int(p.rsplit("=", 1)[1])))
+    """The store: the last batch of each place."""
+    return spark.read.parquet(*(f"{path}/place={p}/v={_versions(spark, f'{path}/place={p}')[-1]}" for p in _entries(spark, path, "place=")))
