@@ -18,7 +18,7 @@ from .common import let
 #: A piece ends after a line break or a sentence's end; every paragraph ends in one line break.
 PIECE = r"(?<=\n|[.!?]\x20)"
 EQUAL = 2
-SEEDS = 3
+SEEDS = 2
 LANES = 1 << 32 | 1
 M62, M32 = (1 << 62) - 1, (1 << 32) - 1
 
@@ -45,8 +45,8 @@ def vector(text: Column) -> Column:
 
 
 def text_form(v: Column) -> Column:
-    """The fingerprint as hex digits."""
-    return F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """The fingerprint as hex numbers."""
+    return F.array_join(F.transform(v, F.hex), ".")
 
 
 def added(a: Column, b: Column) -> Column:
@@ -125,7 +125,9 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str, tie: list[str
     dealt = df.withColumn("__level", level).withColumn("__u", F.shiftrightunsigned(F.xxhash64(*(tie or carry)), 33))
     cuts = quantiles(df, key, RANGES)
     dealt = dealt.withColumn("__p", range_of(F.col("__level"), F.col("__u"), cuts))
-    firsts = {r["p"]: r["f"] for r in dealt.groupBy(F.col("__p").alias("p")).agg(F.min(F.struct("__level", "__u")).alias("f")).collect()}
+    # level and u as one number, which needs no sort to take the least of
+    both = F.col("__level").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("__u")
+    firsts = {r["p"]: divmod(int(r["f"]), 1 << 31) for r in dealt.groupBy(F.col("__p").alias("p")).agg(F.min(both).alias("f")).collect()}
     order = sorted(firsts)
     if not order:
         return df.withColumn(out, F.struct(*carry))
@@ -133,7 +135,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str, tie: list[str
     ranges = range(order[-1] + 1)
     known = lambda of: F.get(_longs([of(p) if p in firsts else 0 for p in ranges]), F.col("__p"))
     before = known(lambda p: back[p]).cast("int")
-    first = (F.col("__level") == known(lambda p: firsts[p]["__level"])) & (F.col("__u") == known(lambda p: firsts[p]["__u"]))
+    first = (F.col("__level") == known(lambda p: firsts[p][0])) & (F.col("__u") == known(lambda p: firsts[p][1]))
     own = F.struct(F.col("__p").alias("p"), F.lit(0).alias("late"))
     copies = F.when(first, F.array(own, F.struct(before.alias("p"), F.lit(1).alias("late")))).otherwise(F.array(own))
     w = Window.partitionBy("__at.p").orderBy("__at.late", "__level", "__u", *carry)
