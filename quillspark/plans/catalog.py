@@ -199,7 +199,13 @@ on_graph(
 )
 on_graph("lineage_routes", lambda n, e: lineage.route(n.withColumn("node_type", F.coalesce("domain_type", "struct_type")), e).select("nb_id", "src", "dst", F.array_join("operations", "|").alias("operations"), "predicted_label"))
 on_graph("lineage_project", lambda n, e: _checkpoints(n) or lineage.project(n.withColumn("node_type", F.coalesce("domain_type", "struct_type")), e)[0].select("nb_id", "node_id", "node_type", F.size("transform_history").alias("n_steps"), F.size("occurrences").alias("n_occurrences")))
-on_graph("lineage_gold_tuples", lambda n, e: lineage.gold_tuples(n, e.withColumn("label", F.col("predicted_label"))))
+on_graph(
+    "lineage_gold_tuples",
+    lambda n, e: lineage.gold_tuples(n, e.withColumn("label", F.col("predicted_label"))),
+    ", i as (select distinct nb_id, dst as n from edges where predicted_label = 1), t as (select * from i where not exists (select 1 from r join i o on o.nb_id = r.nb_id and o.n = r.src where r.nb_id = i.nb_id and r.dst = i.n and r.src <> i.n)), "
+    "own as (select nb_id, n as s, n as d from t union select r.nb_id, r.src, r.dst from r join t on t.nb_id = r.nb_id and t.n = r.src), z as (select distinct nb_id, dst as d, case when predicted_label = 0 then '<M, D>' else '<D, D>' end as k from edges where predicted_label in (0, 4)), "
+    "h as (select own.nb_id, k, s, own.d from own join z on z.nb_id = own.nb_id and z.d = own.d where s <> own.d) select distinct nb_id, k as tuple_type, case when k = '<M, D>' then d else s end as subject_id, case when k = '<M, D>' then s else d end as object_id from h union select nb_id, '<D, Empty>', n, 'Empty' from t where not exists (select 1 from h where h.nb_id = t.nb_id and h.s = t.n)",
+)
 
 
 @query()
@@ -233,7 +239,12 @@ on_cells(
     ", e as (select s.nb_id, s.src_cell, s.dst_cell, a.document_index as si, b.document_index as di, a.execution_count as sc, b.execution_count as dc from symbol s join cells a on a.nb_id = s.nb_id and a.cell_id = s.src_cell join cells b on b.nb_id = s.nb_id and b.cell_id = s.dst_cell), g as (select nb_id, dst_cell as cell_id, bool_or(si > di) as reorder, bool_or(coalesce(sc > dc, false)) as late, bool_or(dc is not null and sc is null) as missing from e group by 1, 2), o as (select c.*, coalesce(g.reorder, false) as reorder, coalesce(g.late, false) as late, coalesce(g.missing, false) as missing from cells c left join g on g.nb_id = c.nb_id and g.cell_id = c.cell_id), s0 as (select nb_id, cell_id from o where late or (is_dirty and execution_count is not null)), h as (select * from s0 union select e.nb_id, e.dst_cell from s0 join e on e.nb_id = s0.nb_id and e.src_cell = s0.cell_id union select e2.nb_id, e2.dst_cell from s0 join e on e.nb_id = s0.nb_id and e.src_cell = s0.cell_id join e e2 on e2.nb_id = e.nb_id and e2.src_cell = e.dst_cell union select e3.nb_id, e3.dst_cell from s0 join e on e.nb_id = s0.nb_id and e.src_cell = s0.cell_id join e e2 on e2.nb_id = e.nb_id and e2.src_cell = e.dst_cell join e e3 on e3.nb_id = e2.nb_id and e3.src_cell = e2.dst_cell union select e4.nb_id, e4.dst_cell from s0 join e on e.nb_id = s0.nb_id and e.src_cell = s0.cell_id join e e2 on e2.nb_id = e.nb_id and e2.src_cell = e.dst_cell join e e3 on e3.nb_id = e2.nb_id and e3.src_cell = e2.dst_cell join e e4 on e4.nb_id = e3.nb_id and e4.src_cell = e3.dst_cell) select o.nb_id, o.cell_id, case when o.execution_count is null then 'unexecuted' when o.missing then 'missing-deps' when o.is_dirty then 'dirty' when h.cell_id is not null then 'stale' else 'fresh' end as status, exists (select 1 from uses u where u.nb_id = o.nb_id and u.cell_id = o.cell_id and not exists (select 1 from p where p.nb_id = u.nb_id and p.dst_cell = u.cell_id and p.name = u.name)) as hidden_state_risk, o.reorder as unsafe_reorder from o left join (select distinct * from h) h on h.nb_id = o.nb_id and h.cell_id = o.cell_id",
 )
 on_cells("cell_predicted_order", lambda c, d, u: C.predict_order(C.attributes(c, d, u), C.symbol_edges(c, d, u)))
-on_cells("cell_minimal_constraints", lambda c, d, u: C.minimal_constraints(C.symbol_edges(c, d, u)).select("nb_id", "src_cell", "dst_cell"))
+on_cells(
+    "cell_minimal_constraints",
+    lambda c, d, u: C.minimal_constraints(C.symbol_edges(c, d, u)).select("nb_id", "src_cell", "dst_cell"),
+    ", q as (select distinct nb_id, src_cell as a, dst_cell as b from symbol), y as (with recursive y as (select nb_id, a, b from q union select y.nb_id, y.a, q.b from y join q on q.nb_id = y.nb_id and q.a = y.b) select * from y), o as (select distinct nb_id from y where a = b) "
+    "select nb_id, a as src_cell, b as dst_cell from q where nb_id in (select nb_id from o) or not exists (select 1 from q x join y on y.nb_id = x.nb_id and y.a = x.b where x.nb_id = q.nb_id and x.a = q.a and x.b <> q.b and y.b = q.b)",
+)
 on_cells("cell_candidate_pairs", lambda c, d, u: mining.candidate_pairs(c, C.symbol_edges(c, d, u)).groupBy("nb_id", "related").agg(F.count("*").alias("n")))
 on_cells("cell_supervision", lambda c, d, u: mining.supervised(c), "select nb_id, count(execution_count) >= 3 and count(distinct execution_count) = count(execution_count) as valid, bool_and(coalesce(b is null or execution_count > b, true)) as linear from (select *, lag(execution_count) over (partition by nb_id order by document_index) as b from cells where execution_count is not null) group by 1")
 on_cells("text_sanitized", lambda c, d, u: c.select("nb_id", "cell_id", F.length(text.sanitize("source")).alias("n")), r"select nb_id, cell_id, cast(length(regexp_replace(regexp_replace(source, '(?m)^[ \t]*[%!].*', '', 'g'), '(?m)^[ \t]*\?.*|.*\?[ \t]*$', '', 'g')) as int) as n from cells")
@@ -294,15 +305,15 @@ def mining_sample(spark, sf_dir):
 
 
 def _kb(spark, sf_dir):
-    return B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"), (F.col("p_size") % 6).alias("label"), F.col("p_partkey").alias("ord"))
+    return B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"), F.when(F.col("p_partkey") % 97 == 0, 5).otherwise(F.length("p_type") % 5).alias("label"), F.col("p_partkey").alias("ord"))
 
 
-@query("with k as (select p_brand as library, p_type as api, p_size % 6 as label from part) select api, library, min(label) as label from k group by 1, 2 having count(distinct label) = 1 union all select api, '*', min(label) from k group by 1 having count(distinct label) = 1")
+@query("with k as (select p_brand as library, p_type as api, cast(case when p_partkey % 97 = 0 then 5 else length(p_type) % 5 end as int) as label from part) select api, library, min(label) as label from k group by 1, 2 having count(distinct label) = 1 union all select api, '*', min(label) from k group by 1 having count(distinct label) = 1")
 def kb_index(spark, sf_dir):
     return knowledge.index(_kb(spark, sf_dir))
 
 
-@query("select library, api, label from (select p_brand as library, p_type as api, p_size % 6 as label, row_number() over (partition by p_brand, p_type order by count(*) desc, min(p_partkey)) as rn from part group by 1, 2, 3) where rn = 1")
+@query("select library, api, label from (select p_brand as library, p_type as api, cast(case when p_partkey % 97 = 0 then 5 else length(p_type) % 5 end as int) as label, row_number() over (partition by p_brand, p_type order by count(*) desc, min(p_partkey)) as rn from part group by 1, 2, 3) where rn = 1")
 def kb_learned(spark, sf_dir):
     return knowledge.learned(_kb(spark, sf_dir))
 
@@ -345,8 +356,8 @@ def mining_per_repo(spark, sf_dir):
     return mining.per_repo(d, 10)
 
 
-@query("with c as (select p_brand as library, p_type as api from part join lineitem on l_partkey = p_partkey), k as (select distinct p_brand as library, p_type as api from part where p_size < 40) select library, api, count(*) as n from c anti join k using (library, api) group by 1, 2 order by 3 desc, 1, 2 limit 20")
+@query("with c as (select p_brand as library, p_type as api from part join lineitem on l_partkey = p_partkey), k as (select distinct p_brand as library, p_type as api from part where p_brand like '%1') select library, api, count(*) as n from c anti join k using (library, api) group by 1, 2 order by 3 desc, 1, 2 limit 20")
 def mining_top_missing(spark, sf_dir):
     part = B.table(spark, sf_dir, "part")
     calls = B.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"))
-    return mining.top_missing(calls, part.where("p_size < 40").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api")))
+    return mining.top_missing(calls, part.where("p_brand like '%1'").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api")))

@@ -27,7 +27,7 @@ def cells(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
-@pytest.mark.parametrize("name", ["trace_rerun_kind", "trace_freshness", "graph_closure", "graph_prune", "feature_source_reach", "refine_backward_source", "lineage_tuples", "cell_symbol_edges", "metric_tuples", "kb_match_spans", "mining_sample"])
+@pytest.mark.parametrize("name", ["trace_rerun_kind", "trace_freshness", "graph_closure", "graph_prune", "feature_source_reach", "refine_backward_source", "lineage_tuples", "cell_symbol_edges", "metric_tuples", "kb_match_spans", "mining_sample", "source_hashes", "symbol_deferred", "process_relations", "leakage_seeded", "flow_cross_cells", "mining_validate", "lineage_gold_tuples"])
 def test_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from quillspark.plans import catalog
