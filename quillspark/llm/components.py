@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
+#: Places that the nodes of one label are dealt to.
+SALTS = 64
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): for every node of the links (a, b), the least node it reaches.
@@ -20,9 +23,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("node"), "l").checkpoint()
     for _ in range(most_rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("l").alias("m"))
-        low = label.join(near, label["node"] == near["a"], "left").select("node", "l", F.least("l", "m").alias("m"))
-        up = low.select(F.col("node").alias("__n"), F.col("m").alias("__m"))
-        new = low.join(up, low["m"] == up["__n"], "left").select("node", F.least("m", "__m").alias("l"), (F.col("l") != F.least("m", "__m")).alias("moved")).checkpoint()
+        low = label.join(near, label["node"] == near["a"], "left").select("node", "l", F.least("l", "m").alias("m"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("s"))
+        # a label that many nodes have is looked up once for each salt, and meets them in as many places
+        up = low.select(F.col("node").alias("m"), F.col("m").alias("__m"))
+        jump = low.select("m", "s").distinct().join(up, "m")
+        new = low.join(jump, ["m", "s"], "left").select("node", F.least("m", "__m").alias("l"), (F.col("l") != F.least("m", "__m")).alias("moved")).checkpoint()
         label = new.select("node", "l")
         if not new.where("moved").limit(1).count():
             break
