@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, token_files
+from . import conversation_repair, decontamination, fingerprint, hard_negatives, html_text, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, token_files
 from .common import documents
 
 
@@ -68,6 +68,40 @@ def op10_sharding(spark, sf_dir):
     )
 
 
+def op11_decontamination(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontamination.decontaminate(documents(spark, sf_dir, "doc_id", "text"), items)
+
+
+def damaged(turns):
+    """The conversations with turns dropped, emptied, cut, repeated or given to the user, by a hash of their place."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.encode(F.concat(name("conv_id"), F.lit(":"), name("turn")), "UTF-8")) % 20
+    t = turns.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return t.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(damaged(turns)).withColumnRenamed("conv_id", "found")
+    every = turns.select("conv_id").distinct()
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    whole = every.join(found, every["conv_id"].eqNullSafe(found["found"]), "left")
+    return whole.select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where("label is not null and embedding is not null").where(whole).select("vec_id", scaled.alias("vector"), label.alias("label"))
+    got = hard_negatives.mine(rows, anchors=F.col("vec_id") % 100 == 0)
+    return got.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +113,9 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_sharding": op10_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op11_decontamination": op11_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -112,5 +149,57 @@ b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(rules)} as kept from b"""
 
 
+_OP11 = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select distinct item, n, array_to_string(w[s : s + n - 1], ' ') as g from (select item, w, n, unnest(range(1, len(w) - n + 2)) as s from (select *, least(len(w), 10) as n from b where len(w) > 0))),
+g as (select r, n, s, array_to_string(w[s : s + n - 1], ' ') as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from i))),
+h as (select r, s, g.n, item from g join i on g.n = i.n and g.g = i.g),
+c as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from h) group by 1),
+l as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha from (select distinct r, item from h) group by 1)
+select d.doc_id, len(d.w) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(l.n_items, 0) as n_items, coalesce(l.sha, sha256('')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from d left join c using (r) left join l using (r)"""
+
+
+
+def _op12() -> str:
+    """The least of 'cost audit' for each state and turn, backwards from the end."""
+    add = lambda v, c, letter: f"printf('%08d', cast({v}[1:8] as integer) + {c}) || '{letter}' || {v}[9:]"
+    to, keep = (2, 2, 3, 2), {0: "when initial = 'u' then {2} when initial = 's' then {1}", 1: "when initial = 'u' then {2}", 2: "when initial = 'a' then {3}", 3: "when initial = 'u' then {2}"}
+    far = "'99999999'"
+    after = lambda s: (
+        f"least({add(f'v{s}', 4, 'D')}, case when fault in (1, 2) then {far} else {add(f'v{to[s]}', '3 + cut', 'R')} end, case when fault in (1, 2) then {far} {keep[s].format('', add('v1', 'cut', 'K'), add('v2', 'cut', 'K'), add('v3', 'cut', 'K'))} else {far} end)"
+    )
+    inserted = lambda s: f"least(x{s}, {add(f'x{to[s]}', 3, 'I')}, {add(f'x{to[to[s]]}', 6, 'II')})"
+    return rf"""
+with recursive t8 as (select n, n as v, 0 as k from range(256) t(n) union all select n, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from t8 where k < 8),
+crc as (select list(v order by n) as tab from t8 where k = 8),
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ord(x) as bigint)) as b from conversations),
+k as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 20 as kind from c, crc),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from k where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from d),
+f as (select *, left(role, 1) as initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last, row_number() over (partition by conv_id, role, text order by i) as seen, lag(left(role, 1)) over (partition by conv_id order by i) as before, count(*) over (partition by conv_id) as n from o),
+r as (select *, case when last = '' then 1 when seen > 1 then 2 when last not in ('.', '!', '?') then 3 else 0 end as fault from f),
+w as (select conv_id, n + 1 as i, '00000000' as v0, '00000006II' as v1, '00000003I' as v2, '00000000' as v3 from (select distinct conv_id, n from r)
+  union all select conv_id, i, {", ".join(f"{inserted(s)} as v{s}" for s in range(4))} from (select conv_id, i, {", ".join(f"{after(s)} as x{s}" for s in range(4))} from (select r.conv_id, r.i, r.initial, r.fault, case when r.fault = 3 then 3 else 0 end as cut, v0, v1, v2, v3 from w join r on r.conv_id is not distinct from w.conv_id and r.i = w.i - 1))),
+a as (select conv_id, cast(v0[1:8] as bigint) as cost, v0[9:] as audit from w where i = 1),
+l as (select conv_id, p, audit[p] as letter, len(replace(audit[1:p], 'I', '')) as i from (select *, unnest(range(1, len(audit) + 1)) as p from a)),
+e as (select l.*, r.role, r.text, row_number() over (partition by l.conv_id order by p) as q, first_value(letter = 'K' and initial = 's') over (partition by l.conv_id order by p) as system from l left join r on r.conv_id is not distinct from l.conv_id and r.i = l.i where letter <> 'D'),
+h as (select conv_id, sha256(string_agg(case when letter = 'K' then role when (q - cast(system as integer)) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by p)) as sha from e group by 1),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from r group by 1)
+select y.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) y left join g on g.conv_id is not distinct from y.conv_id left join a on a.conv_id is not distinct from y.conv_id left join h on h.conv_id is not distinct from y.conv_id"""
+
+
+#: Every anchor with every row.
+_OP13 = """
+with e as (select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as anchor, a.r as ar, e.r, e.vec_id, a.label = e.label as same, cast(list_dot_product(cast(a.v as double[]), cast(e.v as double[])) as bigint) as score from e a join e on a.vec_id % 100 = 0 and a.r <> e.r),
+p as (select *, row_number() over (partition by ar order by score desc, vec_id, r) as k from s where same qualify k <= 5),
+n as (select p.anchor, p.vec_id as positive, p.score as positive_score, s.vec_id as negative, s.score as negative_score, row_number() over (partition by p.ar, p.r order by s.score desc, s.vec_id, s.r) as rank
+  from p join s on s.ar = p.ar and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score qualify rank <= 10)
+select anchor as anchor_id, positive as positive_id, cast(rank as integer) as rank, negative as negative_id, positive_score, negative_score from n"""
+
 #: The other operators rest on hashes, codes, models or byte runs that SQL can't follow; tests/llm has their plain versions.
-ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op7_quality_rules": _op7()}
+ORACLE: dict[str, str] = {"op3_ngram_jaccard_join": _OP3, "op7_quality_rules": _op7(), "op11_decontamination": _OP11, "op12_conversation_repair": _op12(), "op13_hard_negatives": _OP13}

@@ -5,6 +5,7 @@ import html.parser
 import math
 import re
 import string
+import zlib
 
 import numpy as np
 
@@ -159,3 +160,85 @@ def article(page):
     p.feed(page)
     p.close()
     return "\n".join(x for x in (" ".join(line.split()) for line in p.lines) if x)
+
+
+def contamination(text, items, span=10):
+    """(n_words, n_hit, n_items, sha, contaminated) of a text against (id, text)."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    w, hit, found = split(text), set(), set()
+    for i, t in items:
+        x = split(t)
+        n = min(span, len(x))
+        own = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in own:
+                hit |= set(range(k, k + n))
+                found.add("" if i is None else str(i))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def damaged(turns):
+    """{conversation: damaged (turn, role, text) in order} of (conv, turn, role, text)."""
+    out = {}
+    for c, turn, role, text in turns:
+        name = lambda x: " " if x is None else str(x)
+        mine, kind = out.setdefault(c, []), zlib.crc32(f"{name(c)}:{name(turn)}".encode()) % 20
+        role, text = name(role), name(text)
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            mine += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])) for c, rows in out.items()}
+
+
+def edits(kinds):
+    """(cost, audit) of (initial, fault) in order, the least of all by trying each edit from the end."""
+    to = {0: 2, 1: 2, 2: 3, 3: 2}
+    best = {0: (0, ""), 1: (6, "II"), 2: (3, "I"), 3: (0, "")}
+    for initial, fault in reversed(kinds):
+        row = {}
+        for s in range(4):
+            ways = [(best[s][0] + 4, "D" + best[s][1])]
+            if fault not in ("blank", "duplicate"):
+                more, kept = 3 * (fault == "truncated"), 1 if (s, initial) == (0, "s") else to[s] if initial == "ua"[s == 2] else None
+                ways.append((best[to[s]][0] + 3 + more, "R" + best[to[s]][1]))
+                if kept:
+                    ways.append((best[kept][0] + more, "K" + best[kept][1]))
+            row[s] = min(ways)
+        for _ in range(3):
+            row = {s: min(row[s], (row[to[s]][0] + 3, "I" + row[to[s]][1])) for s in row}
+        best = row
+    return best[0]
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of a conversation's (turn, role, text) in order."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        visible = re.sub(r"[\x20\x09-\x0D]", "", text)
+        faults.append("blank" if not visible else "duplicate" if (role, text) in seen else "truncated" if visible[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    cost, audit = edits([(role[:1], f) for (_, role, _), f in zip(rows, faults, strict=True)])
+    left, out, state = list(rows), [], 0
+    for e in audit:
+        _, role, text = left.pop(0) if e != "I" else (0, "", "")
+        if e != "D":
+            out.append((role if e == "K" else "assistant" if state == 2 else "user") + ":" + text)
+            state = 1 if e == "K" and role[:1] == "s" else 3 if state == 2 else 2
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    return max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(k) for k in ("blank", "duplicate", "truncated")), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def hard_negatives(rows, positives=5, negatives=10):
+    """(anchor, positive, rank, negative, scores) of (id, vector, label), by every pair."""
+    whole = [(i, np.array([math.floor(256 * float(np.float32(x))) for x in v]), (y + 1) % 10 if i is not None and i % 7 == 0 else y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v, y) in enumerate(whole):
+        if i is None or i % 100:
+            continue
+        dot = lambda u, v=v: int(u[: len(v)] @ v[: len(u)])
+        scored = sorted(((-dot(u), j is None, j or 0, b, z) for b, (j, u, z) in enumerate(whole) if b != a))
+        for s, _, j, b, _ in [x for x in scored if x[4] == y][:positives]:
+            fits = [x for x in scored if x[4] != y and 30 * -s <= 100 * -x[0] <= 90 * -s][:negatives]
+            out += [(i, whole[b][0], k + 1, whole[x[3]][0], -s, -x[0]) for k, x in enumerate(fits)]
+    return out

@@ -1,6 +1,7 @@
 """The registered queries over a small folder of tables: the digest columns that they derive from the operators."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -10,16 +11,46 @@ from quillspark.llm import packing, queries, secret_scan, sharding
 from quillspark.llm.queries import QUERIES
 
 from . import brute
-from .conftest import rows
+from .conftest import prose, rows
 
 PAGE = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>First part of the text, which is long enough.</p><p>And &eacute;t a second one, with more words in it.</p></article><footer>&copy; x</footer></body></html>"
 
 
+#: Passages of documents, short items, copies, nulls, items without words.
+ITEMS = [(1, prose(2, 60)), (2, "ONE two"), (3, "the"), (4, None), (5, "?!"), (10, prose(2, 60).upper()), (11, " ".join(prose(9, 50).split(" ")[5:25])), (11, "x" * 400), (None, prose(3, 30)), (12, prose(99, 40)), (13, "a line here a line here a line")]
+
+
+def _turns():
+    r, out = random.Random(5), []
+    for conv in [None, *range(60)]:
+        for turn in range(r.choice([1, 2, 3, 5, 8])):
+            role = r.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None])
+            out.append((conv, r.choice([turn, turn, turn, turn + 1, None]), role, r.choice(["Yes.", "No", " \t", None, f"Text {turn}!", "What?  \n", "a.b"])))
+    return out + out[:9] + [(7, None, "user", "Yes.")] * 5
+
+
+TURNS = _turns()
+
+
+def _vectors():
+    r = random.Random(6)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(3)]
+    out = [(i, [c + r.gauss(0, 0.5) for c in r.choice(centres)], r.randrange(4)) for i in range(900)]
+    out += [(901, None, 1), (902, [1.0] * 6, None), (903, [1.0, None, 1.0, 0.0, 0.0, 0.0], 1), (904, [float("nan")] * 6, 1), (905, [float("inf")] + [0.0] * 5, 1), (906, [], 2), (907, [0.5, 0.5], 2), (100, [0.25] * 6, 3), (None, [1.0] * 6, 2)]
+    return out + out[:3] + [(950 + i, [0.5] * 6, i % 3) for i in range(60)]
+
+
+VECTORS = _vectors()
+
+
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
     docs.repartition(3).write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("n_words", queries.F.lit("clash")).write.parquet(str(path / "benchmark.parquet"))
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("at", queries.F.lit("clash")).repartition(3).write.parquet(str(path / "conversations.parquet"))
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").withColumn("cell", queries.F.lit("clash")).repartition(3).write.parquet(str(path / "embeddings.parquet"))
     return str(path)
 
 
@@ -132,5 +163,25 @@ def test_sharding(spark, folder):
         assert r["shard"] == plain_shard(r["doc_id"], 16, spark)
 
 
+def test_decontamination(spark, folder):
+    columns, got = run("op11_decontamination", spark, folder)
+    assert columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = Counter((i, *brute.contamination(t, ITEMS)) for i, t, _ in TEXTS)
+    assert Counter(tuple(r[c] for c in columns) for r in got) == want and sum(r["contaminated"] for r in got) > 5
+
+
+def test_conversation_repair(spark, folder):
+    columns, got = run("op12_conversation_repair", spark, folder)
+    assert columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert sorted(map(str, (tuple(r.values()) for r in got))) == sorted(map(str, ((c, *brute.repaired(rows)) for c, rows in brute.damaged(TURNS).items())))
+
+
+def test_hard_negatives(spark, folder):
+    columns, got = run("op13_hard_negatives", spark, folder)
+    assert columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = brute.hard_negatives(VECTORS)
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(want) and len(want) > 100
+
+
 def test_every_query_is_here():
-    assert set(queries.ORACLE) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLE) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
