@@ -177,6 +177,44 @@ def mining_validate(spark, sf_dir):
     return got.select("nb_id", "success", "error_type", "lines_of_code", "contains_ml_semantics", F.array_join("matched_libraries", ",").alias("libraries"))
 
 
+def _store(spark, sf_dir) -> tuple[str, int]:
+    """A store of the users' notebooks in the shared folder, in two parts, and how many places it has."""
+    import uuid
+
+    from ..sources import store
+
+    checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    c = code(spark, sf_dir)
+    for part in (0, 1):
+        store.add(c.where(F.pmod("nb_id", F.lit(2)) == part), path, part)
+    return path, len(store.names(path))
+
+
+@query(f"{_WITH} select nb_id, cell_id, cast(row_number() over (partition by nb_id order by document_index) - 1 as integer) as document_index, source from code")
+def source_store(spark, sf_dir):
+    from ..sources import notebooks, store
+
+    path, size = _store(spark, sf_dir)
+    # in two reads, the second from where the first ends
+    half = size // 2
+    raw = store.load(spark, path, end=half).unionByName(store.load(spark, path, start=half)).where("error is null")
+    cells = notebooks.cells_of(raw.select(F.get_json_object("content", "$.name").cast("long").alias("nb_id"), F.col("content").alias("value")))
+    return cells.select("nb_id", "cell_id", "document_index", "source")
+
+
+@query(f"{_WITH}, n as (select nb_id, not bool_or(k = 10) as success, cast(sum(case when k in (4, 6, 8, 9) then 2 else 1 end) as bigint) as loc, coalesce(array_to_string(list_sort(list(distinct 'lib' || f) filter (where k = 7 and f <> '1')), ','), '') as libraries from code group by 1) select success, case when not success then 'SyntaxError' end as error_type, loc, false as ml_semantics, libraries, count(*) as notebooks from n group by all")
+def mining_ledger(spark, sf_dir):
+    from ..operators import ledger
+    from ..sources import store
+
+    path, size = _store(spark, sf_dir)
+    book = ledger.Ledger(spark, f"{path}-ledger")
+    judge = lambda notebooks: ledger.entries(notebooks, ["LIB0", "lib2", "numpy"])
+    ledger.mine(lambda a, b: store.load(spark, path, start=a, end=b), size, judge, book, step=max(1, -(-size // 3)))
+    return book.rows().groupBy("success", "error_type", "loc", "ml_semantics", F.array_join("matched_libraries", ",").alias("libraries")).agg(F.count("*").alias("notebooks"))
+
+
 #: A user's notebook is one of the seeded programs.
 _SEEDED = "select distinct user_id as nb_id, cast(user_id % 24 as int) as kind from {events}"
 

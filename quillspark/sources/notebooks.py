@@ -15,6 +15,11 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.ipynb") -> DataFrame:
     fallback-<place among all cells>. document_index counts all cells.
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).withColumn("nb_id", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    return cells_of(raw)
+
+
+def cells_of(raw: DataFrame) -> DataFrame:
+    """The cells of notebooks (nb_id, value), value their JSON."""
     cells = raw.select("nb_id", F.posexplode(F.from_json("value", _CELL)["cells"]).alias("document_index", "raw")).select("nb_id", "document_index", F.try_parse_json("raw").alias("v"))
     text = lambda p: F.try_variant_get("v", p, "string")
     lines = F.try_variant_get("v", "$.source", "array<string>")
