@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..taxonomy import DATA_PATH, FAMILIES
 from . import graphs
+from .centrality import centrality  # noqa: F401, a feature like the others
 
 #: Groups of a feature vector in order, and their widths.
 GROUPS = [("code_emb", 300), ("api_emb", 300), ("lib_emb", 300), ("degree", 2), ("cell_pos", 1), ("neighbor", 2), ("lib_category", 6), ("lineage_struct", 10), ("semantic_anchor", 3), ("centrality", 5)]
@@ -151,69 +152,6 @@ def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, damping: float = 0.85) -> DataFrame:
-    """(nb_id, node_id, in_degree, out_degree, betweenness, pagerank, clustering), per notebook in numpy.
-
-    Degrees count parallel edges and are divided by n - 1; the others take the
-    simple graph. Clustering is the directed form over all triangles.
-    """
-    kind = nodes.schema["nb_id"].dataType.simpleString()
-    both = nodes.select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("nb_id", "src", "dst"))
-
-    def per(table: pa.Table) -> pa.Table:
-        pairs = list(zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True))
-        names = sorted({x for p in pairs for x in p if x is not None})
-        at = {x: i for i, x in enumerate(names)}
-        n = len(names)
-        many = np.zeros((n, n))
-        for a, b in pairs:
-            if b is not None:
-                many[at[a], at[b]] += 1
-        a = (many > 0).astype(float)
-        norm = max(n - 1, 1)
-        betweenness = np.zeros(n)
-        if n > 2:
-            nexts = [np.flatnonzero(row) for row in a]
-            for s in range(n):
-                order, before, count, dist = [], [[] for _ in range(n)], np.zeros(n), np.full(n, -1)
-                count[s], dist[s], queue = 1, 0, [s]
-                for v in queue:
-                    order.append(v)
-                    for w in nexts[v]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            queue.append(int(w))
-                        if dist[w] == dist[v] + 1:
-                            count[w] += count[v]
-                            before[w].append(v)
-                owed = np.zeros(n)
-                for w in reversed(order):
-                    for v in before[w]:
-                        owed[v] += count[v] / count[w] * (1 + owed[w])
-                    if w != s:
-                        betweenness[w] += owed[w]
-            betweenness /= (n - 1) * (n - 2)
-        rank = np.full(n, 1 / n)
-        out = a.sum(1)
-        for _ in range(100):
-            new = damping * (rank / np.where(out > 0, out, 1) * (out > 0)) @ a + damping * rank[out == 0].sum() / n + (1 - damping) / n
-            done = np.abs(new - rank).sum() < n * 1e-6
-            rank = new
-            if done:
-                break
-        b = a - np.diag(np.diag(a))
-        sym = b + b.T
-        triangles = np.diag(sym @ sym @ sym) / 2
-        total, mutual = sym.sum(1), np.diag(b @ b)
-        room = total * (total - 1) - 2 * mutual
-        cluster = np.where(room > 0, triangles / np.where(room > 0, room, 1), 0.0)
-        cols = [many.sum(0) / norm, many.sum(1) / norm, betweenness, rank, cluster]
-        nb = pa.array([table["nb_id"][0].as_py()] * n, table.schema.field("nb_id").type)
-        return pa.table([nb, pa.array(names, pa.string()), *(pa.array(c, pa.float64()) for c in cols)], names=["nb_id", "node_id", "in_degree", "out_degree", "betweenness", "pagerank", "clustering"])
-
-    return both.groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, node_id string, in_degree double, out_degree double, betweenness double, pagerank double, clustering double")
-
-
 def embed(df: DataFrame, text: str, out: str, width: int = 300) -> DataFrame:
     """A hashed word vector for each text, normed; the zero vector for none.
 

@@ -91,6 +91,33 @@ def trace_sessions(spark, sf_dir):
     return T.sessionize(ev).select("nb_id", "event_id", "session_no")
 
 
+_STREAM = """select user_id as nb_id, event_id as seq, event_type as cell_id, cast(case event_type when 'signup' then 0 when 'view' then 1 when 'click' then 2 when 'purchase' then 3 else 4 end as int) as document_index, cast(cast(floor(value) as bigint) % 4 as int) as execution_count, cast(event_id % 2 as string) as kernel_id, event_type = 'signup' as restart, md5(props) as source_hash, cast(ts as timestamp) as ts from {events}"""
+
+
+@query(f"""with e as ({B.duck(_STREAM)}), b as (select *, lag(seq) over w is not null and (restart or kernel_id <> lag(kernel_id) over w or (execution_count = 1 and lag(execution_count) over w > 1) or epoch_ms(ts) - epoch_ms(lag(ts) over w) > 21600000) as fresh from e window w as (partition by nb_id order by seq)),
+s as (select *, cast(sum(cast(fresh as int)) over (partition by nb_id order by seq) as bigint) as session_no from b)
+select nb_id, seq, session_no, case when h is null then 'first' when h = source_hash then 'identical' else 'edited' end as rerun_kind, coalesce(most > document_index, false) as out_of_doc_order
+from (select *, lag(source_hash) over (partition by nb_id, session_no, cell_id order by seq) as h, max(document_index) over (partition by nb_id, session_no order by seq rows between unbounded preceding and 1 preceding) as most from s)""")
+def stream_sessions(spark, sf_dir):
+    """The whole table as a stream of one batch, through state."""
+    import uuid
+
+    from ..streaming import trace as S
+
+    _checkpoints(B.table(spark, sf_dir, "events"))
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(B.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, rocks)
+    try:
+        live = S.live(spark.sql(_STREAM, events=events), idle_ms=6 * 3600_000)
+        live.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return spark.read.parquet(f"{place}/out").where("kind = 'event'").select("nb_id", "seq", "session_no", "rerun_kind", "out_of_doc_order")
+
+
 # ------------------------------------------------------------------- graphs
 
 on_graph("graph_closure", lambda n, e: graphs.closure(e), "select nb_id, src, dst from r")
@@ -139,7 +166,19 @@ on_graph(
 )
 on_graph("feature_families", lambda n, e: n.select("nb_id", "node_id", *features.families(F.concat_ws(" ", "label", "code"))), "select nb_id, node_id, cast(event_id % 8 = 0 or label = 'pandas' or contains(label, 'csv') or event_id % 8 = 3 as int) as lib_data_io, 0 as lib_ml_classic, 0 as lib_deep_learning, cast(event_id % 8 = 6 as int) as lib_viz, 0 as lib_persistence, 0 as lib_sys_env from nodes")
 on_graph("feature_structure", features.structure)
-on_graph("feature_centrality", features.centrality)
+#: Thirty rounds of PageRank, each a row for every node; triangles of pairs by how many edges they have.
+_CENTRAL = """, d as (select distinct nb_id, src, dst from edges), sz as (select nb_id, count(*) as n from nodes group by 1), o as (select nb_id, src, count(*) as o from d group by 1, 2),
+t as (select d.nb_id, d.src, d.dst, 1.0::double / o.o as w from d join o using (nb_id, src) union all select nb_id, node_id, node_id, 0.0::double from nodes),
+pr as (select n.nb_id, node_id, 0 as k, 1.0::double / n as x from nodes n join sz using (nb_id)
+  union all select q.nb_id, t.dst, q.k + 1, 0.85 * (sum(q.x * t.w) + max(q.loose) / max(q.n)) + 0.15 / max(q.n) from (select p.nb_id, p.node_id, p.k, p.x, sz.n, sum(case when o.o is null then p.x else 0 end) over (partition by p.nb_id) as loose from pr p join sz using (nb_id) left join o on o.nb_id = p.nb_id and o.src = p.node_id) q join t on t.nb_id = q.nb_id and t.src = q.node_id where q.k < 30 group by q.nb_id, t.dst, q.k),
+u as (select nb_id, least(src, dst) as a, greatest(src, dst) as b, count(*) as w from d where src <> dst group by 1, 2, 3), v as (select nb_id, a, b, w from u union all select nb_id, b, a, w from u),
+tot as (select nb_id, a as node_id, sum(w) as total, count(*) filter (w = 2) as mutual from v group by 1, 2),
+tri as (select x.nb_id, x.a as node_id, sum(x.w * y.w * z.w) as made from v x join v y on x.nb_id = y.nb_id and x.a = y.a and x.b < y.b join u z on z.nb_id = x.nb_id and z.a = x.b and z.b = y.b group by 1, 2),
+di as (select nb_id, dst as node_id, count(*) as c from edges group by 1, 2), oo as (select nb_id, src as node_id, count(*) as c from edges group by 1, 2)
+select n.nb_id, n.node_id, coalesce(di.c, 0)::double / greatest(sz.n - 1, 1) as in_degree, coalesce(oo.c, 0)::double / greatest(sz.n - 1, 1) as out_degree, round(pr.x, 9) as pagerank, round(case when total * (total - 1) - 2 * mutual > 0 then coalesce(made, 0)::double / (total * (total - 1) - 2 * mutual) else 0 end, 9) as clustering
+from nodes n join sz using (nb_id) join pr on pr.nb_id = n.nb_id and pr.node_id = n.node_id and pr.k = 30 left join tot on tot.nb_id = n.nb_id and tot.node_id = n.node_id left join tri on tri.nb_id = n.nb_id and tri.node_id = n.node_id left join di on di.nb_id = n.nb_id and di.node_id = n.node_id left join oo on oo.nb_id = n.nb_id and oo.node_id = n.node_id"""
+on_graph("feature_centrality", lambda n, e: features.centrality(n, e, rounds=30, tol=0, error=0.2).select("nb_id", "node_id", "in_degree", "out_degree", F.round("pagerank", 9).alias("pagerank"), F.round("clustering", 9).alias("clustering")), _CENTRAL)
+on_graph("feature_betweenness", lambda n, e: features.centrality(n, e).select("nb_id", "node_id", "betweenness"))
 on_graph("feature_supervised_fit", lambda n, e: n.where("struct_type = 9").select("nb_id", "node_id", features.supervised_fit(F.col("label"), F.col("code")).alias("supervised_fit")), "select nb_id, node_id, cast(event_id % 8 = 1 as int) as supervised_fit from nodes where struct_type = 9")
 on_graph("feature_encoding", lambda n, e: features.encode(n, e)[1].groupBy("nb_id", "relation").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")), ", p as (select nb_id, node_id, case when struct_type = 9 then 'operation' else 'variable' end as side, row_number() over (partition by nb_id, struct_type = 9 order by ord) - 1 as i from nodes), x as (select e.nb_id, s.side || '-' || d.side as rel, s.i as a, d.i as b from edges e join p s on s.nb_id = e.nb_id and s.node_id = e.src join p d on d.nb_id = e.nb_id and d.node_id = e.dst where s.side <> d.side) select nb_id, relation, count(*) as n, cast(sum(a) as bigint) as a, cast(sum(b) as bigint) as b from (select nb_id, rel as relation, a, b from x union all select nb_id, 'rev-' || rel, b, a from x) group by 1, 2")
 on_graph("feature_line_graph", lambda n, e: features.line_graph(e), "select x.nb_id, x.ord as a, y.ord as b from edges x join edges y on x.nb_id = y.nb_id and x.dst = y.src where x.ord <> y.ord")

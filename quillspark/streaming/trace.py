@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "nb_id long, seq long, cell_id string, document_index int, execution_count int, kernel_id string, restart boolean, source_hash string, ts timestamp"
-_OUT = "nb_id long, seq long, cell_id string, session_no long, out_of_doc_order boolean, first_run boolean"
-_STATE = "session_no long, kernel_id string, last_count int, max_index int, ran string, last_seq long"
+_OUT = "kind string, nb_id long, seq long, cell_id string, session_no long, out_of_doc_order boolean, rerun_kind string, events long, cells long"
+_SESSION = "session_no long, kernel_id string, last_count int, max_index int, last_seq long, last_ms long, events long"
+_CELL = "source_hash string, runs long"
+#: How long after its last event a session ends, and a notebook is forgotten.
+IDLE_MS, FORGET_MS = 30 * 60_000, 7 * 24 * 3600_000
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -18,31 +22,80 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.readStream.format(fmt).schema(EVENTS).load(path)
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One notebook's events of a batch, by seq, against the state of its session; an event not after the last is a repeat."""
-    no, kernel, count, most, ran, last = state.get if state.exists else (0, None, 0, -1, "", -1)
-    seen = set(filter(None, ran.split("\n")))
-    rows = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        if r.seq <= last:
-            continue
-        n = 0 if pd.isna(r.execution_count) else int(r.execution_count)
-        if last >= 0 and (bool(r.restart) or r.kernel_id != kernel or (n == 1 and count > 1)):
-            no, most, seen = no + 1, -1, set()
-        rows.append((key[0], r.seq, r.cell_id, no, 0 <= r.document_index < most, r.cell_id not in seen))
-        seen.add(r.cell_id)
-        kernel, count, most, last = r.kernel_id, n, max(most, int(r.document_index)), int(r.seq)
-    state.update((no, kernel, count, most, "\n".join(sorted(seen)), last))
-    yield pd.DataFrame(rows, columns=["nb_id", "seq", "cell_id", "session_no", "out_of_doc_order", "first_run"])
-
-
-def live(events: DataFrame) -> DataFrame:
-    """Events with their session's number and warnings, as they come.
-
-    A session ends on restart, with another kernel, or when the count goes
-    back to 1. State is a notebook's session: small, and keyed by notebook.
+class Sessions(StatefulProcessor):
+    """A notebook's open session: one value, and an entry for each cell that ran in it; timers end it and, later, forget the notebook."""
+
+    def __init__(self, idle_ms: int, forget_ms: int):
+        self.idle, self.forget = idle_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", _SESSION)
+        self.cells = handle.getMapState("cells", "cell_id string", _CELL)
+
+    def _closed(self, nb, no, events) -> tuple:
+        n = sum(1 for _ in self.cells.keys()) if events else 0
+        self.cells.clear()
+        return "closed", nb, None, None, no, None, None, events, n
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        no, kernel, count, most, last, at, events = self.session.get() if self.session.exists() else (0, None, 0, -1, -1, None, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
+            if r.seq <= last:
+                continue
+            n, ms = 0 if pd.isna(r.execution_count) else int(r.execution_count), int(r.ts.value // 1_000_000)
+            if last >= 0 and (bool(r.restart) or r.kernel_id != kernel or (n == 1 and count > 1) or ms - at > self.idle or not events):
+                if events:
+                    out.append(self._closed(key[0], no, events))
+                no, most, events = no + 1, -1, 0
+            cell = (r.cell_id,)
+            before = self.cells.getValue(cell) if self.cells.containsKey(cell) else None
+            kind = "first" if before is None else "identical" if before[0] == r.source_hash else "edited"
+            self.cells.updateValue(cell, (r.source_hash, 1 if before is None else before[1] + 1))
+            events += 1
+            out.append(("event", key[0], int(r.seq), r.cell_id, no, 0 <= r.document_index < most, kind, None, None))
+            kernel, count, most, last, at = r.kernel_id, n, max(most, int(r.document_index)), int(r.seq), ms
+        if at is not None:
+            self.session.update((no, kernel, count, most, last, at, events))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at + self.idle)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.session.exists():
+            no, kernel, count, most, last, at, events = self.session.get()
+            if expiredTimerInfo.getExpiryTimeInMs() >= at + self.forget:
+                self.session.clear()
+                self.cells.clear()
+            elif events:
+                out.append(self._closed(key[0], no, events))
+                # numbers go on, and repeats are still known, until the notebook is forgotten
+                self.session.update((no, kernel, count, -1, last, at, 0))
+                self.handle.registerTimer(at + self.forget)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+_NAMES = [c.strip().split(" ")[0] for c in _OUT.split(",")]
+
+
+def live(events: DataFrame, late: str = "10 minutes", idle_ms: int = IDLE_MS, forget_ms: int = FORGET_MS) -> DataFrame:
+    """Events with their session's number and warnings as they come, and a row of kind `closed` with its counts for each session that ends.
+
+    A session ends on restart, with another kernel, when the count goes back to
+    1, or idle_ms after its last event: at the next event if that comes, else by
+    a timer of event time, which also drops the session's cells. forget_ms after
+    its last event a notebook's number starts anew. Events behind the watermark
+    are dropped, and so are events not after the last of their notebook. State
+    is a value for each notebook and an entry for each cell of open sessions;
+    the session has to keep it in RocksDB (spark.sql.streaming.stateStore.providerClass).
     """
-    return events.groupBy("nb_id").applyInPandasWithState(_step, _OUT, _STATE, "append", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy("nb_id").transformWithStateInPandas(Sessions(idle_ms, forget_ms), _OUT, "Append", "EventTime")
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
