@@ -24,6 +24,8 @@ from .word_hash import word_hashes
 
 #: Fixed values of HTML: elements whose text is no text, elements without an end tag, elements inside a line.
 SKIPPED = frozenset("script style template noscript svg head title iframe textarea select option".split())
+#: Skipped elements that part the text around them.
+PARTING = frozenset("head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
 #: Open elements that a start tag ends.
@@ -33,7 +35,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SCOPES = frozenset("article aside section nav header footer main div body td th table form ul ol figure blockquote details".split())
 
 #: By the rules of HTML: comments, with their short and faulty forms; declarations; faulty end tags; tags, in which a quote opens a value
-#: only behind the equals sign of a named attribute. Nothing is looked at twice, so that a cut tag costs no more than its length.
+#: only behind the equals sign of a named attribute. A cut tag costs no more than its length.
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|</(?:[^a-zA-Z>][^>]*)?(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|$)",
@@ -43,25 +45,72 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 SPACE = re.compile(r"[\s\x00]+")
 WORD = re.compile(r"\w+")
 #: Dimensions of the hashed path, words and shape; units each way.
-PATH, TEXT, SHAPE, UNITS = 48, 24, 12, 16
+PATH, TEXT, SHAPE, UNITS = 64, 16, 12, 16
 DIM = PATH + TEXT + SHAPE
+#: The logit over which a block is main text; below 0, as a lost paragraph is worse than a stray line.
+LEAST = -1.5
 #: Blocks of a page that are read at once; longer pages go by windows of so many.
 WINDOW = 4096
 
 
+class Place:
+    """An open block-level element and those that it is in; a page's blocks share them."""
+
+    __slots__ = ("above", "entry", "of", "size")
+
+    def __init__(self, entry: str, above: Place | None):
+        self.entry, self.above, self.of, self.size = entry, above, None, 0
+
+
 class Block:
-    __slots__ = ("linked", "path", "raw", "text")
+    __slots__ = ("linked", "place", "raw", "text")
+
+    def __init__(self, place: Place | None):
+        self.place, self.raw, self.linked, self.text = place, [], 0, ""
+
+
+class _Open:
+    """The open elements. What a tag closes is found by where each name was last opened, not by a look through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Place | None]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.links = 0
+
+    def place(self) -> Place | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else -1
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
+
+    def push(self, name: str, entry: str) -> None:
+        above = self.place()
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.links += name == "a"
+        self.stack.append((name, above if name in INLINE else Place(entry, above)))
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.raw, self.linked, self.text = path, [], 0, ""
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, _ = self.stack.pop()
+            self.at[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+            self.links -= name == "a"
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's runs of text between block-level tags, in order, decoded, with white space made single."""
+    """The page's runs of text between block-level tags, in order, decoded, with white space made single; in time that grows as the page."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # element, its path entry
+    opened = _Open()
+    unended: set[str] = set()
     current: Block | None = None
-    at, links = 0, 0
+    at, size = 0, len(page)
 
     def say(piece: str) -> None:
         nonlocal current
@@ -70,13 +119,12 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            current = Block(tuple(e for t, e in stack if t not in INLINE))
+            current = Block(opened.place())
             out.append(current)
         current.raw.append(piece)
-        if links:
+        if opened.links:
             current.linked += len(piece)
 
-    size = len(page)
     while at < size:
         found = TOKEN.search(page, at)
         if not found:
@@ -89,28 +137,25 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if found[1]:
-            if name in ("br", "p") and not any(t == "p" for t, _ in stack) and name == "p":
+            to = opened.last(name)
+            if to < 0 and name == "p":
                 current = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in INLINE:
-                        current = None
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if name not in SCOPES and stack[i][0] in SCOPES:
-                    break
+            if to >= 0 and (name in SCOPES or to > opened.scope()):
+                if name not in INLINE:
+                    current = None
+                opened.cut(to)
             continue
         if name in SKIPPED:
             if name == "head":  # its elements that hold text are skipped one by one
                 continue
-            if found[3].endswith("/"):
+            if found[3].endswith("/") or name in unended:
                 continue
             end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
             if end is None and name in ("option", "select", "iframe", "svg", "template", "noscript"):
+                unended.add(name)
                 continue
             at = end.end() if end else size
-            if name not in INLINE:
+            if name in PARTING:
                 current = None
             continue
         if name in ("br", "wbr", "img", "input"):
@@ -122,19 +167,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             current = None
-            ended = ENDS.get(name, {"p"} if name in CLOSES_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ended:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            to = max(map(opened.last, ENDS[name])) if name in ENDS else opened.last("p") if name in CLOSES_P else -1
+            if to >= 0 and to >= opened.scope():
+                opened.cut(to)
         if found[3].endswith("/") and name not in INLINE:
             continue
         marks = " ".join(f"{v or w or x}".lower() for _, v, w, x in ATTRIBUTE.findall(found[3])) if found[3] else ""
-        stack.append((name, f"{name} {marks}" if marks else name))
-        links += name == "a"
+        opened.push(name, f"{name} {marks}" if marks else name)
     kept = []
     for b in out:
         b.text = SPACE.sub(" ", html.unescape("".join(b.raw))).strip()
@@ -150,18 +189,33 @@ def _slot(word: str, size: int) -> tuple[int, float]:
 
 
 @functools.lru_cache(1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    words = []
-    for i, entry in enumerate(path):
-        for w in WORD.findall(entry):
-            words.append(w)
-            if i >= len(path) - 2:
-                words.append(f"{w}.near")
+def _entry(entry: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashed words of a path entry, as far and as near ones, and their number."""
+    far, near, words = np.zeros(PATH, np.float32), np.zeros(PATH, np.float32), WORD.findall(entry)
     for w in words:
-        i, s = _slot(w, PATH)
-        v[i] += s
-    return v / max(1.0, float(np.sqrt(len(words))))
+        for v, x in ((far, w), (near, f"{w}.near")):
+            i, s = _slot(x, PATH)
+            v[i] += s
+    return far, near, len(words)
+
+
+def _path_vector(place: Place | None) -> np.ndarray:
+    """The words of all open elements, those of the last two once more as near ones."""
+    new, p = [], place
+    while p is not None and p.of is None:
+        new.append(p)
+        p = p.above
+    for p in reversed(new):
+        far, _, n = _entry(p.entry)
+        p.of, p.size = (far, n) if p.above is None else (p.above.of + far, p.above.size + n)
+    if place is None:
+        return np.zeros(PATH, np.float32)
+    v, size = place.of, place.size
+    for p in (place, place.above):
+        if p is not None:
+            _, near, n = _entry(p.entry)
+            v, size = v + near, size + n
+    return v / max(1.0, float(np.sqrt(size)))
 
 
 def vectors(page: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
@@ -173,9 +227,9 @@ def vectors(page: list[Block], first: int = 0, of: int | None = None) -> np.ndar
     mean = np.bincount(at * TEXT + (word % np.uint64(TEXT)).astype(np.int64), weights=sign, minlength=len(page) * TEXT)
     out[:, PATH : PATH + TEXT] = mean.reshape(-1, TEXT) / np.maximum(4.0, np.bincount(at, minlength=len(page)))[:, None]
     for i, b in enumerate(page):
-        out[i, :PATH] = _path_vector(b.path)
+        out[i, :PATH] = _path_vector(b.place)
         n = len(b.text)
-        leaf = b.path[-1].split(" ")[0] if b.path else ""
+        leaf = b.place.entry.split(" ")[0] if b.place else ""
         raw = sum(map(len, b.raw)) or 1
         out[i, PATH + TEXT :] = (
             np.log1p(n) / 8, min(1.0, b.linked / raw), b.text.count(".") / (n / 40 + 1), float(b.text[-1] in ".!?:;"), n < 25, n > 200,
@@ -326,7 +380,7 @@ def extract_pages(pages: list[str], w: dict[str, np.ndarray]) -> list[str]:
     """The main text of each page; pages of like length share a batch."""
     laid = [blocks(p) for p in pages]
     out = [""] * len(pages)
-    joined = lambda page, logits: "\n".join(b.text for b, v in zip(page, logits, strict=True) if v > 0)
+    joined = lambda page, logits: "\n".join(b.text for b, v in zip(page, logits, strict=True) if v > LEAST)
     for i, page in enumerate(laid):
         if len(page) > WINDOW:
             out[i] = joined(page, long_scores(w, page))
