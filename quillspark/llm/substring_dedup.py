@@ -120,15 +120,20 @@ def _table(rows: list[tuple], names: tuple[str, ...] = ("bucket", "chunk", "n",
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
 
 
+def tie(text: bytes) -> int:
+    """What rows of one id are ordered by: a hash of their text."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest()) >> 1
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows as compressed chunks, by id within; then by text."""
+    """A task's rows as compressed chunks, by id within; then by a hash of the text."""
     from pyspark import TaskContext
 
     chunk, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
     codec = pa.Codec("zstd", 3)
 
     def made() -> list[pa.RecordBatch]:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], tie(texts[i])))
         raw = pickle.dumps((np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]))
         return _table([(-1, chunk, len(raw), codec.compress(raw, asbytes=True))]).to_batches()
 
@@ -204,8 +209,8 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 #: A suffix: its chunk, the id of its document, its place; its lead, the bytes before it and behind it that its windows take in.
 #: Or, where `lead` is null, runs of windows of the chunk that occur earlier, in `after`.
-_SUFFIX = "chunk long, id long, place long, lead binary, before binary, after binary"
-_SUFFIX_NAMES = ["chunk", "id", "place", "lead", "before", "after"]
+_SUFFIX = "chunk long, id long, tie long, place long, lead binary, before binary, after binary"
+_SUFFIX_NAMES = ["chunk", "id", "tie", "place", "lead", "before", "after"]
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> bytes:
@@ -217,13 +222,14 @@ def _suffixes(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     text = next(r for r in rows if r["bucket"] < 0)
     found = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
-    ids, _, ends, data = _opened(text["n"], text["blob"])
+    ids, texts, ends, data = _opened(text["n"], text["blob"])
+    ties = np.array([tie(t) for t in texts], np.int64)
     place, lo, hi, h = leads(data, ends)
     _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
     bits = [np.unpackbits(np.frombuffer(r["blob"], np.uint8), count=r["n"]) for r in found]
     repeated = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
     mine = np.flatnonzero((repeated | (counts > 1))[back]) if len(h) else np.zeros(0, np.int64)
-    schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("place", pa.int64()), ("lead", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
     out = [schema.empty_table()]
     for s in range(0, len(mine), SLICE):
         p, a, b = (x[mine[s : s + SLICE]] for x in (place, lo, hi))
@@ -232,10 +238,11 @@ def _suffixes(key: tuple, table: pa.Table) -> pa.Table:
         first[np.unique(same, return_index=True)[1]] = True
         if not first.all():
             covered = pa.array([_runs(a[~first], (b - a + 1)[~first])], pa.binary())
-            out.append(pa.table([pa.array([text["chunk"]]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), covered], schema=schema))
+            out.append(pa.table([pa.array([text["chunk"]]), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), covered], schema=schema))
         p, a, b = p[first], a[first], b[first]
         parts = _ragged(data, p, np.full(len(p), K)), _ragged(data, a, p - a), _ragged(data, p + K, b + LENGTH - p - K)
-        out.append(pa.table([pa.array(np.full(len(p), text["chunk"])), pa.array(ids[np.searchsorted(ends, p, side="right")]), pa.array(p), *parts], schema=schema))
+        of = np.searchsorted(ends, p, side="right")
+        out.append(pa.table([pa.array(np.full(len(p), text["chunk"])), pa.array(ids[of]), pa.array(ties[of]), pa.array(p), *parts], schema=schema))
     return pa.concat_tables(out)
 
 
@@ -271,7 +278,7 @@ def splitters(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 def _to_range(cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _keys(batch.column(3), batch.column(1).to_numpy(), batch.column(0).to_numpy())
+            keys = _keys(batch.column("lead"), batch.column("id").to_numpy(), batch.column("chunk").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(cuts, keys, side="right").astype(np.int64))], names=[*_SUFFIX_NAMES, "range"])
 
     return run
@@ -308,9 +315,9 @@ def _sorted(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, shared
 
 
-_FOUND_NAMES = ["chunk", "id", "start", "window", "runs"]
-_FOUND_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-_FOUND = "chunk long, id long, start long, window binary, runs binary"
+_FOUND_NAMES = ["chunk", "id", "tie", "start", "window", "runs"]
+_FOUND_KINDS = (*[pa.int64()] * 4, pa.binary(), pa.binary())
+_FOUND = "chunk long, id long, tie long, start long, window binary, runs binary"
 
 
 def _by_chunk(chunks: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -319,7 +326,7 @@ def _by_chunk(chunks: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.
     edge = np.flatnonzero(np.diff(chunks[by], prepend=-1))
     if not len(edge):
         return _table([], tuple(_FOUND_NAMES), _FOUND_KINDS)
-    rows = [(int(chunks[by[a]]), None, None, None, _runs(starts[by[a:b]], counts[by[a:b]])) for a, b in zip(edge, np.append(edge[1:], len(by)), strict=True)]
+    rows = [(int(chunks[by[a]]), None, None, None, None, _runs(starts[by[a:b]], counts[by[a:b]])) for a, b in zip(edge, np.append(edge[1:], len(by)), strict=True)]
     return _table(rows, tuple(_FOUND_NAMES), _FOUND_KINDS)
 
 
@@ -332,9 +339,9 @@ def _compare(both_sides: np.ndarray):
         before it. Sorted, and sorted backwards, suffixes that share as much
         are neighbours.
         """
-        ids, chunks, place = (table[c].to_numpy() for c in ("id", "chunk", "place"))
-        by = np.lexsort((place, chunks, ids))
-        n, ids, chunks, place = len(by), ids[by], chunks[by], place[by]
+        ids, ties, chunks, place = (table[c].to_numpy() for c in ("id", "tie", "chunk", "place"))
+        by = np.lexsort((place, chunks, ties, ids))
+        n, ids, ties, chunks, place = len(by), ids[by], ties[by], chunks[by], place[by]
         right, left = np.zeros((n, 104), np.uint8), np.zeros((n, 64), np.uint8)
         right[:, :K] = _flat(table["lead"])[0].reshape(-1, K)[by]
         sizes = []
@@ -375,7 +382,7 @@ def _compare(both_sides: np.ndarray):
                     cut = np.ascontiguousarray(whole[on, 64 - d : 64 - d + LENGTH])
                     window = _ragged(cut.ravel(), np.arange(len(on)) * LENGTH, np.full(len(on), LENGTH))
                     at = some[on]
-                    out.append(pa.table([pa.array(chunks[at]), pa.array(ids[at]), pa.array(place[at] - d), window, pa.nulls(len(on), pa.binary())], names=_FOUND_NAMES))
+                    out.append(pa.table([pa.array(chunks[at]), pa.array(ids[at]), pa.array(ties[at]), pa.array(place[at] - d), window, pa.nulls(len(on), pa.binary())], names=_FOUND_NAMES))
         return pa.concat_tables(out)
 
     return run
@@ -430,9 +437,10 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", range_rows:
     removed: the maximal runs of bytes that a string of LENGTH bytes covers
     which also starts earlier, in a row of smaller key or before in the same
     row. Strings are compared by their bytes. Null keys come first (and -2^63
-    counts as null); rows of one key follow each other by their chunk, in it by
-    their text; null and empty texts have no bytes. An empty table gives an
-    empty one. df is read once, to a table in the shared folder.
+    counts as null); rows of one key follow each other by a hash of their text,
+    wherever they are read, and wholly equal rows stand for each other; null and
+    empty texts have no bytes. An empty table gives an empty one. df is read for
+    its size, then once more to a table in the shared folder.
     """
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/substrings-{uuid.uuid4().hex}"
@@ -457,7 +465,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", range_rows:
     covers = [suffixes.where("lead is null").select("chunk", F.col("after").alias("runs")), found.where("window is null").select("chunk", "runs")]
     if len(both_sides):
         # at most one of each string a range: few enough for one task
-        order = Window.partitionBy("window").orderBy("id", "chunk", "start")
+        order = Window.partitionBy("window").orderBy("id", "tie", "chunk", "start")
         late = found.where("window is not null").withColumn("i", F.row_number().over(order)).where("i > 1")
         covers.append(late.select("chunk", "start").mapInArrow(_late, _FOUND).select("chunk", "runs"))
     rows = texts

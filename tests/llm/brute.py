@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 
+from quillspark.llm.substring_dedup import tie
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -97,9 +99,9 @@ def components(rows):
 
 
 def repeats(rows, length=100):
-    """{index: (n_bytes, n_removed, n_spans, sha)} of (key, text), null keys first."""
+    """{index: (n_bytes, n_removed, n_spans, sha)} of (key, text), null keys first, rows of one key by the hash of their text."""
     seen, out = set(), {}
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, (rows[k][1] or "").encode()))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, tie((rows[k][1] or "").encode())))
     for k in order:
         b = (rows[k][1] or "").encode()
         mask = np.zeros(len(b), bool)
