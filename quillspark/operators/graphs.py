@@ -317,20 +317,74 @@ def to_simple(edges: DataFrame) -> DataFrame:
     return e.select(*((a if c == "src" else b if c == "dst" else F.col(c)).alias(c) for c in edges.columns))
 
 
-def provenance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with base_inputs (library names, sorted, joined) and n_steps (distinct transform steps) inherited from all that reach them, however far."""
-    named = with_ends(edges, nodes, "struct_type", "label", "code")
-    libs = named.where("src_struct_type = 1").select("nb_id", F.col("dst").alias("node_id"), F.col("src_label").alias("lib"))
-    steps = named.where("src_struct_type in (3, 6, 9) and dst_struct_type not in (3, 6, 9)").select("nb_id", F.col("dst").alias("node_id"), F.struct(F.col("src_label").alias("operation"), F.col("dst_label").alias("target_node"), F.col("src_code").alias("transform_code")).alias("step"))
-
-    def spread(facts: DataFrame, name: str) -> DataFrame:
-        ways = walks(edges, facts.select("nb_id", "node_id").distinct())
-        own = facts.withColumnRenamed("node_id", "seed")
-        return own.join(ways, ["nb_id", "seed"]).select("nb_id", "node_id", name).unionByName(facts).distinct()
-
-    b = spread(libs, "lib").groupBy("nb_id", "node_id").agg(F.array_join(F.sort_array(F.collect_set("lib")), ", ").alias("base_inputs"))
-    s = spread(steps, "step").groupBy("nb_id", "node_id").agg(F.count("*").alias("n_steps"))
-    return nodes.join(b, ["nb_id", "node_id"], "left").join(s, ["nb_id", "node_id"], "left").withColumn("n_steps", F.coalesce("n_steps", F.lit(0)))
+#: Sweeps over a notebook's nodes, at most; fixed values: types of nodes that transform, and of imports.
+SWEEPS, HUBS, IMPORT = 15, (3, 6, 9), 1
+_STEP = pa.struct([("operation", pa.string()), ("target_node", pa.string()), ("transform_code", pa.string())])
+
+
+def _histories(sweeps: int):
+    """Sweeps over a notebook's nodes in their order, each taking from its predecessors, in the order of edges, what has come to them.
+
+    An edge knows how much of its source's lists it has passed on, so each entry
+    crosses each edge once, and a node is looked at only while a predecessor has
+    more for it.
+    """
+
+    def per(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("o", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        rows = list(zip(*(table[c].to_pylist() for c in ("part", "a", "b", "code", "kind")), strict=True))
+        nodes = {a: (label, code, kind) for part, a, label, code, kind in rows if part == 0}
+        into: dict[str, dict[str, list[int]]] = {a: {} for a in nodes}
+        for part, a, b, _, _ in rows:
+            if part == 1 and a in nodes and b in nodes:
+                into[b].setdefault(a, [0, 0])
+        steps: dict[str, dict] = {a: {} for a in nodes}
+        bases: dict[str, dict] = {a: {} for a in nodes}
+        listed: dict[str, tuple[list, list]] = {a: ([], []) for a in nodes}
+        for sweep in range(sweeps):
+            moved = False
+            for node, before in into.items():
+                label, _, kind = nodes[node]
+                for p, taken in before.items():
+                    own = [], []
+                    for k in (0, 1):
+                        own[k].extend(listed[p][k][taken[k] :])
+                        taken[k] = len(listed[p][k])
+                    if sweep == 0 and nodes[p][2] == IMPORT:
+                        own[1].append(p if nodes[p][0] is None else nodes[p][0])
+                    if sweep == 0 and nodes[p][2] in HUBS and kind not in HUBS:
+                        own[0].append(("operation" if nodes[p][0] is None else nodes[p][0], node if label is None else label, nodes[p][1] or ""))
+                    for k, known in ((0, steps[node]), (1, bases[node])):
+                        for x in own[k]:
+                            if x not in known:
+                                known[x] = True
+                                listed[node][k].append(x)
+                                moved = True
+            if not moved:
+                break
+        history = pa.array([[dict(zip(_STEP.names, x, strict=True)) for x in listed[a][0]] for a in nodes], pa.list_(_STEP))
+        nb = pa.array([table["nb_id"][0].as_py()] * len(nodes), table.schema.field("nb_id").type)
+        base = pa.array([", ".join(sorted(listed[a][1])) if listed[a][1] else None for a in nodes], pa.string())
+        return pa.table([nb, pa.array(list(nodes), pa.string()), base, history], names=["nb_id", "node_id", "base_inputs", "transform_history"])
+
+    return per
+
+
+def provenance(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """nodes with base_inputs (library names, sorted, joined), transform_history (steps in the order in which they come) and n_steps.
+
+    A hub gives a step to each node behind it that is none, an import its name;
+    both go on along the edges. Nodes take from their predecessors in place,
+    sweep by sweep in the order of nodes, until nothing comes or `sweeps` are
+    over, so that what has to go back over many edges may not arrive.
+    """
+    kind = nodes.schema["nb_id"].dataType.simpleString()
+    own = nodes.select("nb_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("o"), F.col("node_id").alias("a"), F.col("label").alias("b"), "code", F.col("struct_type").cast("int").alias("kind"))
+    none = lambda t: F.lit(None).cast(t)
+    ways = edges.select("nb_id", F.lit(1).alias("part"), F.col("ord").cast("long").alias("o"), F.col("src").alias("a"), F.col("dst").alias("b"), none("string").alias("code"), none("int").alias("kind"))
+    step = "struct<operation: string, target_node: string, transform_code: string>"
+    found = own.unionByName(ways).groupBy("nb_id").applyInArrow(_histories(sweeps), f"nb_id {kind}, node_id string, base_inputs string, transform_history array<{step}>")
+    return nodes.join(found, ["nb_id", "node_id"], "left").withColumn("n_steps", F.coalesce(F.size("transform_history"), F.lit(0)).cast("long"))
 
 
 def context(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:

@@ -146,7 +146,17 @@ on_graph(
 on_graph("graph_ego", lambda n, e: graphs.ego(e, n.where("event_id % 20 = 0"), 2), f"{_WEAK.split(', w as')[0]}, c as (select nb_id, node_id from nodes where event_id % 20 = 0) select nb_id, node_id as centre, node_id from c union select c.nb_id, c.node_id, b.z from c join b on b.nb_id = c.nb_id and b.a = c.node_id union select c.nb_id, c.node_id, y.z from c join b x on x.nb_id = c.nb_id and x.a = c.node_id join b y on y.nb_id = c.nb_id and y.a = x.z")
 on_graph("graph_around_variable", lambda n, e: graphs.around_variable(e, n.where("struct_type = 0")), ", s as (select nb_id, node_id from nodes where struct_type = 0) select nb_id, node_id as seed, node_id from s union select r.nb_id, r.src, r.dst from r join s on s.nb_id = r.nb_id and s.node_id = r.src union select r.nb_id, r.dst, r.src from r join s on s.nb_id = r.nb_id and s.node_id = r.dst")
 on_graph("graph_to_simple", lambda n, e: graphs.to_simple(e).select("nb_id", "src", "dst", "ord"), "select nb_id, case when i > 1 then dst || '_intermediate_' || (i - 1) else src end as src, case when i < c then dst || '_intermediate_' || i else dst end as dst, ord from (select *, row_number() over (partition by nb_id, src, dst order by ord) as i, count(*) over (partition by nb_id, src, dst) as c from edges)")
-on_graph("graph_provenance", lambda n, e: graphs.provenance(n, e).select("nb_id", "node_id", "base_inputs", "n_steps"), ", q as (select nb_id, src, dst from r union select nb_id, node_id, node_id from nodes), lib as (select e.nb_id, e.dst, p.label as l from edges e join nodes p on p.nb_id = e.nb_id and p.node_id = e.src and p.struct_type = 1), st as (select e.nb_id, e.dst, p.label as a, d.label as b, p.code as c from edges e join nodes p on p.nb_id = e.nb_id and p.node_id = e.src and p.struct_type in (3, 6, 9) join nodes d on d.nb_id = e.nb_id and d.node_id = e.dst and d.struct_type not in (3, 6, 9)) select n.nb_id, n.node_id, (select string_agg(l, ', ' order by l) from (select distinct l from lib join q on q.nb_id = lib.nb_id and q.src = lib.dst where q.nb_id = n.nb_id and q.dst = n.node_id)) as base_inputs, (select count(*) from (select distinct a, b, c from st join q on q.nb_id = st.nb_id and q.src = st.dst where q.nb_id = n.nb_id and q.dst = n.node_id)) as n_steps from nodes n")
+#: Node by node in their order: edges go forwards here, so that one sweep is all.
+_HISTORY = """, m as (select *, row_number() over (partition by nb_id order by ord) as i from nodes), pe as (select nb_id, src, dst, min(ord) as o from edges group by 1, 2, 3),
+ps as (select d.nb_id, d.i, list({'j': s.i, 'lib': case when s.struct_type = 1 then s.label end, 'step': case when s.struct_type in (3, 6, 9) and d.struct_type not in (3, 6, 9) then s.label || '>' || d.label || '>' || s.code end} order by o) as ps from pe join m s on s.nb_id = pe.nb_id and s.node_id = pe.src join m d on d.nb_id = pe.nb_id and d.node_id = pe.dst group by 1, 2),
+w as (select distinct nb_id, cast(0 as bigint) as i, cast([] as varchar[][]) as h, cast([] as varchar[][]) as l from m
+  union all select m.nb_id, m.i,
+    list_append(h, list_reduce(list_prepend(cast([] as varchar[]), list_transform(coalesce(flatten(list_transform(ps, lambda p: list_concat(h[p.j], case when p.step is null then cast([] as varchar[]) else [p.step] end))), []), lambda x: [x])), lambda a, x: case when list_contains(a, x[1]) then a else list_concat(a, x) end)),
+    list_append(l, coalesce(list_sort(list_distinct(flatten(list_transform(ps, lambda p: list_concat(l[p.j], case when p.lib is null then cast([] as varchar[]) else [p.lib] end))))), cast([] as varchar[])))
+  from w join m on m.nb_id = w.nb_id and m.i = w.i + 1 left join ps on ps.nb_id = m.nb_id and ps.i = m.i)
+select m.nb_id, m.node_id, case when len(w.l[m.i]) > 0 then array_to_string(w.l[m.i], ', ') end as base_inputs, array_to_string(w.h[m.i], ';') as history from m join w on w.nb_id = m.nb_id and w.i = m.i"""
+_LISTED = F.array_join(F.transform("transform_history", lambda s: F.concat_ws(">", s["operation"], s["target_node"], s["transform_code"])), ";").alias("history")
+on_graph("graph_provenance", lambda n, e: graphs.provenance(n, e).select("nb_id", "node_id", "base_inputs", _LISTED), _HISTORY)
 on_graph("graph_context", lambda n, e: graphs.context(n, e).select("nb_id", "node_id", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("inputs", "libraries", "outputs"))))
 
 # ----------------------------------------------------------------- features

@@ -84,10 +84,9 @@ def source_import_summary(spark, sf_dir):
     return mining.import_summary(found).select("nb_id", F.array_join("roots", ",").alias("roots"), "n_imports")
 
 
-@query(f"{_WITH} select nb_id, count(*) filter (where k = 8) as loops, count(*) filter (where k = 8) as list_comp, 0::bigint as try_except, 0::bigint as with_blocks, max(case when k = 8 then 1 else 0 end)::bigint as deepest from code where k not in (6, 10) group by 1")
+@query(f"{_WITH} select nb_id, case when reads > 0 then loops end as loops, case when reads > 0 then loops end as list_comp, case when reads > 0 then 0::bigint end as try_except, case when reads > 0 then 0::bigint end as with_blocks, case when reads > 0 then case when loops > 0 then 2 else 0 end::bigint end as deepest from (select nb_id, count(*) filter (k not in (6, 10)) as reads, count(*) filter (k = 8) as loops from code group by 1)")
 def source_complexity(spark, sf_dir):
-    got = mining.complexity(code(spark, sf_dir).where("k not in (6, 10)"))
-    return got.select("nb_id", "loops", "list_comp", "try_except", "with_blocks", F.least("max_nesting_depth", F.lit(1)).alias("deepest"))
+    return mining.complexity(code(spark, sf_dir)).select("nb_id", "loops", "list_comp", "try_except", "with_blocks", F.col("max_nesting_depth").alias("deepest"))
 
 
 # ------------------------------------------------------------------ symbols
