@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import ast
 from collections import defaultdict, deque
-from collections.abc import Callable
 from itertools import product
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
+from ..operators.shared import checkpoints
 
 
 class Relation(NamedTuple):
@@ -117,26 +117,6 @@ def relate(node: ast.AST, new: Names, found: list[Relation]) -> list[str | None]
     return outputs
 
 
-def merge_destructured(prs: list[Relation]) -> list[Relation]:
-    """The look-up of a method and the call of what it gives as one relation, with the method's owner as caller."""
-    called = {pr.op for pr in prs}
-    looked_up = {pr.output: pr.caller for pr in prs if pr.caller and {pr.op, pr.output} <= called and bare(pr.op) == bare(pr.output)}
-    rest = [pr for pr in prs if not (pr.caller and pr.output in looked_up)]
-    return [pr if pr.caller else pr._replace(caller=looked_up.get(pr.op)) for pr in rest]
-
-
-def repair_imports(prs: list[Relation], new: Callable[[], str]) -> list[Relation]:
-    """Names that from-imports bind get a node of their own, so that the graph stays bipartite."""
-    node = {pr.output: f"{pr.output}{new()}" for pr in prs if bare(pr.op) == "ImportFrom"}
-    out: list[Relation] = []
-    for pr in prs:
-        if bare(pr.op) == "ImportFrom":
-            out += [pr._replace(output=node[pr.output]), Relation(None, node[pr.output], pr.output, None)]
-        else:
-            out.append(pr._replace(caller=node.get(pr.caller, pr.caller)))
-    return out
-
-
 def drop_assignments(prs: list[Relation]) -> list[Relation]:
     """Assignments taken out: what made the value makes the variable, too; values without a name of their own go."""
     assigned = [pr for pr in prs if bare(pr.op) == "Assign" and not pr.caller]
@@ -154,11 +134,12 @@ def drop_assignments(prs: list[Relation]) -> list[Relation]:
 
 
 def relations(source: str) -> list[Relation]:
-    """The relations of a script, filtered."""
-    new, found = Names(), []
+    """The relations of a script as its syntax gives them, each once."""
+    found: list[Relation] = []
+    new = Names()
     for statement in ast.parse(source).body:
         relate(statement, new, found)
-    return drop_assignments(repair_imports(merge_destructured(list(dict.fromkeys(found))), new))
+    return list(dict.fromkeys(found))
 
 
 _PRS = "nb_id {kind}, pr_id long, input string, caller string, op string, output string"
@@ -166,6 +147,7 @@ _PRS = "nb_id {kind}, pr_id long, input string, caller string, op string, output
 
 def process_relations(scripts: DataFrame) -> DataFrame:
     """(nb_id, pr_id, input, caller, op, output) of scripts(nb_id, source); scripts that don't parse have none."""
+    checkpoints(scripts.sparkSession)
     kind = scripts.schema["nb_id"].dataType.simpleString()
 
     def run(batches):
@@ -180,7 +162,49 @@ def process_relations(scripts: DataFrame) -> DataFrame:
             types = [b.schema.field("nb_id").type, pa.int64(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["nb_id", "pr_id", "input", "caller", "op", "output"])
 
-    return scripts.select("nb_id", sanitize(F.col("source")).alias("source")).mapInArrow(run, _PRS.format(kind=kind))
+    def settled(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pr_id")
+        left = drop_assignments([Relation(*r) for r in zip(*(t[c].to_pylist() for c in Relation._fields), strict=True)])
+        nb = pa.array([t["nb_id"][0].as_py()] * len(left), t.schema.field("nb_id").type)
+        columns = [[r[k] for r in left] for k in range(4)]
+        return pa.table([nb, pa.array(range(len(left)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["nb_id", "pr_id", *Relation._fields])
+
+    read = scripts.select("nb_id", sanitize(F.col("source")).alias("source")).mapInArrow(run, _PRS.format(kind=kind)).checkpoint()  # read more than once
+    return own_imports(one_call(read)).groupBy("nb_id").applyInArrow(settled, _PRS.format(kind=kind))
+
+
+def _bare(name: str) -> Column:
+    return F.substring_index(name, ":", 1)
+
+
+def one_call(prs: DataFrame) -> DataFrame:
+    """A method's look-up and the call of what it gives as one relation: the call gets the owner, the look-up goes.
+
+    A look-up gives, under its own bare name, what is an operation elsewhere.
+    """
+    ops = prs.select("nb_id", F.col("op").alias("output")).distinct()
+    looks = prs.where(F.col("caller").isNotNull() & (_bare("op") == _bare("output"))).join(ops, ["nb_id", "output"], "left_semi")
+    owners = looks.groupBy("nb_id", "output").agg(F.min_by("caller", "pr_id").alias("owner"))
+    calls = prs.join(owners.withColumnRenamed("output", "op"), ["nb_id", "op"], "left")
+    calls = calls.withColumn("found", F.coalesce("caller", "owner")).join(owners.select("nb_id", "output", F.lit(True).alias("looked")), ["nb_id", "output"], "left")
+    return calls.where("caller is null or looked is null").select("nb_id", "pr_id", "input", F.col("found").alias("caller"), "op", "output")
+
+
+def own_imports(prs: DataFrame) -> DataFrame:
+    """What a from-import binds gets a node of its own, which is what later relations are called on; the bare name stays as an operation of that node.
+
+    So no name is an operation and a variable at once. A relation means the last import before it.
+    """
+    binds = _bare("op") == "ImportFrom"
+    name = F.when(binds, F.concat("output", F.lit(":idf"), F.col("pr_id").cast("string")))
+    before = Window.partitionBy("nb_id", "met").orderBy("pr_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = prs.withColumn("met", F.when(binds, F.col("output")).otherwise(F.col("caller"))).withColumn("own", F.last(name, ignorenulls=True).over(before))
+    null = F.lit(None).cast("string")
+    row = lambda place, i, c, o, out: F.struct(place.alias("pr_id"), i.alias("input"), c.alias("caller"), o.alias("op"), out.alias("output"))
+    at = F.col("pr_id") * 2
+    bound = F.array(row(at, F.col("input"), F.col("caller"), F.col("op"), name), row(at + 1, null, name, F.col("output"), null))
+    other = F.array(row(at, F.col("input"), F.coalesce("own", "caller"), F.col("op"), F.col("output")))
+    return met.select("nb_id", F.explode(F.when(binds, bound).otherwise(other)).alias("r")).select("nb_id", "r.*")
 
 
 def edges(prs: DataFrame) -> DataFrame:
