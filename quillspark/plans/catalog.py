@@ -155,8 +155,8 @@ w as (select distinct nb_id, cast(0 as bigint) as i, cast([] as varchar[][]) as
     list_append(l, coalesce(list_sort(list_distinct(flatten(list_transform(ps, lambda p: list_concat(l[p.j], case when p.lib is null then cast([] as varchar[]) else [p.lib] end))))), cast([] as varchar[])))
   from w join m on m.nb_id = w.nb_id and m.i = w.i + 1 left join ps on ps.nb_id = m.nb_id and ps.i = m.i)
 select m.nb_id, m.node_id, case when len(w.l[m.i]) > 0 then array_to_string(w.l[m.i], ', ') end as base_inputs, array_to_string(w.h[m.i], ';') as history from m join w on w.nb_id = m.nb_id and w.i = m.i"""
-_LISTED = F.array_join(F.transform("transform_history", lambda s: F.concat_ws(">", s["operation"], s["target_node"], s["transform_code"])), ";").alias("history")
-on_graph("graph_provenance", lambda n, e: graphs.provenance(n, e).select("nb_id", "node_id", "base_inputs", _LISTED), _HISTORY)
+_listed = lambda: F.array_join(F.transform("transform_history", lambda s: F.concat_ws(">", s["operation"], s["target_node"], s["transform_code"])), ";").alias("history")
+on_graph("graph_provenance", lambda n, e: graphs.provenance(n, e).select("nb_id", "node_id", "base_inputs", _listed()), _HISTORY)
 on_graph("graph_context", lambda n, e: graphs.context(n, e).select("nb_id", "node_id", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("inputs", "libraries", "outputs"))))
 
 # ----------------------------------------------------------------- features

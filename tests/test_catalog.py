@@ -15,6 +15,14 @@ def test_registry():
     assert len(entry.queries()) > 60
 
 
+def test_queries_are_named_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) > 60, said.stderr[-500:]
+
+
 def cells(rows):
     out = []
     for r in rows:
