@@ -158,8 +158,17 @@ def test_html(spark, folder):
     assert sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got if r["url"]) == [(1, "u", text, len(text)), (3, "v", "", 0)]
 
 
-def plain_shard(key, n, spark):
-    return spark.range(1).select(sharding.shard_of(queries.F.lit(key).cast("long"), n)).first()[0]
+def plain_shard(key, n, seed=0):
+    """The shard of the largest hash, by the xxhash library: each part is hashed with what came before as its seed."""
+    import xxhash
+
+    def mark(j):
+        h = 42
+        for part in (seed.to_bytes(4, "little"), j.to_bytes(4, "little"), *([] if key is None else [key.to_bytes(8, "little", signed=True)])):
+            h = xxhash.xxh64_intdigest(part, h)
+        return h - (h >> 63 << 64)
+
+    return max(range(n), key=lambda j: (mark(j), -j))
 
 
 def test_sharding(spark, folder):
@@ -169,8 +178,10 @@ def test_sharding(spark, folder):
     for k in range(16):
         own = [r["slot"] for r in got if r["shard"] == k]
         assert sorted(own) == list(range(len(own)))
-    for r in got[:3]:
-        assert r["shard"] == plain_shard(r["doc_id"], 16, spark)
+    assert all(r["shard"] == plain_shard(r["doc_id"], 16) and r["grown_shard"] == plain_shard(r["doc_id"], 17) for r in got)
+    keys = [None, -(2**63), 2**63 - 1, *range(-40, 40)]
+    put = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.shard_of(queries.F.col("k"), 16).alias("s")).collect()
+    assert all(r["s"] == plain_shard(r["k"], 16) for r in put)
 
 
 def test_decontamination(spark, folder):
