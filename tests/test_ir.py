@@ -103,3 +103,12 @@ def test_bad_cells(spark):
     assert {r.cell_id for r in build.parses(d).where("nb_id = 'n'").collect()} == {"c0"}
     tree = build.ast_nodes(d.where("nb_id = 'm'")).orderBy("node").collect()
     assert [(r.type, r.parent) for r in tree][:2] == [("Module", -1), ("Assign", 0)]
+
+
+def test_the_rest_of_a_mapping_pattern_is_bound():
+    import ast
+
+    from quillspark.ir import symbols
+
+    got = [(e.name, e.kind) for e in symbols.events(ast.parse("match x:\n case {'k': v, **rest}:\n  print(rest)"))]
+    assert got == [("x", None), ("v", "assign"), ("rest", "assign"), ("print", None), ("rest", None)]
