@@ -76,3 +76,32 @@ def shared_dir(spark: SparkSession) -> str:
         place = tempfile.mkdtemp(prefix="quillspark-")
     sc.setCheckpointDir(place)
     return place
+
+
+#: At most so many different rows are numbered copy by copy (16 MB of hashes), those with more copies than a 2^20th of the table, and FEW.
+NUMBERED, FEW = 1 << 20, 16
+#: Copies that one array holds while they are laid out.
+AT_ONCE = 4096
+
+
+def numbered(df: DataFrame, out: str = "__copy") -> DataFrame:
+    """df with `out`, a number from 1 that tells a row's copies apart where it has many, else 1.
+
+    Rows with many copies are counted and laid out again, AT_ONCE to a row that
+    is dealt on its own, so that neither the order of files nor one task decides.
+    """
+    shared_dir(df.sparkSession)
+    marked = df.withColumn("__equal", F.xxhash64(*df.columns))
+    many = max(FEW, df.count() // NUMBERED)
+    often = marked.groupBy("__equal").count().where(F.col("count") > many).select("__equal").checkpoint()
+    one = F.lit(1).cast("long")
+    if not often.count():
+        return df.withColumn(out, one)
+    # at most NUMBERED hashes, as each stands for a NUMBERED-th of the rows
+    rest = marked.join(F.broadcast(often), "__equal", "left_anti").withColumn(out, one)
+    counted = marked.join(F.broadcast(often), "__equal", "left_semi").groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / AT_ONCE))))
+    blocks = blocks.withColumn("__deal", F.xxhash64(*df.columns, "__block")).repartition("__deal")
+    first = F.col("__block") * AT_ONCE
+    copies = blocks.withColumn(out, F.explode(F.sequence(first + 1, F.least(first + AT_ONCE, F.col("__n")))))
+    return rest.select(*df.columns, out).unionByName(copies.select(*df.columns, out))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import let
+from .common import let, numbered
 
 #: A piece ends after a line break or a sentence's end; every paragraph ends in one line break.
 PIECE = r"(?<=\n|[.!?]\x20)"
@@ -118,7 +118,8 @@ def with_next(df: DataFrame, key: str, carry: list[str], out: str, tie: list[str
     Rows are dealt to about RANGES ranges of the key, so that rows move once; the
     first row of each range also goes to the range before. Null keys come
     first; rows of one key follow each other by a hash of the columns `tie` (the
-    carried ones), which also parts a key with more rows than a range holds.
+    carried ones), which also parts a key with more rows than a range holds. A
+    number of equal rows among `tie` parts those too.
     """
     low = -(2**63)
     level = F.coalesce(F.col(key).cast("long"), F.lit(low))
@@ -178,10 +179,15 @@ def range_of(level: Column, u: Column, cuts: list[int], step: int = 45) -> Colum
 
 
 def edited_with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of a table (doc_id, text)."""
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of a table (doc_id, text).
+
+    Rows of one id follow each other by a hash of their text and, where a row has
+    many copies, its number among them: the order of files doesn't matter, and
+    equal rows are in as many ranges as their share of the table.
+    """
+    t = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     t = fingerprints(t)
-    near = with_next(t, "doc_id", ["text", "fingerprint"], "next", tie=["text"])
+    near = with_next(t, "doc_id", ["text", "fingerprint"], "next", tie=["text", "__copy"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
     near = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fingerprint").alias("own_fp"), F.col("next.fingerprint").alias("next_fp"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), vector(e).alias("fp"))).alias("edited"))

@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import numbered, shared_dir
 
 #: Bytes of records that a bucket holds on average.
 BUCKET_BYTES = 4 << 20
-#: At most so many different rows are numbered copy by copy (16 MB of hashes), those with more copies than a 2^20th of the table, and FEW.
-NUMBERED, FEW = 1 << 20, 16
 
 
 def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
@@ -25,24 +23,6 @@ def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
     return (F.array_position(marks, F.array_max(marks)) - 1).cast("int")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with __copy, a number that tells a row's copies apart where it has many, else 1.
-
-    Rows with many copies are counted and laid out again, so that neither the
-    order of files nor one task decides.
-    """
-    marked = df.withColumn("__equal", F.xxhash64(*df.columns))
-    many = max(FEW, df.count() // NUMBERED)
-    often = marked.groupBy("__equal").count().where(F.col("count") > many).select("__equal").checkpoint()
-    one = F.lit(1).cast("long")
-    if not often.count():
-        return df.withColumn("__copy", one)
-    # at most NUMBERED hashes, as each stands for a NUMBERED-th of the rows
-    rest = marked.join(F.broadcast(often), "__equal", "left_anti").withColumn("__copy", one)
-    copies = marked.join(F.broadcast(often), "__equal", "left_semi").groupBy(*df.columns).agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(one, F.col("__n"))))
-    return rest.select(*df.columns, "__copy").unionByName(copies.select(*df.columns, "__copy"))
-
-
 def shard(df: DataFrame, key: str, shards: int = 16, text: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df with shard, bucket (within the shard) and slot, the record's place in its shard, gapless from 0.
 
@@ -56,7 +36,7 @@ def shard(df: DataFrame, key: str, shards: int = 16, text: str = "text", seed: i
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     weight = df.agg(F.sum(size).alias("b")).first()["b"] or 0
     buckets = max(1, -(-weight // (shards * bucket_bytes)))
-    rows = _numbered(df)
+    rows = numbered(df)
     # rows of one key or text are spread over buckets, as a bucket is drawn from the whole row and its number among its copies
     whole = F.xxhash64(F.lit(seed + 1), *df.columns, "__copy")
     at = [shard_of(F.col(key), shards, seed).alias("__shard"), F.pmod(whole, F.lit(buckets)).cast("int").alias("__bucket")]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import numbered, shared_dir
 from .fingerprint import RANGES, quantiles, range_of
 from .word_hash import _BASE, _BYTE, mixed
 
@@ -308,14 +308,14 @@ def _tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) -> DataFrame:
-    """(key, n, ids): ids as little-endian 16- or 32-bit numbers, the end id last; a null text counts as empty."""
+def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END, copy: str | None = None) -> DataFrame:
+    """(key, copy, n, ids): copy is a column of whole numbers that is handed on (0 if none is named); ids as little-endian 16- or 32-bit numbers, the end id last; a null text counts as empty."""
     wide = _wide(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            keys, numbers, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()).to_pylist()
             at = 0
             while at < len(texts):  # long texts: a few MB at a time
                 to, size = at, 0
@@ -327,10 +327,11 @@ def tokenized(df: DataFrame, key: str, text: str, path: str, end: int = END) ->
                 n = np.diff(ends, prepend=0) + 1
                 size, edges = int(wide[2]), np.cumsum(n)
                 blobs = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(np.concatenate([[0], edges * size]).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array(n, pa.int64()), blobs], names=["key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), numbers.slice(at, to - at), pa.array(n, pa.int64()), blobs], names=["key", "copy", "n", "ids"])
                 at = to
 
-    return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, ids binary")
+    number = (F.col(copy) if copy else F.lit(0)).cast("long").alias("copy")
+    return df.select(F.col(key).cast("long").alias("key"), number, text).mapInArrow(run, "key long, copy long, n long, ids binary")
 
 
 # ------------------------------------------------------------------- files
@@ -339,21 +340,22 @@ def write_files(df: DataFrame, key: str, text: str, path: str, out: str, end: in
     """Encode df's texts to token files at `out` and return the table of file images (range, file, first_key, tokens, image), in ascending key order.
 
     Null keys come first, null texts count as empty, rows of one key follow
-    each other by a hash of their ids, and columns other than the two are not
-    read; repeated rows are each written, and an empty table gives no file. The
-    ids go once to the shared folder, beside the counts that the codes need.
+    each other by a hash of their ids and, where a row has many copies, its
+    number among them, so that equal rows too are parted over ranges; columns
+    other than the two are not read; repeated rows are each written, and an
+    empty table gives no file. A key of -2^63 counts as null. The ids go once to the shared folder, beside the counts that the codes need.
     """
     spark = df.sparkSession
     wide = _wide(path)
     weight = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b")).first()["b"] or 0
     n = max(2, min(RANGES, weight // RANGE_BYTES))
     cuts = quantiles(df, key, n)
-    ids = tokenized(df, key, text, path, end)
-    ids = ids.withColumn("u", F.shiftrightunsigned(F.xxhash64("ids"), 33))
+    ids = tokenized(numbered(df.select(key, text)), key, text, path, end, copy="__copy")
+    ids = ids.withColumn("u", F.shiftrightunsigned(F.xxhash64("ids", "copy"), 33))
     ids = ids.withColumn("range", range_of(F.coalesce("key", F.lit(NULL_KEY)), F.col("u"), cuts))
     kept = f"{out}-ids"
     parts = max(1, min(len(cuts) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
-    ids.repartition(parts, "range").sortWithinPartitions("range", "key", "u", "ids").drop("u").write.option("compression", "zstd").mode("overwrite").parquet(kept)
+    ids.repartition(parts, "range").sortWithinPartitions("range", "key", "u", "ids").drop("u", "copy").write.option("compression", "zstd").mode("overwrite").parquet(kept)
     ids = spark.read.parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
