@@ -18,7 +18,7 @@ from .common import let, numbered
 #: A piece ends after a line break or a sentence's end; every paragraph ends in one line break.
 PIECE = r"(?<=\n|[.!?]\x20)"
 EQUAL = 2
-SEEDS = 2
+SEEDS = 3
 LANES = 1 << 32 | 1
 M62, M32 = (1 << 62) - 1, (1 << 32) - 1
 
