@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cells as C
-from ..operators import features, graphs, knowledge, leakage, lineage, metrics, mining, refine
+from ..operators import features, graphs, knowledge, leakage, lineage, metrics, mining, node_walks, refine
 from ..operators import trace as T
 from . import bindings as B
 from . import notebooks  # noqa: F401, registers its queries
@@ -189,6 +189,13 @@ select n.nb_id, n.node_id, coalesce(di.c, 0)::double / greatest(sz.n - 1, 1) as
 from nodes n join sz using (nb_id) join pr on pr.nb_id = n.nb_id and pr.node_id = n.node_id and pr.k = 30 left join tot on tot.nb_id = n.nb_id and tot.node_id = n.node_id left join tri on tri.nb_id = n.nb_id and tri.node_id = n.node_id left join di on di.nb_id = n.nb_id and di.node_id = n.node_id left join oo on oo.nb_id = n.nb_id and oo.node_id = n.node_id"""
 on_graph("feature_centrality", lambda n, e: features.centrality(n, e, rounds=30, tol=0, error=0.2).select("nb_id", "node_id", "in_degree", "out_degree", F.round("pagerank", 9).alias("pagerank"), F.round("clustering", 9).alias("clustering")), _CENTRAL)
 on_graph("feature_betweenness", lambda n, e: features.centrality(n, e).select("nb_id", "node_id", "betweenness"))
+_WALKS = """, nx as (select nb_id, src, dst, row_number() over (partition by nb_id, src order by dst) - 1 as i, count(*) over (partition by nb_id, src) as n from (select distinct nb_id, src, dst from edges)),
+w as (select nb_id, node_id as start, k as walk, 0 as step, node_id from nodes, (values (1), (2)) t(k) union all
+select w.nb_id, w.start, w.walk, w.step + 1, nx.dst from w join nx on w.nb_id = nx.nb_id and w.node_id = nx.src and nx.i = ('0x' || substr(md5(concat_ws('|', 42, w.nb_id, w.start, w.walk, w.step + 1, 0)), 1, 12))::bigint % nx.n where w.step < 5)"""
+on_graph("graph_walks", lambda n, e: node_walks.random_walks(n, e, 5, 2).withColumns({c: F.col(c).cast("long") for c in ("walk", "step")}), f"{_WALKS} select nb_id, start, cast(walk as bigint) as walk, cast(step as bigint) as step, node_id from w")
+on_graph("feature_walk_embedding", lambda n, e: node_walks.embed(node_walks.skip_grams(node_walks.random_walks(n, e, 5, 2), 2), 8).select("nb_id", "node_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")), f"""{_WALKS}, g as (select a.nb_id, a.node_id, b.node_id as context, count(*) as n from w a join w b on a.nb_id = b.nb_id and a.start = b.start and a.walk = b.walk and abs(a.step - b.step) between 1 and 2 group by 1, 2, 3),
+x as (select nb_id, node_id, context, greatest(0.0::double, ln(n * sum(n) over (partition by nb_id) / (sum(n) over (partition by nb_id, node_id)::double * sum(n) over (partition by nb_id, context)))) as x from g)
+select nb_id, node_id, dim, round(sum(x * case when ('0x' || substr(md5(concat_ws('|', 42, context, dim)), 1, 12))::bigint % 2 = 0 then 1 else -1 end) / sqrt(8), 6) as value from x, range(8) t(dim) group by 1, 2, 3""")
 on_graph("feature_supervised_fit", lambda n, e: n.where("struct_type = 9").select("nb_id", "node_id", features.supervised_fit(F.col("label"), F.col("code")).alias("supervised_fit")), "select nb_id, node_id, cast(event_id % 8 = 1 as int) as supervised_fit from nodes where struct_type = 9")
 on_graph("feature_encoding", lambda n, e: features.encode(n, e)[1].groupBy("nb_id", "relation").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")), ", p as (select nb_id, node_id, case when struct_type = 9 then 'operation' else 'variable' end as side, row_number() over (partition by nb_id, struct_type = 9 order by ord) - 1 as i from nodes), x as (select e.nb_id, s.side || '-' || d.side as rel, s.i as a, d.i as b from edges e join p s on s.nb_id = e.nb_id and s.node_id = e.src join p d on d.nb_id = e.nb_id and d.node_id = e.dst where s.side <> d.side) select nb_id, relation, count(*) as n, cast(sum(a) as bigint) as a, cast(sum(b) as bigint) as b from (select nb_id, rel as relation, a, b from x union all select nb_id, 'rev-' || rel, b, a from x) group by 1, 2")
 on_graph("feature_line_graph", lambda n, e: features.line_graph(e), "select x.nb_id, x.ord as a, y.ord as b from edges x join edges y on x.nb_id = y.nb_id and x.dst = y.src where x.ord <> y.ord")
