@@ -417,3 +417,26 @@ def mining_top_missing(spark, sf_dir):
     part = B.table(spark, sf_dir, "part")
     calls = B.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("library"), F.col("p_type").alias("api"))
     return mining.top_missing(calls, part.where("p_brand like '%1'").select(F.col("p_brand").alias("library"), F.col("p_type").alias("api")))
+
+
+# ----------------------------------------------------------------- payloads
+
+#: An event as a payload of elements: a node, an edge, what a user interface adds; some broken, some bare lists, some with malformed elements.
+PAYLOADS = """select event_id as nb_id, case when event_id % 13 = 0 then substr(p, 1, 40) when event_id % 17 = 0 then e when event_id % 19 = 0 then '{{"items":[]}}' else p end as payload from (select event_id, e, '{{"style":{{"zoom":2}},"elements":' || e || '}}' as p from (
+select event_id, '[{{"group":"nodes","position":{{"x":1.5,"y":[2,3]}},"data":{{"id":' || case when event_id % 7 = 0 then cast(event_id as string) else '"n' || cast(event_id as string) || '"' end || ',"label":"' || event_type || '","node_type":' || case when event_id % 11 = 0 then '"call"' else cast(event_id % 9 as string) end || ',"ui":' || props || '}}}},' ||
+case when event_id % 5 = 0 then '"note",' else '' end || case when event_id % 3 = 0 then '{{"data":{{"label":"no id"}}}},{{"data":[1]}},' else '' end ||
+'{{"data":{{"source":"n' || cast(event_id as string) || '"' || case when event_id % 4 = 0 then '' else ',"target":"u' || cast(user_id as string) || '"' end || ',"classes":"wide"}}}}]' as e from {events}) a) b"""
+
+
+@query(f"""with p as ({B.duck(PAYLOADS)}), j as (select nb_id, case when json_valid(payload) then payload::json end as v from p),
+l as (select nb_id, case when json_type(v) = 'ARRAY' then v when json_type(v, '$.elements') = 'ARRAY' then json_extract(v, '$.elements') end as es from j),
+x as (select nb_id, i as ord, json_extract(es, '$[' || i || ']') as e from l, range(json_array_length(es)::bigint) t(i) where es is not null),
+d as (select nb_id, ord, case when json_type(e, '$.data') = 'OBJECT' then json_extract(e, '$.data') end as d from x),
+k as (select nb_id, ord, d is not null as whole, d ->> '$.id' as id, d ->> '$.source' as source, d ->> '$.target' as target, d ->> '$.label' as label, try_cast(d ->> '$.node_type' as bigint) as node_type, d ->> '$.node_type' as t from d)
+select nb_id, ord, case when not whole then null when source is not null or target is not null then 'edge' else 'node' end as kind, id, source, target, label, node_type,
+case when not whole then 'element' when (source is null) <> (target is null) then 'end' when source is null and id is null then 'id' when node_type is null and t is not null then 'type' end as error from k
+union all select nb_id, null, null, null, null, null, null, null, 'payload' from l where es is null""")
+def source_elements(spark, sf_dir):
+    from ..sources.notebooks import checked_elements
+
+    return checked_elements(spark.sql(PAYLOADS, events=B.table(spark, sf_dir, "events")))

@@ -73,6 +73,29 @@ def elements(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, D
     return nodes, edges
 
 
+def checked_elements(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(nb_id, ord, kind, id, source, target, label, node_type, error) of graph payloads of any shape: a row for each element, malformed ones too.
+
+    A payload is a VARIANT, of which only the keys named here are taken; what
+    else a user interface keeps in an element (position, classes, nested data) is
+    never cast or carried. kind is 'edge' where there is a source or a target,
+    else 'node'; ids that are numbers count as text. Errors: 'payload' (null, not
+    JSON, or without a list of elements: one row, ord null), 'element' (not an
+    object, or without an object as data), 'id' (a node's), 'end' (an edge with one
+    end), 'type' (node_type is there and no whole number); a row with an error
+    keeps what could be read. A payload with an empty list has no row.
+    """
+    v = payloads.select("nb_id", F.try_parse_json(column).alias("v"))
+    many = F.coalesce(F.try_variant_get("v", "$.elements", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    good = v.select("nb_id", many.alias("es")).select("nb_id", F.posexplode(F.coalesce("es", F.array(F.lit(None).cast("variant")))).alias("ord", "e"), F.col("es").isNotNull().alias("listed"))
+    data = good.withColumn("d", F.try_variant_get("e", "$.data", "variant")).withColumn("d", F.when(F.schema_of_variant("d").startswith("OBJECT"), F.col("d")))
+    read = lambda key, kind: F.try_variant_get("d", f"$.{key}", kind).alias(key)
+    rows = data.select("nb_id", F.when(F.col("listed"), F.col("ord").cast("long")).alias("ord"), "listed", F.col("d").isNotNull().alias("whole"), *(read(k, "string") for k in ("id", "source", "target", "label")), read("node_type", "long"), F.try_variant_get("d", "$.node_type", "string").alias("__type"))
+    edge = F.col("source").isNotNull() | F.col("target").isNotNull()
+    error = F.when(~F.col("listed"), "payload").when(~F.col("whole"), "element").when(edge & (F.col("source").isNull() | F.col("target").isNull()), "end").when(~edge & F.col("id").isNull(), "id").when(F.col("node_type").isNull() & F.col("__type").isNotNull(), "type")
+    return rows.withColumn("kind", F.when(F.col("whole"), F.when(edge, "edge").otherwise("node"))).withColumn("error", error).select("nb_id", "ord", "kind", "id", "source", "target", "label", "node_type", "error")
+
+
 def _typed(ddl: str) -> str:
     return ", ".join(": ".join(f.strip().split(" ")) for f in ddl.split(","))
 

@@ -55,3 +55,23 @@ def test_corpora(spark):
     assert [r.nb_id for r in N.pending(nb("x", "y"), nb("x")).collect()] == ["y"]
     found = spark.createDataFrame([("r", "p"), ("r", "p"), ("r", "q")], "repo string, path string")
     assert N.registry(found).first().paths == ["p", "q"]
+
+
+def test_checked_elements(spark):
+    """Payloads of every shape: none is lost, and each fault has its name."""
+    from quillspark.sources.notebooks import checked_elements
+
+    whole = '{"zoom":1,"elements":[{"data":{"id":"a","label":"x","node_type":3,"id2":{"id":"no"}},"position":{"x":1}},{"data":{"id":7,"node_type":"call"}},{"data":{"source":"a","target":7}},{"data":{"source":"a"}},{"data":{}},{"data":[1]},"note",null,{"group":"nodes"}]}'
+    rows = [(1, whole), (2, '[{"data":{"id":"b"}}]'), (3, '{"elements":[]}'), (4, "{broken"), (5, None), (6, '{"elements":{"id":"a"}}'), (7, "3"), (8, "")]
+    got = checked_elements(spark.createDataFrame(rows, "nb_id long, payload string")).collect()
+    assert sorted(((r.nb_id, r.ord, r.kind, r.id, r.source, r.target, r.label, r.node_type, r.error) for r in got), key=lambda r: (r[0], r[1] or 0)) == [
+        (1, 0, "node", "a", None, None, "x", 3, None),
+        (1, 1, "node", "7", None, None, None, None, "type"),
+        (1, 2, "edge", None, "a", "7", None, None, None),
+        (1, 3, "edge", None, "a", None, None, None, "end"),
+        (1, 4, "node", None, None, None, None, None, "id"),
+        *((1, i, None, None, None, None, None, None, "element") for i in (5, 6, 7, 8)),
+        (2, 0, "node", "b", None, None, None, None, None),
+        *((i, None, None, None, None, None, None, None, "payload") for i in (4, 5, 6, 7, 8)),
+    ]
+    assert checked_elements(spark.createDataFrame([], "nb_id long, payload string")).count() == 0
