@@ -13,6 +13,18 @@ from .centrality import centrality  # noqa: F401, a feature like the others
 
 #: Groups of a feature vector in order, and their widths.
 GROUPS = [("code_emb", 300), ("api_emb", 300), ("lib_emb", 300), ("degree", 2), ("cell_pos", 1), ("neighbor", 2), ("lib_category", 6), ("lineage_struct", 10), ("semantic_anchor", 3), ("centrality", 5)]
+#: The names of the presets and their groups.
+PRESETS = {
+    "standard": "code_emb degree cell_pos neighbor lineage_struct",
+    "emb_rich": "code_emb api_emb lib_emb degree cell_pos neighbor lib_category lineage_struct semantic_anchor",
+    "all": "code_emb api_emb lib_emb degree cell_pos neighbor lib_category lineage_struct semantic_anchor centrality",
+    "emb_only": "code_emb",
+    "api_lib": "api_emb lib_emb",
+    "api29": "api_emb degree cell_pos neighbor lib_category lineage_struct semantic_anchor centrality",
+    "api24": "api_emb degree cell_pos neighbor lib_category lineage_struct semantic_anchor",
+    "struct_only": "degree cell_pos neighbor lineage_struct",
+}
+STANDARD = PRESETS["standard"].split()
 MODEL_APIS = "fit fit_predict predict predict_proba predict_log_proba score cross_val_score cross_validate evaluate partial_fit".split()
 
 
@@ -26,16 +38,11 @@ def layout(groups: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
-def groups_of(width: int) -> list[str] | None:
-    """The groups that make up a vector of this width, by presets."""
-    presets = {
-        "standard": ["code_emb", "degree", "cell_pos", "neighbor", "lib_category"],
-        "emb_only": ["code_emb"],
-    }
-    for names in presets.values():
-        if sum(w for n, w in GROUPS if n in names) == width:
-            return names
-    return None
+def groups_of(width: int) -> list[str]:
+    """The groups that make up a vector of this width: a preset's, or the standard ones as far as they go; standard for any other width."""
+    partial = [STANDARD[:n] for n in range(1, len(STANDARD))]
+    named = [n.split() for n in PRESETS.values()] + [["code_emb", "api_emb", "lib_emb"]] + partial
+    return next((n for n in named if sum(w for g, w in GROUPS if g in n) == width), STANDARD)
 
 
 def cell_positions(nodes: DataFrame) -> DataFrame:
@@ -133,6 +140,10 @@ def assignment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(lone.select(*(F.col(c).cast(t) for c, t in e.dtypes))).groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, node_id string, in_assign double")
 
 
+#: The structural features in order.
+STRUCTURE = "is_sink n_successor_ops is_source path_literal_input struct_loader from_data_source n_source_ancestors depth_from_source output_reuse in_assign".split()
+
+
 def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The ten structural features of each CALL node."""
     d = graphs.degrees(nodes, edges)
@@ -166,6 +177,53 @@ def embed(df: DataFrame, text: str, out: str, width: int = 300) -> DataFrame:
     return df.join(vec, df[text].eqNullSafe(vec["__t"]), "left").drop("__t")
 
 
+def assemble(nodes: DataFrame, edges: DataFrame, groups: list[str], embed_text=None) -> DataFrame:
+    """(nb_id, node_id, features array<double>) of each CALL node: the groups' figures at the places of `layout(groups)`.
+
+    Only the tables that a group needs are made. embed_text(df, text, out) embeds
+    the code, the API's name and `base_inputs` (empty where the nodes have no such
+    column); `embed` unless given. Unknown groups, and vectors that an embedder
+    makes in another width, are errors. A node whose cell is null stands in the
+    middle (0.5); a figure that a node lacks is 0; repeated nodes are an error of
+    the caller. No nodes give no rows.
+    """
+    unknown = set(groups) - {n for n, _ in GROUPS}
+    if unknown:
+        raise ValueError(f"no such feature groups: {sorted(unknown)}")
+    put, key = embed_text or embed, ["nb_id", "node_id"]
+    base = F.coalesce(F.col("base_inputs"), F.lit("")) if "base_inputs" in nodes.columns else F.lit("")
+    code = F.coalesce(F.nullif("code", F.lit("")), "label", F.lit(""))
+    text = {"code_emb": code, "api_emb": F.coalesce(api_name(F.col("label"), F.col("code")), F.lit("")), "lib_emb": base}
+    out = nodes.where("struct_type = 9").select(*key, "cell_id", "label", "code", base.alias("__base"), *(text[g].alias(f"__text_{g}") for g in text if g in groups))
+    for g in text:
+        if g in groups:
+            out = put(out, f"__text_{g}", g).drop(f"__text_{g}")
+    more = {
+        "degree": lambda: graphs.degrees(nodes, edges).select(*key, F.array("in_degree", "out_degree").alias("degree")),
+        "neighbor": lambda: neighbours(nodes, edges).select(*key, F.array("n_variables", "n_literals").alias("neighbor")),
+        "lineage_struct": lambda: structure(nodes, edges).select(*key, F.array(*STRUCTURE).alias("lineage_struct")),
+        "semantic_anchor": lambda: semantic_reach(nodes, edges).select(*key, F.array(F.col("from_load").cast("double"), F.col("to_model").cast("double")).alias("semantic_anchor")),
+        "centrality": lambda: centrality(nodes, edges).select(*key, F.array("in_degree", "out_degree", "betweenness", "pagerank", "clustering").alias("centrality")),
+    }
+    for g, make in more.items():
+        if g in groups:
+            out = out.join(make(), key, "left")
+    if "cell_pos" in groups:
+        at = cell_positions(nodes.where("cell_id is not null and cell_id <> ''"))
+        out = out.join(at, ["nb_id", "cell_id"], "left").withColumn("cell_pos", F.array(F.coalesce("position", F.lit(0.5))))
+    if "lib_category" in groups:
+        out = out.withColumn("lib_category", F.array(*families(F.concat_ws(" ", "__base", "label", "code"))))
+    if "semantic_anchor" in groups:
+        fit = F.coalesce(supervised_fit(F.col("label"), F.col("code")), F.lit(0)).cast("double")
+        out = out.withColumn("semantic_anchor", F.concat("semantic_anchor", F.array(fit)))
+    parts = []
+    for g, start, end in layout(groups):
+        part = F.transform(F.col(g).cast("array<double>"), lambda x: F.coalesce(x, F.lit(0.0)))
+        wrong = F.raise_error(F.concat(F.lit(f"{g} has to be {end - start} wide, not "), F.size(g).cast("string"))).cast("array<double>")
+        parts.append(F.when(F.col(g).isNull(), F.array_repeat(F.lit(0.0), end - start)).when(F.size(g) == end - start, part).otherwise(wrong))
+    return out.select(*key, (F.concat(*parts) if parts else F.array().cast("array<double>")).alias("features"))
+
+
 def zscore(df: DataFrame, vector: str, eps: float = 1e-8) -> DataFrame:
     """df with the vector's entries less their mean over their population deviation; deviations under eps count as 1.
 

@@ -162,20 +162,37 @@ on_graph("graph_context", lambda n, e: graphs.context(n, e).select("nb_id", "nod
 # ----------------------------------------------------------------- features
 
 on_graph("feature_cell_positions", lambda n, e: features.cell_positions(n), "select nb_id, cell_id, (row_number() over (partition by nb_id order by o, cell_id) - 1) / greatest(count(*) over (partition by nb_id) - 1, 1) as position from (select nb_id, cell_id, min(ord) as o from nodes group by 1, 2)")
-on_graph("feature_neighbours", features.neighbours, ", d as (select distinct nb_id, src, dst from edges) select n.nb_id, n.node_id, count(*) filter (where p.struct_type = 0) as n_variables, count(*) filter (where p.struct_type = 8) as n_literals, coalesce(bool_or(p.struct_type = 8 and regexp_matches(p.code, '\\.csv')), false) as path_literal from nodes n left join d on d.nb_id = n.nb_id and d.dst = n.node_id left join nodes p on p.nb_id = d.nb_id and p.node_id = d.src where n.struct_type = 9 group by 1, 2")
+_NEIGHBOURS = "select n.nb_id, n.node_id, count(*) filter (where p.struct_type = 0) as n_variables, count(*) filter (where p.struct_type = 8) as n_literals, coalesce(bool_or(p.struct_type = 8 and regexp_matches(p.code, '\\.csv')), false) as path_literal from nodes n left join d on d.nb_id = n.nb_id and d.dst = n.node_id left join nodes p on p.nb_id = d.nb_id and p.node_id = d.src where n.struct_type = 9 group by 1, 2"
+on_graph("feature_neighbours", features.neighbours, f", d as (select distinct nb_id, src, dst from edges) {_NEIGHBOURS}")
 _LOADERS = ", s as (select n.nb_id, n.node_id from nodes n join edges e on e.nb_id = n.nb_id and e.dst = n.node_id join nodes p on p.nb_id = e.nb_id and p.node_id = e.src where n.struct_type = 9 group by 1, 2 having bool_or(p.struct_type = 8 and contains(p.code, '.csv')) and not bool_or(p.struct_type = 0))"
+_HOPS = ", h as (select nb_id, node_id, cast(0 as bigint) as d from s union select h.nb_id, e.dst, h.d + 1 from h join edges e on e.nb_id = h.nb_id and e.src = h.node_id)"
+_SOURCES = "select n.nb_id, n.node_id, m.d is not null as from_source, (select count(*) from s join r on r.nb_id = s.nb_id and r.src = s.node_id where s.nb_id = n.nb_id and r.dst = n.node_id and r.src <> r.dst) as n_sources, coalesce(m.d, 0) as depth from nodes n left join (select nb_id, node_id, min(d) as d from h group by 1, 2) m on m.nb_id = n.nb_id and m.node_id = n.node_id"
+on_graph("feature_source_reach", features.source_reach, f"{_LOADERS}{_HOPS} {_SOURCES}")
+_ANCHORS = ", l as (select nb_id, node_id from nodes where struct_type = 9 and event_id % 8 = 0), m as (select nb_id, node_id from nodes where struct_type = 9 and event_id % 8 in (1, 2))"
+_SEMANTIC = "select n.nb_id, n.node_id, exists (select 1 from l where l.nb_id = n.nb_id and l.node_id = n.node_id) or exists (select 1 from r join l on l.nb_id = r.nb_id and l.node_id = r.src where r.nb_id = n.nb_id and r.dst = n.node_id) as from_load, exists (select 1 from m where m.nb_id = n.nb_id and m.node_id = n.node_id) or exists (select 1 from r join m on m.nb_id = r.nb_id and m.node_id = r.dst where r.nb_id = n.nb_id and r.src = n.node_id) as to_model from nodes n"
+on_graph("feature_semantic_reach", features.semantic_reach, f"{_ANCHORS} {_SEMANTIC}")
+_FAMILIES = "select nb_id, node_id, cast(event_id % 8 = 0 or label = 'pandas' or contains(label, 'csv') or event_id % 8 = 3 as int) as lib_data_io, 0 as lib_ml_classic, 0 as lib_deep_learning, cast(event_id % 8 = 6 as int) as lib_viz, 0 as lib_persistence, 0 as lib_sys_env from nodes"
+on_graph("feature_families", lambda n, e: n.select("nb_id", "node_id", *features.families(F.concat_ws(" ", "label", "code"))), _FAMILIES)
+#: No node is a sink by name in these graphs: a walk through CALL nodes meets a variable or nothing.
+_STRUCTURE = f"""{_LOADERS}{_HOPS}, src as ({_SOURCES}), d as (select distinct nb_id, src, dst from edges), nbr as ({_NEIGHBOURS}),
+tw as (select a.nb_id, a.src as node_id, count(*) as reuse, count(*) filter (where k.struct_type = 9) as ops from edges a join edges b on a.nb_id = b.nb_id and a.dst = b.src join nodes k on k.nb_id = b.nb_id and k.node_id = b.dst group by 1, 2),
+ca as (select e.nb_id, e.src as node_id, e.dst, k.struct_type from edges e join nodes c on c.nb_id = e.nb_id and c.node_id = e.src and c.struct_type = 9 join nodes k on k.nb_id = e.nb_id and k.node_id = e.dst
+  union select ca.nb_id, ca.node_id, e.dst, k.struct_type from ca join edges e on e.nb_id = ca.nb_id and e.src = ca.dst join nodes k on k.nb_id = e.nb_id and k.node_id = e.dst where ca.struct_type = 9),
+va as (select distinct nb_id, node_id from ca where struct_type = 0), oe as (select distinct nb_id, src as node_id from edges),
+st as (select nbr.nb_id, nbr.node_id, case when oe.node_id is null then 1.0::double else 0 end as is_sink, least(coalesce(ops, 0) / 5::double, 1) as n_successor_ops, case when n_variables = 0 then 1.0::double else 0 end as is_source, path_literal::int::double as path_literal_input,
+  case when n_variables = 0 and path_literal then 1.0::double else 0 end as struct_loader, from_source::int::double as from_data_source, least(n_sources / 3::double, 1) as n_source_ancestors, least(depth / 8::double, 1) as depth_from_source, least(coalesce(reuse, 0) / 5::double, 1) as output_reuse, case when va.node_id is null then 0.5::double else 1 end as in_assign
+  from nbr left join oe using (nb_id, node_id) left join tw using (nb_id, node_id) left join src using (nb_id, node_id) left join va using (nb_id, node_id))"""
+on_graph("feature_structure", features.structure, f"{_STRUCTURE} select * from st")
+_PLAIN = "degree cell_pos neighbor lib_category lineage_struct semantic_anchor".split()
 on_graph(
-    "feature_source_reach",
-    features.source_reach,
-    f"{_LOADERS}, h as (select nb_id, node_id, cast(0 as bigint) as d from s union select h.nb_id, e.dst, h.d + 1 from h join edges e on e.nb_id = h.nb_id and e.src = h.node_id) select n.nb_id, n.node_id, m.d is not null as from_source, (select count(*) from s join r on r.nb_id = s.nb_id and r.src = s.node_id where s.nb_id = n.nb_id and r.dst = n.node_id and r.src <> r.dst) as n_sources, coalesce(m.d, 0) as depth from nodes n left join (select nb_id, node_id, min(d) as d from h group by 1, 2) m on m.nb_id = n.nb_id and m.node_id = n.node_id",
+    "feature_vectors",
+    lambda n, e: features.assemble(n, e, _PLAIN).select("nb_id", "node_id", F.posexplode("features").alias("dim", "value")).select("nb_id", "node_id", F.col("dim").cast("long").alias("dim"), F.round("value", 9).alias("value")),
+    f"""{_STRUCTURE}{_ANCHORS}, se as ({_SEMANTIC}), fa as ({_FAMILIES}), cp as (select nb_id, cell_id, (row_number() over (partition by nb_id order by o, cell_id) - 1) / greatest(count(*) over (partition by nb_id) - 1, 1) as pos from (select nb_id, cell_id, min(ord) as o from nodes group by 1, 2)),
+ind as (select nb_id, dst as node_id, count(*) as n from edges group by 1, 2), outd as (select nb_id, src as node_id, count(*) as n from edges group by 1, 2),
+x as (select n.nb_id, n.node_id, [coalesce(ind.n, 0)::double, coalesce(outd.n, 0), cp.pos, nbr.n_variables, nbr.n_literals, fa.lib_data_io, fa.lib_ml_classic, fa.lib_deep_learning, fa.lib_viz, fa.lib_persistence, fa.lib_sys_env, {', '.join('st.' + c for c in features.STRUCTURE)}, se.from_load::int, se.to_model::int, (n.event_id % 8 = 1)::int] as v
+  from nodes n join nbr using (nb_id, node_id) join st using (nb_id, node_id) join fa using (nb_id, node_id) join se using (nb_id, node_id) join cp on cp.nb_id = n.nb_id and cp.cell_id = n.cell_id left join ind on ind.nb_id = n.nb_id and ind.node_id = n.node_id left join outd on outd.nb_id = n.nb_id and outd.node_id = n.node_id)
+select nb_id, node_id, unnest(range(24)) as dim, round(unnest(v), 9) as value from x""",
 )
-on_graph(
-    "feature_semantic_reach",
-    features.semantic_reach,
-    ", l as (select nb_id, node_id from nodes where struct_type = 9 and event_id % 8 = 0), m as (select nb_id, node_id from nodes where struct_type = 9 and event_id % 8 in (1, 2)) select n.nb_id, n.node_id, exists (select 1 from l where l.nb_id = n.nb_id and l.node_id = n.node_id) or exists (select 1 from r join l on l.nb_id = r.nb_id and l.node_id = r.src where r.nb_id = n.nb_id and r.dst = n.node_id) as from_load, exists (select 1 from m where m.nb_id = n.nb_id and m.node_id = n.node_id) or exists (select 1 from r join m on m.nb_id = r.nb_id and m.node_id = r.dst where r.nb_id = n.nb_id and r.src = n.node_id) as to_model from nodes n",
-)
-on_graph("feature_families", lambda n, e: n.select("nb_id", "node_id", *features.families(F.concat_ws(" ", "label", "code"))), "select nb_id, node_id, cast(event_id % 8 = 0 or label = 'pandas' or contains(label, 'csv') or event_id % 8 = 3 as int) as lib_data_io, 0 as lib_ml_classic, 0 as lib_deep_learning, cast(event_id % 8 = 6 as int) as lib_viz, 0 as lib_persistence, 0 as lib_sys_env from nodes")
-on_graph("feature_structure", features.structure)
 #: Thirty rounds of PageRank, each a row for every node; triangles of pairs by how many edges they have.
 _CENTRAL = """, d as (select distinct nb_id, src, dst from edges), sz as (select nb_id, count(*) as n from nodes group by 1), o as (select nb_id, src, count(*) as o from d group by 1, 2),
 t as (select d.nb_id, d.src, d.dst, 1.0::double / o.o as w from d join o using (nb_id, src) union all select nb_id, node_id, node_id, 0.0::double from nodes),
