@@ -224,6 +224,51 @@ def feature_zscore(spark, sf_dir):
     return features.zscore(e, "v").select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("x1"))
 
 
+@query(r"""with w as (select list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null),
+o as (select w[i] as word, unnest(w[i + 1:i + 5]) as context from (select w, unnest(range(1, len(w))) as i from w)), p as (select word, context, sum(n) as n from (select word, context, count(*) as n from o group by 1, 2 union all select context, word, count(*) from o group by 1, 2) group by 1, 2),
+m as (select word, sum(n) as a from p group by 1), x as (select p.word, context, ln(n::double * (select sum(n) from p) / (m.a::double * b.a)) as x from p join m on m.word = p.word join m b on b.word = p.context)
+select word, context, round(x, 6) as x from x where x > 0""")
+def feature_word_associations(spark, sf_dir):
+    from ..operators import subwords
+
+    return subwords.associations(subwords.pair_counts(B.table(spark, sf_dir, "documents"), "text")).withColumn("x", F.round("x", 6))
+
+
+@query()
+def feature_text_vectors(spark, sf_dir):
+    from ..operators import subwords
+
+    _checkpoints(docs := B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = subwords.train(docs, "text", 32, rounds=2).checkpoint()
+    return subwords.embed(docs, "text", "embedding", model, 32).select("doc_id", "embedding")
+
+
+#: A tree that asks for entry 1, then 2 on the left; on the right 3, then 1 again. Thresholds are means, values the labels' mean.
+_TREE = """with x as (select vec_id, label, cast(embedding[{i}] as double) as a, cast(embedding[{i1}] as double) as b, cast(embedding[{i2}] as double) as c from embeddings where label is not null and embedding[{i}] is not null and embedding[{i1}] is not null and embedding[{i2}] is not null),
+t as (select avg(a) as ta, avg(b) as tb, avg(c) as tc, avg(a) + stddev_pop(a) as ta2 from x),
+p as (select x.*, ta, tb, tc, ta2, case when a <= ta then 1 else 2 end as n1, case when a <= ta then case when b <= tb then 3 else 4 end else case when c <= tc then 5 else 6 end end as n2, case when a > ta and c > tc then case when a <= ta2 then 7 else 8 end end as n3 from x cross join t),
+ag as (select 0 as node, count(*) as n, avg(label) as v from p union all select n1, count(*), avg(label) from p group by n1 union all select n2, count(*), avg(label) from p group by n2 union all select n3, count(*), avg(label) from p where n3 is not null group by n3),
+tr as (select cast(0 as bigint) as tree, cast(ag.node as bigint) as node, case ag.node when 0 then 0 when 1 then 1 when 2 then 2 when 6 then 0 end as feature, case ag.node when 0 then ta when 1 then tb when 2 then tc when 6 then ta2 end as threshold,
+  cast(case ag.node when 0 then 1 when 1 then 3 when 2 then 5 when 6 then 7 end as bigint) as {left}, cast(case ag.node when 0 then 2 when 1 then 4 when 2 then 6 when 6 then 8 end as bigint) as {right}, cast(n as double) as cover, cast(v as double) as value from ag cross join t)"""
+_D_TREE = _TREE.replace("with x as", "with recursive x as").format(i=1, i1=2, i2=3, left="l", right="r")
+
+
+@query(f"""{_D_TREE}, s as (select s, s & 1 > 0 as s0, s & 2 > 0 as s1, s & 4 > 0 as s2 from range(8) q(s)),
+w as (select vec_id, a, b, c, s.*, cast(0 as bigint) as node, 1.0::double as w from x, s union all
+  select w.vec_id, w.a, w.b, w.c, w.s, w.s0, w.s1, w.s2, k.node, w.w * case when [w.s0, w.s1, w.s2][t.feature + 1] then 1 else k.cover / t.cover end from w join tr t on t.node = w.node join tr k on k.node in (t.l, t.r)
+  where not [w.s0, w.s1, w.s2][t.feature + 1] or (case when [w.a, w.b, w.c][t.feature + 1] <= t.threshold then t.l else t.r end) = k.node),
+g as (select vec_id, s, sum(w * value) as g from w join tr using (node) where tr.l is null group by 1, 2)
+select y.vec_id, i as dim, round(sum((y.g - z.g) * case bit_count(z.s::bigint) when 1 then 1 / 6::double else 1 / 3::double end), 9) as value from g y join range(3) d(i) on y.s & (1 << i) > 0 join g z on z.vec_id = y.vec_id and z.s = y.s - (1 << i) group by 1, 2""")
+def label_tree_attributions(spark, sf_dir):
+    from ..operators import attribution
+
+    e = B.table(spark, sf_dir, "embeddings")
+    text = _TREE.replace("from embeddings", "from {embeddings}").replace("{embeddings}", "\0").format(i=0, i1=1, i2=2, left="left", right="right").replace("\0", "{embeddings}")
+    leaves = attribution.leaf_paths(spark.sql(f"{text} select * from tr", embeddings=e))
+    x = spark.sql(f"{text} select vec_id, array(a, b, c) as features from x", embeddings=e)
+    return attribution.attribute(x, leaves).select("vec_id", F.posexplode("attributions").alias("dim", "value")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 9).alias("value"))
+
+
 # --------------------------------------------------------------- refinement
 
 def refined(name: str, rules: list, columns: list[str], sql: str | None = None) -> None:
