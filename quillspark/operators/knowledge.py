@@ -78,15 +78,24 @@ def look_up(asked: DataFrame, kb: DataFrame) -> DataFrame:
 
     The caller is matched strictly where some row of the library and module has it, else rows without caller stand.
     """
-    k = kb.select(*(F.col(c).alias(f"k_{c}") for c in ("library", "module", "caller", "api", "inputs", "outputs", "ord")))
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
-    both = asked.join(k, (F.col("library").isNull() | (none("k_library") == F.col("library"))) & (F.col("module").isNull() | (none("k_module") == F.col("module"))))
-    strict = F.max((F.col("caller").isNotNull() & (F.col("k_caller") == F.col("caller"))).cast("int")).over(Window.partitionBy("ask_id")) == 1
-    both = both.withColumn("__s", F.coalesce(strict, F.lit(False))).where(F.when(F.col("__s"), F.col("k_caller") == F.col("caller")).otherwise(F.col("k_caller").isNull()))
-    both = both.where(F.when(F.col("api").isNotNull(), none("k_api") == F.col("api")).otherwise(F.col("k_api").isNull()))
-    first = both.withColumn("__r", F.row_number().over(Window.partitionBy("ask_id").orderBy("k_ord"))).where("__r = 1")
+    # a row answers under its library or any, its module or any; without an api it answers the null api, too
+    either = lambda c: F.explode(F.array(none(c), F.lit(None).cast("string")))
+    api = F.explode(F.array_distinct(F.array(none("api"), F.col("api"))))
+    first = F.min(F.struct("ord", "inputs", "outputs"))
+    # one row of a key before it is copied
+    k = kb.groupBy("library", "module", "caller", "api").agg(first.alias("__f"))
+    k = k.select(either("library").alias("library"), "module", "caller", "api", "__f").select("library", either("module").alias("module"), "caller", "api", "__f")
+    k = k.select("library", "module", "caller", api.alias("api"), "__f").groupBy("library", "module", "caller", "api").agg(F.min("__f").alias("__f"))
+    # nulls are values of the key
+    key = lambda *cols: F.to_json(F.array(*cols))
+    callers = kb.where("caller is not null").select("library", "module", "caller").distinct()
+    callers = callers.select(either("library").alias("library"), "module", "caller").select("library", either("module").alias("module"), "caller")
+    callers = callers.select(key("library", "module", "caller").alias("__k")).distinct().withColumn("__s", F.lit(True))
+    a = asked.withColumn("__k", key("library", "module", "caller")).join(callers, "__k", "left").withColumn("__caller", F.when(F.col("__s"), F.col("caller"))).drop("__k", "__s")
+    a = a.withColumn("__k", key("library", "module", "__caller", "api")).drop("__caller").join(k.select(key("library", "module", "caller", "api").alias("__k"), "__f"), "__k", "left")
     empty = F.array().cast("array<string>")
-    return asked.join(first.select("ask_id", "k_inputs", "k_outputs"), "ask_id", "left").withColumn("inputs", F.coalesce("k_inputs", empty)).withColumn("outputs", F.coalesce("k_outputs", empty)).drop("k_inputs", "k_outputs")
+    return a.withColumn("inputs", F.coalesce("__f.inputs", empty)).withColumn("outputs", F.coalesce("__f.outputs", empty)).drop("__k", "__f")
 
 
 def back_query(asked: DataFrame, kb: DataFrame) -> DataFrame:
