@@ -167,7 +167,10 @@ _OWN = "select *, lag(cell_id) over w as before, lag(k) over w as bk from code w
 @query(f"{_WITH}, t as ({_OWN}) select nb_id, before as src_cell, cell_id as dst_cell, 'd' || p || ' ' || before || ' 1' as name from t where k in (1, 2, 3, 8) and (bk in (0, 1, 5) or (document_index = 1 and bk = 3))")
 def flow_cross_cells(spark, sf_dir):
     r, c = _records(spark, sf_dir), code(spark, sf_dir)
-    return C.cross_cell_index(build.nodes(r), build.edges(r), c).where("name rlike '^d[0-9]+ ' and edge_type in (0, 1)").select("nb_id", "src_cell", "dst_cell", "name")
+    found = C.cross_cell_index(build.nodes(r), build.edges(r), c).where("def_node rlike '^d[0-9]+_' and edge_type in (0, 1)")
+    # variable, cell and line: a label has the last two only where the cell's id is not of 8 characters
+    name = F.concat_ws(" ", F.substring_index("def_node", "_", 1), "src_cell", F.col("def_lineno").cast("string"))
+    return found.select("nb_id", "src_cell", "dst_cell", name.alias("name"))
 
 
 @query(f"{_WITH}, n as (select nb_id, not bool_or(k = 10) as success, cast(sum(case when k in (4, 6, 8, 9) then 2 else 1 end) as bigint) as lines_of_code, coalesce(array_to_string(list_sort(list(distinct 'lib' || f) filter (where k = 7 and f <> '1')), ','), '') as libraries from code group by 1) select nb_id, success, case when not success then 'SyntaxError' end as error_type, lines_of_code, false as contains_ml_semantics, libraries from n")
