@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
-from ..operators.shared import checkpoints
+from ..operators.shared import by_group, checkpoints, dealt
 
 
 class Relation(NamedTuple):
@@ -162,15 +162,12 @@ def process_relations(scripts: DataFrame) -> DataFrame:
             types = [b.schema.field("nb_id").type, pa.int64(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["nb_id", "pr_id", "input", "caller", "op", "output"])
 
-    def settled(t: pa.Table) -> pa.Table:
-        t = t.sort_by("pr_id")
-        left = drop_assignments([Relation(*r) for r in zip(*(t[c].to_pylist() for c in Relation._fields), strict=True)])
-        nb = pa.array([t["nb_id"][0].as_py()] * len(left), t.schema.field("nb_id").type)
-        columns = [[r[k] for r in left] for k in range(4)]
-        return pa.table([nb, pa.array(range(len(left)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["nb_id", "pr_id", *Relation._fields])
+    def settled(nb, rows):
+        return [(nb, k, *r) for k, r in enumerate(drop_assignments([Relation(*r[1:]) for r in rows]))]
 
-    read = scripts.select("nb_id", sanitize(F.col("source")).alias("source")).mapInArrow(run, _PRS.format(kind=kind)).checkpoint()  # read more than once
-    return own_imports(one_call(read)).groupBy("nb_id").applyInArrow(settled, _PRS.format(kind=kind))
+    read = dealt(scripts.select("nb_id", sanitize(F.col("source")).alias("source")), "nb_id").mapInArrow(run, _PRS.format(kind=kind)).checkpoint()  # read more than once
+    met = own_imports(one_call(read)).select("nb_id", "pr_id", *Relation._fields)
+    return by_group(met, "nb_id", ["pr_id"], settled, _PRS.format(kind=kind))
 
 
 def _bare(name: str) -> Column:
@@ -209,8 +206,10 @@ def own_imports(prs: DataFrame) -> DataFrame:
 
 def edges(prs: DataFrame) -> DataFrame:
     """(nb_id, src, dst, edge_type): inputs (1) and callers (0) into operations, operations into outputs (2)."""
-    one = lambda a, b, t: prs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("nb_id", F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("edge_type"))
-    return one("input", "op", 1).unionByName(one("caller", "op", 0)).unionByName(one("op", "output", 2)).distinct()
+    one = lambda a, b, t: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("edge_type"))
+    # the relations are made once for all three
+    every = prs.select("nb_id", F.explode(F.array(one("input", "op", 1), one("caller", "op", 0), one("op", "output", 2))).alias("e")).select("nb_id", "e.*")
+    return every.where("src is not null and dst is not null").distinct()
 
 
 def shared_names(prs: DataFrame) -> DataFrame:
@@ -324,14 +323,10 @@ def annotations(prs: DataFrame, kb: list[tuple]) -> DataFrame:
         fit = lambda k: all(o is None or o == x for o, x in zip(outputs, k[5], strict=False))
         return next((k[4] for k in kb if (k[3] or "") == api and fit(k)), [])
 
-    def per(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["pr_id"])
-        notes = annotate([(r["input"], r["caller"], r["op"], r["output"]) for r in rows], look_up, back_query)
-        out = [(rows[0]["nb_id"], n, a) for n, al in notes.items() for a in al]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.table([pa.array(cols[0], table.schema.field("nb_id").type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["nb_id", "name", "annotation"])
+    def per(nb, rows):
+        return [(nb, n, a) for n, al in annotate([r[1:] for r in rows], look_up, back_query).items() for a in al]
 
-    return prs.groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, name string, annotation string")
+    return by_group(prs.select("nb_id", "pr_id", *Relation._fields), "nb_id", ["pr_id"], per, f"nb_id {kind}, name string, annotation string")
 
 
 def node_types(notes: DataFrame) -> DataFrame:

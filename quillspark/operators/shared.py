@@ -1,11 +1,15 @@
-"""The folder that a cluster's driver and executors share, and ranks within groups of any size."""
+"""The folder that a cluster's driver and executors share, groups read in a row, and ranks within groups of any size."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -22,6 +26,49 @@ def checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(place)
 
 
+#: Rows that a batch of results has before it is sent on.
+BATCH = 10_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to a set number of tasks: rows that take long each are few bytes, by which Spark would put them into few tasks."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
+def by_group(df: DataFrame, key: str, order: list[str], fn: Callable[[object, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """fn(key, rows) -> rows of `schema` for each group of df, whose rows are its columns without the key, in order.
+
+    Groups follow each other in one stream of sorted rows, so that many small
+    ones cost little beside fn; one group at a time is held.
+    """
+    columns = [c for c in df.columns if c != key]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
+        for b in batches:
+            for k, *row in zip(b.column(key).to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+                if held and k != at:
+                    out.extend(fn(at, held))
+                    held = []
+                    if len(out) >= BATCH:
+                        yield made(out)
+                        out = []
+                at = k
+                held.append(tuple(row))
+        if held:
+            out.extend(fn(at, held))
+        yield made(out)
+
+    return dealt(df, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def hash_ranked(df: DataFrame, group: Column, key: str, seed: int, out: str) -> DataFrame:
     """df with each row's rank, from 0, within its group by a seeded hash of the key.
 
