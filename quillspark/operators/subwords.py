@@ -2,17 +2,19 @@
 
 Words are known by the words around them: counts of pairs, their positive mutual
 information, and that matrix's leading part by subspace iteration, where a round
-is one join and one grouped sum. A piece of a word (3 to 6 characters, and the whole
+multiplies blocks of the matrix by the vectors of their side and sums by word. A piece of a word (3 to 6 characters, and the whole
 word) has the mean of the vectors of the words that hold it; a text has the mean
 of its words, and a word, seen or not, that of its pieces.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -64,10 +66,95 @@ def associations(pairs: DataFrame, least: int = 1) -> DataFrame:
     return joined.select("word", "context", x.alias("x")).where("x > 0")
 
 
-def _times(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The matrix of pairs times the rows of vectors, summed on the map side first."""
-    v = vectors.select(F.col("word").alias("context"), array_to_vector("v").alias("v"))
-    return pairs.join(v, "context").groupBy("word").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("x"))).alias("v"))
+#: Words with so many neighbours and more are counted by pairs, so that no task holds all that is near a word.
+HOT = 1_000_000
+#: Places near words that a task counts, about, however long the texts are in all.
+PART = 4_000_000
+
+
+def text_associations(df: DataFrame, text: str, window: int = 5, least: int = 1, hot: int = HOT) -> DataFrame:
+    """associations(pair_counts(df, text, window), least), with the neighbours of a word in a row instead of a row for each pair.
+
+    What a word has near it is counted in its texts, so sums of pairs aren't
+    asked for; they travel with the words. A place of a text is one row that goes
+    to its word, and its pairs are made and counted there.
+    """
+    w = df.select(words(F.col(text)).alias("w")).where(F.size("w") > 1).withColumn("d", F.monotonically_increasing_id())
+    at = w.select("d", F.posexplode("w").alias("i", "word"), F.size("w").alias("k"))
+    near = F.least("i", F.lit(window)) + F.least(F.col("k") - 1 - F.col("i"), F.lit(window))
+    checkpoints(df.sparkSession)
+    margin = at.groupBy("word").agg(F.sum(near).alias("a")).checkpoint()
+    total = margin.agg(F.sum("a")).first()[0] or 0
+    told = at.select("d", "i", "word").join(margin, "word").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("i", "word", "a"))).alias("w"))
+    place = told.select(F.transform("w", lambda x: x["word"]).alias("w"), F.transform("w", lambda x: x["a"]).alias("s")).select("w", "s", F.posexplode("w").alias("i", "word"))
+    # slice counts from 1, so that i is the place before
+    around = lambda c: F.concat(F.slice(c, F.greatest(F.col("i") - window + 1, F.lit(1)), F.least("i", F.lit(window))), F.slice(c, F.col("i") + 2, F.lit(window)))
+    # words have no spaces: one text is shorter than an array
+    place = place.select("word", F.get("s", F.col("i")).alias("a"), F.array_join(around("w"), " ").alias("near"), around("s").alias("sums"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + total // PART
+    counted = None
+    for rows in (place.where(F.col("a") < hot).repartition(parts, "word"), place.where(F.col("a") >= hot)):
+        c = F.explode(F.arrays_zip(F.split("near", " ").alias("context"), F.col("sums").alias("b"))).alias("c")
+        pairs = rows.select("word", "a", c).select("word", "a", "c.context", "c.b")
+        pairs = pairs.groupBy("word", "context").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+        counted = pairs if counted is None else counted.unionByName(pairs)
+    x = F.log(F.col("n") * F.lit(float(total)) / (F.col("a").cast("double") * F.col("b")))
+    return counted.where(F.col("n") >= least).select("word", "context", x.alias("x")).where("x > 0")
+
+
+#: Pairs of a block of the table, and blocks a side at least.
+BLOCK, SIDES = 2_000_000, 4
+
+
+def _side(word: str, sides: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("side"), word), F.lit(sides)).cast("int")
+
+
+def _blocks(pairs: DataFrame, sides: int) -> DataFrame:
+    """(i, j, rows, columns, r, c, x): the table of pairs in sides x sides blocks by its words' hashes, each one row with its words and its entries' numbers, by r."""
+
+    def packed(t: pa.Table) -> pa.Table:
+        r, c = (t[k].combine_chunks().dictionary_encode() for k in ("word", "context"))
+        r, c = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (r, c))
+        n, m = r.indices.to_numpy().astype(np.int32), c.indices.to_numpy().astype(np.int32)
+        by = np.argsort(n, kind="stable")
+        parts = [n[by].tobytes(), m[by].tobytes(), t["x"].to_numpy()[by].astype(float).tobytes()]
+        lists = [pa.array([x.dictionary.to_pylist()], pa.list_(pa.string())) for x in (r, c)]
+        return pa.table([pa.array([t[k][0].as_py()], pa.int32()) for k in ("i", "j")] + lists + [pa.array([p], pa.binary()) for p in parts], names=["i", "j", "rows", "columns", "r", "c", "x"])
+
+    dealt = pairs.select(_side("word", sides).alias("i"), _side("context", sides).alias("j"), "word", "context", "x")
+    return dealt.groupBy("i", "j").applyInArrow(packed, "i int, j int, rows array<string>, columns array<string>, r binary, c binary, x binary")
+
+
+#: Entries of a block that are multiplied at once.
+STRETCH = 1 << 17
+
+
+def _times(blocks: DataFrame, vectors: DataFrame, sides: int) -> DataFrame:
+    """The matrix of pairs times the rows of vectors: a vector goes to the blocks of its side, not to each pair."""
+
+    def product(block: pa.Table, v: pa.Table) -> pa.Table:
+        schema = pa.schema([("word", pa.string()), ("v", pa.list_(pa.float64()))])
+        if not block.num_rows or not v.num_rows:
+            return schema.empty_table()
+        flat = v["v"].combine_chunks()
+        flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+        m = flat.flatten().to_numpy(zero_copy_only=False).reshape(v.num_rows, -1)
+        places = pc.index_in(pa.array(block["columns"][0].as_py(), pa.string()), value_set=v["word"].combine_chunks())
+        m = m[places.to_numpy(zero_copy_only=False).astype(np.int64)]
+        r, c, x = (np.frombuffer(block[k][0].as_py(), t) for k, t in (("r", np.int32), ("c", np.int32), ("x", float)))
+        names = block["rows"][0].as_py()
+        out = np.zeros((len(names), m.shape[1]))
+        for s in range(0, len(r), STRETCH):
+            own = r[s : s + STRETCH]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[first]] += np.add.reduceat(x[s : s + STRETCH, None] * m[c[s : s + STRETCH]], first, axis=0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
+        return pa.table([pa.array(names, pa.string()), lists], schema=schema)
+
+    told = vectors.select(_side("word", sides).alias("j"), "word", "v").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    made = blocks.groupBy("i", "j").cogroup(told.groupBy("i", "j")).applyInArrow(product, "word string, v array<double>")
+    return made.groupBy("word").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 
 def _gram(a: DataFrame, left: str, right: str, dims: int) -> np.ndarray:
@@ -115,16 +202,19 @@ def word_vectors(pairs: DataFrame, dims: int = 300, rounds: int = 3, seed: int =
     pairs, wide = pairs.select("word", "context", "x").checkpoint(), dims + SPARE
     sign = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: F.when(F.xxhash64(F.lit(seed), "word", i) % 2 == 0, 1.0).otherwise(-1.0))
     q = pairs.select("word").distinct().select("word", sign.alias("v"))
-    if pairs.isEmpty():
+    size = pairs.count()
+    if not size:
         return q
+    sides = max(SIDES, math.isqrt(size // BLOCK) + 1)
+    blocks = _blocks(pairs, sides).checkpoint()
     for _ in range(rounds):
-        made = _times(pairs, q).checkpoint()
+        made = _times(blocks, q, sides).checkpoint()
         q = _upright(made, wide).checkpoint()
     # the matrix within the subspace, and its own axes
-    image = _times(pairs, q).withColumnRenamed("v", "u")
-    size, axes = np.linalg.eigh(_gram(q.join(image, "word"), "v", "u", wide))
-    order = np.argsort(-np.abs(size), kind="stable")[:dims]
-    return _turned(q, axes[:, order] * np.sqrt(np.abs(size[order])))
+    image = _times(blocks, q, sides).withColumnRenamed("v", "u")
+    sizes, axes = np.linalg.eigh(_gram(q.join(image, "word"), "v", "u", wide))
+    order = np.argsort(-np.abs(sizes), kind="stable")[:dims]
+    return _turned(q, axes[:, order] * np.sqrt(np.abs(sizes[order])))
 
 
 def piece_vectors(vectors: DataFrame) -> DataFrame:
@@ -135,7 +225,7 @@ def piece_vectors(vectors: DataFrame) -> DataFrame:
 
 def train(df: DataFrame, text: str, dims: int = 300, window: int = 5, least: int = 1, rounds: int = 3, seed: int = 42) -> DataFrame:
     """The table of pieces (piece, v, n) of a corpus; write it to keep it."""
-    return piece_vectors(word_vectors(associations(pair_counts(df, text, window), least), dims, rounds, seed))
+    return piece_vectors(word_vectors(text_associations(df, text, window, least), dims, rounds, seed))
 
 
 def embed(df: DataFrame, text: str, out: str, model: DataFrame, dims: int = 300) -> DataFrame:

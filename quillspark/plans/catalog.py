@@ -231,7 +231,7 @@ select word, context, round(x, 6) as x from x where x > 0""")
 def feature_word_associations(spark, sf_dir):
     from ..operators import subwords
 
-    return subwords.associations(subwords.pair_counts(B.table(spark, sf_dir, "documents"), "text")).withColumn("x", F.round("x", 6))
+    return subwords.text_associations(B.table(spark, sf_dir, "documents"), "text").withColumn("x", F.round("x", 6))
 
 
 @query()

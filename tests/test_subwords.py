@@ -37,6 +37,33 @@ def test_counts_and_associations(spark):
     assert got == pytest.approx({k: x for k, x in pmi.items() if x > 0})
 
 
+def test_associations_of_texts_are_those_of_pairs(spark):
+    """A row for each place instead of each pair, for hot words too."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(n)) for n in (0, 1, 2, 3, 7, 40, 200)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    want = {(r["word"], r["context"]): r["x"] for r in S.associations(S.pair_counts(df, "t", 3), 2).collect()}
+    for hot in (10**6, 100, 0):
+        got = S.text_associations(df, "t", 3, 2, hot)
+        rows = got.collect()
+        assert len(rows) == len(want) and {(r["word"], r["context"]): r["x"] for r in rows} == pytest.approx(want)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert S.text_associations(df.limit(0), "t").count() == 0
+
+
+def test_vectors_go_to_blocks_not_to_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 7)
+    rng = random.Random(9)
+    rows = {(f"w{rng.randrange(30)}", f"w{rng.randrange(30)}"): rng.random() for _ in range(300)}
+    pairs = spark.createDataFrame([(a, b, x) for (a, b), x in rows.items()], "word string, context string, x double")
+    v = {f"w{i}": [rng.random(), rng.random()] for i in range(30)}
+    blocks = S._blocks(pairs, 3)
+    assert blocks.count() <= 9
+    got = {r["word"]: r["v"] for r in S._times(blocks, spark.createDataFrame(list(v.items()), "word string, v array<double>"), 3).collect()}
+    want = {a: [sum(x * v[c][k] for (b, c), x in rows.items() if b == a) for k in (0, 1)] for a in {a for a, _ in rows}}
+    assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a]) for a in want)
+
+
 def test_leading_part(spark):
     """Inner products of the vectors against those of numpy's decomposition, for any partitioning and with more dims than words."""
     rng = random.Random(6)
