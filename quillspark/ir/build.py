@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
+from ..operators.shared import by_group, dealt
 from .flow import Flow
 from .symbols import Symbols, file_access
 
@@ -23,30 +24,20 @@ def parse(cells: DataFrame, inline: bool = True, compare_hubs: str = "in_only",
     """
     kind = cells.schema["nb_id"].dataType.simpleString()
     schema = _REC.format(kind=kind)
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
-    def per(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["document_index"])
-        nb, flow, bad = rows[0]["nb_id"], Flow(inline, compare_hubs), None
-        for r in rows:
+    def per(nb, cells: list[tuple]) -> list[tuple]:
+        flow = Flow(inline, compare_hubs)
+        for _, cell_id, source in cells:
             try:
-                flow.cell_source(r["cell_id"], r["source"] or "")
+                flow.cell_source(cell_id, source or "")
             except (SyntaxError, ValueError, RecursionError) as e:
                 if not skip_bad:
-                    bad = f"{type(e).__name__}: {e}"
-                    break
-        out = []
-        if bad:
-            out.append(("error", nb, None, None, None, 0, None, None, None, None, r["cell_id"], None, None, None, None, bad))
-        else:
-            out += [("node", nb, n, None, None, i, d["struct_type"], d["label"], d["code"], None, d["cell_id"], *[None] * 4, None) for i, (n, d) in enumerate(flow.graph.nodes.items())]
-            out += [("edge", nb, s, t, f"{s}_{t}_{label}", i, d["edge_type"], label, d["raw_code"], d["count"], d["cell_id"], *d["pos"], None) for i, ((s, t, label), d) in enumerate(flow.graph.edges.items()) if s in flow.graph.nodes and t in flow.graph.nodes]
-        types = [pa.string(), table.schema.field("nb_id").type, *[pa.string()] * 3, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4, pa.string()]
-        cols = list(zip(*out, strict=True)) if out else [[]] * len(types)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    clean = cells.select("nb_id", "cell_id", "document_index", sanitize(F.col("source")).alias("source"))
-    return clean.groupBy("nb_id").applyInArrow(per, schema)
+                    return [("error", nb, None, None, None, 0, None, None, None, None, cell_id, None, None, None, None, f"{type(e).__name__}: {e}")]
+        out = [("node", nb, n, None, None, i, d["struct_type"], d["label"], d["code"], None, d["cell_id"], *[None] * 4, None) for i, (n, d) in enumerate(flow.graph.nodes.items())]
+        return out + [("edge", nb, s, t, f"{s}_{t}_{label}", i, d["edge_type"], label, d["raw_code"], d["count"], d["cell_id"], *d["pos"], None) for i, ((s, t, label), d) in enumerate(flow.graph.edges.items()) if s in flow.graph.nodes and t in flow.graph.nodes]
+
+    clean = cells.select("nb_id", "document_index", "cell_id", sanitize(F.col("source")).alias("source"))
+    return by_group(clean, "nb_id", ["document_index"], per, schema)
 
 
 def nodes(records: DataFrame) -> DataFrame:
@@ -73,7 +64,7 @@ def _map(cells: DataFrame, fields: str, of):
             data = list(zip(*rows, strict=True)) if rows else [[]] * (len(cols) + 2)
             yield pa.RecordBatch.from_arrays([pa.array(data[0], b.schema.field("nb_id").type), pa.array(data[1], pa.string()), *(pa.array(d, types[t]) for d, (_, t) in zip(data[2:], cols, strict=True))], names=["nb_id", "cell_id", *(c for c, _ in cols)])
 
-    return cells.select("nb_id", "cell_id", sanitize(F.col("source")).alias("source")).mapInArrow(run, f"nb_id {kind}, cell_id string, {fields}")
+    return dealt(cells.select("nb_id", "cell_id", sanitize(F.col("source")).alias("source")), "nb_id", "cell_id").mapInArrow(run, f"nb_id {kind}, cell_id string, {fields}")
 
 
 def symbols(cells: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
