@@ -34,7 +34,8 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by its keys to a set number of tasks: rows that take long each are few bytes, by which Spark would put them into few tasks."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, *keys)
+    # by a hash of its own: rows that lie by these keys already would not be dealt again
+    return df.repartition(parts, F.xxhash64(*keys))
 
 
 def by_group(df: DataFrame, key: str, order: list[str], fn: Callable[[object, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:

@@ -28,3 +28,11 @@ def test_parsing_is_dealt_to_set_tasks(spark):
         assert "REPARTITION_BY_NUM" in plan and "FlatMapGroups" not in plan
     assert [(r.nb_id, r.cell_id) for r in build.errors(build.parse(cells)).collect()] == [(1, "c5")]
     assert build.nodes(build.parse(cells, skip_bad=True)).where("struct_type = 9").count() == 39
+
+
+def test_rows_that_lie_by_their_key_are_dealt_too(spark):
+    """A window by the key has dealt the rows before, in tasks by their bytes."""
+    d = spark.range(100).selectExpr("id % 10 as nb_id", "row_number() over (partition by id % 10 order by id) as i")
+    plan = shared.by_group(d, "nb_id", ["i"], lambda k, rows: [(k, len(rows))], "nb_id long, n long")
+    assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in plan.collect()} == {(k, 10) for k in range(10)}
