@@ -92,8 +92,9 @@ def source_complexity(spark, sf_dir):
 # ------------------------------------------------------------------ symbols
 
 def _symbols(spark, sf_dir):
+    checkpoints(spark)
     c = code(spark, sf_dir)
-    return (c, *build.symbols(c))
+    return (c, *build.symbols(c, keep=True))  # parsed once for its three tables
 
 
 @query(f"{_WITH} select nb_id, cell_id, name, kind, lineno from defs")
