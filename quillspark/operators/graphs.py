@@ -6,27 +6,42 @@ per notebook after one shuffle on nb_id; the rest are joins on (nb_id, node).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .shared import dealt
 
 
 class _Graph:
-    """One notebook's edges (src, dst) and marked nodes (src, null) as numbers, each node with its successors."""
+    """The edges (src, dst) and marked nodes (src, null) of whole notebooks as numbers, each node with its successors; no edge leaves its notebook.
+
+    Nodes of one notebook follow each other; `bounds` has where each begins.
+    """
 
     def __init__(self, table: pa.Table, backwards: bool = False):
-        real = table.filter(pc.is_valid(table["dst"]))
-        seeds = table.filter(pc.is_null(table["dst"]))["src"]
-        every = pa.concat_arrays([c.cast(pa.string()) for x in (real["src"], real["dst"], seeds) for c in x.chunks] or [pa.array([], pa.string())]).dictionary_encode()
-        self.names, code = every.dictionary, every.indices.to_numpy()
-        m = real.num_rows
-        a, b = (code[m : 2 * m], code[:m]) if backwards else (code[:m], code[m : 2 * m])
-        self.n, self.seeds = len(self.names), np.unique(code[2 * m :])
-        by = np.argsort(a, kind="stable")
-        ends = np.searchsorted(a[by], np.arange(self.n + 1))
-        self.next = [np.unique(b[by[i:j]]).tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        marks = np.asarray(pc.is_null(table["dst"]))
+        own = pc.dictionary_encode(table["nb_id"].combine_chunks(), null_encoding="encode")
+        self.notebooks, nb = own.dictionary, own.indices.to_numpy().astype(np.int64)
+        src, dst = (table[c].combine_chunks().cast(pa.string()) for c in ("src", "dst"))
+        every = pa.concat_arrays([src, dst.filter(pa.array(~marks))]).dictionary_encode()
+        k = max(1, len(every.dictionary))
+        nodes, code = np.unique(np.concatenate([nb, nb[~marks]]) * k + every.indices.to_numpy(), return_inverse=True)
+        self.n, self.of = len(nodes), nodes // k
+        self.names = every.dictionary.take(pa.array(nodes % k))
+        self.bounds = np.searchsorted(self.of, np.arange(len(self.notebooks) + 1)).tolist()
+        self.seeds = np.unique(code[: len(marks)][marks])
+        a, b = code[: len(marks)][~marks], code[len(marks) :]
+        a, b = (b, a) if backwards else (a, b)
+        ways = np.unique(a * max(1, self.n) + b)
+        ends, to = np.searchsorted(ways // max(1, self.n), np.arange(self.n + 1)).tolist(), (ways % max(1, self.n)).tolist()
+        self.next = [to[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
     def walk(self, starts) -> list[int]:
         """The nodes that one edge or more leads to from any start, nearest first."""
@@ -38,6 +53,10 @@ class _Graph:
             todo += fresh
         return todo[len(starts) :]
 
+    def of_start(self) -> list[int]:
+        """Each node's number of the first node of its notebook."""
+        return np.asarray(self.bounds)[self.of].tolist()
+
     def ends_first(self) -> list[int]:
         """The nodes so that, cycles apart, each comes behind all that it leads to."""
         out, state = [], bytearray(self.n)
@@ -58,21 +77,48 @@ class _Graph:
         return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by nb_id in tables of whole notebooks, some to a table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("nb_id")
+        last = ids[-1]
+        # where the batch's last notebook begins
+        cut = (pc.index(ids, last) if last.is_valid else pc.index(pc.is_null(ids), True)).as_py()
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif held and held[0].column("nb_id")[0].as_py() != last.as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _per_notebook(edges: DataFrame, seeds: DataFrame | None, fn, schema: str, backwards: bool = False) -> DataFrame:
-    """fn(graph) -> columns of `schema`, node numbers for strings, for each notebook after one shuffle on its id."""
+    """fn(graph) -> columns of `schema`, node numbers for strings, of some whole notebooks at a time after one shuffle on their ids.
+
+    Notebooks follow each other in one stream of sorted rows: many small ones
+    are one graph of parts, and cost little beside fn; a large one stands alone.
+    """
     kind = edges.schema["nb_id"].dataType.simpleString()
     rows = edges.where("src is not null and dst is not null").select("nb_id", "src", "dst")
     if seeds is not None:
         rows = rows.unionByName(seeds.select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")))
-    names = ["nb_id", *(c.strip().split(" ")[0] for c in schema.split(","))]
+    arrow = to_arrow_schema(StructType.fromDDL(f"nb_id {kind}, {schema}"))
 
-    def per(table: pa.Table) -> pa.Table:
-        g = _Graph(table, backwards)
-        columns = [g.names.take(pa.array(c, pa.int64())) for c in fn(g)]
-        nb = pa.array([table["nb_id"][0].as_py()] * len(columns[0]), table.schema.field("nb_id").type)
-        return pa.table([nb, *columns], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            g = _Graph(table, backwards)
+            columns = [np.asarray(c, np.int64) for c in fn(g)]
+            made = [g.names.take(pa.array(c)) if pa.types.is_string(f.type) else pa.array(c).cast(f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
+            nb = g.notebooks.take(pa.array(g.of[columns[0]]))
+            yield pa.RecordBatch.from_arrays([nb.cast(arrow[0].type), *made], schema=arrow)
 
-    return rows.groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, {schema}")
+    return dealt(rows, "nb_id").sortWithinPartitions("nb_id").mapInArrow(run, f"nb_id {kind}, {schema}")
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -85,15 +131,16 @@ def closure(edges: DataFrame) -> DataFrame:
     def pairs(g: _Graph):
         sets = [0] * g.n
         order, moved = g.ends_first(), True
+        start = g.of_start()
         while moved:  # once, and again only for cycles
             moved = False
             for v in order:
-                new = sets[v]
+                new, low = sets[v], start[v]
                 for w in g.next[v]:
-                    new |= sets[w] | 1 << w
+                    new |= sets[w] | 1 << w - low
                 moved |= new != sets[v]
                 sets[v] = new
-        ends = [np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(g.n // 8 + 1, "little"), np.uint8), bitorder="little")) for x in sets]
+        ends = [low + np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(x.bit_length() // 8 + 1, "little"), np.uint8), bitorder="little")) for x, low in zip(sets, start, strict=True)]
         return np.repeat(np.arange(g.n), [len(e) for e in ends]), np.concatenate(ends) if ends else np.zeros(0, np.int64)
 
     return _per_notebook(edges, None, pairs, "src string, dst string")
@@ -114,12 +161,53 @@ def walks(edges: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFr
     return _per_notebook(edges, seeds, each, "seed string, node_id string", backwards)
 
 
-def closure_frontier(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """(nb_id, seed, node, depth) for graphs of any size: a frontier joined with the edges until it is empty or `depth` is reached.
+#: Edges of a notebook that is walked in one task; of larger ones the frontier is joined with the edges.
+LARGE = 1_000_000
 
-    Each round is written to the shared folder, so no lineage grows.
+
+def depths(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(nb_id, seed, node, depth): the least number of edges, `depth` at most, from each seed to what it reaches, itself included."""
+
+    def each(g: _Graph):
+        who, found, far = [], [], []
+        for s in g.seeds.tolist():
+            seen = {s: 0}
+            todo = [s]
+            for v in todo:
+                d = seen[v] + 1
+                if depth is not None and d > depth:
+                    break
+                for w in g.next[v]:
+                    if w not in seen:
+                        seen[w] = d
+                        todo.append(w)
+            who.append(len(seen))
+            found.extend(seen)
+            far.extend(seen.values())
+        return np.repeat(g.seeds, who), found, far
+
+    return _per_notebook(edges, seeds, each, "seed string, node string, depth int")
+
+
+def closure_frontier(edges: DataFrame, seeds: DataFrame, depth: int | None = None, large: int = LARGE) -> DataFrame:
+    """(nb_id, seed, node, depth) for graphs of any size.
+
+    Notebooks of up to `large` edges are walked in one pass, which moves each
+    edge once. In larger ones a frontier is joined with the edges until it is
+    empty or `depth` is reached; each round is written to the shared folder, so
+    no lineage grows.
     """
-    e = edges.select("nb_id", "src", "dst").distinct()
+    e = edges.select("nb_id", "src", "dst").where("src is not null and dst is not null").distinct().checkpoint()
+    own = seeds.select("nb_id", "node_id").distinct()
+    big = e.groupBy("nb_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("nb_id").checkpoint()
+    if big.isEmpty():
+        return depths(e, own, depth)
+    of = lambda df, how: df.join(big.withColumnRenamed("nb_id", "__b"), df["nb_id"].eqNullSafe(F.col("__b")), how)
+    return depths(of(e, "left_anti"), of(own, "left_anti"), depth).unionByName(_frontier(of(e, "left_semi").checkpoint(), of(own, "left_semi"), depth))
+
+
+def _frontier(e: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """closure_frontier() of distinct edges by rounds of joins."""
     front = seeds.select("nb_id", F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("depth"))
     seen, d = front, 0
     while depth is None or d < depth:

@@ -50,8 +50,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Events to a task where they lie by user.
+EVENTS = 100_000
+
+
+def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events, a user's in one task; tasks grow in number with the table, not in size: windows, edges and walks of a user sort their rows side by side there."""
+    ev = table(spark, sf_dir, "events")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-ev.count() // EVENTS))
+    return ev.repartition(parts, "user_id")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NODES, events=table(spark, sf_dir, "events"))
+    return spark.sql(NODES, events=by_user(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,7 @@ def feature_negative_edges(spark, sf_dir):
 
 @query(f"{B.D_GRAPH}, f as (select nb_id, node_id as seed, node_id as node, 0 as depth from nodes where struct_type = 1 union select f.nb_id, f.seed, e.dst, f.depth + 1 from f join edges e on e.nb_id = f.nb_id and e.src = f.node) select nb_id, seed, node, min(depth) as depth from f group by 1, 2, 3")
 def graph_frontier(spark, sf_dir):
-    """Depths from sign-ups on, by a frontier that is joined with the edges: the way for graphs without a bound on their size."""
+    """Depths from sign-ups on: the way for graphs without a bound on their size."""
     checkpoints(spark)
     n, e = B.graph(spark, sf_dir)
-    return graphs.closure_frontier(e.checkpoint(), n.where("struct_type = 1"))
+    return graphs.closure_frontier(e, n.where("struct_type = 1"))
