@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,33 +34,44 @@ class Sessions(StatefulProcessor):
         self.session = handle.getValueState("session", _SESSION)
         self.cells = handle.getMapState("cells", "cell_id string", _CELL)
 
-    def _closed(self, nb, no, events) -> tuple:
-        n = sum(1 for _ in self.cells.keys()) if events else 0
-        self.cells.clear()
+    def _closed(self, nb, no, events, n) -> tuple:
         return "closed", nb, None, None, no, None, None, events, n
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        no, kernel, count, most, last, at, events = self.session.get() if self.session.exists() else (0, None, 0, -1, -1, None, 0)
+        # each call to the store is a round trip: what is known is read once, what has changed is written once
+        known = self.session.get()
+        no, kernel, count, most, last, at, events = known or (0, None, 0, -1, -1, None, 0)
+        stored = {k[0]: (v[0], v[1]) for k, v in self.cells.iterator()} if events else {}
+        cells, kept = dict(stored), True
+        frames = list(rows)
+        d = (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values("seq", kind="stable")
+        times = (d["ts"].to_numpy().astype("datetime64[ns]").astype(np.int64) // 1_000_000).tolist()
+        counts = [0 if pd.isna(n) else int(n) for n in d["execution_count"].tolist()]
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
-            if r.seq <= last:
+        for seq, cell, index, n, new_kernel, restart, source, ms in zip(*(d[c].tolist() for c in ("seq", "cell_id", "document_index")), counts, *(d[c].tolist() for c in ("kernel_id", "restart", "source_hash")), times, strict=True):
+            if seq <= last:
                 continue
-            n, ms = 0 if pd.isna(r.execution_count) else int(r.execution_count), int(r.ts.value // 1_000_000)
-            if last >= 0 and (bool(r.restart) or r.kernel_id != kernel or (n == 1 and count > 1) or ms - at > self.idle or not events):
+            if last >= 0 and (bool(restart) or new_kernel != kernel or (n == 1 and count > 1) or ms - at > self.idle or not events):
                 if events:
-                    out.append(self._closed(key[0], no, events))
-                no, most, events = no + 1, -1, 0
-            cell = (r.cell_id,)
-            before = self.cells.getValue(cell) if self.cells.containsKey(cell) else None
-            kind = "first" if before is None else "identical" if before[0] == r.source_hash else "edited"
-            self.cells.updateValue(cell, (r.source_hash, 1 if before is None else before[1] + 1))
+                    out.append(self._closed(key[0], no, events, len(cells)))
+                no, most, events, cells, kept = no + 1, -1, 0, {}, False
+            before = cells.get(cell)
+            kind = "first" if before is None else "identical" if before[0] == source else "edited"
+            cells[cell] = (source, 1 if before is None else before[1] + 1)
             events += 1
-            out.append(("event", key[0], int(r.seq), r.cell_id, no, 0 <= r.document_index < most, kind, None, None))
-            kernel, count, most, last, at = r.kernel_id, n, max(most, int(r.document_index)), int(r.seq), ms
-        if at is not None:
+            out.append(("event", key[0], int(seq), cell, no, 0 <= index < most, kind, None, None))
+            kernel, count, most, last, at = new_kernel, n, max(most, int(index)), int(seq), ms
+        if out:
+            if stored and not kept:
+                self.cells.clear()
+            for cell, value in cells.items():
+                if not kept or stored.get(cell) != value:
+                    self.cells.updateValue((cell,), value)
             self.session.update((no, kernel, count, most, last, at, events))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+        if at is not None:
+            if known:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
             self.handle.registerTimer(at + self.idle)
         yield pd.DataFrame(out, columns=_NAMES)
 
@@ -71,7 +83,8 @@ class Sessions(StatefulProcessor):
                 self.session.clear()
                 self.cells.clear()
             elif events:
-                out.append(self._closed(key[0], no, events))
+                out.append(self._closed(key[0], no, events, sum(1 for _ in self.cells.keys())))
+                self.cells.clear()
                 # numbers go on, and repeats are still known, until the notebook is forgotten
                 self.session.update((no, kernel, count, -1, last, at, 0))
                 self.handle.registerTimer(at + self.forget)
