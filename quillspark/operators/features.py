@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..taxonomy import DATA_PATH, FAMILIES
 from . import graphs
 from .centrality import centrality  # noqa: F401, a feature like the others
+from .shared import by_group, checkpoints
 
 #: Groups of a feature vector in order, and their widths.
 GROUPS = [("code_emb", 300), ("api_emb", 300), ("lib_emb", 300), ("degree", 2), ("cell_pos", 1), ("neighbor", 2), ("lib_category", 6), ("lineage_struct", 10), ("semantic_anchor", 3), ("centrality", 5)]
@@ -111,14 +111,14 @@ def assignment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = graphs.with_ends(edges, nodes, "struct_type").select("nb_id", "src", "dst", "ord", "src_struct_type", "dst_struct_type")
     lone = nodes.where("struct_type = 9").select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0).cast("long").alias("ord"), F.lit(9).alias("src_struct_type"), F.lit(-1).alias("dst_struct_type"))
 
-    def per(table: pa.Table) -> pa.Table:
+    def per(nb, ways: list[tuple]) -> list[tuple]:
         out: dict = {}
         kinds: dict = {}
-        for r in sorted(table.to_pylist(), key=lambda r: r["ord"]):
-            kinds[r["src"]] = r["src_struct_type"]
-            if r["dst"] is not None:
-                kinds[r["dst"]] = r["dst_struct_type"]
-                out.setdefault(r["src"], []).append(r["dst"])
+        for src, dst, _, of_src, of_dst in ways:
+            kinds[src] = of_src
+            if dst is not None:
+                kinds[dst] = of_dst
+                out.setdefault(src, []).append(dst)
         rows = []
         for n in sorted(k for k, t in kinds.items() if t == 9):
             seen: set = set()
@@ -133,11 +133,10 @@ def assignment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     break
                 if kinds[s] == 9:
                     todo.extend(out.get(s, ()))
-            rows.append((n, verdict))
-        nb = pa.array([table["nb_id"][0].as_py()] * len(rows), table.schema.field("nb_id").type)
-        return pa.table([nb, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["nb_id", "node_id", "in_assign"])
+            rows.append((nb, n, verdict))
+        return rows
 
-    return e.unionByName(lone.select(*(F.col(c).cast(t) for c, t in e.dtypes))).groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, node_id string, in_assign double")
+    return by_group(e.unionByName(lone.select(*(F.col(c).cast(t) for c, t in e.dtypes))), "nb_id", ["ord"], per, f"nb_id {kind}, node_id string, in_assign double")
 
 
 #: The structural features in order.
@@ -191,6 +190,9 @@ def assemble(nodes: DataFrame, edges: DataFrame, groups: list[str], embed_text=N
     if unknown:
         raise ValueError(f"no such feature groups: {sorted(unknown)}")
     put, key = embed_text or embed, ["nb_id", "node_id"]
+    # each group reads them, some often
+    checkpoints(nodes.sparkSession)
+    nodes, edges = nodes.checkpoint(), edges.checkpoint()
     base = F.coalesce(F.col("base_inputs"), F.lit("")) if "base_inputs" in nodes.columns else F.lit("")
     code = F.coalesce(F.nullif("code", F.lit("")), "label", F.lit(""))
     text = {"code_emb": code, "api_emb": F.coalesce(api_name(F.col("label"), F.col("code")), F.lit("")), "lib_emb": base}

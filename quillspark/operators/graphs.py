@@ -222,34 +222,22 @@ def _frontier(e: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(nb_id, node_id, depth, n_seeds): least number of edges from any seed, and how many other seeds reach the node."""
-    kind = edges.schema["nb_id"].dataType.simpleString()
-    both = edges.select("nb_id", "src", "dst").unionByName(seeds.select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")))
 
-    def per(table: pa.Table) -> pa.Table:
-        start = [s for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True) if d is None]
-        real = table.filter(pc.is_valid(table["dst"]))
-        depth = dict.fromkeys(start, 0)
-        out: dict = {}
-        for a, b in zip(real["src"].to_pylist(), real["dst"].to_pylist(), strict=True):
-            out.setdefault(a, set()).add(b)
-        front = list(depth)
-        while front:
-            front = [b for a in front for b in sorted(out.get(a, ())) if b not in depth and not depth.update({b: depth[a] + 1})]
-        count: dict = {}
-        for s in set(start):
-            seen, todo = set(), [s]
-            while todo:
-                for b in out.get(todo.pop(), ()):
-                    if b not in seen:
-                        seen.add(b)
-                        todo.append(b)
-            for b in seen - {s}:
-                count[b] = count.get(b, 0) + 1
-        names = list(depth)
-        nb = pa.array([table["nb_id"][0].as_py()] * len(names), table.schema.field("nb_id").type)
-        return pa.table([nb, pa.array(names, pa.string()), pa.array([depth[x] for x in names], pa.int64()), pa.array([count.get(x, 0) for x in names], pa.int64())], names=["nb_id", "node_id", "depth", "n_seeds"])
-
-    return both.groupBy("nb_id").applyInArrow(per, f"nb_id {kind}, node_id string, depth long, n_seeds long")
+    def each(g: _Graph):
+        start = g.seeds.tolist()
+        far, count = dict.fromkeys(start, 0), dict.fromkeys(start, 0)
+        todo = list(start)
+        for v in todo:
+            for w in g.next[v]:
+                if w not in far:
+                    far[w], count[w] = far[v] + 1, 0
+                    todo.append(w)
+        for s in start:
+            for v in g.walk([s]):
+                count[v] += v != s
+        return list(far), list(far.values()), list(count.values())
+
+    return _per_notebook(edges, seeds, each, "node_id string, depth long, n_seeds long")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -78,10 +78,12 @@ def _ways(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nb_id, leakage_class, node, code, source_node), one row per class and node.
 
-    nodes need node_type, ord, code, label; edges edge_type and ord. The
-    hubs are written once to the shared folder, as all five detectors read
+    nodes need node_type, ord, code, label; edges edge_type and ord. These, and
+    the hubs, are written once to the shared folder, as all five detectors read
     them; each walks from its own seeds.
     """
+    nodes = nodes.select("nb_id", "node_id", "node_type", "ord", "code", "label").checkpoint()
+    edges = edges.select("nb_id", "src", "dst", "edge_type", "ord").checkpoint()
     h = hubs(nodes, edges).checkpoint()
     splits, fits, models, metrics = (h.where(c) for c in ("is_split", "is_fit", "is_train", "is_metric"))
     roles = split_outputs(nodes, edges, splits).checkpoint()

@@ -233,10 +233,10 @@ def write_back(state: DataFrame) -> DataFrame:
 def refine(nodes: DataFrame, edges: DataFrame, preset: str = "default") -> DataFrame:
     """The rules of a preset in order, then write-back.
 
-    Each rule's state is written to the shared folder, so that a plan of twelve
-    rules does not read its input many times over.
+    The edges and each rule's state are written to the shared folder, so that a
+    plan of twelve rules does not make its input many times over.
     """
-    state = begin(nodes)
+    state, edges = begin(nodes), edges.checkpoint()
     for rule in PRESETS[preset]:
         state = rule(state, edges).checkpoint()
     return write_back(state)
