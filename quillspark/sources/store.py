@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..operators.shared import dealt
+
 SCHEMA = "idx long, line long, name string, content string, error string"
 _ARROW = pa.schema([("idx", pa.int64()), ("line", pa.int64()), ("name", pa.string()), ("content", pa.string()), ("error", pa.string())])
 #: Places to a task; rows to a batch of Arrow; fixed value: file names that count where there is no registry.
@@ -63,8 +65,10 @@ class Places(InputPartition):
         self.start, self.chosen = start, chosen
 
 
-def _parted(every: list[str], start: int, end: int) -> list[Places]:
-    return [Places(a, every[a : min(a + TASK, end)]) for a in range(start, end, TASK)]
+def _parted(every: list[str], start: int, end: int, tasks: int = 1) -> list[Places]:
+    """Runs of TASK places, shorter ones where that makes fewer than `tasks`: a file can hold many notebooks."""
+    step = max(1, min(TASK, (end - start) // tasks))
+    return [Places(a, every[a : min(a + step, end)]) for a in range(start, end, step)]
 
 
 def _read(path: str, places: Places) -> Iterator[pa.RecordBatch]:
@@ -114,12 +118,12 @@ class NotebookStore(DataSource):
 class StoreReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.registry = options["path"], options.get("registry")
-        self.start, self.end = int(options.get("start", 0)), options.get("end")
+        self.start, self.end, self.tasks = int(options.get("start", 0)), options.get("end"), int(options.get("tasks", 1))
 
     def partitions(self) -> list[Places]:
         every = names(self.path, self.registry)
         end = len(every) if self.end is None else min(len(every), int(self.end))
-        return _parted(every, self.start, end) or [Places(0, [])]
+        return _parted(every, self.start, end, self.tasks) or [Places(0, [])]
 
     def read(self, partition: Places) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition)
@@ -145,7 +149,7 @@ class StoreStream(DataSourceStreamReader):
 def load(spark: SparkSession, path: str, registry: str | None = None, start: int = 0, end: int | None = None) -> DataFrame:
     """(idx, line, name, content, error) of the places from start to end."""
     spark.dataSource.register(NotebookStore)
-    options = {"start": str(start)} | ({"registry": registry} if registry else {}) | ({"end": str(end)} if end is not None else {})
+    options = {"start": str(start), "tasks": str(spark.sparkContext.defaultParallelism)} | ({"registry": registry} if registry else {}) | ({"end": str(end)} if end is not None else {})
     return spark.read.format("notebook_store").options(**options).load(path)
 
 
@@ -166,7 +170,8 @@ def add(cells: DataFrame, path: str, part: int) -> None:
     every = F.transform(F.array_sort(F.collect_list(F.struct("document_index", cell.alias("cell")))), lambda x: x["cell"])
     notebook = F.to_json(F.struct(F.col("nb_id").cast("string").alias("name"), "cells"))
     spark, made = cells.sparkSession, f"{path}/_made-{uuid.uuid4().hex}"
-    cells.groupBy("nb_id").agg(every.alias("cells")).select(notebook.alias("value")).write.text(made)
+    # in files enough to be read side by side
+    dealt(cells.groupBy("nb_id").agg(every.alias("cells")), "nb_id").select(notebook.alias("value")).write.text(made)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop(f"{path}/part-{part:06d}"))
