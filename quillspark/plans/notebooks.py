@@ -214,7 +214,7 @@ def mining_ledger(spark, sf_dir):
     path, size = _store(spark, sf_dir)
     book = ledger.Ledger(spark, f"{path}-ledger")
     judge = lambda notebooks: ledger.entries(notebooks, ["LIB0", "lib2", "numpy"])
-    ledger.mine(lambda a, b: store.load(spark, path, start=a, end=b), size, judge, book, step=max(1, -(-size // 3)))
+    ledger.mine(lambda a, b: store.load(spark, path, start=a, end=b, tasks=spark.sparkContext.defaultParallelism), size, judge, book, step=max(1, -(-size // 3)))
     return book.rows().groupBy("success", "error_type", "loc", "ml_semantics", F.array_join("matched_libraries", ",").alias("libraries")).agg(F.count("*").alias("notebooks"))
 
 

@@ -146,10 +146,10 @@ class StoreStream(DataSourceStreamReader):
         return _read(self.path, partition)
 
 
-def load(spark: SparkSession, path: str, registry: str | None = None, start: int = 0, end: int | None = None) -> DataFrame:
-    """(idx, line, name, content, error) of the places from start to end."""
+def load(spark: SparkSession, path: str, registry: str | None = None, start: int = 0, end: int | None = None, tasks: int = 1) -> DataFrame:
+    """(idx, line, name, content, error) of the places from start to end, in `tasks` tasks at least where there are as many places."""
     spark.dataSource.register(NotebookStore)
-    options = {"start": str(start), "tasks": str(spark.sparkContext.defaultParallelism)} | ({"registry": registry} if registry else {}) | ({"end": str(end)} if end is not None else {})
+    options = {"start": str(start), "tasks": str(tasks)} | ({"registry": registry} if registry else {}) | ({"end": str(end)} if end is not None else {})
     return spark.read.format("notebook_store").options(**options).load(path)
 
 
