@@ -210,7 +210,7 @@ _WALKS = """, nx as (select nb_id, src, dst, row_number() over (partition by nb_
 w as (select nb_id, node_id as start, k as walk, 0 as step, node_id from nodes, (values (1), (2)) t(k) union all
 select w.nb_id, w.start, w.walk, w.step + 1, nx.dst from w join nx on w.nb_id = nx.nb_id and w.node_id = nx.src and nx.i = ('0x' || substr(md5(concat_ws('|', 42, w.nb_id, w.start, w.walk, w.step + 1, 0)), 1, 12))::bigint % nx.n where w.step < 5)"""
 on_graph("graph_walks", lambda n, e: node_walks.random_walks(n, e, 5, 2).withColumns({c: F.col(c).cast("long") for c in ("walk", "step")}), f"{_WALKS} select nb_id, start, cast(walk as bigint) as walk, cast(step as bigint) as step, node_id from w")
-on_graph("feature_walk_embedding", lambda n, e: node_walks.embed(node_walks.skip_grams(node_walks.random_walks(n, e, 5, 2), 2), 8).select("nb_id", "node_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")), f"""{_WALKS}, g as (select a.nb_id, a.node_id, b.node_id as context, count(*) as n from w a join w b on a.nb_id = b.nb_id and a.start = b.start and a.walk = b.walk and abs(a.step - b.step) between 1 and 2 group by 1, 2, 3),
+on_graph("feature_walk_embedding", lambda n, e: node_walks.embed(node_walks.path_grams(node_walks.walk_paths(n, e, 5, 2), 2), 8).select("nb_id", "node_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")), f"""{_WALKS}, g as (select a.nb_id, a.node_id, b.node_id as context, count(*) as n from w a join w b on a.nb_id = b.nb_id and a.start = b.start and a.walk = b.walk and abs(a.step - b.step) between 1 and 2 group by 1, 2, 3),
 x as (select nb_id, node_id, context, greatest(0.0::double, ln(n * sum(n) over (partition by nb_id) / (sum(n) over (partition by nb_id, node_id)::double * sum(n) over (partition by nb_id, context)))) as x from g)
 select nb_id, node_id, dim, round(sum(x * case when ('0x' || substr(md5(concat_ws('|', 42, context, dim)), 1, 12))::bigint % 2 = 0 then 1 else -1 end) / sqrt(8), 6) as value from x, range(8) t(dim) group by 1, 2, 3""")
 on_graph("feature_supervised_fit", lambda n, e: n.where("struct_type = 9").select("nb_id", "node_id", features.supervised_fit(F.col("label"), F.col("code")).alias("supervised_fit")), "select nb_id, node_id, cast(event_id % 8 = 1 as int) as supervised_fit from nodes where struct_type = 9")

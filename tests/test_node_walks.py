@@ -71,3 +71,31 @@ def test_neighbours_are_nearer_than_strangers(spark):
     same = [near(a, b) for a in got for b in got if a < b and a[0] == b[0]]
     other = [near(a, b) for a in got for b in got if a < b and a[0] != b[0]]
     assert len(got) == 24 and np.mean(same) > np.mean(other) + 0.3
+
+
+def test_grams_of_paths_and_their_projection(spark):
+    """Pairs counted in one direction and signs made for each context give what plain loops over both directions and all dims do."""
+    rng = random.Random(11)
+    paths = [(nb, f"n{i}", w, [f"n{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))]) for nb in (1, 2) for i in range(9) for w in (1, 2)]
+    n = Counter((nb, path[i], path[j]) for nb, _, _, path in paths for i in range(len(path)) for j in range(len(path)) if 1 <= abs(i - j) <= 2)
+    of = spark.createDataFrame(paths, "nb_id long, start string, walk int, path array<string>")
+    grams = W.path_grams(of, 2)
+    assert {(r.nb_id, r.node_id, r.context): r.n for r in grams.collect()} == n and grams.count() == len(n)
+    rows = of.selectExpr("nb_id", "start", "walk", "posexplode(path) as (step, node_id)")
+    assert Counter(map(tuple, W.skip_grams(rows.repartition(3), 2).collect())) == Counter((*k, v) for k, v in n.items())
+    dims = 65  # more signs than one number has
+    total, left, right = Counter(), Counter(), Counter()
+    for (nb, a, b), c in n.items():
+        total[nb] += c
+        left[nb, a] += c
+        right[nb, b] += c
+    expected = defaultdict(float)
+    for (nb, a, b), c in n.items():
+        for d in range(dims):
+            expected[nb, a, d] += max(0.0, np.log(c * total[nb] / (left[nb, a] * right[nb, b]))) * (1 if plain_draw(42, b, d) % 2 == 0 else -1) / np.sqrt(dims)
+    made = W.embed(grams, dims)
+    got = {(r.nb_id, r.node_id, r.dim): r.value for r in made.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    # a pair is no row for each dim: dims are told apart behind the sums
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Aggregate")
