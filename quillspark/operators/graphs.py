@@ -20,35 +20,45 @@ from .shared import dealt
 
 
 class _Graph:
-    """The edges (src, dst) and marked nodes (src, null) of whole notebooks as numbers, each node with its successors; no edge leaves its notebook.
+    """The edges (src, dst), marked nodes (src, null) and goals (null, dst) of whole notebooks as numbers, each node with its successors; no edge leaves its notebook.
 
     Nodes of one notebook follow each other; `bounds` has where each begins.
     """
 
     def __init__(self, table: pa.Table, backwards: bool = False):
-        marks = np.asarray(pc.is_null(table["dst"]))
+        marks, goals = (np.asarray(pc.is_null(table[c])) for c in ("dst", "src"))
         own = pc.dictionary_encode(table["nb_id"].combine_chunks(), null_encoding="encode")
         self.notebooks, nb = own.dictionary, own.indices.to_numpy().astype(np.int64)
         src, dst = (table[c].combine_chunks().cast(pa.string()) for c in ("src", "dst"))
-        every = pa.concat_arrays([src, dst.filter(pa.array(~marks))]).dictionary_encode()
+        every = pa.concat_arrays([src.filter(pa.array(~goals)), dst.filter(pa.array(~marks))]).dictionary_encode()
         k = max(1, len(every.dictionary))
-        nodes, code = np.unique(np.concatenate([nb, nb[~marks]]) * k + every.indices.to_numpy(), return_inverse=True)
+        nodes, code = np.unique(np.concatenate([nb[~goals], nb[~marks]]) * k + every.indices.to_numpy(), return_inverse=True)
         self.n, self.of = len(nodes), nodes // k
         self.names = every.dictionary.take(pa.array(nodes % k))
         self.bounds = np.searchsorted(self.of, np.arange(len(self.notebooks) + 1)).tolist()
-        self.seeds = np.unique(code[: len(marks)][marks])
-        a, b = code[: len(marks)][~marks], code[len(marks) :]
+        first, second = code[: np.count_nonzero(~goals)], code[np.count_nonzero(~goals) :]
+        self.seeds, self.goals = np.unique(first[marks[~goals]]), set(second[goals[~marks]].tolist())
+        a, b = first[~marks[~goals]], second[~goals[~marks]]
         a, b = (b, a) if backwards else (a, b)
         ways = np.unique(a * max(1, self.n) + b)
         ends, to = np.searchsorted(ways // max(1, self.n), np.arange(self.n + 1)).tolist(), (ways % max(1, self.n)).tolist()
         self.next = [to[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
-    def walk(self, starts) -> list[int]:
-        """The nodes that one edge or more leads to from any start, nearest first."""
+    def before(self) -> list[list[int]]:
+        """Each node's predecessors."""
+        out: list[list[int]] = [[] for _ in range(self.n)]
+        for v, ends in enumerate(self.next):
+            for w in ends:
+                out[w].append(v)
+        return out
+
+    def walk(self, starts, ways: list[list[int]] | None = None) -> list[int]:
+        """The nodes that one edge or more leads to from any start, nearest first; by other ways than successors if given."""
+        ways = self.next if ways is None else ways
         seen: set[int] = set()
         todo = list(starts)
         for v in todo:
-            fresh = [w for w in self.next[v] if w not in seen]
+            fresh = [w for w in ways[v] if w not in seen]
             seen.update(fresh)
             todo += fresh
         return todo[len(starts) :]
@@ -98,7 +108,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _per_notebook(edges: DataFrame, seeds: DataFrame | None, fn, schema: str, backwards: bool = False) -> DataFrame:
+def _per_notebook(edges: DataFrame, seeds: DataFrame | None, fn, schema: str, backwards: bool = False, goals: DataFrame | None = None) -> DataFrame:
     """fn(graph) -> columns of `schema`, node numbers for strings, of some whole notebooks at a time after one shuffle on their ids.
 
     Notebooks follow each other in one stream of sorted rows: many small ones
@@ -108,6 +118,8 @@ def _per_notebook(edges: DataFrame, seeds: DataFrame | None, fn, schema: str, ba
     rows = edges.where("src is not null and dst is not null").select("nb_id", "src", "dst")
     if seeds is not None:
         rows = rows.unionByName(seeds.select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")))
+    if goals is not None:
+        rows = rows.unionByName(goals.where("node_id is not null").select("nb_id", F.lit(None).cast("string").alias("src"), F.col("node_id").alias("dst")))
     arrow = to_arrow_schema(StructType.fromDDL(f"nb_id {kind}, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +359,7 @@ def prune(nodes: DataFrame, edges: DataFrame, protected: tuple[int, ...]) -> Dat
     keep = nodes.where(F.col("struct_type").isin(*protected)).select("nb_id", "node_id")
 
     def staying(g: _Graph):
-        before: list[list[int]] = [[] for _ in range(g.n)]
-        for v, ends in enumerate(g.next):
-            for w in ends:
-                before[w].append(v)
+        before = g.before()
         open_ends, kept = [len(e) for e in g.next], set(g.seeds.tolist())
         todo = [v for v in range(g.n) if not open_ends[v] and v not in kept]
         taken = set(todo)
@@ -379,8 +388,14 @@ def ego(edges: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
 
 def around_variable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(nb_id, seed, node_id): the seed, what it reaches and what reaches it."""
-    own = seeds.select("nb_id", F.col("node_id").alias("seed"), "node_id")
-    return walks(edges, seeds).unionByName(walks(edges, seeds, backwards=True)).unionByName(own).distinct()
+
+    def each(g: _Graph):
+        before = g.before()
+        found = [{s, *g.walk([s]), *g.walk([s], before)} for s in g.seeds.tolist()]
+        return np.repeat(g.seeds, [len(x) for x in found]), [v for x in found for v in x]
+
+    # each pair is made once: no rows of pairs are sorted or compared
+    return _per_notebook(edges, seeds, each, "seed string, node_id string")
 
 
 def to_simple(edges: DataFrame) -> DataFrame:
