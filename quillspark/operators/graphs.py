@@ -173,6 +173,23 @@ def walks(edges: DataFrame, seeds: DataFrame, backwards: bool = False) -> DataFr
     return _per_notebook(edges, seeds, each, "seed string, node_id string", backwards)
 
 
+def first_walks(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFrame:
+    """(nb_id, seed, node_id): the goals that one edge or more leads to from each seed that no other seed leads to; such a seed with itself where it leads to no other goal."""
+
+    def each(g: _Graph):
+        seeds = g.seeds.tolist()
+        below = {v for s in seeds for v in g.walk([s]) if v != s}
+        who, found = [], []
+        for s in seeds:
+            if s not in below:
+                ends = [v for v in g.walk([s]) if v != s and v in g.goals] or [s]
+                who.append([s] * len(ends))
+                found.append(ends)
+        return [s for x in who for s in x], [v for x in found for v in x]
+
+    return _per_notebook(edges, seeds, each, "seed string, node_id string", goals=goals)
+
+
 #: Edges of a notebook that is walked in one task; of larger ones the frontier is joined with the edges.
 LARGE = 1_000_000
 

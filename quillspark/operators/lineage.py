@@ -137,15 +137,13 @@ def tuples(macro_nodes: DataFrame, macro_edges: DataFrame) -> DataFrame:
 def gold_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Tuples of an annotated graph: roots are ends of import edges that descend from no other root; each is traced to exports and models."""
     roots = edges.where("label = 1").select("nb_id", F.col("dst").alias("node_id")).distinct()
-    r = graphs.walks(edges, roots)
-    below = r.where("seed <> node_id").select("nb_id", "node_id")
-    roots = roots.join(below, ["nb_id", "node_id"], "left_anti")
     ends = edges.where("label in (0, 4)").select("nb_id", F.col("dst").alias("end"), F.when(F.col("label") == 0, "<M, D>").otherwise("<D, D>").alias("tuple_type")).distinct()
-    own = roots.select("nb_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")).unionByName(r.select("nb_id", F.col("seed").alias("src"), F.col("node_id").alias("dst")).join(roots.withColumnRenamed("node_id", "src"), ["nb_id", "src"], "left_semi")).distinct()
-    hit = own.join(ends.withColumnRenamed("end", "dst"), ["nb_id", "dst"]).where("src <> dst")
+    # only ends leave the walk, each once for a root: no rows of all that roots reach are sorted or compared
+    own = graphs.first_walks(edges, roots, ends.select("nb_id", F.col("end").alias("node_id"))).select("nb_id", F.col("seed").alias("src"), F.col("node_id").alias("dst"))
+    hit = own.where("src <> dst").join(ends.withColumnRenamed("end", "dst"), ["nb_id", "dst"])
     found = hit.select("nb_id", "tuple_type", F.when(F.col("tuple_type") == "<M, D>", F.col("dst")).otherwise(F.col("src")).alias("subject_id"), F.when(F.col("tuple_type") == "<M, D>", F.col("src")).otherwise(F.col("dst")).alias("object_id"))
-    alone = roots.join(hit.select("nb_id", F.col("src").alias("node_id")), ["nb_id", "node_id"], "left_anti").select("nb_id", F.lit("<D, Empty>").alias("tuple_type"), F.col("node_id").alias("subject_id"), F.lit("Empty").alias("object_id"))
-    return found.unionByName(alone).distinct()
+    alone = own.where("src = dst").select("nb_id", F.lit("<D, Empty>").alias("tuple_type"), F.col("src").alias("subject_id"), F.lit("Empty").alias("object_id"))
+    return found.unionByName(alone)
 
 
 def normalize_tuples(raw: DataFrame) -> DataFrame:

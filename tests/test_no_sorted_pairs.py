@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillspark.operators import graphs
+from quillspark.operators import graphs, lineage
 
 
 def reach(edges, start):
@@ -39,3 +39,20 @@ def test_around_variable(spark, graph):
     found = [tuple(r) for r in got.collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert "Aggregate" not in logical(got)
+
+
+def test_gold_tuples(spark, graph):
+    rows, e = graph
+    expected = set()
+    for nb in (1, 2, 3):
+        ways = {(a, b) for n, a, b, _ in rows if n == nb}
+        roots = {b for n, _, b, x in rows if n == nb and x == 1}
+        tops = {r for r in roots if not any(r in reach(ways, o) for o in roots - {r})}
+        for t in tops:
+            ends = {(b, x) for n, _, b, x in rows if n == nb and x in (0, 4) and b in reach(ways, t) - {t}}
+            expected |= {(nb, "<M, D>", b, t) if x == 0 else (nb, "<D, D>", t, b) for b, x in ends} or {(nb, "<D, Empty>", t, "Empty")}
+    found = [tuple(r) for r in lineage.gold_tuples(None, e).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    # only ends of walks are rows
+    got = graphs.first_walks(e, spark.createDataFrame([(2, "x"), (2, "y")], "nb_id long, node_id string"), spark.createDataFrame([(2, "z"), (2, "unknown")], "nb_id long, node_id string"))
+    assert ("x", "z") in {(r.seed, r.node_id) for r in got.collect()} and {r.node_id for r in got.collect()} == {"z"}
