@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .shared import dealt
 
@@ -441,6 +441,7 @@ def _histories(sweeps: int):
     def per(table: pa.Table) -> pa.Table:
         table = table.sort_by([("part", "ascending"), ("o", "ascending"), ("a", "ascending"), ("b", "ascending")])
         rows = list(zip(*(table[c].to_pylist() for c in ("part", "a", "b", "code", "kind")), strict=True))
+        kept = table.filter(pc.equal(table["part"], 0))
         nodes = {a: (label, code, kind) for part, a, label, code, kind in rows if part == 0}
         into: dict[str, dict[str, list[int]]] = {a: {} for a in nodes}
         for part, a, b, _, _ in rows:
@@ -470,10 +471,10 @@ def _histories(sweeps: int):
                                 moved = True
             if not moved:
                 break
-        history = pa.array([[dict(zip(_STEP.names, x, strict=True)) for x in listed[a][0]] for a in nodes], pa.list_(_STEP))
-        nb = pa.array([table["nb_id"][0].as_py()] * len(nodes), table.schema.field("nb_id").type)
-        base = pa.array([", ".join(sorted(listed[a][1])) if listed[a][1] else None for a in nodes], pa.string())
-        return pa.table([nb, pa.array(list(nodes), pa.string()), base, history], names=["nb_id", "node_id", "base_inputs", "transform_history"])
+        names = kept["a"].to_pylist()
+        history = pa.array([[dict(zip(_STEP.names, x, strict=True)) for x in listed[a][0]] for a in names], pa.list_(_STEP))
+        base = pa.array([", ".join(sorted(listed[a][1])) if listed[a][1] else None for a in names], pa.string())
+        return pa.table([kept["row"], base, history], names=["row", "base_inputs", "transform_history"])
 
     return per
 
@@ -486,13 +487,13 @@ def provenance(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> Data
     sweep by sweep in the order of nodes, until nothing comes or `sweeps` are
     over, so that what has to go back over many edges may not arrive.
     """
-    kind = nodes.schema["nb_id"].dataType.simpleString()
-    own = nodes.select("nb_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("o"), F.col("node_id").alias("a"), F.col("label").alias("b"), "code", F.col("struct_type").cast("int").alias("kind"))
+    # a node's row goes with it, so that histories need no join back
+    own = nodes.select("nb_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("o"), F.col("node_id").alias("a"), F.col("label").alias("b"), "code", F.col("struct_type").cast("int").alias("kind"), F.struct(*nodes.columns).alias("row"))
     none = lambda t: F.lit(None).cast(t)
-    ways = edges.select("nb_id", F.lit(1).alias("part"), F.col("ord").cast("long").alias("o"), F.col("src").alias("a"), F.col("dst").alias("b"), none("string").alias("code"), none("int").alias("kind"))
-    step = "struct<operation: string, target_node: string, transform_code: string>"
-    found = own.unionByName(ways).groupBy("nb_id").applyInArrow(_histories(sweeps), f"nb_id {kind}, node_id string, base_inputs string, transform_history array<{step}>")
-    return nodes.join(found, ["nb_id", "node_id"], "left").withColumn("n_steps", F.coalesce(F.size("transform_history"), F.lit(0)).cast("long"))
+    ways = edges.select("nb_id", F.lit(1).alias("part"), F.col("ord").cast("long").alias("o"), F.col("src").alias("a"), F.col("dst").alias("b"), none("string").alias("code"), none("int").alias("kind"), none(nodes.schema).alias("row"))
+    out = StructType.fromDDL("base_inputs string, transform_history array<struct<operation: string, target_node: string, transform_code: string>>")
+    found = own.unionByName(ways).groupBy("nb_id").applyInArrow(_histories(sweeps), StructType([StructField("row", nodes.schema), *out]))
+    return found.select("row.*", "base_inputs", "transform_history").withColumn("n_steps", F.coalesce(F.size("transform_history"), F.lit(0)).cast("long"))
 
 
 def context(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:

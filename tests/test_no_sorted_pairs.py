@@ -56,3 +56,15 @@ def test_gold_tuples(spark, graph):
     # only ends of walks are rows
     got = graphs.first_walks(e, spark.createDataFrame([(2, "x"), (2, "y")], "nb_id long, node_id string"), spark.createDataFrame([(2, "z"), (2, "unknown")], "nb_id long, node_id string"))
     assert ("x", "z") in {(r.seed, r.node_id) for r in got.collect()} and {r.node_id for r in got.collect()} == {"z"}
+
+
+def test_histories_go_with_their_nodes(spark):
+    """Rows of nodes, repeated ones too, come back whole, and no join brings them."""
+    n = spark.createDataFrame([(1, "a", 0, "pd", 1, None, [1.5]), (1, "b", 1, "fit", 9, "f(x)", None), (1, "c", 2, "df", 2, None, [2.0]), (1, "c", 2, "df", 2, None, [3.0]), (2, "d", 0, None, 1, None, None)], "nb_id long, node_id string, ord long, label string, struct_type int, code string, `more of it` array<double>")
+    e = spark.createDataFrame([(1, "a", "b", 0), (1, "b", "c", 1), (1, "gone", "c", 2)], "nb_id long, src string, dst string, ord long")
+    got = graphs.provenance(n, e)
+    assert got.columns == [*n.columns, "base_inputs", "transform_history", "n_steps"]
+    found = sorted((r.node_id, str(r["more of it"]), r.base_inputs, [tuple(s) for s in r.transform_history], r.n_steps) for r in got.collect())
+    step = [("fit", "df", "f(x)")]
+    assert found == [("a", "[1.5]", None, [], 0), ("b", "None", "pd", [], 0), ("c", "[2.0]", "pd", step, 1), ("c", "[3.0]", "pd", step, 1), ("d", "None", None, [], 0)]
+    assert "Join" not in logical(got)
