@@ -119,31 +119,38 @@ def span(line: Column, column: Column) -> Column:
     return line * 2000 + column
 
 
+def _overlaps(asked: DataFrame, gold: DataFrame, least: float, cell: float) -> DataFrame:
+    """(ask_id, gold_id, ord, overlap) of spans that overlap by `least`, once for each cell of the line that both lie on."""
+    cells = lambda df, s, e: df.withColumn("__c", F.explode(F.sequence(F.floor(F.col(s) / cell), F.floor(F.col(e) / cell))))
+    a = cells(asked.select("ask_id", "nb_id", "s", "e"), "s", "e")
+    g = cells(gold.select("nb_id", "gold_id", F.col("s").alias("gs"), F.col("e").alias("ge"), "ord"), "gs", "ge")
+    share = (F.least("e", "ge") - F.greatest("s", "gs")) / F.least(F.col("e") - F.col("s"), F.col("ge") - F.col("gs"))
+    return a.join(g, ["nb_id", "__c"]).where("gs < e and s < ge").select("ask_id", "gold_id", "ord", share.alias("overlap")).where(F.col("overlap") >= least)
+
+
 def match_spans(asked: DataFrame, gold: DataFrame, least: float = 0.5, cell: float = 2000.0) -> DataFrame:
     """(ask_id, gold_id, overlap): the gold span that overlaps most, in shares of the shorter, if by `least`; of equals the first (ord).
 
     asked(ask_id, nb_id, s, e) and gold(gold_id, nb_id, s, e, ord): a range
-    join within a notebook on cells of the line.
+    join within a notebook on cells of the line. The best of a span is a least
+    value, so that only one row for each and task moves after the join.
     """
-    cells = lambda df, s, e: df.withColumn("__c", F.explode(F.sequence(F.floor(F.col(s) / cell), F.floor(F.col(e) / cell))))
-    a = cells(asked, "s", "e")
-    g = cells(gold.select("nb_id", "gold_id", F.col("s").alias("gs"), F.col("e").alias("ge"), "ord"), "gs", "ge")
-    both = a.join(g, ["nb_id", "__c"]).where("gs < e and s < ge").drop("__c").dropDuplicates(["ask_id", "gold_id"])
-    share = (F.least("e", "ge") - F.greatest("s", "gs")) / F.least(F.col("e") - F.col("s"), F.col("ge") - F.col("gs"))
-    w = Window.partitionBy("ask_id").orderBy(F.col("overlap").desc(), "ord")
-    return both.withColumn("overlap", share).withColumn("__r", F.row_number().over(w)).where((F.col("__r") == 1) & (F.col("overlap") >= least)).select("ask_id", "gold_id", "overlap")
+    best = F.min(F.struct((-F.col("overlap")).alias("o"), "ord", "gold_id", "overlap"))
+    return _overlaps(asked, gold, least, cell).groupBy("ask_id").agg(best.alias("x")).select("ask_id", "x.gold_id", "x.overlap")
 
 
-def match_nodes(asked: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
+def match_nodes(asked: DataFrame, gold: DataFrame, least: float = 0.5, cell: float = 2000.0) -> DataFrame:
     """(ask_id, gold_id): the gold node whose span overlaps most, else the first whose code is the asked id's name.
 
-    asked(ask_id, nb_id, s, e) may have null spans; gold also has `code`.
+    asked(ask_id, nb_id, s, e) may have null spans; gold also has `code`. Both
+    ways give candidates, of which each asked id takes the least.
     """
-    asked = asked.select("ask_id", "nb_id", "s", "e")
-    spans = match_spans(asked.where("s is not null and e > s"), gold.where("s is not null and e > s"), least).select("ask_id", "gold_id")
-    rest = asked.join(spans, "ask_id", "left_anti").select("ask_id", "nb_id", F.substring_index("ask_id", ":", 1).alias("code"))
-    named = rest.join(gold.select("nb_id", F.trim("code").alias("code"), "gold_id", "ord").where("code <> ''"), ["nb_id", "code"])
-    return spans.unionByName(named.groupBy("ask_id").agg(F.min_by("gold_id", "ord").alias("gold_id")))
+    spans = _overlaps(asked.where("s is not null and e > s"), gold.where("s is not null and e > s"), least, cell)
+    # the first of a name before it is joined
+    first = gold.where("code <> ''").groupBy("nb_id", F.trim("code").alias("code")).agg(F.min_by(F.struct("gold_id", "ord"), "ord").alias("x"))
+    named = asked.select("ask_id", "nb_id", F.substring_index("ask_id", ":", 1).alias("code")).join(first, ["nb_id", "code"])
+    found = spans.select("ask_id", F.lit(1).alias("way"), (-F.col("overlap")).alias("o"), "ord", "gold_id").unionByName(named.select("ask_id", F.lit(2).alias("way"), F.lit(None).alias("o"), "x.ord", "x.gold_id"))
+    return found.groupBy("ask_id").agg(F.min(F.struct("way", "o", "ord", "gold_id")).alias("x")).select("ask_id", "x.gold_id")
 
 
 def project_edges(edges: DataFrame, matches: DataFrame) -> DataFrame:

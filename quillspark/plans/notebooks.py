@@ -267,7 +267,7 @@ _D_SPANS = _SPANS.format(lineitem="lineitem")
 @query(f"with a as ({_D_SPANS}), g as (select nb_id, 'g' || ask_id as gold_id, s + 300 as s, e + 300 as e, code, ord from a where ord in (1, 2, 3)), o as (select a.ask_id, g.gold_id, g.ord, case when g.s < a.e and a.s < g.e and 5 * (least(a.e, g.e) - greatest(a.s, g.s)) >= 2.5 * 500 then 1 when g.code = a.code then 2 end as way from a join g on g.nb_id = a.nb_id) select ask_id, gold_id from (select *, row_number() over (partition by ask_id order by way, ord) as rn from o where way is not null) where rn = 1")
 def kb_match_nodes(spark, sf_dir):
     """Spans of gold nodes lie 300 of 500 places off, so that names decide."""
-    a = spark.sql(_SPANS, lineitem=B.table(spark, sf_dir, "lineitem")).dropDuplicates(["ask_id"])
+    a = spark.sql(_SPANS, lineitem=B.table(spark, sf_dir, "lineitem"))
     gold = a.where("ord in (1, 2, 3)").select("nb_id", F.concat(F.lit("g"), "ask_id").alias("gold_id"), (F.col("s") + 300).alias("s"), (F.col("e") + 300).alias("e"), "code", "ord")
     return knowledge.match_nodes(a, gold)
 

@@ -1,10 +1,11 @@
 """Walks and matches whose pairs are made once, so that no task sorts or compares more of them as tables grow."""
 
 import random
+from collections import defaultdict
 
 import pytest
 
-from quillspark.operators import graphs, lineage
+from quillspark.operators import graphs, knowledge, lineage
 
 
 def reach(edges, start):
@@ -68,3 +69,27 @@ def test_histories_go_with_their_nodes(spark):
     step = [("fit", "df", "f(x)")]
     assert found == [("a", "[1.5]", None, [], 0), ("b", "None", "pd", [], 0), ("c", "[2.0]", "pd", step, 1), ("c", "[3.0]", "pd", step, 1), ("d", "None", None, [], 0)]
     assert "Join" not in logical(got)
+
+
+def test_match_nodes(spark):
+    """Spans before names, the widest overlap, then the first; long spans lie on many cells."""
+    rng = random.Random(4)
+    span = lambda: rng.choice([(None, None), (a := float(rng.randrange(9000)), a + rng.choice([50, 700, 6000]))])
+    asked = [(f"p{rng.randrange(6)}:{i}", i % 3, *span()) for i in range(60)]
+    gold = [(f"g{i}", i % 3, *span(), rng.choice([None, "", f" p{rng.randrange(6)} "]), i // 2) for i in range(40)]
+    expected = {}
+    for ask, nb, s, e in asked:
+        own, named = [], defaultdict(list)
+        for g, n, gs, ge, code, o in gold:
+            if n == nb and s is not None and gs is not None and gs < e and s < ge and (min(e, ge) - max(s, gs)) / min(e - s, ge - gs) >= 0.5:
+                own.append((-(min(e, ge) - max(s, gs)) / min(e - s, ge - gs), o, g))
+            if n == nb and code and code.strip() == ask.split(":")[0]:
+                named[ask].append((o, g))
+        if own or named:
+            expected[ask] = min(own)[-1] if own else min(named[ask])[-1]
+    a, g = spark.createDataFrame(asked, "ask_id string, nb_id long, s double, e double"), spark.createDataFrame(gold, "gold_id string, nb_id long, s double, e double, code string, ord long")
+    got = knowledge.match_nodes(a, g)
+    found = [tuple(r) for r in got.collect()]
+    assert dict(found) == expected and len(found) == len(expected)
+    plan = logical(got)
+    assert plan.count("Join") == 2 and "Window" not in plan
