@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs
+from .shared import tasks
 
 _ANCHORS = (1, 2, 4, 7)
 
@@ -14,9 +15,11 @@ _ANCHORS = (1, 2, 4, 7)
 def anchors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Anchor nodes (library, dataset, domain model, class) with occurrences: their own cell, then those of consuming successors."""
     keep = F.col("node_type").isin(*_ANCHORS) & ((F.col("node_type") != 4) | F.coalesce("domain_node", F.lit(False)))
-    e = graphs.with_ends(edges, nodes, "node_type", "cell_id").where("dst_node_type in (9, 4) and dst_cell_id is not null")
-    first = e.groupBy("nb_id", "src", "dst", "dst_cell_id").agg(F.min("ord").alias("o"))
-    near = first.groupBy("nb_id", F.col("src").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "dst_cell_id"))), lambda x: x["dst_cell_id"]).alias("__c"))
+    # joins and groups follow the tasks that one side is dealt to, which grow in number with the nodes
+    parts = tasks(nodes)
+    ends = nodes.where("node_type in (9, 4) and cell_id is not null").select("nb_id", F.col("node_id").alias("dst"), F.col("cell_id").alias("dst_cell_id"))
+    first = edges.join(ends.repartition(parts, "nb_id", "dst"), ["nb_id", "dst"]).groupBy("nb_id", "src", "dst", "dst_cell_id").agg(F.min("ord").alias("o"))
+    near = first.repartition(parts, "nb_id", "src").groupBy("nb_id", F.col("src").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "dst_cell_id"))), lambda x: x["dst_cell_id"]).alias("__c"))
     own = nodes.where(keep).join(near, ["nb_id", "node_id"], "left")
     return own.withColumn("occurrences", F.concat(F.array("cell_id"), F.coalesce("__c", F.array().cast("array<string>")))).drop("__c")
 
@@ -67,6 +70,7 @@ def route(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fold_auxiliary(macro_nodes: DataFrame, macro_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Primary anchors with base_inputs from the library and class anchors before them, and the edges among primary anchors."""
+    macro_nodes = macro_nodes.repartition(tasks(macro_nodes, macro_edges), "nb_id", "node_id")
     e = graphs.with_ends(macro_edges, macro_nodes, "node_type", "label")
     text = F.array_join(F.filter("operations", lambda x: x != ""), " -> ")
     library = F.col("src_node_type") == 1
@@ -77,17 +81,18 @@ def fold_auxiliary(macro_nodes: DataFrame, macro_edges: DataFrame) -> tuple[Data
     return primary, e.where("src_node_type in (2, 4) and dst_node_type in (2, 4)").select(macro_edges.columns)
 
 
-def chains(macro_nodes: DataFrame, macro_edges: DataFrame) -> DataFrame:
+def chains(macro_nodes: DataFrame, macro_edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(nb_id, node_id, head, step): datasets on linear chains, each with the chain's head and its place behind it.
 
     A link joins a dataset with its only dataset successor if that has no
     other dataset predecessor; a circle's head is its least node.
     """
     kind = macro_nodes.schema["nb_id"].dataType.simpleString()
+    parts = parts or tasks(macro_nodes, macro_edges)
     d = graphs.with_ends(macro_edges, macro_nodes, "node_type").where("src_node_type = 2 and dst_node_type = 2").select("nb_id", "src", "dst").distinct()
-    d = d.withColumn("o", F.count("*").over(Window.partitionBy("nb_id", "src"))).withColumn("i", F.count("*").over(Window.partitionBy("nb_id", "dst")))
+    d = d.repartition(parts, "nb_id").withColumn("o", F.count("*").over(Window.partitionBy("nb_id", "src"))).withColumn("i", F.count("*").over(Window.partitionBy("nb_id", "dst")))
     links = d.where("o = 1 and i = 1 and src <> dst").select("nb_id", "src", "dst")
-    rows = macro_nodes.where("node_type = 2").select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(links)
+    rows = macro_nodes.where("node_type = 2").select("nb_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst")).repartition(parts, "nb_id").unionByName(links)
 
     def per(table: pa.Table) -> pa.Table:
         nexts = {a: b for a, b in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True) if b is not None}
@@ -107,20 +112,23 @@ def chains(macro_nodes: DataFrame, macro_edges: DataFrame) -> DataFrame:
 
 def collapse(macro_nodes: DataFrame, macro_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chains merged into their heads: nodes with transform_history and occurrences in the chain's order, and edges from and to heads."""
-    c = chains(macro_nodes, macro_edges)
-    link = macro_edges.join(c.select("nb_id", F.col("node_id").alias("dst"), F.col("head").alias("h"), "step"), ["nb_id", "dst"]).join(c.select("nb_id", F.col("node_id").alias("src"), F.col("head").alias("h"), F.col("step").alias("s0")), ["nb_id", "src", "h"]).where("step = s0 + 1")
+    parts = tasks(macro_nodes, macro_edges)
+    by = lambda df, *keys: df.repartition(parts, "nb_id", *keys)
+    macro_nodes = by(macro_nodes, "node_id")
+    c = by(chains(macro_nodes, macro_edges, parts).checkpoint(), "node_id")
+    link = by(macro_edges.join(c.select("nb_id", F.col("node_id").alias("dst"), F.col("head").alias("h"), "step"), ["nb_id", "dst"]), "src", "h").join(c.select("nb_id", F.col("node_id").alias("src"), F.col("head").alias("h"), F.col("step").alias("s0")), ["nb_id", "src", "h"]).where("step = s0 + 1")
     labels = macro_nodes.select("nb_id", F.col("node_id").alias("dst"), F.col("label").alias("dst_label"), "base_inputs")
     text = F.coalesce(F.nullif(F.array_join(F.filter("operations", lambda x: x != ""), " -> "), F.lit("")), F.lit("Transform"))
     more = F.when(F.size("base_inputs") > 0, F.concat(F.lit(" [Inputs: "), F.array_join("base_inputs", ", "), F.lit("]"))).otherwise("")
-    step = link.join(labels, ["nb_id", "dst"]).where("predicted_label = 2").groupBy("nb_id", F.col("h").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", F.struct(F.col("dst_label").alias("target_node"), F.concat(text, more).alias("operation"), F.lit("").alias("transform_code")).alias("t")))), lambda x: x["t"]).alias("transform_history"))
-    seen = macro_nodes.join(c, ["nb_id", "node_id"]).groupBy("nb_id", "head").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", "occurrences"))), lambda x: x["occurrences"])).alias("occurrences"))
+    step = by(link.join(labels, ["nb_id", "dst"]).where("predicted_label = 2"), "h").groupBy("nb_id", F.col("h").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", F.struct(F.col("dst_label").alias("target_node"), F.concat(text, more).alias("operation"), F.lit("").alias("transform_code")).alias("t")))), lambda x: x["t"]).alias("transform_history"))
+    seen = by(macro_nodes.join(c, ["nb_id", "node_id"]), "head").groupBy("nb_id", "head").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", "occurrences"))), lambda x: x["occurrences"])).alias("occurrences"))
     heads = macro_nodes.where("node_type = 4").unionByName(macro_nodes.join(c.where("step = 0").select("nb_id", "node_id"), ["nb_id", "node_id"], "left_semi")).drop("occurrences") if "occurrences" in macro_nodes.columns else macro_nodes
     nodes = heads.join(step, ["nb_id", "node_id"], "left").join(seen.withColumnRenamed("head", "node_id"), ["nb_id", "node_id"], "left")
     to_head = c.select("nb_id", F.col("node_id").alias("n"), "head")
     e = macro_edges.join(to_head.withColumnRenamed("n", "src").withColumnRenamed("head", "a"), ["nb_id", "src"], "left").join(to_head.withColumnRenamed("n", "dst").withColumnRenamed("head", "b"), ["nb_id", "dst"], "left")
     e = e.select("nb_id", F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"), "operations", "predicted_label")
     inner = link.select("nb_id", F.col("h").alias("src"), F.col("h").alias("dst")).distinct()
-    return nodes, e.join(inner, ["nb_id", "src", "dst"], "left_anti").dropDuplicates(["nb_id", "src", "dst"])
+    return nodes, by(e, "src", "dst").join(inner, ["nb_id", "src", "dst"], "left_anti").dropDuplicates(["nb_id", "src", "dst"])
 
 
 def tuples(macro_nodes: DataFrame, macro_edges: DataFrame) -> DataFrame:

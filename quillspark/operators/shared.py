@@ -38,6 +38,16 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, F.xxhash64(*keys))
 
 
+#: Rows to a task where joins and groups sort them.
+ROWS = 100_000
+
+
+def tasks(*tables: DataFrame, rows: int | None = None) -> int:
+    """How many tasks to deal the largest table to, ROWS to each if not given: they grow in number with it, not in size."""
+    spark = tables[0].sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, *(-(-t.count() // (rows or ROWS)) for t in tables))
+
+
 def by_group(df: DataFrame, key: str, order: list[str], fn: Callable[[object, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """fn(key, rows) -> rows of `schema` for each group of df, whose rows are its columns without the key, in order.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import tasks
+
 _EV = """select event_id, user_id, event_type, props, value, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from {events}"""
 
 #: A notebook is a user; an event is a node.
@@ -57,8 +59,7 @@ EVENTS = 100_000
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events, a user's in one task; tasks grow in number with the table, not in size: windows, edges and walks of a user sort their rows side by side there."""
     ev = table(spark, sf_dir, "events")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-ev.count() // EVENTS))
-    return ev.repartition(parts, "user_id")
+    return ev.repartition(tasks(ev, rows=EVENTS), "user_id")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
