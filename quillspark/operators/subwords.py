@@ -10,6 +10,7 @@ of its words, and a word, seen or not, that of its pieces.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,40 +67,193 @@ def associations(pairs: DataFrame, least: int = 1) -> DataFrame:
     return joined.select("word", "context", x.alias("x")).where("x > 0")
 
 
-#: Words with so many neighbours and more are counted by pairs, so that no task holds all that is near a word.
-HOT = 1_000_000
-#: Places near words that a task counts, about, however long the texts are in all.
-PART = 4_000_000
+#: Words of texts whose pairs a task counts at once, and places near words that a block of the table has, about.
+CHUNK, PART = 3_000_000, 4_000_000
+_ZSTD = pa.Codec("zstd", compression_level=5)
 
 
-def text_associations(df: DataFrame, text: str, window: int = 5, least: int = 1, hot: int = HOT) -> DataFrame:
-    """associations(pair_counts(df, text, window), least), with the neighbours of a word in a row instead of a row for each pair.
+def _zip(x: bytes) -> bytes:
+    return _ZSTD.compress(x, asbytes=True)
 
-    What a word has near it is counted in its texts, so sums of pairs aren't
-    asked for; they travel with the words. A place of a text is one row that goes
-    to its word, and its pairs are made and counted there.
-    """
-    w = df.select(words(F.col(text)).alias("w")).where(F.size("w") > 1).withColumn("d", F.monotonically_increasing_id())
-    at = w.select("d", F.posexplode("w").alias("i", "word"), F.size("w").alias("k"))
+
+def _unzip(x: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.py_buffer(x), "zstd").read()
+
+
+def _thin(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, mostly small, in few bytes: all lowest bytes first, then the next."""
+    return _zip(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _full(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unzip(x), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def _names(words: list[bytes]) -> bytes:
+    # words have no line ends
+    return _zip(b"\n".join(words))
+
+
+def _read(names: bytes) -> list[bytes]:
+    return _unzip(names).split(b"\n")
+
+
+_TABLE = "i int, j int, kind int, rows binary, columns binary, gaps binary, n binary"
+_ARROW = pa.schema([(c, pa.int32()) for c in ("i", "j", "kind")] + [(c, pa.binary()) for c in ("rows", "columns", "gaps", "n")])
+
+
+def _counted(sides: int, window: int):
+    """Texts as lists of words -> blocks of their pairs: either direction's counts as one, sorted, by the distances of their numbers."""
+
+    def block(i: int, j: int, low: np.ndarray, high: np.ndarray, n: np.ndarray, names: np.ndarray) -> tuple:
+        r, low = np.unique(low, return_inverse=True)
+        c, high = np.unique(high, return_inverse=True)
+        at = low * len(c) + high
+        return i, j, 1, _names(names[r].tolist()), _names(names[c].tolist()), _thin(np.diff(at, prepend=0)), _thin(n)
+
+    def chunk(lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        coded = lists.flatten().dictionary_encode()
+        names = [w.encode() for w in coded.dictionary.to_pylist()]
+        side = np.array([zlib.crc32(w) % sides for w in names], np.int64)
+        # numbers by side and word, so that a block's pairs are sorted as they are
+        order = np.array(sorted(range(len(names)), key=lambda k: (side[k], names[k])), np.int64)
+        number = np.empty(len(names), np.int64)
+        number[order] = np.arange(len(names))
+        names, side = np.array(names, object)[order], side[order]
+        word, text = number[coded.indices.to_numpy()], np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        keys = []
+        for k in range(1, window + 1):
+            a, b = word[:-k], word[k:]
+            same = text[:-k] == text[k:]
+            keys.append((np.minimum(a, b) * len(names) + np.maximum(a, b))[same])
+        keys = np.concatenate(keys)
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        n, keys = np.diff(first, append=len(keys)), keys[first]
+        low, high = keys // len(names), keys % len(names)
+        of = side[low] * sides + side[high]
+        by = np.argsort(of, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(of[by]) > 0][: len(by)]), len(by)]
+        made = [block(*divmod(int(of[x[0]]), sides), low[x], high[x], n[x], names) for x in (by[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True))]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            lists = b.column("w")
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            at = 0
+            while at < len(lists):
+                # as many whole texts as a chunk has room for, one at least
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK - size, "right")))
+                held.append(lists.slice(at, upto - at))
+                size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
+                at = upto
+                if size >= CHUNK or at < len(lists):
+                    yield from chunk(pa.concat_arrays(held))
+                    held, size = [], 0
+        if held:
+            yield from chunk(pa.concat_arrays(held))
+
+    return run
+
+
+def _sums(margin: DataFrame, sides: int) -> DataFrame:
+    """The words of each side with their sums, packed, for each block of the side."""
+
+    def sided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side = pa.array([zlib.crc32(w.encode()) % sides for w in b.column("word").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([side, *b.columns], names=["side", "word", "a"])
+
+    def packed(t: pa.Table) -> pa.Table:
+        rows = sorted(zip((w.encode() for w in t["word"].to_pylist()), t["a"].to_pylist(), strict=True))
+        return pa.table({"side": t["side"].slice(0, 1), "rows": pa.array([_names([w for w, _ in rows])], pa.binary()), "n": pa.array([_thin(np.array([a for _, a in rows]))], pa.binary())})
+
+    own = margin.mapInArrow(sided, "side int, word string, a long").groupBy("side").applyInArrow(packed, "side int, rows binary, n binary")
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    none = F.lit(None).cast("binary")
+    return own.select(F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.when(F.col("side") <= F.col("other"), -2).otherwise(-1).alias("kind"), "rows", none.alias("columns"), none.alias("gaps"), "n")
+
+
+def _blocked(df: DataFrame, text: str, window: int, part: int) -> tuple[DataFrame, int]:
+    """(the table of pairs of df's texts as packed blocks, a block's rows beside each other and its sums of words first; the sum of all)."""
+    w = df.select(words(F.col(text)).alias("w")).where(F.size("w") > 1)
+    at = w.select(F.posexplode("w").alias("i", "word"), F.size("w").alias("k"))
     near = F.least("i", F.lit(window)) + F.least(F.col("k") - 1 - F.col("i"), F.lit(window))
     checkpoints(df.sparkSession)
     margin = at.groupBy("word").agg(F.sum(near).alias("a")).checkpoint()
     total = margin.agg(F.sum("a")).first()[0] or 0
-    told = at.select("d", "i", "word").join(margin, "word").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("i", "word", "a"))).alias("w"))
-    place = told.select(F.transform("w", lambda x: x["word"]).alias("w"), F.transform("w", lambda x: x["a"]).alias("s")).select("w", "s", F.posexplode("w").alias("i", "word"))
-    # slice counts from 1, so that i is the place before
-    around = lambda c: F.concat(F.slice(c, F.greatest(F.col("i") - window + 1, F.lit(1)), F.least("i", F.lit(window))), F.slice(c, F.col("i") + 2, F.lit(window)))
-    # words have no spaces: one text is shorter than an array
-    place = place.select("word", F.get("s", F.col("i")).alias("a"), F.array_join(around("w"), " ").alias("near"), around("s").alias("sums"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + total // PART
-    counted = None
-    for rows in (place.where(F.col("a") < hot).repartition(parts, "word"), place.where(F.col("a") >= hot)):
-        c = F.explode(F.arrays_zip(F.split("near", " ").alias("context"), F.col("sums").alias("b"))).alias("c")
-        pairs = rows.select("word", "a", c).select("word", "a", "c.context", "c.b")
-        pairs = pairs.groupBy("word", "context").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-        counted = pairs if counted is None else counted.unionByName(pairs)
-    x = F.log(F.col("n") * F.lit(float(total)) / (F.col("a").cast("double") * F.col("b")))
-    return counted.where(F.col("n") >= least).select("word", "context", x.alias("x")).where("x > 0")
+    sides = max(SIDES, math.isqrt(total // max(1, part)) + 1)
+    rows = w.mapInArrow(_counted(sides, window), _TABLE).unionByName(_sums(margin, sides))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sides * (sides + 1) // 2)
+    return rows.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "kind"), total
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(i, j, row words, their sums, column words, their sums, numbers of rows, of columns, counts) of each block of a sorted stream; for i = j the columns are the rows."""
+    at, sums, places, keys, counts = None, [], [], [], []
+
+    def whole() -> tuple:
+        (r, a), (c, b) = sums[0], sums[-1]
+        key, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, counts))
+        by = np.argsort(key, kind="stable")
+        key, n = key[by], n[by]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        n = np.add.reduceat(n, first) if len(first) else n
+        return *at, r, a, c, b, key[first] // len(c), key[first] % len(c), n
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if at is not None and at != (row["i"], row["j"]):
+                yield whole()
+                sums, places, keys, counts = [], [], [], []
+            at = row["i"], row["j"]
+            if row["kind"] < 0:
+                names = _read(row["rows"])
+                sums.append((names, _full(row["n"])))
+                places.append({w: k for k, w in enumerate(names)})
+            else:
+                r, c = (np.fromiter(map(p.__getitem__, _read(row[x])), np.int64) for x, p in (("rows", places[0]), ("columns", places[-1])))
+                x = np.cumsum(_full(row["gaps"]))
+                low, high = r[x // len(c)], c[x % len(c)]
+                keys.append(low * len(sums[-1][0]) + high)
+                counts.append(_full(row["n"]))
+    if at is not None:
+        yield whole()
+
+
+#: Pairs that are sent on at once.
+SENT = 1 << 16
+
+
+def text_associations(df: DataFrame, text: str, window: int = 5, least: int = 1, part: int = PART) -> DataFrame:
+    """associations(pair_counts(df, text, window), least), with blocks of counted pairs shuffled instead of a row for each pair.
+
+    A task counts the pairs of some millions of words at once, either direction as
+    one, and packs them by the sides of their words: a block has its words once
+    and its pairs as sorted numbers, about a byte or two each. The words' sums go
+    to the blocks of their side; blocks are added up and their words put back
+    where the rows are given out. No row is shuffled for a place or a pair.
+    """
+    blocks, total = _blocked(df, text, window, part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, j, r, a, c, b, low, high, n in _blocks_of(batches):
+            twice = (low == high) if i == j else np.zeros(len(n), bool)
+            n = np.where(twice, 2 * n, n)
+            ratio = n * float(total) / (a[low].astype(float) * b[high])
+            kept = (n >= least) & (ratio > 1)
+            low, high, ratio, twice = low[kept], high[kept], ratio[kept], twice[kept]
+            r, c = pa.array(r, pa.binary()).cast(pa.string()), pa.array(c, pa.binary()).cast(pa.string())
+            for s in range(0, len(low), SENT):
+                x, y, z = r.take(pa.array(low[s : s + SENT])), c.take(pa.array(high[s : s + SENT])), pa.array(ratio[s : s + SENT])
+                yield pa.RecordBatch.from_arrays([x, y, z], names=["word", "context", "ratio"])
+                back = pa.array(~twice[s : s + SENT])
+                yield pa.RecordBatch.from_arrays([y.filter(back), x.filter(back), z.filter(back)], names=["word", "context", "ratio"])
+
+    return blocks.mapInArrow(run, "word string, context string, ratio double").select("word", "context", F.log("ratio").alias("x")).where("x > 0")
 
 
 #: Pairs of a block of the table, and blocks a side at least.

@@ -2,10 +2,12 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,43 @@ def test_associations_of_texts_are_those_of_pairs(spark):
     assert S.text_associations(df.limit(0), "t").count() == 0
 
 
+def shuffled_rows(plan):
+    own = plan.metrics()
+    own = own.apply("shuffleRecordsWritten").value() if own.contains("shuffleRecordsWritten") else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_blocks_are_shuffled_not_places(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 60)}" for _ in range(60)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2).cache()
+    want = {(r["word"], r["context"]): r["x"] for r in S.associations(S.pair_counts(df, "t")).collect()}
+    df_rows = (made := S.text_associations(df, "t")).collect()
+    assert {(r["word"], r["context"]): r["x"] for r in df_rows} == pytest.approx(want) and len(df_rows) == len(want)
+    # 24 000 places; a block for each two sides of 4, and its sums
+    assert shuffled_rows(made._jdf.queryExecution().executedPlan()) < 100
+
+
+def test_texts_of_several_chunks(monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 50)
+    rng = random.Random(12)
+    texts = [[rng.choice("abcdeé") * rng.randrange(1, 4) for _ in range(n)] for n in (2, 30, 2, 7, 120, 3, 49, 2)]
+    batches = [pa.record_batch({"w": pa.array(t, pa.list_(pa.string()))}) for t in (texts[:3], texts[3:])]
+    rows = [r for b in S._counted(3, 2)(iter(batches)) for r in b.to_pylist()]
+    assert len({r["rows"] for r in rows}) > 6
+    every = sorted({w for t in texts for w in t}, key=str.encode)
+    for i in range(3):
+        own = [w.encode() for w in every if zlib.crc32(w.encode()) % 3 == i]
+        rows += [{"i": min(i, j), "j": max(i, j), "kind": -2 if i <= j else -1, "rows": S._names(own), "columns": None, "gaps": None, "n": S._thin(np.arange(len(own)))} for j in range(3)]
+    rows.sort(key=lambda r: (r["i"], r["j"], r["kind"]))
+    got = Counter()
+    for _, _, r, _, c, _, low, high, n in S._blocks_of(iter([pa.RecordBatch.from_pylist(rows, S._ARROW)])):
+        for x, y, k in zip(low.tolist(), high.tolist(), n.tolist()):
+            got[r[x].decode(), c[y].decode()] += k
+            got[c[y].decode(), r[x].decode()] += k
+    assert got == plain_pairs([" ".join(t) for t in texts], 2)
+
+
 def test_vectors_go_to_blocks_not_to_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "STRETCH", 7)
     rng = random.Random(9)
