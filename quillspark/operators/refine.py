@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import callee, ends_with_any, has_token
 from ..taxonomy import COMPUTE_HUBS, DOMAIN_NODE, HUBS, LOAD_CALLS, MODEL_CALLS, MODEL_SUFFIXES, OPERATION, TEST_WORDS, WRITE_CALLS
 from . import graphs
+from .shared import kept
 
 #: Thresholds of confidence and margin.
 CONFIDENT, MARGIN = 0.6, 0.12
@@ -234,9 +235,12 @@ def refine(nodes: DataFrame, edges: DataFrame, preset: str = "default") -> DataF
     """The rules of a preset in order, then write-back.
 
     The edges and each rule's state are written to the shared folder, so that a
-    plan of twelve rules does not make its input many times over.
+    plan of twelve rules does not make its input many times over. A state stays
+    until the next one stands, in columns, and a rule's shuffles with it: what is
+    on disk at once is that of one rule.
     """
-    state, edges = begin(nodes), edges.checkpoint()
+    state, edges, old = begin(nodes), kept(edges), []
     for rule in PRESETS[preset]:
-        state = rule(state, edges).checkpoint()
+        state = kept(rule(state, edges), *old)
+        old = [state]
     return write_back(state)

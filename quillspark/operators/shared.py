@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,35 @@ def checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(place)
 
 
+def kept(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """df from a table in the shared folder: a checkpoint in columns, a fraction of the bytes of its rows.
+
+    The shuffles behind it are given up once it stands, and so are tables of
+    earlier calls that nothing reads any more, `gone`.
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    was = spark.conf.get(GIVE_UP, None)
+    spark.conf.set(GIVE_UP, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.unset(GIVE_UP) if was is None else spark.conf.set(GIVE_UP, was)
+    out = spark.read.schema(df.schema).parquet(place)
+    for old in gone:
+        _delete(spark, old._kept)
+    out._kept = place
+    return out
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Whether Spark deletes a query's shuffle files where it ends.
+GIVE_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that a batch of results has before it is sent on.
 BATCH = 10_000
 

@@ -300,11 +300,10 @@ refined("refine_simple_leakage", [refine.base_truth, refine.simple_leakage], ["l
 
 @query()
 def refine_default(spark, sf_dir):
-    from ..operators.shared import checkpoints
-
-    checkpoints(spark)
     n, e = B.graph(spark, sf_dir)
-    return refine.refine(n, e).select("nb_id", "node_id", "node_type", "domain_node", "domain_label", "predicted_label", "has_leakage", "is_dead_code")
+    # what the rules read
+    n = n.select("nb_id", "node_id", "struct_type", "domain_type", "domain_node", "code", "predicted_label", "runner_up", "confidence", "margin")
+    return refine.refine(n, e.select("nb_id", "src", "dst")).select("nb_id", "node_id", "node_type", "domain_node", "domain_label", "predicted_label", "has_leakage", "is_dead_code")
 
 
 # ------------------------------------------------------- lineage and leakage

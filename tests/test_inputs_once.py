@@ -1,4 +1,5 @@
 from quillspark.operators import features, leakage, refine
+from quillspark.operators.shared import GIVE_UP
 
 
 def _graph(spark):
@@ -23,3 +24,13 @@ def test_detectors_and_vectors_read_graphs_that_were_made_once(spark):
     assert "Range (" not in _plan(leakage.findings(n.withColumn("node_type", n["struct_type"]), e))
     v = features.assemble(n, e, ["degree", "neighbor", "lineage_struct"])
     assert "Range (" not in _plan(v) and "FlatMapGroups" not in _plan(v) and v.count() == 14
+
+
+def test_states_are_given_up_as_the_next_stands(spark):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    files = lambda: {str(s.getPath()) for s in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)} if place else set()
+    before, conf = files(), spark.conf.get(GIVE_UP)
+    out = refine.refine(*_graph(spark))
+    place = place or spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    # the edges and the last of thirteen states
+    assert len(files() - before) == 2 and out.count() == 40 and spark.conf.get(GIVE_UP) == conf
