@@ -159,8 +159,8 @@ def _counted(sides: int, window: int):
     return run
 
 
-def _sums(margin: DataFrame, sides: int) -> DataFrame:
-    """The words of each side with their sums, packed, for each block of the side."""
+def _packed_sides(margin: DataFrame, sides: int) -> DataFrame:
+    """(side, rows, n): the words of each side with their numbers `a`, packed."""
 
     def sided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,8 +171,12 @@ def _sums(margin: DataFrame, sides: int) -> DataFrame:
         rows = sorted(zip((w.encode() for w in t["word"].to_pylist()), t["a"].to_pylist(), strict=True))
         return pa.table({"side": t["side"].slice(0, 1), "rows": pa.array([_names([w for w, _ in rows])], pa.binary()), "n": pa.array([_thin(np.array([a for _, a in rows]))], pa.binary())})
 
-    own = margin.mapInArrow(sided, "side int, word string, a long").groupBy("side").applyInArrow(packed, "side int, rows binary, n binary")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    return margin.mapInArrow(sided, "side int, word string, a long").groupBy("side").applyInArrow(packed, "side int, rows binary, n binary")
+
+
+def _sums(margin: DataFrame, sides: int) -> DataFrame:
+    """The words of each side with their sums, packed, for each block of the side."""
+    own = _packed_sides(margin, sides).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     none = F.lit(None).cast("binary")
     return own.select(F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), F.when(F.col("side") <= F.col("other"), -2).otherwise(-1).alias("kind"), "rows", none.alias("columns"), none.alias("gaps"), "n")
 

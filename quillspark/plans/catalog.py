@@ -236,11 +236,10 @@ def feature_word_associations(spark, sf_dir):
 
 @query()
 def feature_text_vectors(spark, sf_dir):
-    from ..operators import subwords
+    from ..operators import text_vectors
 
-    _checkpoints(docs := B.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    model = subwords.train(docs, "text", 32, rounds=2).checkpoint()
-    return subwords.embed(docs, "text", "embedding", model, 32).select("doc_id", "embedding")
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text_vectors.embed(docs, "text", "embedding", 32, rounds=2).select("doc_id", "embedding")
 
 
 #: A tree that asks for entry 1, then 2 on the left; on the right 3, then 1 again. Thresholds are means, values the labels' mean.
